@@ -1,0 +1,78 @@
+"""Registered queries: name -> callable(spark, sf_dir) -> DataFrame.
+
+Every query reads the driver tables (whole tables, whole texts) and lets
+its work grow with them. Computed columns carry the same names as the
+matching SQL in ``plans/oracle.py``; doubles are rounded to 6 places on
+both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import IndexConfig, SearchConfig
+from ..operators.chunking import chunk_documents, with_chunk_ids
+from ..operators.tfidf import fit_tfidf, lexical_topk
+from ..sources.tables import read_table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def register(name: str):
+    def deco(fn):
+        QUERIES[name] = fn
+        return fn
+    return deco
+
+
+# ---------------------------------------------------------------------------
+# shared inputs
+# ---------------------------------------------------------------------------
+
+def corpus_chunks(spark: SparkSession, sf_dir: str, cfg: IndexConfig = IndexConfig()) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return with_chunk_ids(chunk_documents(docs, "text", ("doc_id",), cfg), ("doc_id",))
+
+
+def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole benchmark passages as query texts, keyed by item id."""
+    return read_table(spark, sf_dir, "benchmark", "item_id", "text") \
+        .select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def lexical_index(spark: SparkSession, sf_dir: str):
+    chunks = corpus_chunks(spark, sf_dir)
+    postings, stats = fit_tfidf(chunks, "chunk_id", "chunk_text")
+    return chunks, postings, stats
+
+
+# ---------------------------------------------------------------------------
+# corpus: chunking, tf-idf
+# ---------------------------------------------------------------------------
+
+@register("chunk_documents")
+def q_chunk_documents(spark, sf_dir):
+    c = corpus_chunks(spark, sf_dir)
+    return c.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_id",
+                    "chunk_text", F.length("chunk_text").cast("long").alias("n_chars"))
+
+
+@register("tfidf_weights")
+def q_tfidf_weights(spark, sf_dir):
+    _, postings, stats = lexical_index(spark, sf_dir)
+    return (postings.join(stats, "term")
+                    .select("chunk_id", "term", "tf", F.col("df").cast("long").alias("df"),
+                            F.round("idf", 6).alias("idf"), F.round("weight", 6).alias("weight")))
+
+
+@register("tfidf_topk")
+def q_tfidf_topk(spark, sf_dir):
+    _, postings, stats = lexical_index(spark, sf_dir)
+    q = benchmark_queries(spark, sf_dir)
+    hits = lexical_topk(q, postings, stats, k=SearchConfig().top_k_lexical)
+    return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"),
+                       F.round("score", 6).alias("score"))
+FLAGSHIP = "tfidf_topk"

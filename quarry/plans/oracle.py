@@ -1,0 +1,82 @@
+"""DuckDB SQL restatements of the registered queries (the correctness oracle).
+
+Tables are the driver's views (documents, embeddings, pages, events, ...).
+Shared CTE fragments are plain strings so each statement stays readable.
+"""
+
+from __future__ import annotations
+
+# Unicode whitespace as split by str.split(), spelled out for RE2.
+WS_CLASS = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+            r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+")
+TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
+
+CHUNKS_CTE = f"""
+_docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(text, '{WS_CLASS}'), lambda x: x <> '') AS words
+  FROM documents WHERE length(text) >= 100),
+_win AS (
+  SELECT doc_id,
+         list_filter(list_transform(range(0, len(words), 240),
+                                    lambda s: array_to_string(list_slice(words, s + 1, s + 393), ' ')),
+                     lambda p: length(p) >= 100) AS kept
+  FROM _docs),
+chunks AS (
+  SELECT doc_id, unnest(range(len(kept))) AS chunk_index, unnest(kept) AS chunk_text
+  FROM _win WHERE len(kept) > 0),
+chunks_id AS (
+  SELECT doc_id, chunk_index, sha256(CAST(doc_id AS VARCHAR) || '|' || CAST(chunk_index AS VARCHAR)) AS chunk_id,
+         chunk_text
+  FROM chunks)"""
+
+TFIDF_CTE = f"""
+_tok AS (SELECT chunk_id, unnest(regexp_extract_all(lower(chunk_text), '{TOKEN_RE}')) AS term FROM chunks_id),
+_tf AS (SELECT chunk_id, term, count(*) AS tf FROM _tok GROUP BY chunk_id, term),
+_n AS (SELECT count(*) AS n FROM chunks_id),
+term_stats AS (
+  SELECT term, count(*) AS df, ln((1.0 + max(_n.n)) / (1.0 + count(*))) + 1.0 AS idf
+  FROM _tf, _n GROUP BY term),
+_w AS (SELECT _tf.chunk_id, _tf.term, _tf.tf, _tf.tf * s.idf AS w FROM _tf JOIN term_stats s USING (term)),
+postings AS (
+  SELECT chunk_id, term, tf, w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id)) AS weight FROM _w)"""
+
+
+def query_vectors_cte(name: str, source_sql: str) -> str:
+    """CTE ``name``(query_id, term, wq) from a SELECT giving (query_id, query)."""
+    return f"""
+{name}_src AS ({source_sql}),
+{name}_tok AS (SELECT query_id, unnest(regexp_extract_all(lower(query), '{TOKEN_RE}')) AS term FROM {name}_src),
+{name}_tf AS (SELECT query_id, term, count(*) AS tf FROM {name}_tok GROUP BY query_id, term),
+{name}_w AS (SELECT q.query_id, q.term, q.tf * s.idf AS w FROM {name}_tf q JOIN term_stats s USING (term)),
+{name} AS (SELECT query_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS wq FROM {name}_w)"""
+
+
+BENCH_QUERIES = "SELECT item_id AS query_id, text AS query FROM benchmark"
+
+LEXICAL_TOPK_CTE = f"""
+{query_vectors_cte('qv', BENCH_QUERIES)},
+_scores AS (SELECT query_id, chunk_id, sum(wq * weight) AS score
+            FROM qv JOIN postings USING (term) GROUP BY query_id, chunk_id),
+lex AS (
+  SELECT query_id, chunk_id, score,
+         row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank
+  FROM _scores WHERE score > 0
+  QUALIFY rank <= 50)"""
+
+ORACLE: dict[str, str] = {}
+
+ORACLE["chunk_documents"] = f"""
+WITH {CHUNKS_CTE}
+SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, chunk_id, chunk_text,
+       CAST(length(chunk_text) AS BIGINT) AS n_chars
+FROM chunks_id"""
+
+ORACLE["tfidf_weights"] = f"""
+WITH {CHUNKS_CTE}, {TFIDF_CTE}
+SELECT p.chunk_id, p.term, CAST(p.tf AS BIGINT) AS tf, CAST(s.df AS BIGINT) AS df,
+       round(s.idf, 6) AS idf, round(p.weight, 6) AS weight
+FROM postings p JOIN term_stats s USING (term)"""
+
+ORACLE["tfidf_topk"] = f"""
+WITH {CHUNKS_CTE}, {TFIDF_CTE}, {LEXICAL_TOPK_CTE}
+SELECT query_id, chunk_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM lex"""
