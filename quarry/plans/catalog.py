@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 
 from ..config import IndexConfig, SearchConfig
 from ..operators.chunking import chunk_documents, with_chunk_ids
+from ..functions.embed import hashed_embedding
+from ..operators.dense import dense_topk
+from ..operators.fusion import rrf_fuse
 from ..operators.tfidf import fit_tfidf, lexical_topk
+from .hybrid import envelope, hybrid_search, retrieve
 from ..sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,4 +79,69 @@ def q_tfidf_topk(spark, sf_dir):
     hits = lexical_topk(q, postings, stats, k=SearchConfig().top_k_lexical)
     return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"),
                        F.round("score", 6).alias("score"))
-FLAGSHIP = "tfidf_topk"
+
+
+# ---------------------------------------------------------------------------
+# dense search, fusion, rerank: the hybrid flagship
+# ---------------------------------------------------------------------------
+
+@register("dense_topk")
+def q_dense_topk(spark, sf_dir):
+    """Exact cosine top-50 of every stored vector against the whole collection."""
+    e = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    r = dense_topk(e.withColumnRenamed("vec_id", "query_id"), e, k=SearchConfig().top_k_dense)
+    return r.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"),
+                    F.round("score", 6).alias("score"), F.round("distance", 6).alias("distance"))
+
+
+def hybrid_inputs(spark, sf_dir):
+    chunks, postings, stats = lexical_index(spark, sf_dir)
+    vecs = hashed_embedding(chunks.select("chunk_id", "chunk_text"), "chunk_text")
+    return benchmark_queries(spark, sf_dir), chunks, postings, stats, vecs
+
+
+@register("dense_chunks_topk")
+def q_dense_chunks_topk(spark, sf_dir):
+    """Dense retriever of the hybrid path: hashed-embedding cosine top-50 over chunks."""
+    q, chunks, postings, stats, vecs = hybrid_inputs(spark, sf_dir)
+    hits = retrieve(q, chunks, postings, stats, vecs).where(F.col("retriever") == "semantic")
+    return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"),
+                       F.round("score", 6).alias("score"))
+
+
+@register("rrf_fuse")
+def q_rrf_fuse(spark, sf_dir):
+    q, chunks, postings, stats, vecs = hybrid_inputs(spark, sf_dir)
+    cfg = SearchConfig()
+    fused = rrf_fuse(retrieve(q, chunks, postings, stats, vecs, cfg), "chunk_id", cfg.rrf_k, cfg.fused_limit)
+    return fused.select("query_id", "chunk_id", F.col("fused_rank").cast("long").alias("fused_rank"),
+                        F.round("rrf_score", 6).alias("rrf_score"), "search_type",
+                        F.array_join("sources", ",").alias("sources"),
+                        F.col("bm25_rank").cast("long").alias("bm25_rank"),
+                        F.col("semantic_rank").cast("long").alias("semantic_rank"))
+
+
+def _hybrid_final(spark, sf_dir):
+    q, chunks, postings, stats, vecs = hybrid_inputs(spark, sf_dir)
+    return hybrid_search(q, chunks, postings, stats, vecs)
+
+
+@register("hybrid_search")
+def q_hybrid_search(spark, sf_dir):
+    r = _hybrid_final(spark, sf_dir)
+    return r.select("query_id", F.col("final_rank").cast("long").alias("final_rank"), "chunk_id", "doc_id",
+                    "search_type", F.array_join("sources", ",").alias("sources"),
+                    F.round("rrf_score", 6).alias("rrf_score"), F.round("bm25_score", 6).alias("bm25_score"),
+                    F.round("rerank_score_base", 6).alias("rerank_score_base"), "has_exact_match",
+                    F.round("rerank_score", 6).alias("rerank_score"))
+
+
+@register("hybrid_envelope")
+def q_hybrid_envelope(spark, sf_dir):
+    q, chunks, postings, stats, vecs = hybrid_inputs(spark, sf_dir)
+    hits = retrieve(q, chunks, postings, stats, vecs)
+    final = hybrid_search(q, chunks, postings, stats, vecs)
+    return envelope(q, hits, final)
+
+
+FLAGSHIP = "hybrid_search"

@@ -80,3 +80,111 @@ FROM postings p JOIN term_stats s USING (term)"""
 ORACLE["tfidf_topk"] = f"""
 WITH {CHUNKS_CTE}, {TFIDF_CTE}, {LEXICAL_TOPK_CTE}
 SELECT query_id, chunk_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM lex"""
+
+
+DENSE_KNN = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id,
+         list_dot_product(q.v, d.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(d.v, d.v))) AS score
+  FROM e q, e d),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s
+      QUALIFY rank <= 50)
+SELECT query_id, vec_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score, round(1.0 - score, 6) + 0.0 AS distance
+FROM r"""
+ORACLE["dense_topk"] = DENSE_KNN
+
+
+def bucket_cte(name: str, source_sql: str, key: str, text: str) -> str:
+    """Hashed bag-of-words counts (key, b, c) and norms (key, n) for a text table."""
+    return f"""
+{name}_src AS ({source_sql}),
+{name}_b AS (SELECT {key}, unnest(list_transform(regexp_extract_all(lower({text}), '{TOKEN_RE}'),
+                 lambda t: CAST(('0x' || substr(md5(t), 1, 8)) AS UBIGINT) % 256)) AS b FROM {name}_src),
+{name}_bc AS (SELECT {key}, b, count(*) AS c FROM {name}_b GROUP BY {key}, b),
+{name}_n AS (SELECT {key}, sqrt(sum(c * c)) AS n FROM {name}_bc GROUP BY {key})"""
+
+
+DENSE_CHUNKS_CTE = f"""
+{bucket_cte('qe', BENCH_QUERIES, 'query_id', 'query')},
+{bucket_cte('ce', 'SELECT chunk_id, chunk_text FROM chunks_id', 'chunk_id', 'chunk_text')},
+_dot AS (SELECT q.query_id, d.chunk_id, sum(q.c * d.c) AS dotp
+         FROM qe_bc q JOIN ce_bc d USING (b) GROUP BY q.query_id, d.chunk_id),
+_ds AS (SELECT _dot.query_id, _dot.chunk_id, dotp / (qn.n * dn.n) AS score
+        FROM _dot JOIN qe_n qn USING (query_id) JOIN ce_n dn USING (chunk_id)),
+den AS (SELECT query_id, chunk_id, score,
+               row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank
+        FROM _ds QUALIFY rank <= 50)"""
+
+FUSED_CTE = """
+_hits AS (SELECT query_id, chunk_id, 'bm25' AS retriever, rank, score FROM lex
+          UNION ALL SELECT query_id, chunk_id, 'semantic', rank, score FROM den),
+_g AS (
+  SELECT query_id, chunk_id, sum(1.0 / (60 + rank)) AS rrf_score,
+         list_sort(list(retriever)) AS sources,
+         max(CASE WHEN retriever = 'bm25' THEN score END) AS bm25_score,
+         max(CASE WHEN retriever = 'bm25' THEN rank END) AS bm25_rank,
+         max(CASE WHEN retriever = 'semantic' THEN rank END) AS semantic_rank,
+         min(CASE WHEN retriever = 'bm25' THEN 0 ELSE 1 END) AS prio
+  FROM _hits GROUP BY query_id, chunk_id),
+fused AS (
+  SELECT *, CASE WHEN len(sources) > 1 THEN 'hybrid' ELSE sources[1] END AS search_type,
+         row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, prio,
+                            CASE WHEN prio = 0 THEN bm25_rank ELSE semantic_rank END) AS fused_rank
+  FROM _g QUALIFY fused_rank <= 60)"""
+
+RERANK_CTE = f"""
+_c AS (
+  SELECT f.*, c.doc_id, c.chunk_text AS text, q.query,
+         list_distinct(regexp_extract_all(lower(q.query), '{TOKEN_RE}')) AS qt,
+         regexp_extract_all(lower(substr(c.chunk_text, 1, 512)), '{TOKEN_RE}') AS dt
+  FROM fused f JOIN chunks_id c USING (chunk_id) JOIN qe_src q USING (query_id)),
+_s AS (
+  SELECT *, CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, dt)) / len(qt) ELSE 0.0 END AS rerank_score_base,
+         contains(lower(text), lower(query)) AS has_exact_match
+  FROM _c),
+_r AS (
+  SELECT *, rerank_score_base + CASE WHEN has_exact_match THEN
+              (CASE WHEN length(lower(query)) < 10 THEN 2.0 WHEN length(lower(query)) < 30 THEN 5.0 ELSE 8.0 END)
+              ELSE 0.0 END AS raw
+  FROM _s),
+_p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, fused_rank) AS pos FROM _r),
+_g2 AS (SELECT *, min(CASE WHEN has_exact_match THEN pos END) OVER (PARTITION BY query_id) AS first_exact,
+               max(CASE WHEN pos = 5 THEN raw END) OVER (PARTITION BY query_id) AS kth FROM _p),
+_b AS (SELECT *, CASE WHEN pos = first_exact AND first_exact > 5 THEN kth + 0.05 ELSE raw END AS rerank_score
+       FROM _g2),
+final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, pos) AS final_rank
+          FROM _b QUALIFY final_rank <= 5)"""
+
+HYBRID_WITH = f"WITH {CHUNKS_CTE}, {TFIDF_CTE}, {LEXICAL_TOPK_CTE}, {DENSE_CHUNKS_CTE}, {FUSED_CTE}"
+
+ORACLE["dense_chunks_topk"] = f"""
+{HYBRID_WITH}
+SELECT query_id, chunk_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM den"""
+
+ORACLE["rrf_fuse"] = f"""
+{HYBRID_WITH}
+SELECT query_id, chunk_id, CAST(fused_rank AS BIGINT) AS fused_rank, round(rrf_score, 6) AS rrf_score,
+       search_type, array_to_string(sources, ',') AS sources,
+       CAST(bm25_rank AS BIGINT) AS bm25_rank, CAST(semantic_rank AS BIGINT) AS semantic_rank
+FROM fused"""
+
+ORACLE["hybrid_search"] = f"""
+{HYBRID_WITH}, {RERANK_CTE}
+SELECT query_id, CAST(final_rank AS BIGINT) AS final_rank, chunk_id, doc_id, search_type,
+       array_to_string(sources, ',') AS sources, round(rrf_score, 6) AS rrf_score,
+       round(bm25_score, 6) AS bm25_score, round(rerank_score_base, 6) AS rerank_score_base,
+       has_exact_match, round(rerank_score, 6) AS rerank_score
+FROM final"""
+
+ORACLE["hybrid_envelope"] = f"""
+{HYBRID_WITH}, {RERANK_CTE},
+_cnt AS (SELECT query_id, count(*) FILTER (WHERE retriever = 'bm25') AS bm25_count,
+                count(*) FILTER (WHERE retriever = 'semantic') AS semantic_count FROM _hits GROUP BY query_id),
+_res AS (SELECT query_id, count(*) AS total, string_agg(chunk_id, ',' ORDER BY final_rank) AS result_ids
+         FROM final GROUP BY query_id)
+SELECT b.item_id AS query_id, CAST(coalesce(bm25_count, 0) AS BIGINT) AS bm25_count,
+       CAST(coalesce(semantic_count, 0) AS BIGINT) AS semantic_count, CAST(0 AS BIGINT) AS fresh_count,
+       CAST(coalesce(total, 0) AS BIGINT) AS total, coalesce(result_ids, '') AS result_ids
+FROM benchmark b LEFT JOIN _cnt c ON c.query_id = b.item_id LEFT JOIN _res r ON r.query_id = b.item_id"""
