@@ -145,3 +145,77 @@ def q_hybrid_envelope(spark, sf_dir):
 
 
 FLAGSHIP = "hybrid_search"
+
+
+# ---------------------------------------------------------------------------
+# web results: URL normalisation, de-dup + domain cap, page text, context
+# ---------------------------------------------------------------------------
+
+from ..config import WebConfig  # noqa: E402
+from ..operators import context as ctx  # noqa: E402
+from ..operators import websearch as web  # noqa: E402
+
+
+def page_results(spark, sf_dir):
+    """Pages as one landed result list, arrival order = page_id."""
+    return read_table(spark, sf_dir, "pages", "page_id", "url")
+
+
+@register("url_normalize")
+def q_url_normalize(spark, sf_dir):
+    p = web.with_url_keys(page_results(spark, sf_dir))
+    return p.select("page_id", "norm_url", "domain")
+
+
+@register("url_dedup_domain_cap")
+def q_url_dedup_domain_cap(spark, sf_dir):
+    acc = web.merge_results(page_results(spark, sf_dir), max_sources=WebConfig().max_sources,
+                            request_col=None, arrival=("page_id",))
+    return acc.select("page_id", "norm_url", "domain", F.col("pos").cast("long").alias("pos"))
+
+
+@register("url_dedup_all")
+def q_url_dedup_all(spark, sf_dir):
+    acc = web.merge_results(page_results(spark, sf_dir), max_sources=None, request_col=None, arrival=("page_id",))
+    return acc.select("page_id", "norm_url", "domain")
+
+
+@register("dedup_stats")
+def q_dedup_stats(spark, sf_dir):
+    res = page_results(spark, sf_dir)
+    n = WebConfig().max_sources
+    acc = web.merge_results(res, max_sources=n, request_col=None, arrival=("page_id",))
+    st = web.dedup_stats(res, acc, max_sources=n, request_col=None, arrival=("page_id",))
+    dist = F.array_join(F.transform(F.map_entries("domain_distribution"),
+                                    lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return st.select("unique_urls", "unique_domains", "duplicates", dist.alias("domain_distribution"))
+
+
+@register("page_text")
+def q_page_text(spark, sf_dir):
+    p = ctx.page_text(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return p.select("page_id", "url", "title", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def _web_candidates(spark, sf_dir):
+    cfg = WebConfig()
+    res = page_results(spark, sf_dir).withColumn("request_id", F.lit(0).cast("long"))
+    pages = read_table(spark, sf_dir, "pages", "url", "html")
+    meta = ctx.page_text(pages.select("url", "html")).select("url", "title", F.col("text").alias("content"))
+    acc = web.merge_results(res, max_sources=cfg.candidate_limit, request_col="request_id", arrival=("page_id",))
+    acc = acc.join(meta, "url", "left")
+    return ctx.candidates(acc, "request_id", "pos"), pages
+
+
+@register("candidate_prompt")
+def q_candidate_prompt(spark, sf_dir):
+    cands, _ = _web_candidates(spark, sf_dir)
+    return ctx.render_candidates(cands)
+
+
+@register("web_context")
+def q_web_context(spark, sf_dir):
+    """Every candidate selected: page join, text extraction, numbered context."""
+    cands, pages = _web_candidates(spark, sf_dir)
+    docs = ctx.extract_pages(cands, pages)
+    return ctx.pack_context(docs).select("request_id", F.col("n_sources").cast("long").alias("n_sources"), "context")

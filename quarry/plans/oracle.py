@@ -188,3 +188,131 @@ SELECT b.item_id AS query_id, CAST(coalesce(bm25_count, 0) AS BIGINT) AS bm25_co
        CAST(coalesce(semantic_count, 0) AS BIGINT) AS semantic_count, CAST(0 AS BIGINT) AS fresh_count,
        CAST(coalesce(total, 0) AS BIGINT) AS total, coalesce(result_ids, '') AS result_ids
 FROM benchmark b LEFT JOIN _cnt c ON c.query_id = b.item_id LEFT JOIN _res r ON r.query_id = b.item_id"""
+
+
+TRACKING_SQL = "['utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'ref', 'fbclid', " \
+               "'gclid', 'source', 'si', '_hsenc', '_hsmi']"
+
+
+def _dec(x: str) -> str:
+    return f"url_decode(replace({x}, '+', ' '))"
+
+
+def _enc(x: str) -> str:
+    return f"replace(url_encode({x}), '%20', '+')"
+
+
+def norm_url_cte(src_sql: str) -> str:
+    """CTE ``nu`` (<src columns>, norm_url, domain) for rows of ``src_sql`` with a url."""
+    return rf"""
+_u0 AS (SELECT *, regexp_extract(lower(url), '(?s)^([^#]*)', 1) AS _u FROM ({src_sql}) WHERE coalesce(url, '') <> ''),
+_u1 AS (SELECT *, regexp_extract(_u, '^([a-z][a-z0-9+.\-]*):', 1) AS _scheme,
+               regexp_replace(_u, '^([a-z][a-z0-9+.\-]*):', '') AS _rest FROM _u0),
+_u2 AS (SELECT *, starts_with(_rest, '//') AS _has_net,
+               CASE WHEN starts_with(_rest, '//') THEN regexp_extract(_rest, '^//([^/?]*)', 1) ELSE '' END AS _net,
+               CASE WHEN starts_with(_rest, '//') THEN regexp_replace(_rest, '^//[^/?]*', '') ELSE _rest END AS _after
+        FROM _u1),
+_u3 AS (SELECT *, regexp_replace(regexp_replace(regexp_extract(_after, '(?s)^([^?]*)', 1), ';[^/]*$', ''), '/+$', '') AS _path,
+               regexp_extract(_after, '(?s)^[^?]*\?(.*)$', 1) AS _query FROM _u2),
+_u4 AS (SELECT *, list_filter(
+                    list_transform(list_filter(string_split(_query, '&'), lambda p: instr(p, '=') > 0),
+                                   lambda p: {{'k': {_dec("regexp_extract(p, '(?s)^([^=]*)', 1)")},
+                                              'raw': regexp_extract(p, '(?s)^[^=]*=(.*)$', 1)}}),
+                    lambda x: x.raw <> '' AND NOT list_contains({TRACKING_SQL}, x.k)) AS _kept FROM _u3),
+_u5 AS (SELECT *, list_filter(_kept, lambda x, i: list_position(list_transform(_kept, lambda y: y.k), x.k) = i) AS _first
+        FROM _u4),
+_u6 AS (SELECT *, array_to_string(flatten(list_transform(_first, lambda f: list_transform(
+                    list_filter(_kept, lambda x: x.k = f.k),
+                    lambda x: {_enc('x.k')} || '=' || {_enc(_dec('x.raw'))}))), '&') AS _q FROM _u5),
+nu AS (SELECT * EXCLUDE (_u, _scheme, _rest, _has_net, _net, _after, _path, _query, _kept, _first, _q),
+              CASE WHEN _scheme <> '' THEN _scheme || ':' ELSE '' END
+              || CASE WHEN _has_net OR _net <> '' THEN '//' || _net ||
+                      CASE WHEN _path <> '' AND NOT starts_with(_path, '/') THEN '/' || _path ELSE _path END
+                 ELSE _path END
+              || CASE WHEN _q <> '' THEN '?' || _q ELSE '' END AS norm_url,
+              CASE WHEN _has_net THEN _net ELSE '' END AS domain
+       FROM _u6)"""
+
+
+PAGES_NU = norm_url_cte("SELECT page_id, url FROM pages")
+
+DEDUP_CTE = """
+_first_url AS (SELECT *, row_number() OVER (PARTITION BY norm_url ORDER BY page_id) AS _r FROM nu QUALIFY _r = 1),
+_capped AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS _d FROM _first_url QUALIFY _d <= 2)"""
+
+ORACLE["url_normalize"] = f"WITH {PAGES_NU} SELECT page_id, norm_url, domain FROM nu"
+
+ORACLE["url_dedup_domain_cap"] = f"""
+WITH {PAGES_NU}, {DEDUP_CTE}
+SELECT page_id, norm_url, domain, pos FROM (
+  SELECT page_id, norm_url, domain, CAST(row_number() OVER (ORDER BY page_id) AS BIGINT) AS pos FROM _capped)
+WHERE pos <= 10"""
+
+ORACLE["url_dedup_all"] = f"WITH {PAGES_NU}, {DEDUP_CTE} SELECT page_id, norm_url, domain FROM _capped"
+
+ORACLE["dedup_stats"] = f"""
+WITH {PAGES_NU}, {DEDUP_CTE},
+acc AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY page_id) AS pos FROM _capped) WHERE pos <= 10),
+stop AS (SELECT CASE WHEN count(*) = 10 THEN max(page_id) END AS s FROM acc),
+dom AS (SELECT domain, count(*) AS n FROM acc GROUP BY domain)
+SELECT CAST((SELECT count(*) FROM acc) AS BIGINT) AS unique_urls,
+       CAST((SELECT count(*) FROM dom) AS BIGINT) AS unique_domains,
+       CAST((SELECT count(*) FROM pages, stop WHERE coalesce(url, '') <> '' AND (s IS NULL OR page_id < s))
+            - (SELECT count(*) FROM acc) AS BIGINT) AS duplicates,
+       (SELECT string_agg(domain || ':' || CAST(n AS VARCHAR), ',' ORDER BY domain) FROM dom) AS domain_distribution"""
+
+
+def collapse_sql(x: str) -> str:
+    return f"array_to_string(list_filter(regexp_split_to_array({x}, '{WS_CLASS}'), lambda w: w <> ''), ' ')"
+
+
+def entities_sql(x: str) -> str:
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
+                    ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        x = f"replace({x}, '{ent}', '{ch}')"
+    return x
+
+
+def main_text_sql(h: str) -> str:
+    s = f"regexp_replace({h}, '(?s)<!--.*?-->', ' ', 'g')"
+    for tag in ("head", "script", "style", "nav", "header", "footer", "aside", "form", "table"):
+        s = f"regexp_replace({s}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
+    s = f"""regexp_replace({s}, '(?is)<div\\b[^>]*class="ad"[^>]*>.*?</div\\s*>', ' ', 'g')"""
+    s = f"regexp_replace({s}, '(?s)<[^>]*>', ' ', 'g')"
+    return collapse_sql(entities_sql(s))
+
+
+PAGE_TEXT_CTE = f"""
+_pt0 AS (SELECT page_id, url, {collapse_sql(entities_sql("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)"))} AS title,
+                {main_text_sql('html')} AS _t FROM pages),
+page_txt AS (SELECT page_id, url, title,
+                    CASE WHEN length(_t) > 4000 THEN substr(_t, 1, 4000) || '... [truncated]' ELSE _t END AS text
+             FROM _pt0 WHERE length(CASE WHEN length(_t) > 4000 THEN substr(_t, 1, 4000) || '... [truncated]'
+                                         ELSE _t END) > 100)"""
+
+ORACLE["page_text"] = f"""
+WITH {PAGE_TEXT_CTE}
+SELECT page_id, url, title, text, CAST(length(text) AS BIGINT) AS n_chars FROM page_txt"""
+
+WEB_CANDS_CTE = f"""
+{PAGES_NU}, {DEDUP_CTE}, {PAGE_TEXT_CTE},
+_acc20 AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY page_id) AS pos FROM _capped) WHERE pos <= 20),
+_meta AS (SELECT url, any_value(title) AS title, any_value(text) AS content FROM page_txt GROUP BY url),
+cands AS (SELECT CAST(0 AS BIGINT) AS request_id, a.pos - 1 AS id, coalesce(m.title, 'No title') AS title,
+                 coalesce(a.url, '') AS url, coalesce(m.content, '') AS snippet
+          FROM _acc20 a LEFT JOIN _meta m USING (url))"""
+
+ORACLE["candidate_prompt"] = f"""
+WITH {WEB_CANDS_CTE}
+SELECT request_id, string_agg('[' || CAST(id AS VARCHAR) || '] ' || title || ' | ' || substr(snippet, 1, 120) || '...' || chr(10),
+                              '' ORDER BY id) AS candidates_text
+FROM cands WHERE id < 20 GROUP BY request_id"""
+
+ORACLE["web_context"] = f"""
+WITH {WEB_CANDS_CTE},
+_docs AS (SELECT c.request_id, c.id, c.url, c.title, p.text FROM cands c JOIN page_txt p ON p.url = c.url),
+_n AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY id) AS n FROM _docs)
+SELECT request_id, CAST(count(*) AS BIGINT) AS n_sources,
+       string_agg('---' || chr(10) || 'Source ' || CAST(n AS VARCHAR) || ': ' || title || chr(10) || 'URL: ' || url
+                  || chr(10) || chr(10) || text || chr(10) || chr(10), '' ORDER BY n) AS context
+FROM _n GROUP BY request_id"""
