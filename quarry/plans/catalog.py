@@ -219,3 +219,75 @@ def q_web_context(spark, sf_dir):
     cands, pages = _web_candidates(spark, sf_dir)
     docs = ctx.extract_pages(cands, pages)
     return ctx.pack_context(docs).select("request_id", F.col("n_sources").cast("long").alias("n_sources"), "context")
+
+
+# ---------------------------------------------------------------------------
+# evaluation: ranking metrics, latency and run statistics
+# ---------------------------------------------------------------------------
+
+from ..operators import evaluate as ev  # noqa: E402
+
+METRIC_KS = (1, 3, 5, 10)
+
+
+def _label_metrics(spark, sf_dir):
+    """Dense top-10 of every vector; relevant = same label (judged from counts,
+    no pair table)."""
+    e = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    kmax = max(METRIC_KS)
+    ranked = dense_topk(e.withColumnRenamed("vec_id", "query_id"), e, k=kmax) \
+        .select("query_id", F.col("vec_id").alias("doc_id"), "rank")
+    labels = e.select("vec_id", "label")
+    qlab = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("qlabel"))
+    dlab = labels.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("dlabel"))
+    graded = (ranked.join(qlab, "query_id").join(dlab, "doc_id")
+                    .withColumn("grade", (F.col("qlabel") == F.col("dlabel")).cast("int")))
+    counts = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n_relevant"))
+    relevant = qlab.join(counts, qlab.qlabel == counts.label).select("query_id", "n_relevant")
+    ideal = relevant.select("query_id", F.explode(F.sequence(F.lit(1), F.least(F.lit(kmax), "n_relevant")))
+                            .alias("ideal_rank"), F.lit(1).alias("grade"))
+    return ev.metrics_from_parts(qlab.select("query_id"), graded, relevant, ideal, METRIC_KS)
+
+
+@register("rank_metrics")
+def q_rank_metrics(spark, sf_dir):
+    m = _label_metrics(spark, sf_dir)
+    return m.select("query_id", *[F.round(c, 6).alias(c) for c in m.columns if c != "query_id"])
+
+
+@register("rank_metrics_summary")
+def q_rank_metrics_summary(spark, sf_dir):
+    m = ev.macro_average(_label_metrics(spark, sf_dir))
+    return m.select(*[F.round(c, 6).alias(c) if c != "n_queries" else F.col(c) for c in m.columns])
+
+
+def events_as_latency_log(spark, sf_dir):
+    """events as a load log: hour index = step, error events = failures,
+    value = latency."""
+    ev_ = read_table(spark, sf_dir, "events", "ts", "user_id", "event_type", "value") \
+        .withColumn("ts", F.col("ts").cast("timestamp"))
+    return ev_.select(F.floor(F.unix_seconds("ts") / 3600).cast("long").alias("step"), "user_id", "ts",
+                      F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"),
+                      F.col("value").alias("latency_ms"), "event_type")
+
+
+@register("latency_summary")
+def q_latency_summary(spark, sf_dir):
+    s = ev.latency_summary(events_as_latency_log(spark, sf_dir), step_seconds=3600.0)
+    return s.select("step", "n_ok", "n_error", F.round("p95", 6).alias("p95"), F.round("p99", 6).alias("p99"),
+                    F.round("rps", 6).alias("rps"), "breached", "ramp_end")
+
+
+@register("latency_variability")
+def q_latency_variability(spark, sf_dir):
+    v = ev.latency_variability(events_as_latency_log(spark, sf_dir), "event_type")
+    return v.select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"),
+                    F.round("cv", 6).alias("cv"), "stable")
+
+
+@register("run_summary")
+def q_run_summary(spark, sf_dir):
+    log = events_as_latency_log(spark, sf_dir).withColumn("ok", F.col("status") == "ok")
+    r = ev.run_summary(log, "user_id", "ok", "ts", "latency_ms")
+    return r.select("user_id", "tests", "passed", "failed", F.round("success_rate", 6).alias("success_rate"),
+                    F.round("throughput", 6).alias("throughput"), F.round("growth_pct", 6).alias("growth_pct"))

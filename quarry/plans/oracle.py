@@ -316,3 +316,93 @@ SELECT request_id, CAST(count(*) AS BIGINT) AS n_sources,
        string_agg('---' || chr(10) || 'Source ' || CAST(n AS VARCHAR) || ': ' || title || chr(10) || 'URL: ' || url
                   || chr(10) || chr(10) || text || chr(10) || chr(10), '' ORDER BY n) AS context
 FROM _n GROUP BY request_id"""
+
+
+LABEL_METRICS_CTE = """
+e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings
+      WHERE embedding IS NOT NULL AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, q.label = d.label AS same,
+             list_dot_product(q.v, d.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(d.v, d.v))) AS score
+      FROM e q, e d),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s
+      QUALIFY rank <= 10),
+g AS (SELECT query_id, rank, CAST(same AS INTEGER) AS grade,
+             sum(CAST(same AS INTEGER)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+      FROM r),
+cnt AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
+rel AS (SELECT e.vec_id AS query_id, cnt.n AS n_relevant FROM e JOIN cnt USING (label)),
+pq AS (
+  SELECT query_id,
+         sum(grade) FILTER (WHERE rank <= 1) AS h1, sum(grade) FILTER (WHERE rank <= 3) AS h3,
+         sum(grade) FILTER (WHERE rank <= 5) AS h5, sum(grade) FILTER (WHERE rank <= 10) AS h10,
+         sum((pow(2, grade) - 1) / log2(rank + 1)) FILTER (WHERE rank <= 1) AS d1,
+         sum((pow(2, grade) - 1) / log2(rank + 1)) FILTER (WHERE rank <= 3) AS d3,
+         sum((pow(2, grade) - 1) / log2(rank + 1)) FILTER (WHERE rank <= 5) AS d5,
+         sum((pow(2, grade) - 1) / log2(rank + 1)) FILTER (WHERE rank <= 10) AS d10,
+         sum(CASE WHEN grade = 1 THEN cum / rank ELSE 0 END) AS ap_sum
+  FROM g GROUP BY query_id),
+idl AS (SELECT query_id, n_relevant,
+               list_sum(list_transform(range(1, least(1, n_relevant) + 1), lambda i: 1.0 / log2(i + 1))) AS i1,
+               list_sum(list_transform(range(1, least(3, n_relevant) + 1), lambda i: 1.0 / log2(i + 1))) AS i3,
+               list_sum(list_transform(range(1, least(5, n_relevant) + 1), lambda i: 1.0 / log2(i + 1))) AS i5,
+               list_sum(list_transform(range(1, least(10, n_relevant) + 1), lambda i: 1.0 / log2(i + 1))) AS i10
+        FROM rel),
+m AS (
+  SELECT i.query_id,
+         coalesce(h1, 0) / 1.0 AS p_at_1, coalesce(h3, 0) / 3.0 AS p_at_3, coalesce(h5, 0) / 5.0 AS p_at_5,
+         coalesce(h10, 0) / 10.0 AS p_at_10,
+         CASE WHEN n_relevant > 0 THEN coalesce(h1, 0) / n_relevant ELSE 0 END AS r_at_1,
+         CASE WHEN n_relevant > 0 THEN coalesce(h3, 0) / n_relevant ELSE 0 END AS r_at_3,
+         CASE WHEN n_relevant > 0 THEN coalesce(h5, 0) / n_relevant ELSE 0 END AS r_at_5,
+         CASE WHEN n_relevant > 0 THEN coalesce(h10, 0) / n_relevant ELSE 0 END AS r_at_10,
+         CASE WHEN i1 > 0 THEN coalesce(d1, 0) / i1 ELSE 0 END AS ndcg_at_1,
+         CASE WHEN i3 > 0 THEN coalesce(d3, 0) / i3 ELSE 0 END AS ndcg_at_3,
+         CASE WHEN i5 > 0 THEN coalesce(d5, 0) / i5 ELSE 0 END AS ndcg_at_5,
+         CASE WHEN i10 > 0 THEN coalesce(d10, 0) / i10 ELSE 0 END AS ndcg_at_10,
+         CASE WHEN n_relevant > 0 THEN coalesce(ap_sum, 0) / n_relevant ELSE 0 END AS ap
+  FROM idl i LEFT JOIN pq USING (query_id))"""
+
+_METRIC_COLS = [f"{m}_at_{k}" for k in (1, 3, 5, 10) for m in ("p", "r", "ndcg")] + ["ap"]
+
+ORACLE["rank_metrics"] = f"""
+WITH {LABEL_METRICS_CTE}
+SELECT query_id, {', '.join(f'round({c}, 6) AS {c}' for c in _METRIC_COLS)} FROM m"""
+
+ORACLE["rank_metrics_summary"] = f"""
+WITH {LABEL_METRICS_CTE}
+SELECT {', '.join(f'round(avg({c}), 6) AS mean_{c}' for c in _METRIC_COLS)}, count(*) AS n_queries FROM m"""
+
+LATENCY_LOG = """
+lg AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS step, user_id, ts,
+              CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, value AS latency_ms, event_type
+       FROM events)"""
+
+ORACLE["latency_summary"] = f"""
+WITH {LATENCY_LOG},
+s AS (SELECT step, count(*) FILTER (WHERE status = 'ok') AS n_ok, count(*) FILTER (WHERE status = 'error') AS n_error,
+             quantile_cont(latency_ms, 0.95) FILTER (WHERE status = 'ok') AS p95,
+             quantile_cont(latency_ms, 0.99) FILTER (WHERE status = 'ok') AS p99
+      FROM lg GROUP BY step),
+b AS (SELECT *, coalesce(p95 > 3000.0, false) AS breached FROM s)
+SELECT step, n_ok, n_error, round(p95, 6) AS p95, round(p99, 6) AS p99, round(n_ok / 3600.0, 6) AS rps, breached,
+       (SELECT min(step) FROM b WHERE breached) AS ramp_end
+FROM b"""
+
+ORACLE["latency_variability"] = f"""
+WITH {LATENCY_LOG}
+SELECT event_type, count(*) AS n, round(avg(latency_ms), 6) AS mean, round(stddev_pop(latency_ms), 6) AS std,
+       round(stddev_pop(latency_ms) / avg(latency_ms), 6) AS cv,
+       coalesce(stddev_pop(latency_ms) / avg(latency_ms) < 0.5, false) AS stable
+FROM lg GROUP BY event_type"""
+
+ORACLE["run_summary"] = f"""
+WITH {LATENCY_LOG},
+r AS (SELECT user_id, count(*) AS tests, count(*) FILTER (WHERE status = 'ok') AS passed,
+             first(latency_ms ORDER BY ts, latency_ms) AS fv, last(latency_ms ORDER BY ts, latency_ms) AS lv,
+             epoch_us(max(ts)) - epoch_us(min(ts)) AS span
+      FROM lg GROUP BY user_id)
+SELECT user_id, tests, passed, tests - passed AS failed,
+       round(CASE WHEN tests > 0 THEN 100.0 * passed / tests ELSE 0 END, 6) AS success_rate,
+       round(CASE WHEN span <> 0 THEN tests * 1e6 / span END, 6) AS throughput,
+       round(CASE WHEN fv <> 0 THEN (lv - fv) * 100.0 / fv END, 6) AS growth_pct
+FROM r"""
