@@ -291,3 +291,60 @@ def q_run_summary(spark, sf_dir):
     r = ev.run_summary(log, "user_id", "ok", "ts", "latency_ms")
     return r.select("user_id", "tests", "passed", "failed", F.round("success_rate", 6).alias("success_rate"),
                     F.round("throughput", 6).alias("throughput"), F.round("growth_pct", 6).alias("growth_pct"))
+
+
+# ---------------------------------------------------------------------------
+# outcome streams: error streak / back-off / breaker (batch form)
+# ---------------------------------------------------------------------------
+
+from ..operators.streak import error_streak  # noqa: E402
+
+
+def outcome_log(spark, sf_dir):
+    """events as request outcomes: 'error' events are failures."""
+    return read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type") \
+        .withColumn("is_error", F.col("event_type") == "error")
+
+
+@register("error_streak")
+def q_error_streak(spark, sf_dir):
+    s = error_streak(outcome_log(spark, sf_dir), "user_id", ("ts", "event_id"), "is_error")
+    return s.select("user_id", "event_id", "streak", F.round("delay", 6).alias("delay"),
+                    "consecutive_errors", "breaker_open")
+
+
+# ---------------------------------------------------------------------------
+# result cache
+# ---------------------------------------------------------------------------
+
+from ..operators import cache as cache_ops  # noqa: E402
+
+def default_engines():
+    return F.array(*[F.lit(e) for e in WebConfig().preferred_engines])
+
+
+def _search_requests(spark, sf_dir):
+    """events as searches: query = '<event_type> <k>', default engines; a
+    successful (non-error) search writes its payload (props) to the cache."""
+    e = read_table(spark, sf_dir, "events", "ts", "event_type", "props")
+    return (e.withColumn("query", F.concat_ws(" ", "event_type", F.get_json_object("props", "$.k")))
+             .withColumn("cache_key", cache_ops.cache_key(F.col("query"), default_engines())))
+
+
+@register("cache_lookup")
+def q_cache_lookup(spark, sf_dir):
+    s = _search_requests(spark, sf_dir)
+    writes = s.where(F.col("event_type") != "error").select("cache_key", F.col("props").alias("payload"),
+                                                            F.col("ts").alias("written_at"))
+    now = s.select(F.max("ts")).scalar()
+    req = s.select("cache_key", "query").distinct()
+    r = cache_ops.cache_lookup(req, writes, now, WebConfig().cache_ttl_seconds)
+    return r.select("cache_key", "query", "hit", F.round("age_s", 6).alias("age_s"), "payload")
+
+
+@register("cache_repair")
+def q_cache_repair(spark, sf_dir):
+    s = _search_requests(spark, sf_dir)
+    cache = s.select("cache_key", F.col("props").alias("payload"), F.col("ts").alias("written_at"))
+    _, report = cache_ops.cache_repair(cache_ops.current_entries(cache))
+    return report

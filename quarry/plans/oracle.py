@@ -406,3 +406,55 @@ SELECT user_id, tests, passed, tests - passed AS failed,
        round(CASE WHEN span <> 0 THEN tests * 1e6 / span END, 6) AS throughput,
        round(CASE WHEN fv <> 0 THEN (lv - fv) * 100.0 / fv END, 6) AS growth_pct
 FROM r"""
+
+
+ORACLE["error_streak"] = """
+WITH RECURSIVE ev AS (
+  SELECT user_id, event_id, event_type = 'error' AS err,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (
+  SELECT user_id, rn, event_id, CASE WHEN err THEN 1 ELSE 0 END AS c, CASE WHEN err THEN 1 ELSE 0 END AS run
+  FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.rn, e.event_id,
+         CASE WHEN e.err THEN least(r.c + 1, 5) ELSE greatest(r.c - 1, 0) END,
+         CASE WHEN e.err THEN r.run + 1 ELSE 0 END
+  FROM r JOIN ev e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
+SELECT user_id, event_id, CAST(c AS BIGINT) AS streak, round(least(0.5 * pow(1.5, c), 2.0), 6) AS delay,
+       CAST(run AS BIGINT) AS consecutive_errors, run >= 5 AS breaker_open
+FROM r"""
+
+
+SEARCH_REQ = """
+sr AS (SELECT ts, event_type, props,
+              concat_ws(' ', event_type, json_extract_string(props, '$.k')) AS query
+       FROM events),
+sk AS (SELECT *, md5(query || ':brave,duckduckgo,qwant,wikipedia') AS cache_key FROM sr)"""
+
+
+def _valid_sql(p: str) -> str:
+    c = f"regexp_replace({p}, '^\\x{{feff}}', '')"
+    return f"(coalesce(trim({c}), '') <> '' AND coalesce(json_valid({c}), false) AND regexp_replace({c}, '\\s', '', 'g') <> '{{}}')"
+
+
+ORACLE["cache_lookup"] = f"""
+WITH {SEARCH_REQ},
+w AS (SELECT cache_key, props AS payload, ts AS written_at FROM sk WHERE event_type <> 'error'),
+cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY written_at DESC) AS r FROM w) WHERE r = 1),
+nw AS (SELECT max(ts) AS now FROM sk),
+req AS (SELECT DISTINCT cache_key, query FROM sk),
+j AS (SELECT req.cache_key, req.query, cur.payload, cur.written_at,
+             (epoch_us(nw.now) - epoch_us(cur.written_at)) / 1e6 AS age_s
+      FROM req LEFT JOIN cur USING (cache_key), nw)
+SELECT cache_key, query,
+       coalesce(written_at IS NOT NULL AND age_s <= 3600 AND {_valid_sql('payload')}, false) AS hit,
+       round(age_s, 6) AS age_s,
+       CASE WHEN coalesce(written_at IS NOT NULL AND age_s <= 3600 AND {_valid_sql('payload')}, false)
+            THEN payload END AS payload
+FROM j"""
+
+ORACLE["cache_repair"] = f"""
+WITH {SEARCH_REQ},
+cur AS (SELECT * FROM (SELECT cache_key, props AS payload,
+                              row_number() OVER (PARTITION BY cache_key ORDER BY ts DESC) AS r FROM sk) WHERE r = 1)
+SELECT count(*) FILTER (WHERE NOT {_valid_sql('payload')}) AS repaired, count(*) AS total FROM cur"""
