@@ -38,3 +38,8 @@ def cut(text, n: int, suffix: str | None = None) -> Column:
 def utf8_ignore(content) -> Column:
     """Decode bytes as UTF-8, dropping invalid sequences (errors='ignore')."""
     return F.regexp_replace(F.make_valid_utf8(_c(content).cast("string")), "\ufffd", "")
+
+
+def strip_ws(text) -> Column:
+    """``str.strip()``: remove leading/trailing Unicode whitespace."""
+    return F.regexp_replace(_c(text), r"(?U)^[\x1c-\x1f\s]+|[\x1c-\x1f\s]+$", "")

@@ -153,17 +153,21 @@ def fallback_engines(used, banned) -> Column:
 # P11: query simplification
 # ---------------------------------------------------------------------------
 
+_W = r"[\p{L}\p{N}_]"          # a word character as Python's Unicode \w sees it
+_NB = rf"(?<!{_W})"              # word boundary before a word
+_NA = rf"(?!{_W})"               # word boundary after a word
+
+
 def simplify_query(q) -> Column:
     """Drop years 1900-2099 (whole words), expand the first abbreviation (in the
-    fixed list order) present as a whole word, first occurrence only, then
-    squeeze whitespace."""
+    fixed list order) present as a whole word, case-insensitively, first
+    occurrence only, then squeeze whitespace."""
     from ..functions.text import collapse_ws
-    s = F.regexp_replace(q if isinstance(q, Column) else F.col(q), r"(?U)\b(19|20)\d{2}\b", "")
+    s = F.regexp_replace(q if isinstance(q, Column) else F.col(q), rf"{_NB}(19|20)\p{{Nd}}{{2}}{_NA}", "")
     expr = None
     for abbr, full in ABBREVIATIONS:
-        pat = rf"(?iU)\b{abbr}\b"
-        repl = F.regexp_replace(s, rf"(?isU)^(.*?)\b{abbr}\b", rf"$1{full}")
-        cond = s.rlike(pat)
+        cond = s.rlike(rf"(?i){_NB}{abbr}{_NA}")
+        repl = F.regexp_replace(s, rf"(?is)^(.*?){_NB}{abbr}{_NA}", rf"$1{full}")
         expr = F.when(cond, repl) if expr is None else expr.when(cond, repl)
     return collapse_ws(expr.otherwise(s))
 

@@ -348,3 +348,59 @@ def q_cache_repair(spark, sf_dir):
     cache = s.select("cache_key", F.col("props").alias("payload"), F.col("ts").alias("written_at"))
     _, report = cache_ops.cache_repair(cache_ops.current_entries(cache))
     return report
+
+
+# ---------------------------------------------------------------------------
+# query / response logs and conversation memory (over conversations)
+# ---------------------------------------------------------------------------
+
+from ..operators import memory as mem  # noqa: E402
+
+# Window sizes scaled to conversations of 2-8 turns (the defaults are 20
+# messages, 52,000 tokens, blocks of 5).
+MEMORY_LAST_N = 4
+MEMORY_TOKEN_BUDGET = 300.0
+MEMORY_BLOCK = 2
+
+
+def conversations(spark, sf_dir):
+    return read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+
+
+@register("query_simplify")
+def q_query_simplify(spark, sf_dir):
+    """User turns as search queries: simplified form and suggestion."""
+    c = conversations(spark, sf_dir).where(F.col("role") == "user")
+    s = web.simplify_query(F.col("text"))
+    return c.select("conv_id", "turn", s.alias("simplified"),
+                    F.when(s != F.col("text"), s).alias("suggestion"))
+
+
+@register("response_parse")
+def q_response_parse(spark, sf_dir):
+    """Assistant turns as model responses: final channel and selected id list."""
+    c = conversations(spark, sf_dir).where(F.col("role") == "assistant")
+    fin = ctx.final_channel(F.col("text"))
+    ids = ctx.parse_id_list(fin)
+    return c.select("conv_id", "turn", fin.alias("final_text"),
+                    F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("ids"),
+                    F.size(ids).cast("long").alias("n_ids"))
+
+
+@register("working_memory")
+def q_working_memory(spark, sf_dir):
+    w = mem.working_memory(conversations(spark, sf_dir), MEMORY_LAST_N)
+    return w.select("conv_id", "turn", "role", F.col("recency").cast("long").alias("recency"))
+
+
+@register("token_budget")
+def q_token_budget(spark, sf_dir):
+    w = mem.token_budget(conversations(spark, sf_dir), MEMORY_TOKEN_BUDGET)
+    return w.select("conv_id", "turn", F.round("tokens", 6).alias("tokens"),
+                    F.round("running_tokens", 6).alias("running_tokens"))
+
+
+@register("episodes")
+def q_episodes(spark, sf_dir):
+    e = mem.episodes(conversations(spark, sf_dir), MEMORY_LAST_N, MEMORY_BLOCK)
+    return e.select("conv_id", "episode", "n_messages", "first_turn", "last_turn", "text")

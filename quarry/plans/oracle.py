@@ -458,3 +458,70 @@ WITH {SEARCH_REQ},
 cur AS (SELECT * FROM (SELECT cache_key, props AS payload,
                               row_number() OVER (PARTITION BY cache_key ORDER BY ts DESC) AS r FROM sk) WHERE r = 1)
 SELECT count(*) FILTER (WHERE NOT {_valid_sql('payload')}) AS repaired, count(*) AS total FROM cur"""
+
+
+_WC = r"[^\p{L}\p{N}_]"
+_ABBR = [("RAG", "retrieval augmented generation"), ("LLM", "large language model"),
+         ("NLP", "natural language processing"), ("CV", "computer vision"), ("ML", "machine learning"),
+         ("AI", "artificial intelligence"), ("DL", "deep learning"), ("RL", "reinforcement learning"),
+         ("GAN", "generative adversarial network"), ("CNN", "convolutional neural network"),
+         ("RNN", "recurrent neural network")]
+
+
+def _simplify_sql(x: str) -> str:
+    year = rf"(^|{_WC})(19|20)\p{{Nd}}{{2}}({_WC}|$)"
+    s = f"regexp_replace(regexp_replace({x}, '{year}', '\\1\\3', 'g'), '{year}', '\\1\\3', 'g')"
+    case = "CASE"
+    for abbr, full in _ABBR:
+        case += (f" WHEN regexp_matches(_y, '(?i)(^|{_WC}){abbr}({_WC}|$)') THEN "
+                 f"regexp_replace(_y, '(?is)^(.*?)(^|{_WC}){abbr}({_WC}|$)', '\\1\\2{full}\\3')")
+    case += " ELSE _y END"
+    return s, case
+
+
+_ys, _case = _simplify_sql("text")
+
+ORACLE["query_simplify"] = f"""
+WITH u AS (SELECT conv_id, turn, text, {_ys} AS _y FROM conversations WHERE role = 'user'),
+e AS (SELECT conv_id, turn, text, {_case} AS _e FROM u),
+s AS (SELECT conv_id, turn, text, {collapse_sql('_e')} AS simplified FROM e)
+SELECT conv_id, turn, simplified, CASE WHEN simplified <> text THEN simplified END AS suggestion FROM s"""
+
+_MARK = "<|end|><|start|>assistant<|channel|>final<|message|>"
+
+ORACLE["response_parse"] = f"""
+WITH a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+f AS (SELECT conv_id, turn,
+             CASE WHEN instr(text, '{_MARK}') > 0
+                  THEN regexp_replace(substr(text, instr(text, '{_MARK}') + {len(_MARK)}),
+                                      '^{WS_CLASS[:-1]}+|{WS_CLASS[:-1]}+$', '', 'g')
+                  ELSE text END AS final_text
+      FROM a),
+g AS (SELECT *, list_filter(regexp_extract_all(final_text, '\[([\d,\s]+)\]', 1),
+                            lambda m: json_valid('[' || m || ']')) AS good FROM f),
+i AS (SELECT *, CASE WHEN len(good) > 0 THEN from_json('[' || good[-1] || ']', '["BIGINT"]')
+                     ELSE []::BIGINT[] END AS ids FROM g)
+SELECT conv_id, turn, final_text, array_to_string(ids, ',') AS ids, CAST(len(ids) AS BIGINT) AS n_ids FROM i"""
+
+ORACLE["working_memory"] = """
+SELECT conv_id, turn, role, recency FROM (
+  SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS BIGINT) AS recency
+  FROM conversations) WHERE recency <= 4"""
+
+_NWORDS = f"len(list_filter(regexp_split_to_array(text, '{WS_CLASS}'), lambda w: w <> ''))"
+
+ORACLE["token_budget"] = f"""
+WITH t AS (SELECT conv_id, turn, {_NWORDS} * CAST(1.3 AS DOUBLE) AS tokens FROM conversations),
+r AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_tokens FROM t)
+SELECT conv_id, turn, round(tokens, 6) AS tokens, round(running_tokens, 6) AS running_tokens
+FROM r WHERE running_tokens <= 300.0"""
+
+ORACLE["episodes"] = """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rec FROM conversations),
+ev AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM r WHERE rec > 4),
+ep AS (SELECT *, CAST(floor((pos - 1) / 2) AS BIGINT) AS episode FROM ev),
+g AS (SELECT conv_id, episode, count(*) AS n_messages, min(turn) AS first_turn, max(turn) AS last_turn,
+             string_agg(text, chr(10) ORDER BY turn) AS text FROM ep GROUP BY conv_id, episode)
+SELECT conv_id, episode, n_messages, first_turn, last_turn, text FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY episode DESC) AS er FROM g) WHERE er <= 50"""
