@@ -404,3 +404,50 @@ def q_token_budget(spark, sf_dir):
 def q_episodes(spark, sf_dir):
     e = mem.episodes(conversations(spark, sf_dir), MEMORY_LAST_N, MEMORY_BLOCK)
     return e.select("conv_id", "episode", "n_messages", "first_turn", "last_turn", "text")
+
+
+# ---------------------------------------------------------------------------
+# incremental indexing
+# ---------------------------------------------------------------------------
+
+from ..operators import indexing as idx  # noqa: E402
+
+
+def corpus_files(spark, sf_dir):
+    """documents as corpus files: path = <source>/<doc_id>.txt."""
+    d = read_table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    return d.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+                    idx.fingerprint(F.col("text")).alias("file_hash"), "text")
+
+
+def previous_manifest(spark, sf_dir):
+    """Manifest of an earlier build: the labelled documents were indexed
+    before; those of quality 0 have been edited since (their stored hash is
+    the one of the text without its final character)."""
+    d = read_table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    lab = read_table(spark, sf_dir, "labels", "doc_id", "quality")
+    j = d.join(lab, "doc_id")
+    old_text = F.when(F.col("quality") == 1, F.col("text")).otherwise(F.expr("substring(text, 1, length(text) - 1)"))
+    return j.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+                    idx.fingerprint(old_text).alias("file_hash"))
+
+
+@register("incremental_diff")
+def q_incremental_diff(spark, sf_dir):
+    c = idx.classify_files(corpus_files(spark, sf_dir), previous_manifest(spark, sf_dir))
+    return c.select("path", "file_hash", "outcome", F.col("n_chunks").cast("long").alias("n_chunks"))
+
+
+@register("index_outcomes")
+def q_index_outcomes(spark, sf_dir):
+    return idx.outcome_counts(idx.classify_files(corpus_files(spark, sf_dir), previous_manifest(spark, sf_dir)))
+
+
+@register("consistency_check")
+def q_consistency_check(spark, sf_dir):
+    """Counts of a full build of the corpus (vectors, lexical texts, files)
+    through the consistency rules."""
+    chunks = corpus_chunks(spark, sf_dir)
+    counts = chunks.agg(F.count(F.lit(1)).alias("vectors"), F.count(F.lit(1)).alias("lexical"),
+                        F.count_distinct("doc_id").alias("files"))
+    return idx.consistency(counts)

@@ -525,3 +525,52 @@ g AS (SELECT conv_id, episode, count(*) AS n_messages, min(turn) AS first_turn,
              string_agg(text, chr(10) ORDER BY turn) AS text FROM ep GROUP BY conv_id, episode)
 SELECT conv_id, episode, n_messages, first_turn, last_turn, text FROM (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY episode DESC) AS er FROM g) WHERE er <= 50"""
+
+
+FILES_CTE = f"""
+files AS (SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, coalesce(sha256(text), '') AS file_hash, text
+          FROM documents),
+man AS (SELECT d.source || '/' || CAST(d.doc_id AS VARCHAR) || '.txt' AS path,
+               coalesce(sha256(CASE WHEN l.quality = 1 THEN d.text ELSE substr(d.text, 1, length(d.text) - 1) END), '') AS file_hash
+        FROM documents d JOIN labels l USING (doc_id)),
+_fw AS (SELECT f.*, m.file_hash AS mhash,
+               list_filter(regexp_split_to_array(f.text, '{WS_CLASS}'), lambda x: x <> '') AS words
+        FROM files f LEFT JOIN man m USING (path)),
+_fc AS (SELECT *, CASE WHEN text IS NULL OR length(text) < 100 THEN 0 ELSE
+                  len(list_filter(list_transform(range(0, len(words), 240),
+                                                 lambda s: length(array_to_string(list_slice(words, s + 1, s + 393), ' '))),
+                                  lambda n: n >= 100)) END AS n_chunks FROM _fw),
+cls AS (SELECT path, file_hash, n_chunks,
+               CASE WHEN coalesce(file_hash, '') = '' THEN 'failed'
+                    WHEN mhash = file_hash THEN 'skipped_unchanged'
+                    WHEN text IS NULL OR length(text) < 100 THEN 'skipped_short'
+                    WHEN n_chunks = 0 THEN 'skipped_no_chunks'
+                    WHEN mhash IS NULL THEN 'new' ELSE 'changed' END AS outcome
+        FROM _fc)"""
+
+ORACLE["incremental_diff"] = f"WITH {FILES_CTE} SELECT path, file_hash, outcome, CAST(n_chunks AS BIGINT) AS n_chunks FROM cls"
+
+ORACLE["index_outcomes"] = f"""
+WITH {FILES_CTE}
+SELECT count(*) AS total_files, count(*) FILTER (WHERE outcome IN ('new', 'changed')) AS new_files,
+       count(*) FILTER (WHERE starts_with(outcome, 'skipped')) AS skipped,
+       count(*) FILTER (WHERE outcome = 'failed') AS failed,
+       CAST(coalesce(sum(n_chunks) FILTER (WHERE outcome IN ('new', 'changed')), 0) AS BIGINT) AS chunks
+FROM cls"""
+
+ORACLE["consistency_check"] = f"""
+WITH {CHUNKS_CTE},
+c AS (SELECT count(*) AS vectors, count(*) AS lexical, count(DISTINCT doc_id) AS files FROM chunks_id),
+r AS (SELECT *, abs(lexical - vectors) / greatest(lexical, vectors) AS ratio FROM c)
+SELECT vectors, lexical, files,
+       CASE WHEN vectors = 0 AND lexical = 0 AND files = 0 THEN true
+            WHEN lexical > 0 AND vectors > 0 AND ratio > 0.1 THEN false
+            WHEN files > 0 AND vectors = 0 THEN false ELSE true END AS consistent,
+       CASE WHEN vectors = 0 AND lexical = 0 AND files = 0 THEN 'empty'
+            WHEN lexical > 0 AND vectors > 0 AND ratio > 0.1 THEN 'lexical/vector mismatch'
+            WHEN files > 0 AND vectors = 0 THEN 'manifest without vectors' ELSE 'passed' END AS message,
+       CASE WHEN vectors = 0 AND (lexical > 0 OR files > 0) THEN 'incomplete indexing: rebuild with force'
+            WHEN lexical = 0 AND vectors > 0 THEN 'lexical index missing: rebuild it'
+            WHEN abs(lexical - vectors) > 100 THEN 'significant mismatch: consider a forced rebuild'
+            ELSE 'no recovery needed' END AS recovery
+FROM r"""
