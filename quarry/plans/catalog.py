@@ -451,3 +451,48 @@ def q_consistency_check(spark, sf_dir):
     counts = chunks.agg(F.count(F.lit(1)).alias("vectors"), F.count(F.lit(1)).alias("lexical"),
                         F.count_distinct("doc_id").alias("files"))
     return idx.consistency(counts)
+
+
+# ---------------------------------------------------------------------------
+# text hygiene and copied-content de-duplication
+# ---------------------------------------------------------------------------
+
+from ..operators import hygiene as hyg  # noqa: E402
+
+
+@register("content_dedup")
+def q_content_dedup(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return hyg.content_dedup(d).select("doc_id", "content_hash", "canonical_id", "is_duplicate")
+
+
+@register("query_hygiene")
+def q_query_hygiene(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    h = hyg.hygiene(d)
+    return h.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"),
+                    F.round("n_tokens", 6).alias("n_tokens"), "too_long", "blocked", "accepted")
+
+
+# ---------------------------------------------------------------------------
+# lemmatisation (dictionary derived from the corpus by accent folding)
+# ---------------------------------------------------------------------------
+
+from ..operators import lemma as lem  # noqa: E402
+
+
+def _lemma(spark, sf_dir, mode):
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    dic = lem.folding_dictionary(d, "doc_id", "text")
+    out = lem.lemmatize(d, dic, "doc_id", "text", mode)
+    return out.select("doc_id", "lemma_text", F.size("lemmas").cast("long").alias("n_lemmas"))
+
+
+@register("lemma_index")
+def q_lemma_index(spark, sf_dir):
+    return _lemma(spark, sf_dir, "index")
+
+
+@register("lemma_strict")
+def q_lemma_strict(spark, sf_dir):
+    return _lemma(spark, sf_dir, "strict")

@@ -574,3 +574,55 @@ SELECT vectors, lexical, files,
             WHEN abs(lexical - vectors) > 100 THEN 'significant mismatch: consider a forced rebuild'
             ELSE 'no recovery needed' END AS recovery
 FROM r"""
+
+
+_GS = r"(^|[^\p{L}\p{N}_])"
+_SECRETS_SQL = [
+    _GS + r"(?i:api[_-]?key|secret|token|password|passwd)\s*[:=]\s*[\"'']?[A-Za-z0-9_\-./+]{8,}",
+    _GS + r"AKIA[0-9A-Z]{16}",
+    _GS + r"sk-[A-Za-z0-9]{20,}",
+    _GS + r"ghp_[A-Za-z0-9]{36}",
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+]
+
+ORACLE["content_dedup"] = f"""
+WITH h AS (SELECT doc_id, sha256({collapse_sql('lower(text)')}) AS content_hash FROM documents),
+f AS (SELECT content_hash, min(doc_id) AS canonical_id FROM h GROUP BY content_hash)
+SELECT doc_id, content_hash, canonical_id, doc_id <> canonical_id AS is_duplicate FROM h JOIN f USING (content_hash)"""
+
+ORACLE["query_hygiene"] = f"""
+WITH c AS (SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') AS t FROM documents),
+m AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n_chars,
+             len(list_filter(regexp_split_to_array(t, '{WS_CLASS}'), lambda w: w <> '')) * CAST(1.3 AS DOUBLE) AS n_tokens,
+             ({' OR '.join(f"regexp_matches(t, '{p}')" for p in _SECRETS_SQL)}) AS blocked
+      FROM c)
+SELECT doc_id, n_chars, round(n_tokens, 6) AS n_tokens, (n_chars > 10000 OR n_tokens > 10000) AS too_long, blocked,
+       NOT (n_chars > 10000 OR n_tokens > 10000) AND NOT blocked AS accepted
+FROM m"""
+
+
+_LEMMA_BASE = """
+wp AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word
+       FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents)),
+dic AS (SELECT DISTINCT word AS form,
+               translate(word, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿß', 'aaaaaaceeeeiiiinooooouuuuyys') AS lemma
+        FROM wp WHERE NOT regexp_matches(word, '^[a-z0-9]')),
+j AS (SELECT wp.*, dic.lemma AS dlemma FROM wp LEFT JOIN dic ON wp.word = dic.form)"""
+
+
+def _lemma_sql(keep_expr: str, lemma_expr: str) -> str:
+    return f"""
+WITH {_LEMMA_BASE},
+k AS (SELECT doc_id, pos, {lemma_expr} AS lemma FROM j WHERE {keep_expr}),
+g AS (SELECT doc_id, string_agg(lemma, ' ' ORDER BY pos) AS lemma_text, count(*) AS n FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(g.lemma_text, '') AS lemma_text, CAST(coalesce(g.n, 0) AS BIGINT) AS n_lemmas
+FROM documents d LEFT JOIN g USING (doc_id)"""
+
+
+_IDX_LEMMA = "CASE WHEN regexp_matches(word, '^[a-z0-9]') THEN word ELSE coalesce(dlemma, word) END"
+ORACLE["lemma_index"] = _lemma_sql(
+    f"NOT regexp_full_match(word, '\\p{{Nd}}+') AND (regexp_matches(word, '^[a-z0-9]') "
+    f"OR regexp_full_match({_IDX_LEMMA}, '(?i)[а-яёa-z0-9]+'))", _IDX_LEMMA)
+ORACLE["lemma_strict"] = _lemma_sql(
+    "NOT regexp_full_match(word, '\\p{Nd}+') AND regexp_matches(word, '(?i)[а-яёa-z]') "
+    "AND regexp_full_match(coalesce(dlemma, word), '(?i)[а-яёa-z]+')", "coalesce(dlemma, word)")
