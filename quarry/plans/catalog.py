@@ -496,3 +496,21 @@ def q_lemma_index(spark, sf_dir):
 @register("lemma_strict")
 def q_lemma_strict(spark, sf_dir):
     return _lemma(spark, sf_dir, "strict")
+
+
+# ---------------------------------------------------------------------------
+# request-rate windows (the batch run of the streaming plan)
+# ---------------------------------------------------------------------------
+
+from ..streaming import rate as rate_ops  # noqa: E402
+
+
+def search_events(spark, sf_dir):
+    return read_table(spark, sf_dir, "events", "ts", "user_id").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@register("rate_windows")
+def q_rate_windows(spark, sf_dir):
+    e = search_events(spark, sf_dir)
+    s = rate_ops.rate_summary(rate_ops.minute_counts(e), rate_ops.hour_counts(e))
+    return s.select("user_id", "max_per_minute", "minutes_over_limit", "max_per_hour", "hours_over_limit")

@@ -626,3 +626,14 @@ ORACLE["lemma_index"] = _lemma_sql(
 ORACLE["lemma_strict"] = _lemma_sql(
     "NOT regexp_full_match(word, '\\p{Nd}+') AND regexp_matches(word, '(?i)[а-яёa-z]') "
     "AND regexp_full_match(coalesce(dlemma, word), '(?i)[а-яёa-z]+')", "coalesce(dlemma, word)")
+
+
+ORACLE["rate_windows"] = """
+WITH m AS (SELECT user_id, time_bucket(INTERVAL '1 minute', ts) AS ws, count(*) AS n FROM events GROUP BY ALL),
+h0 AS (SELECT user_id, time_bucket(INTERVAL '1 minute', ts) - to_minutes(CAST(unnest(range(60)) AS BIGINT)) AS ws
+       FROM events),
+h AS (SELECT user_id, ws, count(*) AS n FROM h0 GROUP BY ALL),
+ma AS (SELECT user_id, max(n) AS max_per_minute, count(*) FILTER (WHERE n > 10) AS minutes_over_limit FROM m GROUP BY user_id),
+ha AS (SELECT user_id, max(n) AS max_per_hour, count(*) FILTER (WHERE n > 100) AS hours_over_limit FROM h GROUP BY user_id)
+SELECT coalesce(ma.user_id, ha.user_id) AS user_id, max_per_minute, minutes_over_limit, max_per_hour, hours_over_limit
+FROM ma FULL JOIN ha USING (user_id)"""
