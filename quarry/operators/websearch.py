@@ -99,7 +99,7 @@ def dedup_stats(results: DataFrame, accepted: DataFrame, max_sources: int | None
     last = acc.groupBy(req).agg(F.when(F.count(F.lit(1)) == cap, F.max(key)).alias("_stop"))
     nonempty = res.where(F.coalesce(F.col(url_col), F.lit("")) != "").select(req, key.alias("_k"))
     processed = (nonempty.join(last, req, "left")
-                         .groupBy(req).agg(F.count_if(F.col("_stop").isNull() | (F.col("_k") < F.col("_stop")))
+                         .groupBy(req).agg(F.count_if(F.col("_stop").isNull() | (F.col("_k") <= F.col("_stop")))
                                            .alias("_processed")))
     out = (processed.join(summary, req, "left")
                     .select(req, F.coalesce("unique_urls", F.lit(0)).cast("long").alias("unique_urls"),

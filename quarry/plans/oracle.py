@@ -257,7 +257,7 @@ stop AS (SELECT CASE WHEN count(*) = 10 THEN max(page_id) END AS s FROM acc),
 dom AS (SELECT domain, count(*) AS n FROM acc GROUP BY domain)
 SELECT CAST((SELECT count(*) FROM acc) AS BIGINT) AS unique_urls,
        CAST((SELECT count(*) FROM dom) AS BIGINT) AS unique_domains,
-       CAST((SELECT count(*) FROM pages, stop WHERE coalesce(url, '') <> '' AND (s IS NULL OR page_id < s))
+       CAST((SELECT count(*) FROM pages, stop WHERE coalesce(url, '') <> '' AND (s IS NULL OR page_id <= s))
             - (SELECT count(*) FROM acc) AS BIGINT) AS duplicates,
        (SELECT string_agg(domain || ':' || CAST(n AS VARCHAR), ',' ORDER BY domain) FROM dom) AS domain_distribution"""
 

@@ -24,9 +24,17 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # transformWithState operators need the RocksDB state store
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
+# State store for transformWithState operators.
+ROCKSDB_CONF = {"spark.sql.streaming.stateStore.providerClass":
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "quarry", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the engine's defaults."""
