@@ -4,8 +4,9 @@ ErrorStreakProcessor - per key, the clamped error streak and back-off delay
   (success -> max(0, c - 1), error -> min(c + 1, 5); delay = min(0.5 * 1.5^c,
   2.0)) and a circuit breaker that opens for 60 s after 5 consecutive
   failures. Within a micro-batch, rows are applied in (ts, event_id) order;
-  state carries (streak, consecutive, open_until) across batches and expires
-  after ``ttl_ms`` without events.
+  state carries (streak, consecutive, open_until) across batches - three
+  integers per key. (A state TTL needs a processing-time query; pass
+  ``ttl_ms`` and run with timeMode 'ProcessingTime' for that.)
 
 FirstSeenCapProcessor - per (request, domain): the first ``cap`` distinct
   URLs in arrival order; later URLs of a full domain are rejected. Paired
@@ -33,7 +34,7 @@ STREAK_OUT = T.StructType([
 
 
 class ErrorStreakProcessor(StatefulProcessor):
-    def __init__(self, key: str = "user_id", ttl_ms: int | None = 24 * 3600 * 1000):
+    def __init__(self, key: str = "user_id", ttl_ms: int | None = None):
         self.key, self.ttl_ms = key, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
