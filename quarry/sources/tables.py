@@ -21,9 +21,26 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+# Tables whose rows carry long texts: per-row work (splitting, regex,
+# hashing) dominates, so they are spread over all cores when the scan alone
+# yields fewer splits than the cluster's parallelism.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition to the default parallelism, only when the
+    input has fewer partitions than cores (a few large row groups). A large
+    input already has many splits and is left alone."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
