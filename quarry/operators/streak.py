@@ -17,8 +17,9 @@ That makes the fold a segmented scan that splits hot keys:
    partition) to get each segment's start value;
 4. per segment, replay the events from the start value.
 
-Steps 2 and 4 are grouped pandas UDFs over bounded groups; nothing collects
-a whole key.
+Steps 2 and 4 are one ``mapInPandas`` call per partition over rows sorted
+by (key, order); step 3 is a Catalyst ``aggregate`` over each key's segment
+list (one entry per partition at most). Nothing collects a whole key.
 """
 
 from __future__ import annotations
@@ -36,78 +37,98 @@ MAX_DELAY = 2.0
 BREAKER_THRESHOLD = 5
 
 
-def _compose_segment(err: np.ndarray, cap: int):
-    a, lo, hi = 0.0, -np.inf, np.inf       # identity
-    run_reset, run_add = False, 0          # consecutive-error counter: c -> (0 if reset else c) + add
-    for e in err:
-        if e:
-            a2, l2, h2 = 1.0, -np.inf, float(cap)
-            run_add += 1
-        else:
-            a2, l2, h2 = -1.0, 0.0, np.inf
-            run_reset, run_add = True, 0
-        a += a2
-        lo = min(max(lo + a2, l2), h2)
-        hi = min(max(hi + a2, l2), h2)
-    return a, lo, hi, run_reset, run_add
-
-
 def error_streak(events: DataFrame, key: str = "user_id", order=("ts", "event_id"),
                  is_error: str = "is_error", cap: int = MAX_STREAK, segments: int | None = None) -> DataFrame:
     """Per event: key, *order, streak, delay, consecutive_errors, breaker_open."""
     spark = events.sparkSession
     n = segments or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kt = events.schema[key].dataType
-    base = events.select(key, *order, F.col(is_error).cast("boolean").alias("_err"))
-    tagged = base.repartitionByRange(n, key, *order).withColumn("_seg", F.spark_partition_id())
     order_l = list(order)
-
-    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_l, kind="mergesort")
-        a, lo, hi, rr, ra = _compose_segment(pdf["_err"].to_numpy(), cap)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "_seg": [int(pdf["_seg"].iloc[0])], "a": [a], "lo": [lo],
-                             "hi": [hi], "rr": [rr], "ra": [ra]})
+    base = events.select(key, *order, F.col(is_error).cast("boolean").alias("_err"))
+    # 1. segments: a range partition of (key, order); rows sorted inside it
+    tagged = (base.repartitionByRange(n, key, *order).withColumn("_seg", F.spark_partition_id())
+                  .sortWithinPartitions(key, *order))
+
+    # 2. one summary (a, lo, hi, rr, ra) per (key, segment): one Python call per partition
+    def summarize(batches):
+        rows = {key: [], "_seg": [], "a": [], "lo": [], "hi": [], "rr": [], "ra": []}
+        cur, f = None, None
+
+        def flush():
+            for name, v in zip(rows, (cur[0], int(cur[1]), *f)):
+                rows[name].append(v)
+
+        for pdf in batches:
+            for k, sg, e in zip(pdf[key].to_numpy(), pdf["_seg"].to_numpy(), pdf["_err"].to_numpy()):
+                if cur != (k, sg):
+                    if cur is not None:
+                        flush()
+                    cur, f = (k, sg), (0.0, -np.inf, np.inf, False, 0)
+                f = _step(f, bool(e), cap)
+        if cur is not None:
+            flush()
+        yield pd.DataFrame(rows)
 
     summ_schema = T.StructType([T.StructField(key, kt), T.StructField("_seg", T.IntegerType()),
                                 T.StructField("a", T.DoubleType()), T.StructField("lo", T.DoubleType()),
                                 T.StructField("hi", T.DoubleType()), T.StructField("rr", T.BooleanType()),
                                 T.StructField("ra", T.LongType())])
-    summ = tagged.groupBy(key, "_seg").applyInPandas(summarize, summ_schema)
-
-    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_seg")
-        c, r = 0.0, 0
-        s_c, s_r = [], []
-        for a, lo, hi, rr, ra in pdf[["a", "lo", "hi", "rr", "ra"]].itertuples(index=False):
-            s_c.append(int(c))
-            s_r.append(int(r))
-            c = min(max(c + a, lo), hi)
-            r = (0 if rr else r) + ra
-        return pd.DataFrame({key: pdf[key].to_numpy(), "_seg": pdf["_seg"].to_numpy(),
-                             "_c0": s_c, "_r0": s_r})
-
-    start_schema = T.StructType([T.StructField(key, kt), T.StructField("_seg", T.IntegerType()),
-                                 T.StructField("_c0", T.LongType()), T.StructField("_r0", T.LongType())])
-    st = summ.groupBy(key).applyInPandas(starts, start_schema)
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_l, kind="mergesort")
-        c, r = int(pdf["_c0"].iloc[0]), int(pdf["_r0"].iloc[0])
-        out_c, out_r = np.empty(len(pdf), dtype=np.int64), np.empty(len(pdf), dtype=np.int64)
-        for i, e in enumerate(pdf["_err"].to_numpy()):
-            if e:
-                c, r = min(c + 1, cap), r + 1
-            else:
-                c, r = max(c - 1, 0), 0
-            out_c[i], out_r[i] = c, r
-        res = pdf[[key, *order_l]].copy()
-        res["streak"] = out_c
-        res["delay"] = np.minimum(BASE_DELAY * GROWTH ** out_c.astype(np.float64), MAX_DELAY)
-        res["consecutive_errors"] = out_r
-        res["breaker_open"] = out_r >= BREAKER_THRESHOLD
-        return res
+    summ = tagged.mapInPandas(summarize, summ_schema)
+
+    # 3. start values per segment: fold each key's segment list (at most one
+    #    entry per partition) with a Catalyst aggregate - no Python, no driver
+    seg_t = "struct<_seg:int,a:double,lo:double,hi:double,rr:boolean,ra:bigint>"
+    init = F.struct(F.lit(0.0).alias("c"), F.lit(0).cast("long").alias("r"),
+                    F.array().cast("array<struct<_seg:int,c0:double,r0:bigint>>").alias("out"))
+
+    def step(acc, sg):
+        return F.struct(
+            F.least(F.greatest(acc["c"] + sg["a"], sg["lo"]), sg["hi"]).alias("c"),
+            (F.when(sg["rr"], F.lit(0).cast("long")).otherwise(acc["r"]) + sg["ra"]).alias("r"),
+            F.concat(acc["out"], F.array(F.struct(sg["_seg"].alias("_seg"), acc["c"].alias("c0"),
+                                                 acc["r"].alias("r0")))).alias("out"))
+
+    starts = (summ.groupBy(key)
+                  .agg(F.array_sort(F.collect_list(F.struct("_seg", "a", "lo", "hi", "rr", "ra")).cast(f"array<{seg_t}>"))
+                       .alias("segs"))
+                  .select(key, F.explode(F.aggregate("segs", init, step)["out"]).alias("s"))
+                  .select(key, F.col("s._seg").alias("_seg"), F.col("s.c0").cast("long").alias("_c0"),
+                          F.col("s.r0").alias("_r0")))
+
+    # 4. replay each segment from its start value: one Python call per partition
+    def replay(batches):
+        cur, c, r = None, 0, 0
+        for pdf in batches:
+            n_ = len(pdf)
+            out_c, out_r = np.empty(n_, dtype=np.int64), np.empty(n_, dtype=np.int64)
+            ks, sgs, c0s, r0s = pdf[key].to_numpy(), pdf["_seg"].to_numpy(), pdf["_c0"].to_numpy(), pdf["_r0"].to_numpy()
+            for i, e in enumerate(pdf["_err"].to_numpy()):
+                if cur != (ks[i], sgs[i]):
+                    cur, c, r = (ks[i], sgs[i]), int(c0s[i]), int(r0s[i])
+                if e:
+                    c, r = min(c + 1, cap), r + 1
+                else:
+                    c, r = max(c - 1, 0), 0
+                out_c[i], out_r[i] = c, r
+            res = pdf[[key, *order_l]].copy()
+            res["streak"] = out_c
+            res["delay"] = np.minimum(BASE_DELAY * GROWTH ** out_c.astype(np.float64), MAX_DELAY)
+            res["consecutive_errors"] = out_r
+            res["breaker_open"] = out_r >= BREAKER_THRESHOLD
+            yield res
 
     out_schema = T.StructType([T.StructField(key, kt)] + [events.schema[c] for c in order_l] + [
         T.StructField("streak", T.LongType()), T.StructField("delay", T.DoubleType()),
         T.StructField("consecutive_errors", T.LongType()), T.StructField("breaker_open", T.BooleanType())])
-    return tagged.join(st, [key, "_seg"]).groupBy(key, "_seg").applyInPandas(replay, out_schema)
+    joined = tagged.join(starts, [key, "_seg"]).sortWithinPartitions(key, "_seg", *order_l)
+    return joined.mapInPandas(replay, out_schema)
+
+
+def _step(f, err: bool, cap: int):
+    """Compose one event onto a segment function (a, lo, hi, reset, add)."""
+    a, lo, hi, rr, ra = f
+    if err:
+        a2, l2, h2, ra = 1.0, -np.inf, float(cap), ra + 1
+    else:
+        a2, l2, h2, rr, ra = -1.0, 0.0, np.inf, True, 0
+    return a + a2, min(max(lo + a2, l2), h2), min(max(hi + a2, l2), h2), rr, ra
