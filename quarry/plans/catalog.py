@@ -514,3 +514,12 @@ def q_rate_windows(spark, sf_dir):
     e = search_events(spark, sf_dir)
     s = rate_ops.rate_summary(rate_ops.minute_counts(e), rate_ops.hour_counts(e))
     return s.select("user_id", "max_per_minute", "minutes_over_limit", "max_per_hour", "hours_over_limit")
+
+
+@register("memory_recall")
+def q_memory_recall(spark, sf_dir):
+    """Earlier messages recalled for each conversation's newest user message
+    (top-5 cosine of the default embedder, keep > 0.7, newest 3)."""
+    r = mem.recall(conversations(spark, sf_dir))
+    return r.select("conv_id", "q_turn", "turn", F.round("score", 6).alias("score"),
+                    F.col("recall_rank").cast("long").alias("recall_rank"))

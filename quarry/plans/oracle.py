@@ -637,3 +637,23 @@ ma AS (SELECT user_id, max(n) AS max_per_minute, count(*) FILTER (WHERE n > 10)
 ha AS (SELECT user_id, max(n) AS max_per_hour, count(*) FILTER (WHERE n > 100) AS hours_over_limit FROM h GROUP BY user_id)
 SELECT coalesce(ma.user_id, ha.user_id) AS user_id, max_per_minute, minutes_over_limit, max_per_hour, hours_over_limit
 FROM ma FULL JOIN ha USING (user_id)"""
+
+
+ORACLE["memory_recall"] = f"""
+WITH lu AS (SELECT conv_id, turn AS q_turn, text AS q_text FROM (
+              SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r
+              FROM conversations WHERE role = 'user') WHERE r = 1),
+{bucket_cte('qm', 'SELECT conv_id, q_turn, q_text FROM lu', 'conv_id', 'q_text')},
+{bucket_cte('mm', "SELECT conv_id || '#' || CAST(turn AS VARCHAR) AS mid, conv_id, turn, text FROM conversations", 'mid', 'text')},
+_pairs AS (SELECT s.conv_id, s.turn, lu.q_turn, s.mid FROM mm_src s JOIN lu USING (conv_id) WHERE s.turn < lu.q_turn),
+_dot AS (SELECT p.conv_id, p.turn, p.q_turn, p.mid, sum(q.c * m.c) AS d
+         FROM _pairs p JOIN mm_bc m ON m.mid = p.mid JOIN qm_bc q ON q.conv_id = p.conv_id AND q.b = m.b
+         GROUP BY p.conv_id, p.turn, p.q_turn, p.mid),
+_all AS (SELECT p.conv_id, p.turn, p.q_turn, coalesce(d.d, 0) / (qn.n * mn.n) AS score
+         FROM _pairs p LEFT JOIN _dot d ON d.mid = p.mid
+         JOIN qm_n qn ON qn.conv_id = p.conv_id JOIN mm_n mn ON mn.mid = p.mid),
+_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY round(score, 9) DESC, turn DESC) AS s
+                        FROM _all) WHERE s <= 5 AND score > 0.7)
+SELECT conv_id, q_turn, turn, round(score, 6) AS score, recall_rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS BIGINT) AS recall_rank FROM _top)
+WHERE recall_rank <= 3"""
