@@ -130,3 +130,29 @@ def run_summary(log: DataFrame, by: str, ok_col: str = "ok", ts_col: str = "ts",
         F.when(n > 0, 100.0 * passed / n).otherwise(0.0).alias("success_rate"),
         F.try_divide(n * F.lit(1e6), span).alias("throughput"),
         F.try_divide((last - first) * 100.0, first).alias("growth_pct"))
+
+
+# ---------------------------------------------------------------------------
+# Setup comparison and tool-call metrics
+# ---------------------------------------------------------------------------
+
+def quality_by_setup(results: DataFrame, setup: str = "setup", query: str = "query_id", rank: str = "rank",
+                     relevant: str = "relevant", domain: str = "domain", min_relevant: int = 5,
+                     top: int = 10) -> DataFrame:
+    """Per setup: coverage = % of queries with >= ``min_relevant`` relevant
+    results, diversity = mean number of distinct domains in each query's top
+    ``top``. Two aggregation levels, both partial: per (setup, query), then
+    per setup."""
+    per_q = results.groupBy(setup, query).agg(
+        F.count_if(F.col(relevant)).alias("_n_rel"),
+        F.count_distinct(F.when(F.col(rank) <= top, F.col(domain))).alias("_domains"))
+    return per_q.groupBy(setup).agg(
+        (100.0 * F.avg((F.col("_n_rel") >= min_relevant).cast("double"))).alias("coverage_pct"),
+        F.avg("_domains").alias("diversity"), F.count(F.lit(1)).alias("n_queries"))
+
+
+def tool_metrics(log: DataFrame, tool: str = "tool", ok: str = "ok", latency: str = "latency_ms") -> DataFrame:
+    """Per tool: calls, success rate and latency p50/p95 (exact, linear)."""
+    return log.groupBy(tool).agg(
+        F.count(F.lit(1)).alias("calls"), F.avg(F.col(ok).cast("double")).alias("success_rate"),
+        F.percentile(latency, 0.5).alias("p50_ms"), F.percentile(latency, 0.95).alias("p95_ms"))
