@@ -164,3 +164,28 @@ def test_latency_summary(spark):
     assert s[1].rps == pytest.approx(20.0) and s[1].n_error == 1
     assert s[2].p95 is None and not s[2].breached
     assert s[3].breached and s[1].ramp_end == 3
+
+
+def test_hybrid_with_fresh_docs(spark):
+    from quarry.functions.embed import hashed_embedding
+    from quarry.plans.hybrid import envelope, hybrid_search, retrieve
+    chunks = spark.createDataFrame(
+        [(f"c{i}", i, t) for i, t in enumerate(["alpha beta gamma", "beta delta", "gamma epsilon zeta",
+                                                 "unrelated words here"])],
+        "chunk_id string, doc_id long, chunk_text string")
+    postings, stats = fit_tfidf(chunks)
+    vecs = hashed_embedding(chunks.select("chunk_id", "chunk_text"), "chunk_text")
+    q = spark.createDataFrame([(1, "beta"), (2, "nothing matches"), (3, "!! ?")], "query_id long, query string")
+    fresh = spark.createDataFrame([(1, 1, "fresh web text about beta " + "x" * 6000)],
+                                  "query_id long, fresh_pos long, text string")
+    out = hybrid_search(q, chunks, postings, stats, vecs, fresh=fresh).collect()
+    types = {(r.query_id, r.search_type) for r in out}
+    assert (1, "fresh") in types                           # fresh rows take part in the rerank
+    fr = [r for r in out if r.search_type == "fresh"][0]
+    assert fr.rrf_score is None and len(fr.text) == 5000 and fr.has_exact_match
+    env = {r.query_id: r for r in envelope(q, retrieve(q, chunks, postings, stats, vecs),
+                                           hybrid_search(q, chunks, postings, stats, vecs)).collect()}
+    assert env[1].bm25_count == 2 and env[1].total >= 2
+    assert env[2].bm25_count == 0 and env[2].semantic_count == 4   # unknown terms still hash into buckets
+    assert env[3].bm25_count == 0 and env[3].semantic_count == 0   # no token: zero vector, no hits
+    assert env[3].total == 0 and env[3].result_ids == ""
