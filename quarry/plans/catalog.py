@@ -13,14 +13,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import IndexConfig, SearchConfig
-from ..operators.chunking import chunk_documents, with_chunk_ids
+from ..config import IndexConfig, SearchConfig, WebConfig
 from ..functions.embed import hashed_embedding
+from ..operators import cache as cache_ops
+from ..operators import context as ctx
+from ..operators import evaluate as ev
+from ..operators import hygiene as hyg
+from ..operators import indexing as idx
+from ..operators import lemma as lem
+from ..operators import memory as mem
+from ..operators import websearch as web
+from ..operators.chunking import chunk_documents, with_chunk_ids
 from ..operators.dense import dense_topk
 from ..operators.fusion import rrf_fuse
+from ..operators.streak import error_streak
 from ..operators.tfidf import fit_tfidf, lexical_topk
-from .hybrid import envelope, hybrid_search, retrieve
 from ..sources.tables import read_table
+from ..streaming import rate as rate_ops
+from .hybrid import envelope, hybrid_search, retrieve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -151,9 +161,6 @@ FLAGSHIP = "hybrid_search"
 # web results: URL normalisation, de-dup + domain cap, page text, context
 # ---------------------------------------------------------------------------
 
-from ..config import WebConfig  # noqa: E402
-from ..operators import context as ctx  # noqa: E402
-from ..operators import websearch as web  # noqa: E402
 
 
 def page_results(spark, sf_dir):
@@ -225,7 +232,6 @@ def q_web_context(spark, sf_dir):
 # evaluation: ranking metrics, latency and run statistics
 # ---------------------------------------------------------------------------
 
-from ..operators import evaluate as ev  # noqa: E402
 
 METRIC_KS = (1, 3, 5, 10)
 
@@ -297,7 +303,6 @@ def q_run_summary(spark, sf_dir):
 # outcome streams: error streak / back-off / breaker (batch form)
 # ---------------------------------------------------------------------------
 
-from ..operators.streak import error_streak  # noqa: E402
 
 
 def outcome_log(spark, sf_dir):
@@ -317,7 +322,6 @@ def q_error_streak(spark, sf_dir):
 # result cache
 # ---------------------------------------------------------------------------
 
-from ..operators import cache as cache_ops  # noqa: E402
 
 def default_engines():
     return F.array(*[F.lit(e) for e in WebConfig().preferred_engines])
@@ -354,7 +358,6 @@ def q_cache_repair(spark, sf_dir):
 # query / response logs and conversation memory (over conversations)
 # ---------------------------------------------------------------------------
 
-from ..operators import memory as mem  # noqa: E402
 
 # Window sizes scaled to conversations of 2-8 turns (the defaults are 20
 # messages, 52,000 tokens, blocks of 5).
@@ -410,7 +413,6 @@ def q_episodes(spark, sf_dir):
 # incremental indexing
 # ---------------------------------------------------------------------------
 
-from ..operators import indexing as idx  # noqa: E402
 
 
 def corpus_files(spark, sf_dir):
@@ -457,7 +459,6 @@ def q_consistency_check(spark, sf_dir):
 # text hygiene and copied-content de-duplication
 # ---------------------------------------------------------------------------
 
-from ..operators import hygiene as hyg  # noqa: E402
 
 
 @register("content_dedup")
@@ -478,7 +479,6 @@ def q_query_hygiene(spark, sf_dir):
 # lemmatisation (dictionary derived from the corpus by accent folding)
 # ---------------------------------------------------------------------------
 
-from ..operators import lemma as lem  # noqa: E402
 
 
 def _lemma(spark, sf_dir, mode):
@@ -502,7 +502,6 @@ def q_lemma_strict(spark, sf_dir):
 # request-rate windows (the batch run of the streaming plan)
 # ---------------------------------------------------------------------------
 
-from ..streaming import rate as rate_ops  # noqa: E402
 
 
 def search_events(spark, sf_dir):

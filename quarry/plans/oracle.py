@@ -489,7 +489,7 @@ SELECT conv_id, turn, simplified, CASE WHEN simplified <> text THEN simplified E
 
 _MARK = "<|end|><|start|>assistant<|channel|>final<|message|>"
 
-ORACLE["response_parse"] = f"""
+ORACLE["response_parse"] = rf"""
 WITH a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
 f AS (SELECT conv_id, turn,
              CASE WHEN instr(text, '{_MARK}') > 0
@@ -601,7 +601,7 @@ SELECT doc_id, n_chars, round(n_tokens, 6) AS n_tokens, (n_chars > 10000 OR n_to
 FROM m"""
 
 
-_LEMMA_BASE = """
+_LEMMA_BASE = r"""
 wp AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word
        FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents)),
 dic AS (SELECT DISTINCT word AS form,
