@@ -62,3 +62,12 @@ def lemmatize(df: DataFrame, lemma_dict: DataFrame, key: str = "doc_id", text: s
     out = df.select(key).join(per_text, key, "left") \
             .withColumn("lemmas", F.coalesce("lemmas", F.array().cast("array<string>")))
     return out.withColumn("lemma_text", F.array_join("lemmas", " "))
+
+
+def query_normalizer(lemma_dict: DataFrame, key: str = "query_id", text: str = "query", mode: str = "index"):
+    """A ``normalize_query`` hook for lexical search: replaces the query text
+    by its lemma text (same rules as the corpus)."""
+    def run(queries: DataFrame) -> DataFrame:
+        lem = lemmatize(queries.select(key, text), lemma_dict, key, text, mode)
+        return queries.drop(text).join(lem.select(key, F.col("lemma_text").alias(text)), key)
+    return run

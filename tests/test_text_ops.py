@@ -144,3 +144,22 @@ def test_hygiene_and_dedup(spark):
 def test_collapse_ws(spark):
     df = spark.createDataFrame([(" a   b\n\tc ",)], "t string")
     assert df.select(collapse_ws("t")).first()[0] == "a b c"
+
+
+def test_lemma_rules_and_query_asymmetry(spark):
+    from quarry.operators import lemma as lem
+    from quarry.operators.tfidf import fit_tfidf, lexical_topk
+    dic = spark.createDataFrame([("été", "ete"), ("über", "uber"), ("çà", "ça9")], "form string, lemma string")
+    docs = spark.createDataFrame([(1, "Été 2024 über ABC x1 çà 123 _"), (2, "12345"), (3, "")], "doc_id long, text string")
+    idx = {r.doc_id: list(r.lemmas) for r in lem.lemmatize(docs, dic, mode="index").collect()}
+    strict = {r.doc_id: list(r.lemmas) for r in lem.lemmatize(docs, dic, mode="strict").collect()}
+    assert idx[1] == ["ete", "uber", "abc", "x1"]        # 'ça9' has a non-[a-z0-9] letter, '_' too
+    assert strict[1] == ["ete", "uber", "abc"]
+    assert idx[2] == [] and idx[3] == [] and strict[2] == []
+    corpus = lem.lemmatize(docs, dic).select(F.col("doc_id").cast("string").alias("chunk_id"),
+                                             F.col("lemma_text").alias("chunk_text"))
+    postings, stats = fit_tfidf(corpus)
+    q = spark.createDataFrame([(1, "été")], "query_id long, query string")
+    assert lexical_topk(q, postings, stats).count() == 0                   # reference mode: raw query
+    norm = lem.query_normalizer(dic)
+    assert [r.chunk_id for r in lexical_topk(q, postings, stats, normalize_query=norm).collect()] == ["1"]
