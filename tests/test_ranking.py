@@ -189,3 +189,15 @@ def test_hybrid_with_fresh_docs(spark):
     assert env[2].bm25_count == 0 and env[2].semantic_count == 4   # unknown terms still hash into buckets
     assert env[3].bm25_count == 0 and env[3].semantic_count == 0   # no token: zero vector, no hits
     assert env[3].total == 0 and env[3].result_ids == ""
+
+
+def test_dense_ivf_full_probe_is_exact_and_partial_probe_recalls(spark):
+    from quarry.operators.dense import dense_topk_ivf
+    from quarry.sources.tables import read_table
+    e = read_table(spark, "/root/testdata/sf0.01", "embeddings", "vec_id", "embedding")
+    q = e.withColumnRenamed("vec_id", "query_id")
+    exact = {(r.query_id, r.vec_id) for r in dense_topk(q, e, k=10).collect()}
+    full = {(r.query_id, r.vec_id) for r in dense_topk_ivf(q, e, k=10, n_cells=8, nprobe=8, max_cell_rows=40).collect()}
+    assert full == exact                                  # every cell probed, cells split into blocks
+    part = {(r.query_id, r.vec_id) for r in dense_topk_ivf(q, e, k=10, n_cells=8, nprobe=3).collect()}
+    assert len(part & exact) / len(exact) > 0.5           # recall of a partial probe
