@@ -26,6 +26,7 @@ from ..operators import websearch as web
 from ..operators.chunking import chunk_documents, with_chunk_ids
 from ..operators.dense import dense_topk, dense_topk_ivf
 from ..operators.fusion import rrf_fuse
+from ..operators.neardup import semantic_dedup
 from ..operators.streak import error_streak
 from ..operators.tfidf import fit_tfidf, lexical_topk
 from ..sources.tables import read_table
@@ -537,3 +538,11 @@ def q_memory_recall(spark, sf_dir):
     r = mem.recall(conversations(spark, sf_dir))
     return r.select("conv_id", "q_turn", "turn", F.round("score", 6).alias("score"),
                     F.col("recall_rank").cast("long").alias("recall_rank"))
+
+
+@register("semantic_dedup")
+def q_semantic_dedup(spark, sf_dir):
+    """Greedy keep-first near-duplicate removal over all stored vectors
+    (cosine > 0.85, vector id order)."""
+    e = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return semantic_dedup(e, 0.85).select("vec_id", "kept", "reason")

@@ -657,3 +657,22 @@ _top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER
 SELECT conv_id, q_turn, turn, round(score, 6) AS score, recall_rank FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS BIGINT) AS recall_rank FROM _top)
 WHERE recall_rank <= 3"""
+
+
+ORACLE["semantic_dedup"] = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (ORDER BY vec_id) AS rn
+                     FROM embeddings),
+nb AS (SELECT b.vec_id, list(a.vec_id) AS nbrs FROM e a JOIN e b ON a.vec_id < b.vec_id
+       WHERE list_dot_product(a.v, b.v) / nullif(sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)), 0) > 0.85
+       GROUP BY b.vec_id),
+cp AS (SELECT DISTINCT b.vec_id FROM e a JOIN e b ON a.vec_id < b.vec_id AND a.v = b.v),
+en AS (SELECT e.rn, e.vec_id, coalesce(nb.nbrs, []::BIGINT[]) AS nbrs FROM e LEFT JOIN nb USING (vec_id)),
+g(rn, vec_id, kept, kept_list) AS (
+  SELECT rn, vec_id, true, [vec_id] FROM en WHERE rn = 1
+  UNION ALL
+  SELECT en.rn, en.vec_id, NOT list_has_any(en.nbrs, g.kept_list),
+         CASE WHEN NOT list_has_any(en.nbrs, g.kept_list) THEN list_append(g.kept_list, en.vec_id) ELSE g.kept_list END
+  FROM g JOIN en ON en.rn = g.rn + 1)
+SELECT vec_id, kept,
+       CASE WHEN vec_id IN (SELECT vec_id FROM cp) THEN 'copy' WHEN kept THEN 'first' ELSE 'similar' END AS reason
+FROM g"""

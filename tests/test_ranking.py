@@ -201,3 +201,27 @@ def test_dense_ivf_full_probe_is_exact_and_partial_probe_recalls(spark):
     assert full == exact                                  # every cell probed, cells split into blocks
     part = {(r.query_id, r.vec_id) for r in dense_topk_ivf(q, e, k=10, n_cells=8, nprobe=3).collect()}
     assert len(part & exact) / len(exact) > 0.5           # recall of a partial probe
+
+
+def test_semantic_dedup_greedy_keep_first(spark):
+    from quarry.operators.neardup import semantic_dedup
+    rnd = np.random.default_rng(11)
+    base = rnd.normal(size=(6, 8))
+    rows, vecs = [], []
+    for i in range(60):
+        b = base[rnd.integers(0, 6)]
+        v = b + rnd.normal(scale=rnd.choice([0.05, 0.4, 1.2]), size=8)
+        if i % 7 == 3 and vecs:
+            v = vecs[-1].copy()                                  # exact copy of the previous row
+        vecs.append(v)
+        rows.append((i, [float(x) for x in v]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.kept for r in semantic_dedup(df, 0.85, block_rows=16).collect()}
+    unit = [v / np.linalg.norm(v) for v in vecs]
+    kept = []
+    for i, u in enumerate(unit):                                 # greedy restatement
+        ok = not any(float(u @ unit[j]) > 0.85 for j in kept)
+        if ok:
+            kept.append(i)
+    assert sorted(i for i, k in got.items() if k) == kept
+    assert len(got) == 60
