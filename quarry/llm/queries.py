@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from . import bpe, embed_dedup, quality, sharding
+from .common import table
 from .near_dedup import near_duplicates
 
+# Vocabulary files are a parameter; this one is installed with the box.
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -22,4 +26,36 @@ def register(name: str):
 
 @register("op3_minhash_near_dedup")
 def op3(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents", "doc_id", "text")
+
+
+def vocabulary() -> tuple[str, str]:
+    """Path of the rank file, and the pattern that splits texts."""
+    import public_tokenizers
+    return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
+
+
+@register("op4_byte_bpe")
+def op4(spark, sf_dir):
+    return bpe.round_trip(documents(spark, sf_dir), *vocabulary())
+
+
+@register("op6_quality_classifier")
+def op6(spark, sf_dir):
+    return quality.quality(documents(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+@register("op8_virtual_slots")
+def op8(spark, sf_dir):
+    out = sharding.shard(documents(spark, sf_dir), n_shards=8)
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+                      "virtual_slot", "map_version")
+
+
+@register("op10_embedding_near_dedup")
+def op10(spark, sf_dir):
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), cosine=0.95)
