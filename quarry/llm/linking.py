@@ -12,7 +12,8 @@ emits all pairs of its ids:
 4. ids of larger unfinished keys get an exact prefix-filter join: two sets of
    similarity >= t share one of the rarest n - ceil(t n) + 1 shingles of each
    (rarity counted over those ids), so what many ids share (a common passage)
-   never becomes a join key unless the sets can really reach t.
+   never becomes a join key unless the sets can really reach t. There, too,
+   a member first meets one member of a larger component, not all of them.
 """
 
 from __future__ import annotations
@@ -50,19 +51,57 @@ def confirm(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     return stored(met.select("a", "b"), name + "-links")
 
 
-def _prefix_pairs(ids: DataFrame, comp: DataFrame, sets_of, percent: int, name: str) -> DataFrame:
-    """Every pair of the ids, in different components, that can reach the threshold."""
-    sets = stored(sets_of(ids), name + "-prefix-sets")
+def _prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
+    """(x, id) for the shingles among each set's rarest n - ceil(t n) + 1 that other sets have too."""
     rows = sets.select("id", F.size("s").cast("long").alias("n"), F.explode("s").alias("x"))
     shared = rows.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
     rows = rows.join(shared, "x")
-    # shingles of one id alone come first in the order; they are not joined, only counted
-    in_order = W.partitionBy("id").orderBy("df", "x")
-    rows = rows.withColumn("place", F.row_number().over(in_order)).withColumn("n_shared", F.count("*").over(W.partitionBy("id")))
+    # shingles of one set alone come first in the order; they are not joined, only counted
+    own = W.partitionBy("id")
+    rows = rows.withColumn("place", F.row_number().over(own.orderBy("df", "x"))).withColumn("n_shared", F.count("*").over(own))
     need = F.floor((F.col("n") * percent + 99) / 100)
-    rows = rows.where(F.col("place") + (F.col("n") - F.col("n_shared")) <= F.col("n") - need + 1)
-    rows = rows.select("x", "id").join(comp, "id", "left").select("x", "id", F.coalesce("comp", "id").alias("comp"))
-    return _cross(stored(rows, name + "-prefix"), "x")
+    return rows.where(F.col("place") + (F.col("n") - F.col("n_shared")) <= F.col("n") - need + 1).select("x", "id")
+
+
+def _exact_links(ids: DataFrame, comp: DataFrame, links: DataFrame, sets_of, percent: int, name: str) -> DataFrame:
+    """Links that join components of the ids, none of them missed.
+
+    Every member of a component meets, for each rare shingle, one member of
+    each larger component that has it. What stays apart is compared in full
+    only where a member shares enough of its set with the whole component."""
+    sets = stored(sets_of(ids), name + "-prefix-sets")
+    rows = stored(_prefix_rows(sets, percent), name + "-prefix")
+    have = lambda want: sets.join(want, "id", "left_semi")
+
+    def placed(labels: DataFrame) -> DataFrame:
+        own = sets.select("id").join(labels, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+        size = own.groupBy("comp").agg(F.count("*").alias("size"))
+        return stored(own.join(size, "comp").select("id", F.struct("size", "comp").alias("c")), name + "-placed")
+
+    def larger(place: DataFrame) -> tuple[DataFrame, DataFrame]:
+        own = rows.join(place, "id")
+        heads = own.groupBy("x", F.col("c").alias("other")).agg(F.min("id").alias("head"))
+        return own, own.join(heads, "x").where("other > c")
+
+    _, met = larger(placed(comp))
+    pairs = met.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+    first = confirm(pairs, have, percent, name + "-first")
+    place = placed(components(links.unionByName(first), name + "-comp1"))
+    own, met = larger(place)
+    near = stored(met.select("id", "other").distinct(), name + "-near")
+    if near.isEmpty():
+        return first
+    spread = sets.join(place, "id").select("id", "c", F.size("s").alias("n"), F.explode("s").alias("x"))
+    whole = spread.join(near.select(F.col("other").alias("c")).distinct(), "c", "left_semi").select(F.col("c").alias("other"), "x").distinct()
+    shares = (spread.join(near, "id").join(whole, ["other", "x"]).groupBy("id", "other")
+                    .agg(F.count("*").alias("shared"), F.first("n").alias("n")))
+    rest = stored(shares.where(F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("n")).select("id", "other"), name + "-rest")
+    if rest.isEmpty():
+        return first
+    theirs = own.select("x", F.col("c").alias("other"), F.col("id").alias("mate"))
+    pairs = rest.join(rows, "id").join(theirs, ["x", "other"])
+    pairs = pairs.select(F.least("id", "mate").alias("a"), F.greatest("id", "mate").alias("b")).distinct()
+    return first.unionByName(confirm(pairs, have, percent, name + "-second"))
 
 
 def _cross(rows: DataFrame, key: str) -> DataFrame:
@@ -89,12 +128,11 @@ def link_components(cands: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     left = stored(placed.join(mixed, "key"), name + "-left")
     if left.isEmpty():
         return comp
+    done = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     pairs = _cross(left.where(F.col("n") <= bucket), "key")
+    links = links.unionByName(confirm(pairs.join(done, ["a", "b"], "left_anti"), sets_of, percent, name + "-more"))
     large = left.where(F.col("n") > bucket).select("id").distinct()
     if not large.isEmpty():
-        pairs = pairs.unionByName(_prefix_pairs(large, comp, sets_of, percent, name)).distinct()
-    done = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = confirm(pairs.join(done, ["a", "b"], "left_anti"), sets_of, percent, name + "-more")
-    if more.isEmpty():
-        return comp
-    return components(links.unionByName(more), name + "-comp2")
+        comp = components(links, name + "-comp2")
+        links = links.unionByName(_exact_links(large, comp, links, sets_of, percent, name))
+    return components(links, name + "-comp3")
