@@ -27,6 +27,7 @@ import base64
 import hashlib
 import re
 import tempfile
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 LONG_BYTES = 256
 ROUND_PIECES = 50_000
 
@@ -91,7 +92,7 @@ SELECT w, pos, tok FROM step WHERE done
 """
 
 TOKENS = """
-SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids, unhex(string_agg(hexed, '' ORDER BY pos)) AS decoded
+SELECT w, string_agg(shown, ' ' ORDER BY pos) AS ids, unhex(string_agg(hexed, '' ORDER BY pos)) AS decoded
 FROM done JOIN vocab USING (tok) GROUP BY w
 """
 DECODE = "SELECT w, unhex(string_agg(hexed, '' ORDER BY pos)) AS decoded FROM ids JOIN vocab USING (tok) GROUP BY w"
@@ -124,7 +125,7 @@ class Tokenizer:
         self.con.execute(f"SET temp_directory = '{tempfile.gettempdir()}'")
         kind = pa.int32()
         self._table("merges_in", {"l": pa.array(left, kind), "r": pa.array(right, kind), "made": pa.array(made, kind), "alike": pa.array(alike)})
-        self._table("vocab_in", {"tok": pa.array(list(self.ranks.values()), kind), "hexed": pa.array([t.hex() for t in self.ranks])})
+        self._table("vocab_in", {"tok": pa.array(list(self.ranks.values()), kind), "shown": pa.array([str(r) for r in self.ranks.values()]), "hexed": pa.array([t.hex() for t in self.ranks])})
         self.con.execute("CREATE TABLE merges AS FROM merges_in")
         self.con.execute("CREATE TABLE vocab AS FROM vocab_in")
         self.young: dict[str, tuple[str, bytes]] = {}
@@ -144,30 +145,25 @@ class Tokenizer:
         self._rows("base", "tok", self.byte_rank[np.frombuffer(b"".join(pieces), dtype=np.uint8)], np.array([len(p) for p in pieces]))
         rows = self.con.sql(steps).to_arrow_table()
         w, pos = rows.column("w").to_numpy(), rows.column("pos").to_numpy()
-        order = np.lexsort((pos, w))
-        runs = 1 + np.count_nonzero(np.diff(w)) if len(w) else 0
-        if steps is STEPS and (runs != len(pieces) or (np.diff(pos)[np.diff(w) == 0] <= 0).any()):
+        new = np.diff(w) != 0
+        if steps is STEPS and (new.sum() + 1 != len(pieces) or not (new | (np.diff(pos) > 0)).all()):
             raise RuntimeError("token positions came out of order")
-        self.con.register("done", rows.take(order))
+        self.con.register("done", rows)
         got = self.con.sql(TOKENS).to_arrow_table()
         return zip(*(got.column(c).to_pylist() for c in ("w", "ids", "decoded")), strict=True)
 
-    def pieces(self, distinct: list[bytes]) -> dict[bytes, tuple[str, bytes]]:
+    def pieces(self, distinct: list[str]) -> dict[str, tuple[str, bytes]]:
         """ids as text and decoded bytes of each piece."""
-        out, rest, long = {}, [], []
-        whole: list[tuple[bytes, int]] = []
-        for p in distinct:
-            rank = self.ranks.get(p)
-            if rank is not None:
-                whole.append((p, rank))
-            else:
-                (rest if len(p) <= LONG_BYTES else long).append(p)
-        if whole:      # a piece that is a token needs no merges
-            decoded = self.decode([[r] for _, r in whole])
-            out = {p: (str(r), d) for (p, r), d in zip(whole, decoded, strict=True)}
-        for group, steps in ([(rest[i:i + ROUND_PIECES], STEPS) for i in range(0, len(rest), ROUND_PIECES)] + [([p], LONG_STEPS) for p in long]):
-            for w, ids, decoded in self._contract(group, steps):
-                out[group[w]] = (ids, decoded)
+        data = [p.encode() for p in distinct]
+        ranks = list(map(self.ranks.get, data))
+        whole = [i for i, r in enumerate(ranks) if r is not None]      # a piece that is a token needs no merges
+        out = {distinct[i]: (str(ranks[i]), d) for i, d in zip(whole, self.decode([[ranks[i]] for i in whole]), strict=True)}
+        rest = [i for i, r in enumerate(ranks) if r is None and len(data[i]) <= LONG_BYTES]
+        long = [i for i, r in enumerate(ranks) if r is None and len(data[i]) > LONG_BYTES]
+        groups = [(rest[i:i + ROUND_PIECES], STEPS) for i in range(0, len(rest), ROUND_PIECES)] + [([i], LONG_STEPS) for i in long]
+        for group, steps in groups:
+            for w, ids, decoded in self._contract([data[i] for i in group], steps):
+                out[distinct[group[w]]] = (ids, decoded)
         return out
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
@@ -197,37 +193,47 @@ class Tokenizer:
             return parts
         return parts[1:]
 
+    def _cut(self, key: str) -> list[str]:
+        """Pieces of a part."""
+        if key.isalpha():                                   # letters after a space are one piece
+            return [" " + key]
+        if key[-1:] in MARKS and key[:-1].isalpha():        # and so is a mark that ends the part
+            return [" " + key[:-1], key[-1]]
+        return self.pattern.findall(key[1:] if key[:1] == " " else " " + key)
+
     def _learn(self, missing: list[str]) -> None:
         """Put parts into memory."""
-        cut = [self.pattern.findall(k[1:] if k[:1] == " " else " " + k) for k in missing]
-        done = self.pieces([p.encode() for p in dict.fromkeys(p for own in cut for p in own)])
+        cut = list(map(self._cut, missing))
+        done = self.pieces(list(dict.fromkeys(chain.from_iterable(cut))))
         for k, own in zip(missing, cut, strict=True):
             if len(own) == 1:
-                self.young[k] = done[own[0].encode()]
+                self.young[k] = done[own[0]]
             else:
-                got = [done[p.encode()] for p in own]
+                got = [done[p] for p in own]
                 self.young[k] = (" ".join([x[0] for x in got]), b"".join([x[1] for x in got]))
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
         """Number of ids, ids as text and decoded bytes of each text."""
         keys = [self._split(t) for t in texts]
-        found = [list(map(self.young.get, own)) for own in keys]
-        missing = dict.fromkeys(k for own, got in zip(keys, found, strict=True) if None in got for k, g in zip(own, got, strict=True) if g is None)
-        for k in missing:
+        need = set(chain.from_iterable(keys))
+        for k in need - self.young.keys():
             if k in self.old:
                 self.young[k] = self.old[k]
-        self._learn([k for k in missing if k not in self.young])
+        self._learn([k for k in need if k not in self.young])
+        ids_of, bytes_of = {}, {}
+        for k in need:
+            ids_of[k], bytes_of[k] = self.young[k]
         out = []
-        for own, got in zip(keys, found, strict=True):
-            if None in got:
-                got = [g or self.young[k] for k, g in zip(own, got, strict=True)]
-            ids = " ".join([x[0] for x in got])
-            out.append((ids.count(" ") + 1 if got else 0, ids, b"".join([x[1] for x in got])))
+        for own in keys:
+            ids = " ".join(map(ids_of.__getitem__, own))
+            out.append((ids.count(" ") + 1 if own else 0, ids, b"".join(map(bytes_of.__getitem__, own))))
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
         return out
 
 
+# ASCII marks that are neither letters, digits nor the start of a contraction
+MARKS = tuple(",.;:!?")
 TWO_SPACES = re.compile(r"\s\s")
 _TOKENIZERS: dict[tuple, Tokenizer] = {}
 
