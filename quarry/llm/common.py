@@ -84,11 +84,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _hash_piece(data: np.ndarray):
+def _hash_piece(data: np.ndarray, separators: np.ndarray):
     """Hash, start and end of each word of one piece of text."""
     d = _LOWER[data]
     inside = np.zeros(len(d) + 2, dtype=np.int8)
-    inside[1:-1] = ~_SPACE[d]
+    inside[1:-1] = ~separators[d]
     step = np.diff(inside)
     start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     total = np.zeros(len(d) + 1, dtype=U64)
@@ -116,17 +116,18 @@ class Words:
     """The words of a batch of texts, lower-cased (A-Z) and hashed.
 
     h: hash, doc: number of the text, line: number of newlines before the
-    word, start and end: byte offsets in its text.
+    word, start and end: byte offsets in its text. ``separators`` marks the
+    byte values between words; a space and a newline must be among them.
     """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], separators: np.ndarray = _SPACE):
         h, doc, line, start, end = [], [], [], [], []
 
         def add(buffer: bytes, docs: list[tuple[int, int, int]], lines_before: int):
             data = np.frombuffer(buffer, dtype=np.uint8)
             if not len(data):
                 return 0
-            hh, s, e = _hash_piece(data)
+            hh, s, e = _hash_piece(data, separators)
             newlines = np.concatenate([[0], np.cumsum(data == 10)])
             begins = np.array([x[1] for x in docs])
             which = np.searchsorted(begins, s, side="right") - 1

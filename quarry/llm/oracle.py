@@ -22,4 +22,20 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM comp LEFT JOIN sizes USING (doc_id)
 """
 
-ORACLE = {"op3_minhash_near_dedup": OP3}
+OP1 = f"""
+WITH RECURSIVE lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS par
+  FROM documents),
+words AS (SELECT doc_id, par, {WORDS.replace("text", "line")} AS w FROM lines),
+long AS (SELECT row_number() OVER (ORDER BY doc_id, par) AS id, doc_id, par, w FROM words WHERE len(w) >= 15),
+sets AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])) AS s FROM long),
+sizes AS (SELECT id, count(*) AS n FROM sets GROUP BY id),
+hits AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.id <> b.id GROUP BY a.id, b.id),
+links AS (SELECT x, y FROM hits JOIN sizes p ON p.id = x JOIN sizes q ON q.id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+reach AS (SELECT DISTINCT x, x AS y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+comp AS (SELECT x AS id, min(y) AS first FROM reach GROUP BY x)
+SELECT l.doc_id, l.par::INT AS par, len(l.w)::INT AS n_words, f.doc_id AS first_doc, f.par::INT AS first_par, l.id = f.id AS kept
+FROM comp JOIN long l ON l.id = comp.id JOIN long f ON f.id = comp.first
+"""
+
+ORACLE = {"op1_substring_dedup": OP1, "op3_minhash_near_dedup": OP3}

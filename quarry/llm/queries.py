@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, quality, sharding
+from . import bpe, decontaminate, embed_dedup, language_id, lm, quality, sharding, substring_dedup, url_filter
 from .common import table
 from .near_dedup import near_duplicates
 
@@ -59,3 +59,29 @@ def op8(spark, sf_dir):
 @register("op10_embedding_near_dedup")
 def op10(spark, sf_dir):
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), cosine=0.95)
+
+
+@register("op1_substring_dedup")
+def op1(spark, sf_dir):
+    found = substring_dedup.repeated_paragraphs(documents(spark, sf_dir))
+    return found.select("doc_id", "par", "n_words", "first_doc", "first_par", "kept")
+
+
+@register("op7_benchmark_decontamination")
+def op7(spark, sf_dir):
+    return decontaminate.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@register("op5_url_filter")
+def op5(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@register("op9_language_id")
+def op9(spark, sf_dir):
+    return language_id.languages(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+@register("op2_lm_scoring")
+def op2(spark, sf_dir):
+    return lm.scores(documents(spark, sf_dir))
