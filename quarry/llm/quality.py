@@ -20,6 +20,8 @@ labels, smoothed; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -32,6 +34,7 @@ SAMPLE, SAMPLE_BYTES = 1200, 16384
 DICT_BYTES = 65536
 BLOCK = 1024
 LEVEL = 1
+SHORT_BYTES = 64        # a text of this length counts half
 THRESHOLD = 0.7
 
 
@@ -49,9 +52,9 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "tools": None}
 
-    def features(self, text: bytes) -> tuple[float, float, float]:
+    def features(self, text: bytes) -> tuple[float, float, float, int]:
         if not text:
-            return 0.0, 0.0, 0.0
+            return 0.0, 0.0, 0.0, 0
         if self.tools is None:
             dicts = [zstandard.ZstdCompressionDict(x) for x in (self.good, self.bad)]
             for d in dicts:
@@ -67,30 +70,32 @@ class Model:
             b += len(by_bad(part))
             a += len(alone(part))
         n = len(text)
-        return (g - b) / n, (g - b) / (g + b), a / n
+        return (g - b) / n, (g - b) / (g + b), a / n, n
 
     def score(self, text: bytes) -> float:
         if self.weights is None:
             return self.prior
         if not text:
-            return float(_curve(np.zeros((1, 3)), self.weights)[0])
+            return float(_curve(np.zeros((1, 4)), self.weights)[0])
         return float(_curve(np.array([self.features(text)]), self.weights)[0])
 
 
 def _design(x: np.ndarray) -> np.ndarray:
-    """Difference per byte and per compressed byte, the rate, and how far the rate is below usual."""
+    """Difference per byte and per compressed byte, the rate, and how far the
+    rate is below usual; each counts less the shorter the text is."""
+    trust = x[:, 3] / (x[:, 3] + SHORT_BYTES)
     low = np.maximum(0, 0.4 - x[:, 2]) * (x[:, 2] > 0)
-    return np.column_stack([x[:, 0] * 20, x[:, 1] * 10, x[:, 2] * 2, low * 20, np.ones(len(x))])
+    return np.column_stack([x[:, 0] * 20 * trust, x[:, 1] * 10 * trust, (x[:, 2] - 0.5) * 2 * trust, low * 20 * trust, np.ones(len(x))])
 
 
 def _curve(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(_design(x) @ weights, -30, 30)))
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> np.ndarray:
-    """Logistic regression by Newton steps; both classes weigh the same."""
+def _fit_curve(x: np.ndarray, y: np.ndarray, prior: float, ridge: float = 1e-2, steps: int = 40) -> np.ndarray:
+    """Logistic regression by Newton steps; the classes weigh as among all labels."""
     d = _design(x)
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    weight = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum()))
     w = np.zeros(d.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
@@ -118,13 +123,20 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     marks = labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
     own = sample(texts, marks)
-    good, bad = own[1], own[0]
-    prior = (len(good) + 1) / (len(good) + len(bad) + 2)
+    count = {r.quality: r.n for r in marks.where(~held_out() & F.col("quality").isin(0, 1)).groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    return fit(own[1], own[0], (count.get(1, 0) + 1) / (sum(count.values()) + 2))
+
+
+def fit(good: list[bytes], bad: list[bytes], prior: float) -> Model:
+    """Dictionaries from every other text, the curve from the rest."""
     if len(good) < 8 or len(bad) < 8:
         return Model(b"", b"", None, prior)
+    # lines that several texts share say nothing about a class, but would fill its dictionary
+    seen = Counter(line for t in good + bad for line in set(t.split(b"\n")))
 
     def dictionary(own: list[bytes]) -> bytes:
-        parts = [t[i:i + BLOCK] for t in own for i in range(0, len(t), BLOCK)]
+        alone = [b"\n".join(x for x in t.split(b"\n") if seen[x] == 1) for t in own]
+        parts = [t[i:i + BLOCK] for t in alone for i in range(0, len(t), BLOCK)]
         size = min(DICT_BYTES, max(1024, sum(map(len, parts)) // 8))
         try:
             return zstandard.train_dictionary(size, parts, level=LEVEL).as_bytes()
@@ -134,10 +146,20 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     m = Model(dictionary(good[::2]), dictionary(bad[::2]), None, prior)
     x = np.array([m.features(t) for t in good[1::2] + bad[1::2]])
     y = np.array([1] * len(good[1::2]) + [0] * len(bad[1::2]))
-    m.weights = _fit_curve(x, y)
+    m.weights = _fit_curve(x, y, prior)
     return m
 
 
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score ``threshold`` or more, all columns as they are."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.score(t) >= threshold for t in text_bytes(batch.column(at))], pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """``keep`` columns of the documents and the score."""
     spark = docs.sparkSession
