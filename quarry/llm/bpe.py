@@ -286,8 +286,7 @@ def _mapped(docs: DataFrame, source, path: str, pattern: str, keep: tuple[str, .
 def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and the ids (array<int>) of each text."""
     def build(t, column):
-        made = [x for g in _groups(_strings(column)) for x in t.encode(g)]
-        return {"ids": pa.array([[int(i) for i in ids.split()] for _, ids, _ in made], pa.list_(pa.int32()))}
+        return {"ids": _lists([_numbers(ids) for g in _groups(_strings(column)) for _, ids, _ in t.encode(g)])}
     return _mapped(docs, F.col("text").cast("string"), path, pattern, keep, "ids array<int>", build)
 
 
@@ -298,13 +297,26 @@ def decode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
     return _mapped(docs, F.col("ids").cast("array<int>"), path, pattern, keep, "decoded binary", build)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, n_tokens, and the digests of the ids and of their decoded bytes."""
+def round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """``keep`` columns, n_tokens, and the digests of the ids and of their
+    decoded bytes; ``with_ids`` adds the ids themselves."""
     sha = lambda x: hashlib.sha256(x).hexdigest()
 
     def build(t, column):
-        made = [(n, sha(ids.encode()), sha(decoded)) for g in _groups(_strings(column)) for n, ids, decoded in t.encode(g)]
-        return {"n_tokens": pa.array([x[0] for x in made], pa.int64()),
-                "ids_sha256": pa.array([x[1] for x in made], pa.string()),
-                "decoded_sha256": pa.array([x[2] for x in made], pa.string())}
-    return _mapped(docs, F.col("text").cast("string"), path, pattern, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string", build)
+        made = [(n, sha(ids.encode()), sha(decoded), _numbers(ids) if with_ids else None)
+                for g in _groups(_strings(column)) for n, ids, decoded in t.encode(g)]
+        out = {"n_tokens": pa.array([x[0] for x in made], pa.int64())}
+        if with_ids:
+            out["ids"] = _lists([x[3] for x in made])
+        return out | {"ids_sha256": pa.array([x[1] for x in made], pa.string()), "decoded_sha256": pa.array([x[2] for x in made], pa.string())}
+    schema = "n_tokens long, " + ("ids array<int>, " if with_ids else "") + "ids_sha256 string, decoded_sha256 string"
+    return _mapped(docs, F.col("text").cast("string"), path, pattern, keep, schema, build)
+
+
+def _numbers(ids: str) -> np.ndarray:
+    return np.fromstring(ids, dtype=np.int32, sep=" ") if ids else np.zeros(0, dtype=np.int32)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)))
