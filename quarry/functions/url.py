@@ -26,8 +26,8 @@ def _c(x) -> Column:
 
 
 def _decode(x: Column) -> Column:
-    # malformed escapes make try_url_decode NULL: keep the raw piece then
-    return F.coalesce(F.try_url_decode(x), x)
+    # a % that starts no escape stands for itself
+    return F.try_url_decode(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def _encode(x: Column) -> Column:
@@ -46,8 +46,9 @@ def normalize_url(url) -> Column:
     path = F.regexp_replace(F.regexp_replace(path, r";[^/]*$", ""), r"/+$", "")
 
     pairs = F.filter(F.split(query, "&"), lambda p: F.instr(p, "=") > 0)
+    # url_decode itself reads '+' as a space
     kv = F.transform(pairs, lambda p: F.struct(
-        _decode(F.replace(F.regexp_extract(p, r"(?s)^([^=]*)", 1), F.lit("+"), F.lit(" "))).alias("k"),
+        _decode(F.regexp_extract(p, r"(?s)^([^=]*)", 1)).alias("k"),
         F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1).alias("raw")))
     tracking = F.array(*[F.lit(t) for t in TRACKING_PARAMS])
     kept = F.filter(kv, lambda x: (x["raw"] != "") & ~F.array_contains(tracking, x["k"]))
@@ -59,7 +60,7 @@ def _assemble(scheme, has_net, netloc, path, kept) -> Column:
     grouped = F.flatten(F.transform(keys, lambda key: F.transform(
         F.filter(kept, lambda x: x["k"] == key),
         lambda x: F.concat(_encode(key), F.lit("="),
-                           _encode(_decode(F.replace(x["raw"], F.lit("+"), F.lit(" "))))))))
+                           _encode(_decode(x["raw"]))))))
     q = F.array_join(grouped, "&")
     net_path = F.when(has_net | (netloc != ""),
                       F.concat(F.lit("//"), netloc,

@@ -2,15 +2,17 @@
 
 key      = md5(query + ':' + comma-joined *sorted* engines); category and
            result limit are not part of it.
-cache_put  appends rows; the current entry of a key is its latest write
+cache_put  appends rows; the current entry of a key is its latest write,
+           of several at one time the one with the greatest payload
            (``row_number() <= 1`` per key, a partial WindowGroupLimit, so
            a hot key is reduced inside each partition before the shuffle).
 cache_repair drops entries whose payload does not parse as JSON and reports
            repaired / total.
 cache_lookup  left-joins requests to the current entries: a hit needs
            age <= TTL (expired when age > TTL), TTL > 0, and a payload that
-           is non-blank, parses, and is not an empty object (a leading
-           byte-order mark is ignored).
+           parses to something: null, false, zero, "" and empty objects and
+           lists are misses (a leading byte-order mark is ignored). Such
+           payloads are sound, though: cache_repair keeps them.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ def cache_key(query, engines) -> Column:
 
 
 def current_entries(cache: DataFrame) -> DataFrame:
-    w = Window.partitionBy("cache_key").orderBy(F.col("written_at").desc())
+    w = Window.partitionBy("cache_key").orderBy(F.col("written_at").desc(), F.col("payload").desc())
     return cache.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
 
 
@@ -39,16 +41,24 @@ def _clean_payload(p: Column) -> Column:
     return F.regexp_replace(p, "^﻿", "")
 
 
+def payload_parses(p) -> Column:
+    c = _clean_payload(F.col(p) if isinstance(p, str) else p)
+    return (F.coalesce(F.trim(c), F.lit("")) != "") & F.try_parse_json(c).isNotNull()
+
+
+# JSON values that stand for nothing
+EMPTY_JSON = r'^\s*(null|false|""|\{\s*\}|\[\s*\]|-?0(\.0*)?([eE][+-]?[0-9]+)?)\s*$'
+
+
 def payload_valid(p) -> Column:
+    """The payload parses and holds something."""
     c = _clean_payload(F.col(p) if isinstance(p, str) else p)
-    parsed = F.try_parse_json(c)
-    return (F.coalesce(F.trim(c), F.lit("")) != "") & parsed.isNotNull() \
-        & (F.regexp_replace(c, r"\s", "") != "{}")
+    return payload_parses(p) & ~c.rlike(EMPTY_JSON)
 
 
 def cache_repair(cache: DataFrame):
     """(repaired cache, one-row report repaired/total)."""
-    ok = payload_valid("payload")
+    ok = payload_parses("payload")
     report = cache.agg(F.count_if(~ok).alias("repaired"), F.count(F.lit(1)).alias("total"))
     return cache.where(ok), report
 

@@ -63,16 +63,19 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.85, key: str = "vec_i
 
 
 def semantic_dedup(vectors: DataFrame, threshold: float = 0.85, key: str = "vec_id", vec: str = "embedding",
-                   block_rows: int = 20_000, max_rounds: int = 1000) -> DataFrame:
-    """(key, kept, reason) for every row: reason 'first', 'copy' or 'similar'."""
-    base = vectors.select(F.col(key).alias("vec_id"), F.col(vec).cast("array<double>").alias("v"))
+                   block_rows: int = 4_000) -> DataFrame:
+    """(key, kept, reason) for every row: reason 'first', 'copy' or 'similar'.
+    Rows without a vector resemble nothing and are kept as 'first'."""
+    every = vectors.select(F.col(key).alias("vec_id"), F.col(vec).cast("array<double>").alias("v"))
+    without = every.where("v is null").select("vec_id", F.lit(True).alias("kept"), F.lit("first").alias("reason"))
+    base = every.where("v is not null")
     first = base.groupBy("v").agg(F.min("vec_id").alias("first_id"))
     tagged = base.join(first, "v")
     copies = tagged.where(F.col("vec_id") != F.col("first_id")).select("vec_id")
     distinct = tagged.where(F.col("vec_id") == F.col("first_id")).select("vec_id", "v")
     edges = cut_lineage(similar_pairs(distinct, threshold, "vec_id", "v", block_rows).select("earlier", "later"))
     status = cut_lineage(distinct.select("vec_id", F.lit(None).cast("boolean").alias("kept")))
-    for _ in range(max_rounds):
+    while True:     # each round decides the earliest undecided row at least
         if status.where(F.col("kept").isNull()).isEmpty():
             break
         # per undecided row: are all earlier neighbours decided, is any kept?
@@ -84,9 +87,7 @@ def semantic_dedup(vectors: DataFrame, threshold: float = 0.85, key: str = "vec_
                    .when(F.coalesce(F.col("any_kept"), F.lit(0)) == 1, F.lit(False)) \
                    .when(F.coalesce(F.col("undecided"), F.lit(0)) == 0, F.lit(True))
         status = cut_lineage(status.join(nb, "vec_id", "left").select("vec_id", decided.alias("kept")))
-    else:
-        raise RuntimeError("near-duplicate resolution did not converge")
     out = status.select("vec_id", "kept", F.when(F.col("kept"), F.lit("first")).otherwise(F.lit("similar"))
                         .alias("reason"))
     out = out.unionByName(copies.select("vec_id", F.lit(False).alias("kept"), F.lit("copy").alias("reason")))
-    return out.withColumnRenamed("vec_id", key)
+    return out.unionByName(without).withColumnRenamed("vec_id", key)

@@ -6,129 +6,78 @@ c = min(c + 1, 5); delay = min(0.5 * 1.5^c, 2.0) (no jitter). Alongside,
 more consecutive errors) feed the circuit-breaker view.
 
 The clamped fold is not a window sum, but each event is a function
-c -> clamp(c + a, lo, hi), and such functions compose into the same form.
-That makes the fold a segmented scan that splits hot keys:
-
-1. ``repartitionByRange(key, ts, event_id)`` - a key with a third of all
-   rows is spread over many partitions; (key, partition) is a *segment*
-   bounded by the partition size;
-2. per segment, compose its events into one (a, lo, hi) summary;
-3. per key, fold the summaries in segment order (at most one per
-   partition) to get each segment's start value;
-4. per segment, replay the events from the start value.
-
-Steps 2 and 4 are one ``mapInPandas`` call per partition over rows sorted
-by (key, order); step 3 is a Catalyst ``aggregate`` over each key's segment
-list (one entry per partition at most). Nothing collects a whole key.
+c -> clamp(c + a, lo, hi), and such functions compose into the same form. That
+makes the fold a segmented scan that splits hot keys by time:
+
+1. a segment is one key's events of ``segment_seconds`` of its time column, so
+   it follows from the data alone: reading the input twice gives the same
+   segments, whatever the partitioning or a retry does;
+2. a segment's events compose into one (a, lo, hi) summary;
+3. per key, the summaries are folded in order (one small row per segment),
+   which gives each segment's start value;
+4. each segment replays its events from its start value.
+
+All of it is grouping, one join on (key, segment) and array expressions; a
+group holds the events of one key in one segment.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MAX_STREAK = 5
 BASE_DELAY = 0.5
 GROWTH = 1.5
 MAX_DELAY = 2.0
 BREAKER_THRESHOLD = 5
+SEGMENT_SECONDS = 3600
+_FAR = 1 << 40          # no streak comes near it
 
 
 def error_streak(events: DataFrame, key: str = "user_id", order=("ts", "event_id"),
-                 is_error: str = "is_error", cap: int = MAX_STREAK, segments: int | None = None) -> DataFrame:
-    """Per event: key, *order, streak, delay, consecutive_errors, breaker_open."""
-    spark = events.sparkSession
-    n = segments or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kt = events.schema[key].dataType
-    order_l = list(order)
-    base = events.select(key, *order, F.col(is_error).cast("boolean").alias("_err"))
-    # 1. segments: a range partition of (key, order); rows sorted inside it
-    tagged = (base.repartitionByRange(n, key, *order).withColumn("_seg", F.spark_partition_id())
-                  .sortWithinPartitions(key, *order))
-
-    # 2. one summary (a, lo, hi, rr, ra) per (key, segment): one Python call per partition
-    def summarize(batches):
-        rows = {key: [], "_seg": [], "a": [], "lo": [], "hi": [], "rr": [], "ra": []}
-        cur, f = None, None
-
-        def flush():
-            for name, v in zip(rows, (cur[0], int(cur[1]), *f)):
-                rows[name].append(v)
-
-        for pdf in batches:
-            for k, sg, e in zip(pdf[key].to_numpy(), pdf["_seg"].to_numpy(), pdf["_err"].to_numpy()):
-                if cur != (k, sg):
-                    if cur is not None:
-                        flush()
-                    cur, f = (k, sg), (0.0, -np.inf, np.inf, False, 0)
-                f = _step(f, bool(e), cap)
-        if cur is not None:
-            flush()
-        yield pd.DataFrame(rows)
-
-    summ_schema = T.StructType([T.StructField(key, kt), T.StructField("_seg", T.IntegerType()),
-                                T.StructField("a", T.DoubleType()), T.StructField("lo", T.DoubleType()),
-                                T.StructField("hi", T.DoubleType()), T.StructField("rr", T.BooleanType()),
-                                T.StructField("ra", T.LongType())])
-    summ = tagged.mapInPandas(summarize, summ_schema)
-
-    # 3. start values per segment: fold each key's segment list (at most one
-    #    entry per partition) with a Catalyst aggregate - no Python, no driver
-    seg_t = "struct<_seg:int,a:double,lo:double,hi:double,rr:boolean,ra:bigint>"
-    init = F.struct(F.lit(0.0).alias("c"), F.lit(0).cast("long").alias("r"),
-                    F.array().cast("array<struct<_seg:int,c0:double,r0:bigint>>").alias("out"))
-
-    def step(acc, sg):
-        return F.struct(
-            F.least(F.greatest(acc["c"] + sg["a"], sg["lo"]), sg["hi"]).alias("c"),
-            (F.when(sg["rr"], F.lit(0).cast("long")).otherwise(acc["r"]) + sg["ra"]).alias("r"),
-            F.concat(acc["out"], F.array(F.struct(sg["_seg"].alias("_seg"), acc["c"].alias("c0"),
-                                                 acc["r"].alias("r0")))).alias("out"))
-
-    starts = (summ.groupBy(key)
-                  .agg(F.array_sort(F.collect_list(F.struct("_seg", "a", "lo", "hi", "rr", "ra")).cast(f"array<{seg_t}>"))
-                       .alias("segs"))
-                  .select(key, F.explode(F.aggregate("segs", init, step)["out"]).alias("s"))
-                  .select(key, F.col("s._seg").alias("_seg"), F.col("s.c0").cast("long").alias("_c0"),
-                          F.col("s.r0").alias("_r0")))
-
-    # 4. replay each segment from its start value: one Python call per partition
-    def replay(batches):
-        cur, c, r = None, 0, 0
-        for pdf in batches:
-            n_ = len(pdf)
-            out_c, out_r = np.empty(n_, dtype=np.int64), np.empty(n_, dtype=np.int64)
-            ks, sgs, c0s, r0s = pdf[key].to_numpy(), pdf["_seg"].to_numpy(), pdf["_c0"].to_numpy(), pdf["_r0"].to_numpy()
-            for i, e in enumerate(pdf["_err"].to_numpy()):
-                if cur != (ks[i], sgs[i]):
-                    cur, c, r = (ks[i], sgs[i]), int(c0s[i]), int(r0s[i])
-                if e:
-                    c, r = min(c + 1, cap), r + 1
-                else:
-                    c, r = max(c - 1, 0), 0
-                out_c[i], out_r[i] = c, r
-            res = pdf[[key, *order_l]].copy()
-            res["streak"] = out_c
-            res["delay"] = np.minimum(BASE_DELAY * GROWTH ** out_c.astype(np.float64), MAX_DELAY)
-            res["consecutive_errors"] = out_r
-            res["breaker_open"] = out_r >= BREAKER_THRESHOLD
-            yield res
-
-    out_schema = T.StructType([T.StructField(key, kt)] + [events.schema[c] for c in order_l] + [
-        T.StructField("streak", T.LongType()), T.StructField("delay", T.DoubleType()),
-        T.StructField("consecutive_errors", T.LongType()), T.StructField("breaker_open", T.BooleanType())])
-    joined = tagged.join(starts, [key, "_seg"]).sortWithinPartitions(key, "_seg", *order_l)
-    return joined.mapInPandas(replay, out_schema)
-
-
-def _step(f, err: bool, cap: int):
-    """Compose one event onto a segment function (a, lo, hi, reset, add)."""
-    a, lo, hi, rr, ra = f
-    if err:
-        a2, l2, h2, ra = 1.0, -np.inf, float(cap), ra + 1
-    else:
-        a2, l2, h2, rr, ra = -1.0, 0.0, np.inf, True, 0
-    return a + a2, min(max(lo + a2, l2), h2), min(max(hi + a2, l2), h2), rr, ra
+                 is_error: str = "is_error", cap: int = MAX_STREAK, segment_seconds: int = SEGMENT_SECONDS) -> DataFrame:
+    """Per event: key, *order, streak, delay, consecutive_errors, breaker_open.
+
+    The first order column is a time; rows without it form a segment of their
+    own, before all others. A null outcome counts as a success."""
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    long = lambda x: F.lit(x).cast("long")
+    when = F.floor(F.unix_micros(F.col(order[0]).cast("timestamp")) / long(segment_seconds * 1_000_000))
+    base = events.select(key, *order, F.coalesce(F.col(is_error).cast("boolean"), F.lit(False)).alias("_err"),
+                         F.coalesce(when, long(-_FAR)).cast("long").alias("_seg"))
+    segments = base.groupBy(key, "_seg").agg(F.array_sort(F.collect_list(F.struct(*order, "_err"))).alias("_events"))
+
+    def compose(f, e):
+        bound = lambda x: F.when(e["_err"], F.least(x + 1, long(cap))).otherwise(F.greatest(x - 1, long(0)))
+        return F.struct((f["a"] + F.when(e["_err"], long(1)).otherwise(long(-1))).alias("a"), bound(f["lo"]).alias("lo"), bound(f["hi"]).alias("hi"),
+                        (f["reset"] | ~e["_err"]).alias("reset"), F.when(e["_err"], f["run"] + 1).otherwise(long(0)).alias("run"))
+
+    start = F.struct(long(0).alias("a"), long(-_FAR).alias("lo"), long(_FAR).alias("hi"), F.lit(False).alias("reset"), long(0).alias("run"))
+    summary = segments.select(key, "_seg", F.aggregate("_events", start, compose).alias("f"))
+
+    def fold(acc, s):
+        f = s["f"]
+        here = F.struct(s["_seg"].alias("_seg"), acc["c"].alias("_c0"), acc["r"].alias("_r0"))
+        return F.struct(F.least(F.greatest(acc["c"] + f["a"], f["lo"]), f["hi"]).alias("c"),
+                        (F.when(f["reset"], long(0)).otherwise(acc["r"]) + f["run"]).alias("r"), F.concat(acc["out"], F.array(here)).alias("out"))
+
+    nothing = F.struct(long(0).alias("c"), long(0).alias("r"), F.array().cast("array<struct<_seg:bigint,_c0:bigint,_r0:bigint>>").alias("out"))
+    starts = (summary.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct("_seg", "f"))).alias("segs"))
+                     .select("_key", F.explode(F.aggregate("segs", nothing, fold)["out"]).alias("s"))
+                     .select("_key", F.col("s._seg").alias("_at"), "s._c0", "s._r0"))
+
+    def replay(acc, e):
+        c = F.when(e["_err"], F.least(acc["c"] + 1, long(cap))).otherwise(F.greatest(acc["c"] - 1, long(0)))
+        r = F.when(e["_err"], acc["r"] + 1).otherwise(long(0))
+        row = F.struct(*[e[c_].alias(c_) for c_ in order], c.alias("streak"), r.alias("consecutive_errors"))
+        return F.struct(c.alias("c"), r.alias("r"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    row_type = ",".join(f"{c}:{kinds[c]}" for c in order) + ",streak:bigint,consecutive_errors:bigint"
+    first = F.struct(F.col("_c0").alias("c"), F.col("_r0").alias("r"), F.array().cast(f"array<struct<{row_type}>>").alias("out"))
+    joined = segments.join(starts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_seg") == F.col("_at")))
+    rows = joined.select(key, F.explode(F.aggregate("_events", first, replay)["out"]).alias("e"))
+    delay = F.least(F.lit(BASE_DELAY) * F.pow(F.lit(GROWTH), F.col("e.streak").cast("double")), F.lit(MAX_DELAY))
+    return rows.select(key, *[F.col(f"e.{c}").alias(c) for c in order], F.col("e.streak").alias("streak"), delay.alias("delay"),
+                       F.col("e.consecutive_errors").alias("consecutive_errors"),
+                       (F.col("e.consecutive_errors") >= BREAKER_THRESHOLD).alias("breaker_open"))

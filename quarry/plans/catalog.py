@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import IndexConfig, SearchConfig, WebConfig
+from ..config import FINAL_CHANNEL_MARKER, IndexConfig, SearchConfig, WebConfig
 from ..functions.embed import hashed_embedding
 from ..operators import cache as cache_ops
 from ..operators import context as ctx
@@ -29,6 +31,7 @@ from ..operators.fusion import rrf_fuse
 from ..operators.neardup import semantic_dedup
 from ..operators.streak import error_streak
 from ..operators.tfidf import fit_tfidf, lexical_topk
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import read_table
 from ..streaming import rate as rate_ops
 from .hybrid import envelope, hybrid_search, retrieve
@@ -179,9 +182,14 @@ FLAGSHIP = "hybrid_search"
 
 
 
+# Landed pages per search request: page_id // this is the request.
+PAGES_PER_REQUEST = 20
+
+
 def page_results(spark, sf_dir):
-    """Pages as one landed result list, arrival order = page_id."""
-    return read_table(spark, sf_dir, "pages", "page_id", "url")
+    """Pages as the landed results of many requests, arrival order = page_id."""
+    p = read_table(spark, sf_dir, "pages", "page_id", "url")
+    return p.withColumn("request_id", F.floor(F.col("page_id") / PAGES_PER_REQUEST).cast("long"))
 
 
 @register("url_normalize")
@@ -192,9 +200,8 @@ def q_url_normalize(spark, sf_dir):
 
 @register("url_dedup_domain_cap")
 def q_url_dedup_domain_cap(spark, sf_dir):
-    acc = web.merge_results(page_results(spark, sf_dir), max_sources=WebConfig().max_sources,
-                            request_col=None, arrival=("page_id",))
-    return acc.select("page_id", "norm_url", "domain", F.col("pos").cast("long").alias("pos"))
+    acc = web.merge_results(page_results(spark, sf_dir), max_sources=WebConfig().max_sources, arrival=("page_id",))
+    return acc.select("request_id", "page_id", "norm_url", "domain", F.col("pos").cast("long").alias("pos"))
 
 
 @register("url_dedup_all")
@@ -207,11 +214,11 @@ def q_url_dedup_all(spark, sf_dir):
 def q_dedup_stats(spark, sf_dir):
     res = page_results(spark, sf_dir)
     n = WebConfig().max_sources
-    acc = web.merge_results(res, max_sources=n, request_col=None, arrival=("page_id",))
-    st = web.dedup_stats(res, acc, max_sources=n, request_col=None, arrival=("page_id",))
+    acc = web.merge_results(res, max_sources=n, arrival=("page_id",))
+    st = web.dedup_stats(res, acc, max_sources=n, arrival=("page_id",))
     dist = F.array_join(F.transform(F.map_entries("domain_distribution"),
                                     lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
-    return st.select("unique_urls", "unique_domains", "duplicates", dist.alias("domain_distribution"))
+    return st.select("request_id", "unique_urls", "unique_domains", "duplicates", dist.alias("domain_distribution"))
 
 
 @register("page_text")
@@ -221,13 +228,12 @@ def q_page_text(spark, sf_dir):
 
 
 def _web_candidates(spark, sf_dir):
-    cfg = WebConfig()
-    res = page_results(spark, sf_dir).withColumn("request_id", F.lit(0).cast("long"))
-    pages = read_table(spark, sf_dir, "pages", "url", "html")
-    meta = ctx.page_text(pages.select("url", "html")).select("url", "title", F.col("text").alias("content"))
-    acc = web.merge_results(res, max_sources=cfg.candidate_limit, request_col="request_id", arrival=("page_id",))
-    acc = acc.join(meta, "url", "left")
-    return ctx.candidates(acc, "request_id", "pos"), pages
+    """Candidates of each request; pages are cleaned only for those."""
+    acc = web.merge_results(page_results(spark, sf_dir), max_sources=WebConfig().candidate_limit, arrival=("page_id",))
+    pages = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+    chosen = pages.join(acc.select("page_id"), "page_id", "left_semi")
+    meta = ctx.page_text(chosen.select("page_id", "html")).select("page_id", "title", F.col("text").alias("content"))
+    return ctx.candidates(acc.join(meta, "page_id", "left"), "request_id", "pos"), pages
 
 
 @register("candidate_prompt")
@@ -236,14 +242,193 @@ def q_candidate_prompt(spark, sf_dir):
     return ctx.render_candidates(cands)
 
 
+def model_responses(cands, conversations_df):
+    """A model's answer per request: the assistant turns of the conversation of
+    that number, behind the final-channel marker, with a list of chosen ids.
+    Ids follow from the text's length, so some are no candidate's."""
+    said = (conversations_df.where(F.col("role") == "assistant").groupBy(F.col("conv_id").alias("request_id"))
+            .agg(F.min_by("text", "turn").alias("said")))
+    n = F.length("said")
+    picked = F.array_join(F.array(*[(F.floor(n / d) % 25).cast("string") for d in (1, 3, 7, 19)]), ", ")
+    text = F.concat(F.lit("[99] thinking "), F.substring("said", 1, 40), F.lit(FINAL_CHANNEL_MARKER), F.lit("  Best: ["), picked, F.lit("] "))
+    return cands.select("request_id").distinct().join(said, "request_id").select("request_id", text.alias("text"))
+
+
+def _selected(spark, sf_dir):
+    cands, pages = _web_candidates(spark, sf_dir)
+    responses = model_responses(cands, conversations(spark, sf_dir))
+    return cands, pages, responses, ctx.valid_selection(cands, responses)
+
+
+@register("selection")
+def q_selection(spark, sf_dir):
+    """Ids chosen by the answers that are candidates, in the answers' order."""
+    *_, sel = _selected(spark, sf_dir)
+    return sel.select("request_id", F.col("sel_pos").cast("long").alias("sel_pos"), F.col("id").cast("long").alias("id"))
+
+
 @register("web_context")
 def q_web_context(spark, sf_dir):
-    """Every candidate selected: page join, text extraction, numbered context."""
-    cands, pages = _web_candidates(spark, sf_dir)
-    docs = ctx.extract_pages(cands, pages)
+    """Chosen candidates: page join, text extraction, numbered context."""
+    cands, pages, _, sel = _selected(spark, sf_dir)
+    chosen = ctx.select_results(cands, sel)
+    # the page of a url is its first landing
+    near = pages.join(chosen.select("url").distinct(), "url", "left_semi")
+    first = near.groupBy("url").agg(F.min_by("html", "page_id").alias("html"))
+    docs = ctx.extract_pages(chosen, first)
     return ctx.pack_context(docs).select("request_id", F.col("n_sources").cast("long").alias("n_sources"), "context")
 
 
+@register("report")
+def q_report(spark, sf_dir):
+    """Report rows of each request over its accepted results."""
+    acc = web.merge_results(page_results(spark, sf_dir), max_sources=WebConfig().max_sources, arrival=("page_id",))
+    meta = read_table(spark, sf_dir, "pages", "page_id", "html").join(acc.select("page_id"), "page_id", "left_semi")
+    meta = meta.select("page_id", ctx.html_title("html").alias("title"), ctx.html_main_text("html").alias("content"), F.lit("pages").alias("engine"))
+    out = web.report_lines(acc.join(meta, "page_id"))
+    return out.select("request_id", F.col("pos").cast("long").alias("pos"), "title", "url", "engine", "snippet")
+
+
+# ---------------------------------------------------------------------------
+# landed responses, search log, retries (derived from pages and events)
+# ---------------------------------------------------------------------------
+
+
+def search_bodies(spark, sf_dir):
+    """One JSON body per request and query (a request has several), with the
+    results that landed for it; a request whose number of pages is incomplete
+    has a body that does not parse."""
+    p = page_results(spark, sf_dir).withColumn("query_pos", F.floor(F.col("page_id") % PAGES_PER_REQUEST / 5).cast("int"))
+    host = url_host("url")
+    result = F.struct(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("title"), F.col("url").alias("url"),
+                      F.concat(F.lit("about "), host).alias("content"), F.when(host.endswith(".com"), F.lit("brave")).alias("engine"),
+                      F.lit(None).cast("string").alias("published_date"))
+    body = F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("page_id", result.alias("r")))), lambda x: x["r"]).alias("results")))
+    return (p.groupBy("request_id", "query_pos").agg(body.alias("body"), F.count(F.lit(1)).alias("n"))
+             .withColumn("body", F.when(F.col("n") < 5, F.concat(F.lit("<html>"), F.col("body"))).otherwise(F.col("body"))).drop("n"))
+
+
+def url_host(url):
+    return F.regexp_extract(F.col(url), r"://([^/?#]*)", 1)
+
+
+@register("search_responses")
+def q_search_responses(spark, sf_dir):
+    """Parsed results of all bodies; a failed query keeps a row and its error."""
+    bodies = search_bodies(spark, sf_dir)
+    rows = web.read_search_responses(bodies, "body", max_results=4)
+    out = bodies.select("request_id", "query_pos").join(rows, ["request_id", "query_pos"], "left")
+    return out.select("request_id", F.col("query_pos").cast("long").alias("query_pos"), F.col("result_pos").cast("long").alias("result_pos"),
+                      "title", "url", "content", "engine", F.when(F.col("result_pos").isNull(), F.lit("no results")).alias("error"))
+
+
+@register("engine_breakdown")
+def q_engine_breakdown(spark, sf_dir):
+    rows = web.read_search_responses(search_bodies(spark, sf_dir), "body")
+    return web.engine_breakdown(rows)
+
+
+def search_log(spark, sf_dir):
+    """events as searches: a user's search of the same kind within an hour
+    before makes it a cache hit, errors find nothing, the value is the number
+    of results."""
+    e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))) / 1e6
+    return e.select("event_id", "user_id", "event_type", "props", F.coalesce(gap <= WebConfig().cache_ttl_seconds, F.lit(False)).alias("from_cache"),
+                    F.when(F.col("event_type") == "error", 0).otherwise(F.floor("value")).cast("int").alias("n_results"),
+                    (F.col("value") > 50).alias("simplified"))
+
+
+@register("search_stats")
+def q_search_stats(spark, sf_dir):
+    return web.search_stats(search_log(spark, sf_dir))
+
+
+def attempts(spark, sf_dir):
+    """events as search attempts: up to three for a user's request; errors
+    fail, values under 5 are empty answers."""
+    e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+    k = F.get_json_object("props", "$.k").cast("int")
+    query = F.concat(F.lit("best RAG "), F.col("event_type"), F.when(k < 50, F.concat(F.lit(" in "), (F.lit(1990) + k).cast("string"))).otherwise(F.lit("")))
+    used = F.when(k < 30, F.array(F.lit("duckduckgo"), F.lit("brave"))).when(k < 60, F.array(F.lit("qwant"))).otherwise(
+        F.array(*[F.lit(x) for x in WebConfig().preferred_engines]))
+    status = F.when(F.col("event_type") == "error", "error").when(F.col("value") < 5, "empty").otherwise("ok")
+    attempt = (F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")) - 1) % 3
+    return e.select("event_id", attempt.alias("attempt"), query.alias("query"), query.alias("original_query"), used.alias("engines"),
+                    F.floor("value").cast("int").alias("n_results"), status.alias("status"))
+
+
+BANNED = ("brave",)
+
+
+@register("retry_plan")
+def q_retry_plan(spark, sf_dir):
+    """What follows each attempt; engines once without and once with a ban."""
+    a = attempts(spark, sf_dir)
+    banned = F.array(*[F.lit(x) for x in BANNED])
+    plan = web.retry_plan(a, WebConfig().max_retries, banned)
+    return plan.select("event_id", F.col("attempt").cast("long").alias("attempt"), "retry", F.array_join("next_engines", ",").alias("next_engines"), "next_query",
+                       F.col("backoff_s").cast("long").alias("backoff_s"), "suggestion",
+                       F.array_join(web.allowed_engines(F.col("engines"), banned), ",").alias("allowed"))
+
+
+@register("recency_filter")
+def q_recency_filter(spark, sf_dir):
+    """Events of the last week before the newest one, of one category."""
+    e = read_table(spark, sf_dir, "events", "event_id", "ts", "event_type").withColumn("ts", F.col("ts").cast("timestamp"))
+    now = e.select(F.max("ts")).scalar()
+    return web.recency_filter(e, "week", now, "ts", "view", "event_type").select("event_id", "event_type")
+
+
+@register("tool_metrics")
+def q_tool_metrics(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events", "event_type", "value", "props")
+    log = e.select(F.concat(F.lit("tool "), F.get_json_object("props", "$.k")).alias("tool"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("latency_ms"))
+    m = ev.tool_metrics(log)
+    return m.select("tool", "calls", F.round("success_rate", 6).alias("success_rate"), F.round("p50_ms", 6).alias("p50_ms"), F.round("p95_ms", 6).alias("p95_ms"))
+
+
+@register("quality_by_setup")
+def q_quality_by_setup(spark, sf_dir):
+    """Setups = event types, queries = users, domains = the k of an event."""
+    e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+    w = Window.partitionBy("event_type", "user_id").orderBy("ts", "event_id")
+    rows = e.select(F.col("event_type").alias("setup"), F.col("user_id").alias("query_id"), F.row_number().over(w).alias("rank"),
+                    (F.col("value") > 20).alias("relevant"), F.get_json_object("props", "$.k").alias("domain"))
+    m = ev.quality_by_setup(rows)
+    return m.select("setup", F.round("coverage_pct", 6).alias("coverage_pct"), F.round("diversity", 6).alias("diversity"), "n_queries")
+
+
+@register("graded_metrics")
+def q_graded_metrics(spark, sf_dir):
+    """Explicit judgments with grades 0 to 3: a user's events ranked by time,
+    graded by their value; what the ranking left out is judged, too."""
+    e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "value")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    ranked = e.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 10).select(F.col("user_id").alias("query_id"), F.col("event_id").alias("doc_id"), "rank")
+    grade = F.when(F.col("value") > 60, 3).when(F.col("value") > 30, 2).when(F.col("value") > 10, 1).otherwise(0)
+    qrels = e.select(F.col("user_id").alias("query_id"), F.col("event_id").alias("doc_id"), grade.alias("grade"))
+    m = ev.rank_metrics(ranked.select("query_id").distinct(), ranked, qrels, METRIC_KS)
+    return m.select("query_id", *[F.round(c, 6).alias(c) for c in m.columns if c != "query_id"])
+
+
+@register("history_erased")
+def q_history_erased(spark, sf_dir):
+    """Conversations without those that hold a message of over 800 characters."""
+    c = conversations(spark, sf_dir)
+    return mem.erase_history(c, c.where(F.length("text") > 800).select("conv_id")).select("conv_id", "turn", "role")
+
+
+@register("history_export")
+def q_history_export(spark, sf_dir):
+    """Messages of those conversations, written as JSON lines and read back."""
+    c = conversations(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark)}/history-{uuid.uuid4().hex}"
+    mem.export_history(c, c.where(F.length("text") > 800).select("conv_id"), path)
+    return spark.read.schema("conv_id long, turn long, role string, text string").json(path).select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"))
+
+
 # ---------------------------------------------------------------------------
 # evaluation: ranking metrics, latency and run statistics
 # ---------------------------------------------------------------------------
@@ -293,9 +478,13 @@ def events_as_latency_log(spark, sf_dir):
                       F.col("value").alias("latency_ms"), "event_type")
 
 
+P95_LIMIT = 80.0
+
+
 @register("latency_summary")
 def q_latency_summary(spark, sf_dir):
-    s = ev.latency_summary(events_as_latency_log(spark, sf_dir), step_seconds=3600.0)
+    # a limit that some hours pass and others break
+    s = ev.latency_summary(events_as_latency_log(spark, sf_dir), step_seconds=3600.0, p95_limit=P95_LIMIT)
     return s.select("step", "n_ok", "n_error", F.round("p95", 6).alias("p95"), F.round("p99", 6).alias("p99"),
                     F.round("rps", 6).alias("rps"), "breached", "ramp_end")
 

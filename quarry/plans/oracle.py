@@ -240,26 +240,34 @@ DEDUP_CTE = """
 _first_url AS (SELECT *, row_number() OVER (PARTITION BY norm_url ORDER BY page_id) AS _r FROM nu QUALIFY _r = 1),
 _capped AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS _d FROM _first_url QUALIFY _d <= 2)"""
 
+# the same inside each request of 20 landed pages
+REQUESTS_CTE = """
+_req AS (SELECT *, page_id // 20 AS request_id FROM nu),
+_rq_url AS (SELECT *, row_number() OVER (PARTITION BY request_id, norm_url ORDER BY page_id) AS _r FROM _req QUALIFY _r = 1),
+_rq_cap AS (SELECT *, row_number() OVER (PARTITION BY request_id, domain ORDER BY page_id) AS _d FROM _rq_url QUALIFY _d <= 2),
+_rq_pos AS (SELECT request_id, page_id, url, norm_url, domain, row_number() OVER (PARTITION BY request_id ORDER BY page_id) AS pos FROM _rq_cap)"""
+
 ORACLE["url_normalize"] = f"WITH {PAGES_NU} SELECT page_id, norm_url, domain FROM nu"
 
 ORACLE["url_dedup_domain_cap"] = f"""
-WITH {PAGES_NU}, {DEDUP_CTE}
-SELECT page_id, norm_url, domain, pos FROM (
-  SELECT page_id, norm_url, domain, CAST(row_number() OVER (ORDER BY page_id) AS BIGINT) AS pos FROM _capped)
-WHERE pos <= 10"""
+WITH {PAGES_NU}, {REQUESTS_CTE}
+SELECT request_id, page_id, norm_url, domain, CAST(pos AS BIGINT) AS pos FROM _rq_pos WHERE pos <= 10"""
 
 ORACLE["url_dedup_all"] = f"WITH {PAGES_NU}, {DEDUP_CTE} SELECT page_id, norm_url, domain FROM _capped"
 
 ORACLE["dedup_stats"] = f"""
-WITH {PAGES_NU}, {DEDUP_CTE},
-acc AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY page_id) AS pos FROM _capped) WHERE pos <= 10),
-stop AS (SELECT CASE WHEN count(*) = 10 THEN max(page_id) END AS s FROM acc),
-dom AS (SELECT domain, count(*) AS n FROM acc GROUP BY domain)
-SELECT CAST((SELECT count(*) FROM acc) AS BIGINT) AS unique_urls,
-       CAST((SELECT count(*) FROM dom) AS BIGINT) AS unique_domains,
-       CAST((SELECT count(*) FROM pages, stop WHERE coalesce(url, '') <> '' AND (s IS NULL OR page_id <= s))
-            - (SELECT count(*) FROM acc) AS BIGINT) AS duplicates,
-       (SELECT string_agg(domain || ':' || CAST(n AS VARCHAR), ',' ORDER BY domain) FROM dom) AS domain_distribution"""
+WITH {PAGES_NU}, {REQUESTS_CTE},
+acc AS (SELECT * FROM _rq_pos WHERE pos <= 10),
+stop AS (SELECT request_id, CASE WHEN count(*) = 10 THEN max(page_id) END AS s FROM acc GROUP BY request_id),
+dom AS (SELECT request_id, domain, count(*) AS n FROM acc GROUP BY request_id, domain),
+sums AS (SELECT request_id, sum(n) AS urls, count(*) AS domains,
+                string_agg(domain || ':' || CAST(n AS VARCHAR), ',' ORDER BY domain) AS dist FROM dom GROUP BY request_id),
+seen AS (SELECT p.request_id, count(*) FILTER (WHERE s IS NULL OR p.page_id <= s) AS n
+         FROM (SELECT page_id, page_id // 20 AS request_id FROM pages WHERE coalesce(url, '') <> '') p LEFT JOIN stop USING (request_id)
+         GROUP BY p.request_id)
+SELECT request_id, CAST(coalesce(urls, 0) AS BIGINT) AS unique_urls, CAST(coalesce(domains, 0) AS BIGINT) AS unique_domains,
+       CAST(n - coalesce(urls, 0) AS BIGINT) AS duplicates, dist AS domain_distribution
+FROM seen LEFT JOIN sums USING (request_id)"""
 
 
 def collapse_sql(x: str) -> str:
@@ -295,12 +303,10 @@ WITH {PAGE_TEXT_CTE}
 SELECT page_id, url, title, text, CAST(length(text) AS BIGINT) AS n_chars FROM page_txt"""
 
 WEB_CANDS_CTE = f"""
-{PAGES_NU}, {DEDUP_CTE}, {PAGE_TEXT_CTE},
-_acc20 AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY page_id) AS pos FROM _capped) WHERE pos <= 20),
-_meta AS (SELECT url, any_value(title) AS title, any_value(text) AS content FROM page_txt GROUP BY url),
-cands AS (SELECT CAST(0 AS BIGINT) AS request_id, a.pos - 1 AS id, coalesce(m.title, 'No title') AS title,
-                 coalesce(a.url, '') AS url, coalesce(m.content, '') AS snippet
-          FROM _acc20 a LEFT JOIN _meta m USING (url))"""
+{PAGES_NU}, {REQUESTS_CTE}, {PAGE_TEXT_CTE},
+cands AS (SELECT a.request_id, a.pos - 1 AS id, coalesce(m.title, 'No title') AS title,
+                 coalesce(a.url, '') AS url, coalesce(m.text, '') AS snippet
+          FROM _rq_pos a LEFT JOIN page_txt m ON m.page_id = a.page_id WHERE a.pos <= 20)"""
 
 ORACLE["candidate_prompt"] = f"""
 WITH {WEB_CANDS_CTE}
@@ -308,15 +314,111 @@ SELECT request_id, string_agg('[' || CAST(id AS VARCHAR) || '] ' || title || ' |
                               '' ORDER BY id) AS candidates_text
 FROM cands WHERE id < 20 GROUP BY request_id"""
 
+# the last list of the answer behind the marker: length(said) // 1, 3, 7, 19, each modulo 25
+SELECTION_CTE = f"""
+{WEB_CANDS_CTE},
+_said AS (SELECT conv_id AS request_id, arg_min(text, turn) AS said FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+_picked AS (SELECT request_id, unnest([0, 1, 2, 3]) AS sel_pos, unnest([length(said) % 25, (length(said) // 3) % 25, (length(said) // 7) % 25, (length(said) // 19) % 25]) AS id
+            FROM _said WHERE request_id IN (SELECT request_id FROM cands)),
+_sel AS (SELECT p.request_id, p.sel_pos, p.id FROM _picked p JOIN cands c ON c.request_id = p.request_id AND c.id = p.id WHERE p.id < 20)"""
+
+ORACLE["selection"] = f"""
+WITH {SELECTION_CTE} SELECT request_id, CAST(sel_pos AS BIGINT) AS sel_pos, CAST(id AS BIGINT) AS id FROM _sel"""
+
 ORACLE["web_context"] = f"""
-WITH {WEB_CANDS_CTE},
-_docs AS (SELECT c.request_id, c.id, c.url, c.title, p.text FROM cands c JOIN page_txt p ON p.url = c.url),
+WITH {SELECTION_CTE},
+_page AS (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url),
+_docs AS (SELECT c.request_id, c.id, c.url, c.title, p.text
+          FROM cands c JOIN _page USING (url) JOIN page_txt p ON p.page_id = _page.page_id
+          WHERE (c.request_id, c.id) IN (SELECT (request_id, id) FROM _sel)),
 _n AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY id) AS n FROM _docs)
 SELECT request_id, CAST(count(*) AS BIGINT) AS n_sources,
        string_agg('---' || chr(10) || 'Source ' || CAST(n AS VARCHAR) || ': ' || title || chr(10) || 'URL: ' || url
                   || chr(10) || chr(10) || text || chr(10) || chr(10), '' ORDER BY n) AS context
 FROM _n GROUP BY request_id"""
 
+ORACLE["report"] = f"""
+WITH {PAGES_NU}, {REQUESTS_CTE}
+SELECT a.request_id, CAST(a.pos AS BIGINT) AS pos, {collapse_sql(entities_sql("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)"))} AS title, a.url,
+       'pages' AS engine, substr({main_text_sql('html')}, 1, 150) AS snippet
+FROM _rq_pos a JOIN pages p ON p.page_id = a.page_id WHERE a.pos <= 10"""
+
+# results of a query: the five pages of its quarter of a request; an incomplete quarter failed
+RESPONSES_CTE = """
+_h AS (SELECT page_id, url, page_id // 20 AS request_id, (page_id % 20) // 5 AS query_pos, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages),
+_b AS (SELECT *, count(*) OVER (PARTITION BY request_id, query_pos) AS n,
+              row_number() OVER (PARTITION BY request_id, query_pos ORDER BY page_id) - 1 AS result_pos FROM _h)"""
+
+ORACLE["search_responses"] = f"""
+WITH {RESPONSES_CTE}
+SELECT request_id, CAST(query_pos AS BIGINT) AS query_pos, CAST(result_pos AS BIGINT) AS result_pos, 'page ' || CAST(page_id AS VARCHAR) AS title, url,
+       'about ' || host AS content, CASE WHEN ends_with(host, '.com') THEN 'brave' END AS engine, NULL::VARCHAR AS error
+FROM _b WHERE n = 5 AND result_pos < 4
+UNION ALL
+SELECT DISTINCT request_id, CAST(query_pos AS BIGINT), NULL, NULL, NULL, NULL, NULL, 'no results' FROM _b WHERE n < 5"""
+
+ORACLE["engine_breakdown"] = f"""
+WITH {RESPONSES_CTE}
+SELECT CASE WHEN ends_with(host, '.com') THEN 'brave' ELSE 'unknown' END AS engine, count(*) AS results FROM _b WHERE n = 5 GROUP BY 1"""
+
+ORACLE["search_stats"] = """
+WITH g AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id))) / 1e6 AS gap FROM events),
+l AS (SELECT coalesce(gap <= 3600, false) AS hit, CASE WHEN event_type = 'error' THEN 0 ELSE CAST(floor(value) AS INT) END AS n, value > 50 AS simplified FROM g)
+SELECT count(*) AS total_queries, count(*) FILTER (WHERE hit) AS cache_hits, count(*) FILTER (WHERE NOT hit) AS cache_misses,
+       round(100.0 * count(*) FILTER (WHERE hit) / count(*), 6) AS hit_rate_pct,
+       CAST(coalesce(sum(n) FILTER (WHERE NOT hit), 0) AS BIGINT) AS total_results, count(*) FILTER (WHERE simplified) AS simplified_queries FROM l"""
+
+# a year is dropped (1990 to 2039 all are years), "RAG" is spelled out; brave is banned
+ORACLE["retry_plan"] = """
+WITH a AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k,
+                  CASE WHEN event_type = 'error' THEN 'error' WHEN value < 5 THEN 'empty' ELSE 'ok' END AS status,
+                  (row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1) % 3 AS attempt FROM events),
+q AS (SELECT *, 'best RAG ' || event_type || CASE WHEN k < 50 THEN ' in ' || CAST(1990 + k AS VARCHAR) ELSE '' END AS query,
+             'best retrieval augmented generation ' || event_type || CASE WHEN k < 50 THEN ' in' ELSE '' END AS plain,
+             status <> 'ok' AND attempt < 2 AS again FROM a)
+SELECT event_id, CAST(attempt AS BIGINT) AS attempt, again AS retry,
+       CASE WHEN NOT again THEN NULL
+            WHEN status = 'empty' THEN CASE WHEN k < 30 THEN 'qwant,wikipedia' WHEN k < 60 THEN 'duckduckgo,wikipedia' ELSE 'duckduckgo' END
+            WHEN k < 30 THEN 'duckduckgo,brave' WHEN k < 60 THEN 'qwant' ELSE 'duckduckgo,brave,qwant,wikipedia' END AS next_engines,
+       CASE WHEN NOT again THEN NULL WHEN status = 'empty' AND attempt = 1 THEN plain ELSE query END AS next_query,
+       CASE WHEN again THEN CAST(pow(2, attempt) AS BIGINT) END AS backoff_s, plain AS suggestion,
+       CASE WHEN k < 30 THEN 'duckduckgo' WHEN k < 60 THEN 'qwant' ELSE 'duckduckgo,qwant,wikipedia' END AS allowed
+FROM q"""
+
+ORACLE["recency_filter"] = """
+SELECT event_id, event_type FROM events WHERE event_type = 'view' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY"""
+
+ORACLE["tool_metrics"] = """
+SELECT 'tool ' || json_extract_string(props, '$.k') AS tool, count(*) AS calls, round(avg(CAST(event_type <> 'error' AS DOUBLE)), 6) AS success_rate,
+       round(quantile_cont(value, 0.5), 6) AS p50_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms
+FROM events GROUP BY 1"""
+
+ORACLE["quality_by_setup"] = """
+WITH r AS (SELECT event_type AS setup, user_id, value > 20 AS relevant, json_extract_string(props, '$.k') AS domain,
+                  row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS rank FROM events),
+q AS (SELECT setup, user_id, count(*) FILTER (WHERE relevant) AS n, count(DISTINCT domain) FILTER (WHERE rank <= 10) AS d FROM r GROUP BY setup, user_id)
+SELECT setup, round(100.0 * avg(CAST(n >= 5 AS DOUBLE)), 6) AS coverage_pct, round(avg(d), 6) AS diversity, count(*) AS n_queries FROM q GROUP BY setup"""
+
+GRADED = ", ".join(
+    f"coalesce(count(*) FILTER (WHERE rank <= {k} AND grade > 0), 0) / {k}.0 AS p{k}, "
+    f"coalesce(count(*) FILTER (WHERE rank <= {k} AND grade > 0), 0) AS hit{k}, "
+    f"coalesce(sum((pow(2, grade) - 1) / log2(rank + 1)) FILTER (WHERE rank <= {k}), 0) AS dcg{k}, "
+    f"coalesce(sum((pow(2, grade) - 1) / log2(best + 1)) FILTER (WHERE best <= {k}), 0) AS idcg{k}" for k in (1, 3, 5, 10))
+
+ORACLE["graded_metrics"] = f"""
+WITH j AS (SELECT user_id AS query_id, event_id, CASE WHEN value > 60 THEN 3 WHEN value > 30 THEN 2 WHEN value > 10 THEN 1 ELSE 0 END AS grade,
+                  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rank FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, event_id) AS best,
+             sum(CAST(grade > 0 AS INT)) OVER (PARTITION BY query_id ORDER BY rank) AS cum FROM j),
+m AS (SELECT query_id, {GRADED}, count(*) FILTER (WHERE grade > 0) AS rel,
+             coalesce(sum(cum / rank) FILTER (WHERE rank <= 10 AND grade > 0), 0) AS ap_sum FROM o GROUP BY query_id)
+SELECT query_id, {", ".join(f"round(p{k}, 6) AS p_at_{k}, round(CASE WHEN rel > 0 THEN hit{k} / rel ELSE 0 END, 6) AS r_at_{k}, round(CASE WHEN idcg{k} > 0 THEN dcg{k} / idcg{k} ELSE 0 END, 6) AS ndcg_at_{k}" for k in (1, 3, 5, 10))},
+       round(CASE WHEN rel > 0 THEN ap_sum / rel ELSE 0 END, 6) AS ap FROM m"""
+
+_LONG = "(SELECT conv_id FROM conversations WHERE length(text) > 800)"
+ORACLE["history_erased"] = f"SELECT conv_id, turn, role FROM conversations WHERE conv_id NOT IN {_LONG}"
+ORACLE["history_export"] = f"SELECT conv_id, turn, role, CAST(length(text) AS BIGINT) AS n_chars FROM conversations WHERE conv_id IN {_LONG}"
+
 
 LABEL_METRICS_CTE = """
 e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings
@@ -383,7 +485,7 @@ s AS (SELECT step, count(*) FILTER (WHERE status = 'ok') AS n_ok, count(*) FILTE
              quantile_cont(latency_ms, 0.95) FILTER (WHERE status = 'ok') AS p95,
              quantile_cont(latency_ms, 0.99) FILTER (WHERE status = 'ok') AS p99
       FROM lg GROUP BY step),
-b AS (SELECT *, coalesce(p95 > 3000.0, false) AS breached FROM s)
+b AS (SELECT *, coalesce(p95 > 80.0, false) AS breached FROM s)
 SELECT step, n_ok, n_error, round(p95, 6) AS p95, round(p99, 6) AS p99, round(n_ok / 3600.0, 6) AS rps, breached,
        (SELECT min(step) FROM b WHERE breached) AS ramp_end
 FROM b"""
@@ -432,15 +534,23 @@ sr AS (SELECT ts, event_type, props,
 sk AS (SELECT *, md5(query || ':brave,duckduckgo,qwant,wikipedia') AS cache_key FROM sr)"""
 
 
-def _valid_sql(p: str) -> str:
+def _parses_sql(p: str) -> str:
     c = f"regexp_replace({p}, '^\\x{{feff}}', '')"
-    return f"(coalesce(trim({c}), '') <> '' AND coalesce(json_valid({c}), false) AND regexp_replace({c}, '\\s', '', 'g') <> '{{}}')"
+    return f"(coalesce(trim({c}), '') <> '' AND coalesce(json_valid({c}), false))"
+
+
+def _valid_sql(p: str) -> str:
+    """Parses, and the value is not one that stands for nothing."""
+    c = f"trim(regexp_replace({p}, '^\\x{{feff}}', ''))"
+    nothing = f"(json_type({c}) = 'NULL' OR {c} IN ('false', '\"\"') OR coalesce(try_cast({c} AS DOUBLE) = 0, false) " \
+              f"OR regexp_replace({c}, '\\s', '', 'g') IN ('{{}}', '[]'))"
+    return f"({_parses_sql(p)} AND NOT CASE WHEN {_parses_sql(p)} THEN {nothing} ELSE true END)"
 
 
 ORACLE["cache_lookup"] = f"""
 WITH {SEARCH_REQ},
 w AS (SELECT cache_key, props AS payload, ts AS written_at FROM sk WHERE event_type <> 'error'),
-cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY written_at DESC) AS r FROM w) WHERE r = 1),
+cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY written_at DESC, payload DESC) AS r FROM w) WHERE r = 1),
 nw AS (SELECT max(ts) AS now FROM sk),
 req AS (SELECT DISTINCT cache_key, query FROM sk),
 j AS (SELECT req.cache_key, req.query, cur.payload, cur.written_at,
@@ -456,8 +566,8 @@ FROM j"""
 ORACLE["cache_repair"] = f"""
 WITH {SEARCH_REQ},
 cur AS (SELECT * FROM (SELECT cache_key, props AS payload,
-                              row_number() OVER (PARTITION BY cache_key ORDER BY ts DESC) AS r FROM sk) WHERE r = 1)
-SELECT count(*) FILTER (WHERE NOT {_valid_sql('payload')}) AS repaired, count(*) AS total FROM cur"""
+                              row_number() OVER (PARTITION BY cache_key ORDER BY ts DESC, props DESC) AS r FROM sk) WHERE r = 1)
+SELECT count(*) FILTER (WHERE NOT {_parses_sql('payload')}) AS repaired, count(*) AS total FROM cur"""
 
 
 _WC = r"[^\p{L}\p{N}_]"
