@@ -1,0 +1,63 @@
+"""run() against its stages done by brute force, one after the other."""
+import base64
+import hashlib
+
+import public_tokenizers as P
+import tiktoken
+
+import corpus_pipeline
+from conftest import SF_SMALL
+from quarry.llm import decontaminate, quality
+import test_near_dedup
+import test_substring_dedup
+
+
+def test_equals_brute_force(spark):
+    docs, labels, bench = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    model = quality.train(docs, labels)
+    rows = [r for r in docs.collect() if model.score((r.text or "").encode()) >= quality.THRESHOLD]
+    kept = {d for d, _, _, k in test_near_dedup.brute([(r.doc_id, r.text) for r in rows]) if k}
+    rows = [r for r in rows if r.doc_id in kept]
+    gone = {}
+    for d, par, *_, first in test_substring_dedup.brute([(r.doc_id, r.text) for r in rows]):
+        if not first:
+            gone.setdefault(d, set()).add(par)
+    texts = {r.doc_id: (r, "\n".join(x for i, x in enumerate(r.text.split("\n")) if i not in gone.get(r.doc_id, ()))) for r in rows}
+    texts = {d: v for d, v in texts.items() if d not in gone or v[1].strip()}
+    items = [decontaminate._words([r.text]).h for r in bench.collect()]
+    clean = {}
+    for d, (r, t) in texts.items():
+        own = decontaminate._words([t]).h
+        if not len(own) or all(decontaminate.align(i, [own])[0][0] < decontaminate.THRESHOLD * 2 * len(i) for i in items if len(i) > 2):
+            clean[d] = (r, t)
+    assert 0 < len(clean) < len(texts) < docs.count()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for d, (r, t) in clean.items():
+        ids = library.encode_ordinary(t)
+        want[d] = (r.lang, r.source, len(ids), ids, hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    got = {r.doc_id: tuple(r)[1:] for r in corpus_pipeline.run(spark, SF_SMALL).collect()}
+    assert got == want
+
+
+def test_stages_keep_the_columns_and_take_odd_rows(spark):
+    schema = spark.read.parquet(f"{SF_SMALL}/documents.parquet").schema
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a b c d e f g", "en", "s", 13), (3, "same words in both of these", "en", "s", 27),
+            (3, "same words in both of these", "en", "s", 27), (4, "Same words in both of these", "de", "t", 27)]
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, SF_SMALL)
+        assert out.columns == docs.columns
+        assert stage(spark, docs.limit(0), SF_SMALL).collect() == []
+    near = corpus_pipeline.STAGES[1][1](spark, docs, SF_SMALL).collect()
+    assert sorted(str(r.doc_id) for r in near) == ["1", "2", "3", "None"]
+    assert corpus_pipeline.STAGES[0][1](spark, docs, SF_SMALL).columns == docs.columns
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_SMALL).count() == len(rows)
+
+
+def test_registered():
+    import __spark_entry__ as e
+    names = e.queries()
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert len(corpus_pipeline.STAGES) == 5
