@@ -110,19 +110,13 @@ def q_dense_topk(spark, sf_dir):
 
 @register("dense_topk_ivf")
 def q_dense_topk_ivf(spark, sf_dir):
-    """Approximate (IVF, 4 of 16 k-means cells) cosine top-50 of every stored
-    vector. Approximate, so it has no SQL oracle (rows-only check)."""
+    """The same over k-means cells that are skipped by bounds: equally exact."""
     e = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    r = dense_topk_ivf(e.withColumnRenamed("vec_id", "query_id"), e, k=SearchConfig().top_k_dense,
-                       n_cells=16, nprobe=4)
+    r = dense_topk_ivf(e.withColumnRenamed("vec_id", "query_id"), e, k=SearchConfig().top_k_dense)
     return r.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"),
                     F.round("score", 6).alias("score"), F.round("distance", 6).alias("distance"))
 
 
-# Registered queries without a SQL restatement (approximate results).
-ROWS_ONLY = {"dense_topk_ivf"}
-
-
 def hybrid_inputs(spark, sf_dir):
     chunks, postings, stats = lexical_index(spark, sf_dir)
     vecs = hashed_embedding(chunks.select("chunk_id", "chunk_text"), "chunk_text")

@@ -94,6 +94,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 SELECT query_id, vec_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score, round(1.0 - score, 6) + 0.0 AS distance
 FROM r"""
 ORACLE["dense_topk"] = DENSE_KNN
+ORACLE["dense_topk_ivf"] = DENSE_KNN
 
 
 def bucket_cte(name: str, source_sql: str, key: str, text: str) -> str:

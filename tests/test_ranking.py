@@ -86,15 +86,19 @@ def test_rerank_fallback_orders_by_lexical_score(spark):
     assert [r.chunk_id for r in rerank(df, scorer=None).orderBy("final_rank").collect()] == ["b", "c", "a"]
 
 
-@pytest.mark.parametrize("method", ["broadcast", "blocked"])
+@pytest.mark.parametrize("method", ["one block", "blocks", "cells"])
 def test_dense_topk_exact(spark, method):
+    from quarry.operators.dense import dense_topk_ivf
     rnd = np.random.default_rng(3)
     vecs = rnd.normal(size=(300, 16)).astype(np.float32)
     vecs[5] = vecs[4]                                   # an exact tie
     qs = rnd.normal(size=(25, 16))
     v = spark.createDataFrame([(i, [float(x) for x in vecs[i]]) for i in range(300)], "vec_id long, embedding array<float>")
     q = spark.createDataFrame([(i, [float(x) for x in qs[i]]) for i in range(25)], "query_id long, embedding array<double>")
-    got = dense_topk(q, v.repartition(7), k=10, method=method, block_rows=40)
+    if method == "cells":
+        got = dense_topk_ivf(q, v.repartition(7), k=10, n_cells=12, nprobe=1, max_cell_rows=20)
+    else:
+        got = dense_topk(q, v.repartition(7), k=10, **({"query_block": 10, "vector_block": 40} if method == "blocks" else {}))
     vn = vecs.astype(np.float64) / np.linalg.norm(vecs.astype(np.float64), axis=1, keepdims=True)
     qn = qs / np.linalg.norm(qs, axis=1, keepdims=True)
     s = qn @ vn.T
@@ -191,16 +195,18 @@ def test_hybrid_with_fresh_docs(spark):
     assert env[3].total == 0 and env[3].result_ids == ""
 
 
-def test_dense_ivf_full_probe_is_exact_and_partial_probe_recalls(spark):
+@pytest.mark.parametrize("cells, near, part", [(8, 8, 40), (8, 1, 2048), (1, 4, 30), (None, 4, 2048)])
+def test_dense_cells_are_exact(spark, cells, near, part):
+    """Clustered vectors: far cells are skipped, nothing is lost. Zero and null vectors link with nothing."""
     from quarry.operators.dense import dense_topk_ivf
-    from quarry.sources.tables import read_table
-    e = read_table(spark, "/root/testdata/sf0.01", "embeddings", "vec_id", "embedding")
-    q = e.withColumnRenamed("vec_id", "query_id")
-    exact = {(r.query_id, r.vec_id) for r in dense_topk(q, e, k=10).collect()}
-    full = {(r.query_id, r.vec_id) for r in dense_topk_ivf(q, e, k=10, n_cells=8, nprobe=8, max_cell_rows=40).collect()}
-    assert full == exact                                  # every cell probed, cells split into blocks
-    part = {(r.query_id, r.vec_id) for r in dense_topk_ivf(q, e, k=10, n_cells=8, nprobe=3).collect()}
-    assert len(part & exact) / len(exact) > 0.5           # recall of a partial probe
+    rnd = np.random.default_rng(5)
+    base = rnd.normal(size=(8, 12)) * 3
+    vecs = [[float(x) for x in base[i % 8] + rnd.normal(size=12) * 0.2] for i in range(240)]
+    e = spark.createDataFrame([*enumerate(vecs), (900, None), (901, [0.0] * 12)], "vec_id long, embedding array<double>")
+    q = e.where("vec_id < 60 or vec_id >= 900").withColumnRenamed("vec_id", "query_id")
+    key = lambda df: sorted((r.query_id, r.rank, r.vec_id) for r in df.collect())
+    assert key(dense_topk_ivf(q, e, 10, n_cells=cells, nprobe=near, max_cell_rows=part)) == key(dense_topk(q, e, 10))
+    assert dense_topk_ivf(q, e.limit(0), 10).collect() == []
 
 
 def test_semantic_dedup_greedy_keep_first(spark):
