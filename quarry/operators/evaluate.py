@@ -86,6 +86,22 @@ def macro_average(per_query: DataFrame) -> DataFrame:
 # Latency / load statistics
 # ---------------------------------------------------------------------------
 
+def exact_percentiles(values: DataFrame, by: str, value: str, ps: dict[str, float]) -> DataFrame:
+    """Linearly interpolated percentiles per group, from counts of distinct
+    values: partial counts shrink a hot group before the shuffle, and its
+    running counts are a sorted, spillable window instead of one in-memory map."""
+    n = values.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    run = Window.partitionBy(by).orderBy("_v")
+    n = n.withColumn("_to", F.sum("_n").over(run))
+    total = n.groupBy(F.col(by).alias("_by")).agg(F.sum("_n").alias("_all"))
+    n = n.join(total, F.col(by).eqNullSafe(F.col("_by")))
+    at = {c: (F.col("_all") - 1) * F.lit(p) for c, p in ps.items()}
+    ends = [F.min(F.when(F.col("_to") > f(x), F.col("_v"))).alias(f"_{c}{k}") for c, x in at.items() for k, f in enumerate((F.floor, F.ceil))]
+    part = [F.first(x - F.floor(x)).alias(f"_{c}f") for c, x in at.items()]
+    out = n.groupBy(by).agg(*ends, *part)
+    return out.select(by, *[(F.col(f"_{c}0") + (F.col(f"_{c}1") - F.col(f"_{c}0")) * F.col(f"_{c}f")).alias(c) for c in ps])
+
+
 def latency_summary(log: DataFrame, step_col: str = "step", status_col: str = "status",
                     latency_col: str = "latency_ms", step_seconds: float = 5.0,
                     p95_limit: float = 3000.0) -> DataFrame:
@@ -93,15 +109,12 @@ def latency_summary(log: DataFrame, step_col: str = "step", status_col: str = "s
     interpolation; NULL without successes), rps = successes / step seconds,
     ``breached`` = p95 > limit, ``ramp_end`` = first breached step.
 
-    ``percentile`` keeps one counter per distinct value and merges partial
-    maps, so memory follows the number of distinct latencies, not rows; use
-    ``percentile_approx`` instead for unbounded value domains.
+    Percentiles come from counts per distinct latency (``exact_percentiles``).
     """
     ok = F.col(status_col) == "ok"
-    lat = F.when(ok, F.col(latency_col))
-    s = log.groupBy(step_col).agg(
-        F.count_if(ok).alias("n_ok"), F.count_if(F.col(status_col) == "error").alias("n_error"),
-        F.percentile(lat, 0.95).alias("p95"), F.percentile(lat, 0.99).alias("p99"))
+    s = log.groupBy(step_col).agg(F.count_if(ok).alias("n_ok"), F.count_if(F.col(status_col) == "error").alias("n_error"))
+    p = exact_percentiles(log.where(ok), step_col, latency_col, {"p95": 0.95, "p99": 0.99}).withColumnRenamed(step_col, "_step")
+    s = s.join(p, F.col(step_col).eqNullSafe(F.col("_step")), "left").drop("_step")
     s = s.withColumn("rps", F.col("n_ok") / F.lit(float(step_seconds))) \
          .withColumn("breached", F.coalesce(F.col("p95") > p95_limit, F.lit(False)))
     ramp_end = s.where("breached").select(F.min(step_col)).scalar()
@@ -153,6 +166,6 @@ def quality_by_setup(results: DataFrame, setup: str = "setup", query: str = "que
 
 def tool_metrics(log: DataFrame, tool: str = "tool", ok: str = "ok", latency: str = "latency_ms") -> DataFrame:
     """Per tool: calls, success rate and latency p50/p95 (exact, linear)."""
-    return log.groupBy(tool).agg(
-        F.count(F.lit(1)).alias("calls"), F.avg(F.col(ok).cast("double")).alias("success_rate"),
-        F.percentile(latency, 0.5).alias("p50_ms"), F.percentile(latency, 0.95).alias("p95_ms"))
+    calls = log.groupBy(tool).agg(F.count(F.lit(1)).alias("calls"), F.avg(F.col(ok).cast("double")).alias("success_rate"))
+    p = exact_percentiles(log, tool, latency, {"p50_ms": 0.5, "p95_ms": 0.95}).withColumnRenamed(tool, "_tool")
+    return calls.join(p, F.col(tool).eqNullSafe(F.col("_tool")), "left").drop("_tool")

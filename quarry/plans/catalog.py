@@ -159,12 +159,34 @@ def q_hybrid_search(spark, sf_dir):
                     F.round("rerank_score", 6).alias("rerank_score"))
 
 
+def fresh_documents(spark, sf_dir):
+    """One fresh document a query: the text of the page of the same number."""
+    p = ctx.page_text(read_table(spark, sf_dir, "pages", "page_id", "html"))
+    q = benchmark_queries(spark, sf_dir).select("query_id")
+    return (p.select(F.col("page_id").alias("query_id"), F.lit(1).alias("fresh_pos"), "text").join(q, "query_id", "left_semi"))
+
+
 @register("hybrid_envelope")
 def q_hybrid_envelope(spark, sf_dir):
+    """Whole answers, fresh documents included; both lists are retrieved once."""
+    q, chunks, postings, stats, vecs = hybrid_inputs(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark)}/hits-{uuid.uuid4().hex}"
+    found = retrieve(q, chunks, postings, stats, vecs)
+    found.write.parquet(path)
+    hits = spark.read.schema(found.schema).parquet(path)
+    fresh = fresh_documents(spark, sf_dir)
+    final = hybrid_search(q, chunks, postings, stats, vecs, fresh=fresh, hits=hits)
+    e = envelope(q, hits, final, fresh)
+    shown = F.transform("results", lambda r: F.concat(r["final_rank"].cast("string"), F.lit(":"), r["search_type"]))
+    return e.select("query_id", "query", "bm25_count", "semantic_count", "fresh_count", "total", "result_ids", F.array_join(shown, ",").alias("results"))
+
+
+@register("rerank_fallback")
+def q_rerank_fallback(spark, sf_dir):
+    """Without a pair scorer the lexical score decides."""
     q, chunks, postings, stats, vecs = hybrid_inputs(spark, sf_dir)
-    hits = retrieve(q, chunks, postings, stats, vecs)
-    final = hybrid_search(q, chunks, postings, stats, vecs)
-    return envelope(q, hits, final)
+    r = hybrid_search(q, chunks, postings, stats, vecs, scorer=None)
+    return r.select("query_id", F.col("final_rank").cast("long").alias("final_rank"), "chunk_id", "search_type", F.round("bm25_score", 6).alias("bm25_score"))
 
 
 FLAGSHIP = "hybrid_search"

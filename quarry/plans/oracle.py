@@ -179,18 +179,6 @@ SELECT query_id, CAST(final_rank AS BIGINT) AS final_rank, chunk_id, doc_id, sea
        has_exact_match, round(rerank_score, 6) AS rerank_score
 FROM final"""
 
-ORACLE["hybrid_envelope"] = f"""
-{HYBRID_WITH}, {RERANK_CTE},
-_cnt AS (SELECT query_id, count(*) FILTER (WHERE retriever = 'bm25') AS bm25_count,
-                count(*) FILTER (WHERE retriever = 'semantic') AS semantic_count FROM _hits GROUP BY query_id),
-_res AS (SELECT query_id, count(*) AS total, string_agg(chunk_id, ',' ORDER BY final_rank) AS result_ids
-         FROM final GROUP BY query_id)
-SELECT b.item_id AS query_id, CAST(coalesce(bm25_count, 0) AS BIGINT) AS bm25_count,
-       CAST(coalesce(semantic_count, 0) AS BIGINT) AS semantic_count, CAST(0 AS BIGINT) AS fresh_count,
-       CAST(coalesce(total, 0) AS BIGINT) AS total, coalesce(result_ids, '') AS result_ids
-FROM benchmark b LEFT JOIN _cnt c ON c.query_id = b.item_id LEFT JOIN _res r ON r.query_id = b.item_id"""
-
-
 TRACKING_SQL = "['utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'ref', 'fbclid', " \
                "'gclid', 'source', 'si', '_hsenc', '_hsmi']"
 
@@ -421,6 +409,32 @@ ORACLE["history_erased"] = f"SELECT conv_id, turn, role FROM conversations WHERE
 ORACLE["history_export"] = f"SELECT conv_id, turn, role, CAST(length(text) AS BIGINT) AS n_chars FROM conversations WHERE conv_id IN {_LONG}"
 
 
+# candidates with the fresh document of each query: the page of the same number, behind all others
+RERANK_FRESH_CTE = RERANK_CTE.replace("f.*, c.doc_id, c.chunk_text AS text,", "f.*,").replace("c.chunk_text", "f.text").replace(
+    "FROM fused f JOIN chunks_id c USING (chunk_id) JOIN", "FROM _cf f JOIN")
+
+ORACLE["hybrid_envelope"] = f"""
+{HYBRID_WITH}, {PAGE_TEXT_CTE},
+_fresh AS (SELECT page_id AS query_id, 'fresh-1' AS chunk_id, substr(text, 1, 5000) AS text FROM page_txt WHERE page_id IN (SELECT item_id FROM benchmark)),
+_cf AS (SELECT f.query_id, f.chunk_id, f.fused_rank, f.search_type, c.chunk_text AS text FROM fused f JOIN chunks_id c USING (chunk_id)
+        UNION ALL SELECT query_id, chunk_id, 61, 'fresh', text FROM _fresh),
+{RERANK_FRESH_CTE},
+_cnt AS (SELECT query_id, count(*) FILTER (WHERE retriever = 'bm25') AS bm25_count,
+                count(*) FILTER (WHERE retriever = 'semantic') AS semantic_count FROM _hits GROUP BY query_id),
+_res AS (SELECT query_id, count(*) AS total, string_agg(chunk_id, ',' ORDER BY final_rank) AS result_ids,
+                string_agg(final_rank || ':' || search_type, ',' ORDER BY final_rank) AS results
+         FROM final GROUP BY query_id)
+SELECT b.item_id AS query_id, b.text AS query, CAST(coalesce(bm25_count, 0) AS BIGINT) AS bm25_count,
+       CAST(coalesce(semantic_count, 0) AS BIGINT) AS semantic_count, (SELECT count(*) FROM _fresh f WHERE f.query_id = b.item_id) AS fresh_count,
+       CAST(coalesce(total, 0) AS BIGINT) AS total, coalesce(result_ids, '') AS result_ids, coalesce(results, '') AS results
+FROM benchmark b LEFT JOIN _cnt c ON c.query_id = b.item_id LEFT JOIN _res r ON r.query_id = b.item_id"""
+
+ORACLE["rerank_fallback"] = f"""
+{HYBRID_WITH},
+_o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(bm25_score, 0), 9) DESC, fused_rank) AS final_rank FROM fused QUALIFY final_rank <= 5)
+SELECT query_id, CAST(final_rank AS BIGINT) AS final_rank, chunk_id, search_type, round(bm25_score, 6) AS bm25_score FROM _o"""
+
+
 LABEL_METRICS_CTE = """
 e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings
       WHERE embedding IS NOT NULL AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),

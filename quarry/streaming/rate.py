@@ -1,8 +1,10 @@
 """Request-rate windows per user (batch and stream share the plan).
 
 Limits: at most 10 searches per minute (tumbling windows) and 100 queries per
-hour (sliding 1-hour windows every minute). In a stream the watermark (10
-minutes, our choice) bounds state; rows later than it are dropped.
+hour (sliding 1-hour windows every minute). In a stream the watermark (an
+argument, 10 minutes unless given) bounds state; rows later than it are
+dropped. The batch form counts minutes first and spreads those counts over the
+60 windows that hold them, not every event.
 """
 
 from __future__ import annotations
@@ -15,16 +17,20 @@ PER_HOUR = 100
 WATERMARK = "10 minutes"
 
 
-def minute_counts(events: DataFrame, user: str = "user_id", ts: str = "ts", streaming: bool = False) -> DataFrame:
-    e = events.withWatermark(ts, WATERMARK) if streaming else events
+def minute_counts(events: DataFrame, user: str = "user_id", ts: str = "ts", streaming: bool = False, watermark: str = WATERMARK) -> DataFrame:
+    e = events.withWatermark(ts, watermark) if streaming else events
     return (e.groupBy(user, F.window(ts, "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("n"))
              .select(user, F.col("w.start").alias("window_start"), "n",
                      (F.col("n") > PER_MINUTE).alias("over_limit")))
 
 
-def hour_counts(events: DataFrame, user: str = "user_id", ts: str = "ts", streaming: bool = False) -> DataFrame:
-    e = events.withWatermark(ts, WATERMARK) if streaming else events
-    return (e.groupBy(user, F.window(ts, "1 hour", "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+def hour_counts(events: DataFrame, user: str = "user_id", ts: str = "ts", streaming: bool = False, watermark: str = WATERMARK) -> DataFrame:
+    if streaming:
+        e, ts, n = events.withWatermark(ts, watermark), ts, F.count(F.lit(1))
+    else:
+        minutes = minute_counts(events, user, ts)
+        e, ts, n = minutes.withColumnRenamed("n", "_n"), "window_start", F.sum("_n")
+    return (e.groupBy(user, F.window(ts, "1 hour", "1 minute").alias("w")).agg(n.alias("n"))
              .select(user, F.col("w.start").alias("window_start"), "n",
                      (F.col("n") > PER_HOUR).alias("over_limit")))
 

@@ -192,7 +192,12 @@ def test_hybrid_with_fresh_docs(spark):
     assert env[1].bm25_count == 2 and env[1].total >= 2
     assert env[2].bm25_count == 0 and env[2].semantic_count == 4   # unknown terms still hash into buckets
     assert env[3].bm25_count == 0 and env[3].semantic_count == 0   # no token: zero vector, no hits
-    assert env[3].total == 0 and env[3].result_ids == ""
+    assert env[3].total == 0 and env[3].result_ids == "" and env[3].results == []
+    final = hybrid_search(q, chunks, postings, stats, vecs, fresh=fresh)
+    full = {r.query_id: r for r in envelope(q, retrieve(q, chunks, postings, stats, vecs), final, fresh, "2024-01-01").collect()}
+    assert (full[1].query, full[1].timestamp, full[1].fresh_count, full[2].fresh_count) == ("beta", "2024-01-01", 1, 0)
+    assert [r.chunk_id for r in full[1].results] == full[1].result_ids.split(",") and "fresh-1" in full[1].result_ids
+    assert len(full[1].results) == full[1].total
 
 
 @pytest.mark.parametrize("cells, near, part", [(8, 8, 40), (8, 1, 2048), (1, 4, 30), (None, 4, 2048)])
