@@ -47,6 +47,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Rows that may be sent to every executor: some tens of megabytes of ids.
+FEW_ROWS = 500_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df`` (stored) marked for a broadcast join if its rows are counted to
+    be few; beyond that the join shuffles both sides."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
 # ---------------------------------------------------------------------------
 # words as 64-bit hashes, computed for whole batches of texts
 # ---------------------------------------------------------------------------
@@ -239,22 +249,46 @@ def text_bytes(column) -> list[bytes]:
 # connected components
 # ---------------------------------------------------------------------------
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", start: DataFrame | None = None) -> DataFrame:
     """(id, comp): smallest id reachable over the links (a, b), for each id
-    that has one. Labels travel along links and are then replaced by their own
-    label, so chains shrink by doubling; each round is stored."""
-    both = edges.select("a", "b").where("a <> b")
-    both = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name + "-edges")
-    label = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), name)
-    if label.isEmpty():
-        return label
-    while True:
-        near = (both.join(label.select(F.col("id").alias("b"), "comp"), "b")
-                    .groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near")))
-        lower = label.join(near, "id").select("id", "comp", F.least("comp", "near").alias("low"))
-        up = label.select(F.col("id").alias("low"), F.col("comp").alias("up"))
-        moved = stored(lower.join(up, "low").select("id", F.least("low", "up").alias("comp"),
-                                                    (F.least("low", "up") != F.col("comp")).alias("changed")), name)
-        label = moved.select("id", "comp")
-        if moved.where("changed").isEmpty():
-            return label
+    that has one. ``start`` is such a result for other links; its ids and
+    theirs are joined further.
+
+    Each round points every id to the smallest id it is linked with, then to
+    what that points to, and contracts the links to the ids pointed to. At
+    least half of the linked ids vanish in a round, and in practice nearly all
+    do. A hub's links are reduced by partial minima before the shuffle."""
+    links = edges.select("a", "b")
+    if start is not None:
+        links = _through(_through(links, start.select(F.col("id").alias("a"), F.col("comp").alias("to")), "a"),
+                         start.select(F.col("id").alias("b"), F.col("comp").alias("to")), "b")
+    links = stored(_ordered(links), name + "-edges")
+    steps = []
+    while not links.isEmpty():
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("low")), name)
+        up = low.select(F.col("id").alias("low"), F.col("low").alias("to"))
+        low = stored(low.join(up, "low").select("id", "to"), name)
+        steps.append(low)
+        links = stored(_ordered(links.join(low.withColumnRenamed("id", "a"), "a").select(F.col("to").alias("a"), "b")
+                                     .join(low.withColumnRenamed("id", "b"), "b").select("a", F.col("to").alias("b"))), name + "-edges")
+    if not steps:
+        return start if start is not None else links.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+    label = steps[0].select("id", F.col("to").alias("comp"))
+    for step in steps[1:]:
+        label = _through(label, step.withColumnRenamed("id", "comp"), "comp")
+    if start is not None:
+        label = stored(label, name)
+        label = (_through(start, label.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp")
+                 .unionByName(label.join(start.select("id"), "id", "left_anti")))
+    return stored(label.select("id", "comp"), name)
+
+
+def _through(rows: DataFrame, step: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``column`` replaced by what ``step`` (column, to) says, if anything."""
+    rest = [F.coalesce("to", column).alias(column) if c == column else F.col(c) for c in rows.columns]
+    return rows.join(step, column, "left").select(*rest)
+
+
+def _ordered(links: DataFrame) -> DataFrame:
+    return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -10,7 +10,7 @@ emits all pairs of its ids:
 3. what is left of a key with at most ``bucket`` ids is compared pair by pair,
    but only across components;
 4. ids of larger unfinished keys get an exact prefix-filter join: two sets of
-   similarity >= t share one of the rarest n - ceil(t n) + 1 shingles of each
+   similarity >= t share k of the rarest n - ceil(t n) + k shingles of each
    (rarity counted over those ids), so what many ids share (a common passage)
    never becomes a join key unless the sets can really reach t. There, too,
    a member first meets one member of a larger component, not all of them.
@@ -20,13 +20,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import components, stored
 
-BUCKET = 48
+BUCKET = 48             # ids of a key that are compared pair by pair
+SHARED = 3              # rare shingles that a candidate pair of the exact way shares
+SOME = 6                # members of a component that a candidate meets for each rare shingle, before it meets all
+FREQUENT = 200_000      # shingles whose frequency orders the sets
 
 
 def similar_enough(inter, n_a, n_b, percent: int = 75):
@@ -51,26 +55,65 @@ def confirm(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     return stored(met.select("a", "b"), name + "-links")
 
 
-def _prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
-    """(x, id) for the shingles among each set's rarest n - ceil(t n) + 1 that other sets have too."""
-    rows = sets.select("id", F.size("s").cast("long").alias("n"), F.explode("s").alias("x"))
-    shared = rows.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
-    rows = rows.join(shared, "x")
-    # shingles of one set alone come first in the order; they are not joined, only counted
-    own = W.partitionBy("id")
-    rows = rows.withColumn("place", F.row_number().over(own.orderBy("df", "x"))).withColumn("n_shared", F.count("*").over(own))
-    need = F.floor((F.col("n") * percent + 99) / 100)
-    return rows.where(F.col("place") + (F.col("n") - F.col("n_shared")) <= F.col("n") - need + 1).select("x", "id")
-
-
-def _exact_links(ids: DataFrame, comp: DataFrame, links: DataFrame, sets_of, percent: int, name: str) -> DataFrame:
-    """Links that join components of the ids, none of them missed.
-
-    Every member of a component meets, for each rare shingle, one member of
-    each larger component that has it. What stays apart is compared in full
+def _prefix_rows(sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """(x, id, least, n, most): the rarest n - ceil(t n) + SHARED shingles of each set.
+
+    Two sets that reach the threshold share at least ``least`` of these: SHARED,
+    or all they need if that is less. This holds for any one order of the
+    shingles; putting the frequent ones last only makes it selective, so a
+    bounded list of the most frequent ones (FREQUENT) serves for it.
+
+    ``most`` is the size of the largest set that can be similar enough: what a
+    set shares with any other is at most the number of its shingles that others
+    have, m, and m >= t / (1 + t) (n + n') bounds the other's size n'. Sets
+    that no size fits are left out. Shingles beyond a full list count as shared."""
+    spark = sets.sparkSession
+    often = (sets.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
+                 .orderBy(F.desc("df"), "x").limit(FREQUENT).collect())
+    x = np.array([r.x for r in often], dtype=np.int64)
+    order = np.argsort(x)
+    shared = spark.sparkContext.broadcast((x[order], np.array([r.df for r in often], dtype=np.int64)[order]))
+    full = len(often) >= FREQUENT
+
+    def run(batches):
+        known, df = shared.value
+        for batch in batches:
+            ids, lists = batch.column(0).to_numpy(), batch.column(1)
+            values, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
+            rank = np.ones(len(values), dtype=np.int64)
+            if len(known) and len(values):
+                at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+                rank = np.where(known[at] == values, df[at], 1)
+            out, owner, least, size, most = [], [], [], [], []
+            for k in range(len(ids)):
+                own, r = values[ends[k]:ends[k + 1]], rank[ends[k]:ends[k + 1]]
+                need = (len(own) * percent + 99) // 100
+                others = len(own) if full else int((r > 1).sum())
+                limit = others * (100 + percent) // percent - len(own)
+                if limit < need:
+                    continue
+                take = np.lexsort((own, r))[:len(own) - need + min(SHARED, need)]
+                out.append(own[take])
+                owner.append(np.full(len(take), ids[k]))
+                least.append(np.full(len(take), min(SHARED, need)))
+                size.append(np.full(len(take), len(own)))
+                most.append(np.full(len(take), limit))
+            cat = lambda v: pa.array(np.concatenate(v).astype(np.int64) if v else np.zeros(0, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([cat(out), cat(owner), cat(least), cat(size), cat(most)], names=["x", "id", "least", "n", "most"])
+    return sets.select("id", "s").mapInArrow(run, "x long, id long, least long, n long, most long")
+
+
+def _exact_links(ids: DataFrame, comp: DataFrame, sets_of, percent: int, name: str) -> DataFrame:
+    """Links that join components of the ids; none that would is missed.
+
+    A member of a component first meets one member of each larger component
+    that shares rare shingles with it. What stays apart is compared further
     only where a member shares enough of its set with the whole component."""
     sets = stored(sets_of(ids), name + "-prefix-sets")
-    rows = stored(_prefix_rows(sets, percent), name + "-prefix")
+    rows = stored(_prefix_rows(sets, percent, name), name + "-prefix")
+    # shingles of a set behind its rare ones: two sets share at most their k common rare ones and the longer such rest
+    rows = rows.withColumn("tail", F.floor((F.col("n") * percent + 99) / 100) - F.col("least"))
+    enough = lambda k, tail, n: F.lit(100 + percent) * (k + tail) >= F.lit(percent) * n
     have = lambda want: sets.join(want, "id", "left_semi")
 
     def placed(labels: DataFrame) -> DataFrame:
@@ -78,30 +121,51 @@ def _exact_links(ids: DataFrame, comp: DataFrame, links: DataFrame, sets_of, per
         size = own.groupBy("comp").agg(F.count("*").alias("size"))
         return stored(own.join(size, "comp").select("id", F.struct("size", "comp").alias("c")), name + "-placed")
 
-    def larger(place: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def near(place: DataFrame) -> DataFrame:
+        """(id, other, head) for ids and larger components that share enough rare shingles."""
         own = rows.join(place, "id")
-        heads = own.groupBy("x", F.col("c").alias("other")).agg(F.min("id").alias("head"))
-        return own, own.join(heads, "x").where("other > c")
-
-    _, met = larger(placed(comp))
-    pairs = met.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
-    first = confirm(pairs, have, percent, name + "-first")
-    place = placed(components(links.unionByName(first), name + "-comp1"))
-    own, met = larger(place)
-    near = stored(met.select("id", "other").distinct(), name + "-near")
-    if near.isEmpty():
+        heads = own.groupBy("x", F.col("c").alias("other")).agg(F.min("id").alias("head"), F.min("n").alias("small"), F.max("most").alias("reach"),
+                                                                    F.max("tail").alias("their"))
+        met = own.join(heads, "x").where("other > c and small <= most and reach >= n")
+        same = [F.first(c).alias(c) for c in ("least", "n", "tail")]
+        met = met.groupBy("id", "other", "head").agg(F.count("*").alias("k"), F.min("small").alias("small"), F.max("their").alias("their"), *same)
+        best = met.groupBy("id", "other").agg(F.sum("k").alias("k"), F.min("small").alias("small"), F.max("their").alias("their"), *same,
+                                              F.max_by("head", F.struct("k", "head")).alias("head"))
+        fits = (F.col("k") >= F.col("least")) & enough(F.col("k"), F.greatest("tail", "their"), F.col("n") + F.col("small"))
+        return stored(best.where(fits).select("id", "other", "head"), name + "-near")
+
+    def pair(x: str, y: str):
+        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+    first = confirm(near(placed(comp)).select(*pair("id", "head")).distinct(), have, percent, name + "-first")
+    label = components(first, name + "-comp1", comp)
+    place = placed(label)
+    apart = near(place).select("id", "other")
+    if apart.isEmpty():
         return first
+    # a member stays a candidate if the whole component has enough of its set
     spread = sets.join(place, "id").select("id", "c", F.size("s").alias("n"), F.explode("s").alias("x"))
-    whole = spread.join(near.select(F.col("other").alias("c")).distinct(), "c", "left_semi").select(F.col("c").alias("other"), "x").distinct()
-    shares = (spread.join(near, "id").join(whole, ["other", "x"]).groupBy("id", "other")
+    whole = spread.join(apart.select(F.col("other").alias("c")).distinct(), "c", "left_semi").select(F.col("c").alias("other"), "x").distinct()
+    shares = (spread.join(apart, "id").join(whole, ["other", "x"]).groupBy("id", "other")
                     .agg(F.count("*").alias("shared"), F.first("n").alias("n")))
     rest = stored(shares.where(F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("n")).select("id", "other"), name + "-rest")
     if rest.isEmpty():
         return first
-    theirs = own.select("x", F.col("c").alias("other"), F.col("id").alias("mate"))
-    pairs = rest.join(rows, "id").join(theirs, ["x", "other"])
-    pairs = pairs.select(F.least("id", "mate").alias("a"), F.greatest("id", "mate").alias("b")).distinct()
-    return first.unionByName(confirm(pairs, have, percent, name + "-second"))
+    # it meets some members for each rare shingle, and only if none of them links, all members
+    own = rows.join(place, "id").select("x", F.col("c").alias("other"), F.col("id").alias("mate"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("tail").alias("tail2"))
+    draws = [F.xxhash64("mate", F.lit(k)) for k in range(SOME)]
+    some = own.groupBy("x", "other").agg(F.array_distinct(F.array(*[F.min_by("mate", d) for d in draws])).alias("some"))
+    met = rows.join(rest, "id").join(some, ["x", "other"]).select("id", F.explode("some").alias("mate"))
+    second = confirm(met.select(*pair("id", "mate")).distinct(), have, percent, name + "-second")
+    label = stored(components(second, name + "-comp2", label), name + "-label")
+    mark = lambda c: label.select(F.col("id").alias(c), F.col("comp").alias("_" + c))
+    still = (rest.withColumn("group", F.col("other.comp")).join(mark("id"), "id", "left").join(mark("group"), "group", "left")
+                 .where(F.coalesce("_id", "id") != F.coalesce("_group", "group")).select("id", "other"))
+    met = rows.join(still, "id").join(own, ["x", "other"]).where("n2 <= most and n <= most2")
+    met = met.groupBy("id", "mate").agg(F.count("*").alias("k"), *[F.first(c).alias(c) for c in ("least", "n", "n2", "tail", "tail2")])
+    met = met.where((F.col("k") >= F.col("least")) & enough(F.col("k"), F.greatest("tail", "tail2"), F.col("n") + F.col("n2")))
+    third = confirm(met.select(*pair("id", "mate")).distinct(), have, percent, name + "-third")
+    return first.unionByName(second).unionByName(third)
 
 
 def _cross(rows: DataFrame, key: str) -> DataFrame:
@@ -130,9 +194,8 @@ def link_components(cands: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
         return comp
     done = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     pairs = _cross(left.where(F.col("n") <= bucket), "key")
-    links = links.unionByName(confirm(pairs.join(done, ["a", "b"], "left_anti"), sets_of, percent, name + "-more"))
+    comp = components(confirm(pairs.join(done, ["a", "b"], "left_anti"), sets_of, percent, name + "-more"), name + "-comp2", comp)
     large = left.where(F.col("n") > bucket).select("id").distinct()
-    if not large.isEmpty():
-        comp = components(links, name + "-comp2")
-        links = links.unionByName(_exact_links(large, comp, links, sets_of, percent, name))
-    return components(links, name + "-comp3")
+    if large.isEmpty():
+        return comp
+    return components(_exact_links(large, comp, sets_of, percent, name), name + "-comp3", comp)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (Words, minhashes, prepare, sequence_hash, shingles, signed, stored, text_bytes, units)
+from .common import (Words, few, minhashes, prepare, sequence_hash, shingles, signed, stored, text_bytes, units)
 from .linking import link_components
 
 HALVES, ROWS = 12, 2
@@ -104,7 +104,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, halves: int = HALVES, ro
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = reps.select("id", "doc_id", "h1", "h2").join(ids, "id", "left_semi")
-        who = wanted.select(F.col("doc_id").alias("_doc")).distinct()
+        who = few(stored(wanted.select(F.col("doc_id").alias("_doc")).distinct(), "near-who"))
         texts = text.join(who, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").select("text")
         sets = texts.mapInArrow(_sets, "h1 long, h2 long, s array<long>")
         return wanted.select("id", "h1", "h2").join(sets, ["h1", "h2"]).dropDuplicates(["id"]).select("id", "s")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, minhashes, prepare, sequence_hash, shingles, signed, stored, text_bytes, units
+from .common import Words, few, minhashes, prepare, sequence_hash, shingles, signed, stored, text_bytes, units
 from .linking import link_components
 
 MIN_WORDS = 15
@@ -104,7 +104,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 75, min_words: int = MIN
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = stored(reps.select("id", "doc_id", "par", "h1", "h2").join(ids, "id", "left_semi"), "par-wanted")
-        lines = wanted.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("par").alias("lines"))
+        lines = few(stored(wanted.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("par").alias("lines")), "par-lines"))
         texts = text.join(lines, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "lines")
         sets = texts.mapInArrow(_sets(min_words), "h1 long, h2 long, s array<long>")
         return wanted.select("id", "h1", "h2").join(sets, ["h1", "h2"]).dropDuplicates(["id"]).select("id", "s")
