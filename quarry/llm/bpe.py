@@ -24,6 +24,7 @@ results; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 import tempfile
@@ -40,7 +41,8 @@ from .common import prepare
 
 REMEMBERED = 500_000
 LONG_BYTES = 256
-ROUND_PIECES = 50_000
+ROUND_PIECES = 100_000    # pieces in one query
+GROUP_CHARS = 8 << 20     # characters of text whose new parts share a query
 
 # Rows stay in the order of (w, pos): one thread, insertion order kept, join sides fixed. The windows without an
 # ORDER BY then run as streams; ``Tokenizer._contract`` checks the order of what comes out.
@@ -92,7 +94,7 @@ SELECT w, pos, tok FROM step WHERE done
 """
 
 TOKENS = """
-SELECT w, string_agg(shown, ' ' ORDER BY pos) AS ids, unhex(string_agg(hexed, '' ORDER BY pos)) AS decoded
+SELECT w, string_agg(shown, ' ' ORDER BY pos) AS ids, string_agg(hexed, '' ORDER BY pos) AS decoded
 FROM done JOIN vocab USING (tok) GROUP BY w
 """
 DECODE = "SELECT w, unhex(string_agg(hexed, '' ORDER BY pos)) AS decoded FROM ids JOIN vocab USING (tok) GROUP BY w"
@@ -125,7 +127,8 @@ class Tokenizer:
         self.con.execute(f"SET temp_directory = '{tempfile.gettempdir()}'")
         kind = pa.int32()
         self._table("merges_in", {"l": pa.array(left, kind), "r": pa.array(right, kind), "made": pa.array(made, kind), "alike": pa.array(alike)})
-        self._table("vocab_in", {"tok": pa.array(list(self.ranks.values()), kind), "shown": pa.array([str(r) for r in self.ranks.values()]), "hexed": pa.array([t.hex() for t in self.ranks])})
+        self._table("vocab_in", {"tok": pa.array(list(self.ranks.values()), kind), "hexed": pa.array([t.hex() for t in self.ranks]),
+                                 "shown": pa.array([str(r) for r in self.ranks.values()])})
         self.con.execute("CREATE TABLE merges AS FROM merges_in")
         self.con.execute("CREATE TABLE vocab AS FROM vocab_in")
         self.young: dict[str, tuple[str, bytes]] = {}
@@ -150,7 +153,8 @@ class Tokenizer:
             raise RuntimeError("token positions came out of order")
         self.con.register("done", rows)
         got = self.con.sql(TOKENS).to_arrow_table()
-        return zip(*(got.column(c).to_pylist() for c in ("w", "ids", "decoded")), strict=True)
+        columns = [got.column(c).to_pylist() for c in ("w", "ids", "decoded")]
+        return zip(*columns[:2], map(bytes.fromhex, columns[2]), strict=True)
 
     def pieces(self, distinct: list[str]) -> dict[str, tuple[str, bytes]]:
         """ids as text and decoded bytes of each piece."""
@@ -203,14 +207,23 @@ class Tokenizer:
 
     def _learn(self, missing: list[str]) -> None:
         """Put parts into memory."""
+        young, old = self.young, self.old
         cut = list(map(self._cut, missing))
-        done = self.pieces(list(dict.fromkeys(chain.from_iterable(cut))))
+        done, new = {}, []
+        for p in set(chain.from_iterable(cut)):
+            key = p[1:] if p[0] == " " and p.rfind(" ") == 0 else " " + p      # a piece is a part, too
+            known = young.get(key) or old.get(key)
+            if known:
+                done[p] = known
+            else:
+                new.append(p)
+        done |= self.pieces(new)
         for k, own in zip(missing, cut, strict=True):
             if len(own) == 1:
-                self.young[k] = done[own[0]]
+                young[k] = done[own[0]]
             else:
                 got = [done[p] for p in own]
-                self.young[k] = (" ".join([x[0] for x in got]), b"".join([x[1] for x in got]))
+                young[k] = (" ".join([x[0] for x in got]), b"".join([x[1] for x in got]))
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
         """Number of ids, ids as text and decoded bytes of each text."""
@@ -251,7 +264,7 @@ def read_vocabulary(path: str) -> bytes:
         return f.read()
 
 
-def _groups(texts: list[str], size: int = 1 << 21):
+def _groups(texts: list[str], size: int = GROUP_CHARS):
     """Runs of texts of about ``size`` characters."""
     at = total = 0
     for i, t in enumerate(texts):
@@ -263,6 +276,19 @@ def _groups(texts: list[str], size: int = 1 << 21):
         yield texts[at:]
 
 
+def _joined(batches, size: int = 2 * GROUP_CHARS):
+    """Arrow batches put together to about ``size`` bytes."""
+    waiting, total = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+            waiting, total = [], 0
+    if waiting:
+        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+
+
 def _strings(column) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
@@ -275,8 +301,10 @@ def _mapped(docs: DataFrame, source, path: str, pattern: str, keep: tuple[str, .
 
     def run(batches):
         t = tokenizer(vocabulary.value, pattern)
-        for batch in batches:
+        for batch in _joined(batches):
+            gc.disable()      # nothing here is cyclic, and a scan of all remembered parts is slow
             made = build(t, batch.column(batch.num_columns - 1))
+            gc.enable()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made.values()], names=[*keep, *made])
 
     own = "".join(f"`{c}` {kinds[c]}, " for c in keep)
