@@ -40,13 +40,13 @@ from pyspark.sql import functions as F
 from .common import prepare, stored, text_bytes
 
 END = b"\n"             # cannot be a word
-SHORT, GROUPS = 255, 96
+SHORT, GROUPS = 63, 192
 HOT = 100_000
-CONTEXT = 4
-DIM = 16
-NOISE, BATCH, RATE = 48, 2048, 0.15
+CONTEXT = 5
+DIM = 8
+NOISE, BATCH, RATE, PAST = 32, 2048, 0.3, 1e-4
 COUNTED = 300_000       # words a task counts before it hands them on
-SCORED = 4096           # tokens in one matrix product
+SCORED = 1024           # tokens in one matrix product
 
 
 def held_out(key: str = "doc_id"):
@@ -59,9 +59,19 @@ def tokens(text: bytes) -> list[bytes]:
     return words
 
 
-def group(word: bytes) -> int:
+class _Groups(dict):
     """Class of a word outside the short list, by its first letters."""
-    return SHORT + int.from_bytes(word[:3], "big") * 2654435761 % (1 << 32) * GROUPS // (1 << 32)
+
+    def __missing__(self, letters: bytes) -> int:
+        self[letters] = SHORT + int.from_bytes(letters, "big") * 2654435761 % (1 << 32) * GROUPS // (1 << 32)
+        return self[letters]
+
+
+_GROUP = _Groups()
+
+
+def group(word: bytes) -> int:
+    return _GROUP[word[:3]]
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -94,8 +104,8 @@ class Lexicon:
         get = self.number.get
         n = np.array([get(w, -1) for w in words], dtype=np.int32)
         cls = self.cls[n] if len(self.cls) else np.zeros(len(n), dtype=np.int32)
-        for i in np.flatnonzero(n < 0):
-            cls[i] = group(words[i])
+        other = np.flatnonzero(n < 0)
+        cls[other] = [_GROUP[words[i][:3]] for i in other.tolist()]
         return n, cls
 
 
@@ -103,10 +113,25 @@ CLASSES = SHORT + GROUPS
 START = CLASSES         # what stands before a text
 
 
-def contexts(cls: np.ndarray) -> np.ndarray:
-    """(tokens, CONTEXT) classes before each token of one text, nearest first."""
-    padded = np.concatenate([np.full(CONTEXT, START, dtype=cls.dtype), cls])
-    return np.stack([padded[CONTEXT - 1 - j:CONTEXT - 1 - j + len(cls)] for j in range(CONTEXT)], axis=1)
+def contexts(cls: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """(tokens, CONTEXT) classes before each token of texts in a row, nearest first."""
+    place = np.arange(len(cls)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out = np.full((len(cls), CONTEXT), START, dtype=np.int32)
+    for j in range(CONTEXT):
+        inside = place > j
+        out[inside, j] = cls[np.flatnonzero(inside) - 1 - j]
+    return out
+
+
+class Batch:
+    """Tokens of texts in a row."""
+
+    def __init__(self, lexicon: Lexicon, texts: list[bytes]):
+        own = [tokens(t) for t in texts]
+        self.lengths = np.array([len(w) for w in own], dtype=np.int64)
+        self.words = [w for part in own for w in part]
+        self.number, self.cls = lexicon.classes(self.words)
+        self.ctx = contexts(self.cls, self.lengths)
 
 
 class LogBilinear:
@@ -139,14 +164,14 @@ class LogBilinear:
     def log_probabilities(self, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of P(target | ctx), normalised over all classes."""
         out = np.empty(len(target))
+        q = np.vstack([self.q.T, self.b[None]])                  # the bias as one more dimension
         for a in range(0, len(target), SCORED):
-            s = self.predict(ctx[a:a + SCORED]) @ self.q.T
-            s += self.b
-            top = s.max(axis=1, keepdims=True)
-            s -= top
+            hat = self.predict(ctx[a:a + SCORED])
+            s = np.column_stack([hat, np.ones(len(hat), dtype=np.float32)]) @ q
+            np.clip(s, -80, 80, out=s)                           # keeps the sum finite in single precision
             own = s[np.arange(len(s)), target[a:a + SCORED]].astype(np.float64)
             np.exp(s, out=s)
-            out[a:a + SCORED] = own - np.log(s.sum(axis=1, dtype=np.float64))
+            out[a:a + SCORED] = own - np.log(s.sum(axis=1), dtype=np.float64)
         return out
 
     def trainer(self, seed: int = 21):
@@ -155,11 +180,12 @@ class LogBilinear:
         noise_p = np.exp(self.log_unigram)
         ladder = np.cumsum(noise_p / noise_p.sum())
         log_noise = (np.log(NOISE) + self.log_unigram).astype(np.float32)
-        past = {k: np.full(getattr(self, k).shape, 1e-4, dtype=np.float32) for k in self.NAMES}
+        past = {k: np.full(getattr(self, k).shape, PAST, dtype=np.float32) for k in self.NAMES}
         sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
         def scatter(index, values, size):
-            return np.stack([np.bincount(index, weights=values[:, d], minlength=size) for d in range(values.shape[1])], axis=1)
+            rows = np.ascontiguousarray(values.T, dtype=np.float64)
+            return np.stack([np.bincount(index, weights=row, minlength=size) for row in rows], axis=1)
 
         def step(ctx: np.ndarray, target: np.ndarray) -> None:
             n = len(target)
@@ -172,10 +198,9 @@ class LogBilinear:
             np.add.at(g["q"], noise, down.T @ hat)
             np.add.at(g["b"], noise, down.sum(0))
             d_hat = up[:, None] * q_t + down @ q_n
-            g["r"], g["c"] = np.zeros(self.r.shape), np.empty(self.c.shape)
-            for j in range(CONTEXT):
-                g["c"][j] = (d_hat * self.r[ctx[:, j]]).sum(0)
-                g["r"] += scatter(ctx[:, j], d_hat * self.c[j], CLASSES + 1)
+            back = d_hat[:, None, :] * self.c                    # (tokens, CONTEXT, DIM)
+            g["c"] = np.einsum("td,tjd->jd", d_hat, self.r[ctx])
+            g["r"] = scatter(ctx.ravel(), back.reshape(-1, DIM), CLASSES + 1)
             for k, v in g.items():
                 v = (v / n).astype(np.float32)
                 past[k] += v * v
@@ -189,11 +214,11 @@ def _train(texts: DataFrame, lexicon, start) -> np.ndarray | None:
         words, model = lexicon.value, LogBilinear(start.value)
         step, seen, ctx, target, waiting = model.trainer(), 0, [], [], 0
         for batch in batches:
-            for t in text_bytes(batch.column(0)):
-                _, cls = words.classes(tokens(t))
-                ctx.append(contexts(cls))
-                target.append(cls)
-                waiting += len(cls)
+            for part in _groups(text_bytes(batch.column(0))):
+                b = Batch(words, part)
+                ctx.append(b.ctx)
+                target.append(b.cls)
+                waiting += len(b.cls)
                 if waiting >= 16 * BATCH:
                     seen += _steps(step, ctx, target, seen)
                     ctx, target, waiting = [], [], 0
@@ -213,6 +238,18 @@ def _train(texts: DataFrame, lexicon, start) -> np.ndarray | None:
     return flat
 
 
+def _groups(texts: list[bytes], size: int = 1 << 20):
+    """Runs of texts of about ``size`` bytes."""
+    at = total = 0
+    for i, t in enumerate(texts):
+        total += len(t)
+        if total >= size:
+            yield texts[at:i + 1]
+            at, total = i + 1, 0
+    if at < len(texts):
+        yield texts[at:]
+
+
 def _steps(step, ctx: list, target: list, seed: int) -> int:
     """Mini-batches over gathered texts, shuffled among themselves."""
     c, t = np.concatenate(ctx), np.concatenate(target)
@@ -238,36 +275,40 @@ def _class_mass(counts: DataFrame, lexicon) -> np.ndarray:
     return mass
 
 
-def _score_rows(lexicon, model, log_mass, kind: str):
-    """Per text: tokens, known hot tokens, sum of log10(c + 1) over hot tokens, log10 of the class part, other words."""
+def _score_rows(lexicon, model, log_mass, log_all: float, kind: str):
+    """Per text: tokens, known hot tokens, their base score, the model's score
+    but for the counts of the other words, and those words. Terms are joined
+    per token before they are summed: their sums would be large and cancel."""
     def run(batches):
         words, net, mass = lexicon.value, model.value, log_mass.value
         log_c = np.log10(words.count + 1)
         for batch in batches:
-            texts = text_bytes(batch.column(1))
-            n, hot, hot_log, part = ([0] * len(texts) for _ in range(4))
-            tails, amounts, ends = [], [], [0]
-            ctx, target, owner = [], [], []
-            for i, t in enumerate(texts):
-                own = tokens(t)
-                number, cls = words.classes(own)
-                is_hot = number >= 0
-                n[i], hot[i], hot_log[i] = len(own), int(is_hot.sum()), float(log_c[number[is_hot]].sum())
-                rest = Counter([own[k] for k in np.flatnonzero(~is_hot)])
-                tails += rest
-                amounts += rest.values()
-                ends.append(len(tails))
-                ctx.append(contexts(cls))
-                target.append(cls)
-                owner.append(np.full(len(cls), i))
-            if texts:
-                c, t, o = np.concatenate(ctx), np.concatenate(target), np.concatenate(owner)
-                each = net.log_probabilities(c, t) / math.log(10) - mass[t]
-                part = np.bincount(o, weights=each, minlength=len(texts))
-            tail = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+            n, hot, hot_log, part, tails, amounts, sizes = [], [], [], [], [], [], []
+            for texts in _groups(text_bytes(batch.column(1))):
+                b = Batch(words, texts)
+                owner = np.repeat(np.arange(len(texts)), b.lengths)
+                is_hot = b.number >= 0
+                known = np.where(is_hot, log_c[b.number], 0.0) if len(log_c) else np.zeros(len(owner))
+                each = net.log_probabilities(b.ctx, b.cls) / math.log(10) - mass[b.cls] + known
+                count = lambda v: np.bincount(owner, weights=v, minlength=len(texts))  # noqa: B023, E731
+                n.append(b.lengths)
+                hot.append(count(is_hot).astype(np.int64))
+                hot_log.append(count(np.where(is_hot, known - log_all, 0.0)))
+                part.append(count(each))
+                other = np.flatnonzero(~is_hot)
+                ends = np.searchsorted(owner[other], np.arange(len(texts)), side="right")
+                rare, at = [b.words[i] for i in other.tolist()], 0
+                for end in ends.tolist():
+                    rest = Counter(rare[at:end])
+                    tails += rest
+                    amounts += rest.values()
+                    sizes.append(len(rest))
+                    at = end
+            cat = lambda v, kind: pa.array(np.concatenate(v) if v else np.zeros(0), kind)
+            tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.StructArray.from_arrays(
                 [pa.array(tails, pa.binary()), pa.array(amounts, pa.int32())], names=["word", "k"]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(hot, pa.int64()), pa.array(hot_log, pa.float64()), pa.array(part, pa.float64()), tail],
+                [batch.column(0), cat(n, pa.int64()), cat(hot, pa.int64()), cat(hot_log, pa.float64()), cat(part, pa.float64()), tail],
                 names=["doc_id", "n_tokens", "hot", "hot_log", "part", "tail"])
     return run, f"doc_id {kind}, n_tokens long, hot long, hot_log double, part double, tail array<struct<word:binary,k:int>>"
 
@@ -291,15 +332,14 @@ def scores(docs: DataFrame) -> DataFrame:
     net = LogBilinear(log_unigram)
     if flat is not None:
         net.load(flat)
-    run, schema = _score_rows(lexicon, share(net), share(np.log10(with_unseen)), docs.schema["doc_id"].dataType.simpleString())
+    log_all = math.log10(total.n + total.v + 1)
+    run, schema = _score_rows(lexicon, share(net), share(np.log10(with_unseen)), log_all, docs.schema["doc_id"].dataType.simpleString())
     rows = stored(texts.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
     tail = rows.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.k")
     log_c = F.log10(F.coalesce("c", F.lit(0)) + 1)
     found = (tail.join(counts, "word", "left").groupBy("row")
-                 .agg(F.sum(F.col("k") * log_c).alias("tail_log"), F.sum(F.when(F.col("c").isNotNull(), F.col("k"))).alias("tail_known")))
-    full = rows.drop("tail").join(found, "row", "left").na.fill(0, ["tail_log", "tail_known"])
-    logs = F.col("hot_log") + F.col("tail_log")
+                 .agg(F.sum(F.col("k") * log_c).alias("tail_log"), F.sum(F.col("k") * (log_c - log_all)).alias("tail_base"), F.sum(F.when(F.col("c").isNotNull(), F.col("k"))).alias("tail_known")))
+    full = rows.drop("tail").join(found, "row", "left").na.fill(0, ["tail_log", "tail_base", "tail_known"])
     return full.select("doc_id", held_out().alias("held_out"), "n_tokens", (F.col("hot") + F.col("tail_known")).cast("long").alias("n_known"),
                        F.lit(int(total.n)).cast("long").alias("train_tokens"),
-                       (logs - F.col("n_tokens") * math.log10(total.n + total.v + 1)).alias("base_score"),
-                       (F.col("part") + logs).alias("score"))
+                       (F.col("hot_log") + F.col("tail_base")).alias("base_score"), (F.col("part") + F.col("tail_log")).alias("score"))

@@ -66,6 +66,12 @@ def test_probabilities_are_normalised():
         assert abs(np.exp(every).sum() - 1) < 1e-5
 
 
+def test_contexts_stay_inside_their_text():
+    got = lm.contexts(np.array([5, 6, 7, 8]), np.array([3, 1]))
+    s = lm.START
+    assert got.tolist() == [[s] * lm.CONTEXT, [5] + [s] * (lm.CONTEXT - 1), [6, 5] + [s] * (lm.CONTEXT - 2), [s] * lm.CONTEXT]
+
+
 def test_noise_contrast_learns_a_rule():
     """Classes alternate: training must find it."""
     log_unigram = np.log(np.full(lm.CLASSES, 1e-6))
@@ -73,7 +79,7 @@ def test_noise_contrast_learns_a_rule():
     net = lm.LogBilinear(log_unigram)
     step = net.trainer()
     cls = np.tile(np.arange(4), 5000)
-    ctx = lm.contexts(cls)
+    ctx = lm.contexts(cls, np.array([len(cls)]))
     for a in range(0, len(cls) - lm.BATCH, lm.BATCH):
         step(ctx[a:a + lm.BATCH], cls[a:a + lm.BATCH])
     assert net.log_probabilities(ctx[100:200], cls[100:200]).mean() > math.log(0.5)
