@@ -661,7 +661,7 @@ man AS (SELECT d.source || '/' || CAST(d.doc_id AS VARCHAR) || '.txt' AS path,
 _fw AS (SELECT f.*, m.file_hash AS mhash,
                list_filter(regexp_split_to_array(f.text, '{WS_CLASS}'), lambda x: x <> '') AS words
         FROM files f LEFT JOIN man m USING (path)),
-_fc AS (SELECT *, CASE WHEN text IS NULL OR length(text) < 100 THEN 0 ELSE
+_fc AS (SELECT *, CASE WHEN text IS NULL OR length(text) < 100 OR file_hash = '' OR coalesce(mhash = file_hash, false) THEN 0 ELSE
                   len(list_filter(list_transform(range(0, len(words), 240),
                                                  lambda s: length(array_to_string(list_slice(words, s + 1, s + 393), ' '))),
                                   lambda n: n >= 100)) END AS n_chunks FROM _fw),
