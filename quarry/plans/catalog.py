@@ -454,19 +454,20 @@ METRIC_KS = (1, 3, 5, 10)
 
 
 def _label_metrics(spark, sf_dir):
-    """Dense top-10 of every vector; relevant = same label (judged from counts,
-    no pair table)."""
+    """Dense top-10 of every vector among the others; relevant = same label
+    (judged from counts, no pair table)."""
     e = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
     kmax = max(METRIC_KS)
-    ranked = dense_topk(e.withColumnRenamed("vec_id", "query_id"), e, k=kmax) \
-        .select("query_id", F.col("vec_id").alias("doc_id"), "rank")
+    ranked = dense_topk(e.withColumnRenamed("vec_id", "query_id"), e, k=kmax + 1) \
+        .where("query_id <> vec_id").select("query_id", F.col("vec_id").alias("doc_id"), "rank") \
+        .withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= kmax)
     labels = e.select("vec_id", "label")
     qlab = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("qlabel"))
     dlab = labels.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("dlabel"))
     graded = (ranked.join(qlab, "query_id").join(dlab, "doc_id")
                     .withColumn("grade", (F.col("qlabel") == F.col("dlabel")).cast("int")))
-    counts = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n_relevant"))
-    relevant = qlab.join(counts, qlab.qlabel == counts.label).select("query_id", "n_relevant")
+    counts = labels.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n_relevant"))
+    relevant = qlab.join(counts, qlab.qlabel == counts.label).select("query_id", "n_relevant").where("n_relevant > 0")
     ideal = relevant.select("query_id", F.explode(F.sequence(F.lit(1), F.least(F.lit(kmax), "n_relevant")))
                             .alias("ideal_rank"), F.lit(1).alias("grade"))
     return ev.metrics_from_parts(qlab.select("query_id"), graded, relevant, ideal, METRIC_KS)
@@ -668,12 +669,33 @@ def q_index_outcomes(spark, sf_dir):
 
 @register("consistency_check")
 def q_consistency_check(spark, sf_dir):
-    """Counts of a full build of the corpus (vectors, lexical texts, files)
-    through the consistency rules."""
-    chunks = corpus_chunks(spark, sf_dir)
-    counts = chunks.agg(F.count(F.lit(1)).alias("vectors"), F.count(F.lit(1)).alias("lexical"),
-                        F.count_distinct("doc_id").alias("files"))
-    return idx.consistency(counts)
+    """Counts through the consistency rules: by language with a vector for
+    every chunk, by source with vectors of the labelled documents only."""
+    chunks = corpus_chunks(spark, sf_dir).select("doc_id", "chunk_id")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "lang", "source")
+    labelled = read_table(spark, sf_dir, "labels", "doc_id").distinct().withColumn("labelled", F.lit(1))
+    rows = chunks.join(docs, "doc_id").join(labelled, "doc_id", "left")
+
+    def counts(part, vectors):
+        return rows.groupBy(part.alias("part")).agg(vectors.alias("vectors"), F.count(F.lit(1)).alias("lexical"), F.count_distinct("doc_id").alias("files"))
+    return idx.consistency(counts(F.concat(F.lit("lang "), F.col("lang")), F.count(F.lit(1)))
+                           .unionByName(counts(F.concat(F.lit("source "), F.col("source")), F.count("labelled"))))
+
+
+@register("index_build")
+def q_index_build(spark, sf_dir):
+    """The corpus indexed twice: the labelled part in an earlier state, then all
+    of it. Files, chunk counts and vectors of the store that results."""
+    store = idx.IndexStore(spark, f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}")
+    d = read_table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    lab = read_table(spark, sf_dir, "labels", "doc_id", "quality")
+    old = d.join(lab, "doc_id").withColumn("text", F.when(F.col("quality") == 1, F.col("text")).otherwise(F.expr("substring(text, 1, length(text) - 1)")))
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path")
+    idx.build_index(spark, old.select(path, idx.fingerprint(F.col("text")).alias("file_hash"), "text"), store)
+    idx.build_index(spark, corpus_files(spark, sf_dir), store)
+    vectors = store.read("chunks").select("chunk_id", "path", F.col("metadata.file_type").alias("file_type")).join(store.read("vectors"), "chunk_id")
+    n = vectors.groupBy("path", "file_type").agg(F.count(F.lit(1)).alias("n_vectors"))
+    return store.read("manifest").join(n, "path").select("path", "file_hash", F.col("chunk_count").cast("long").alias("chunk_count"), "n_vectors", "file_type")
 
 
 # ---------------------------------------------------------------------------

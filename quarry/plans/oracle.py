@@ -440,13 +440,13 @@ e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings
       WHERE embedding IS NOT NULL AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
 s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, q.label = d.label AS same,
              list_dot_product(q.v, d.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(d.v, d.v))) AS score
-      FROM e q, e d),
+      FROM e q, e d WHERE q.vec_id <> d.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s
       QUALIFY rank <= 10),
 g AS (SELECT query_id, rank, CAST(same AS INTEGER) AS grade,
              sum(CAST(same AS INTEGER)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
       FROM r),
-cnt AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
+cnt AS (SELECT label, count(*) - 1 AS n FROM embeddings GROUP BY label),
 rel AS (SELECT e.vec_id AS query_id, cnt.n AS n_relevant FROM e JOIN cnt USING (label)),
 pq AS (
   SELECT query_id,
@@ -675,6 +675,10 @@ cls AS (SELECT path, file_hash, n_chunks,
 
 ORACLE["incremental_diff"] = f"WITH {FILES_CTE} SELECT path, file_hash, outcome, CAST(n_chunks AS BIGINT) AS n_chunks FROM cls"
 
+ORACLE["index_build"] = f"""
+WITH {FILES_CTE.replace(" OR coalesce(mhash = file_hash, false) THEN 0", " THEN 0")}
+SELECT path, file_hash, CAST(n_chunks AS BIGINT) AS chunk_count, CAST(n_chunks AS BIGINT) AS n_vectors, '.txt' AS file_type FROM cls WHERE n_chunks > 0"""
+
 ORACLE["index_outcomes"] = f"""
 WITH {FILES_CTE}
 SELECT count(*) AS total_files, count(*) FILTER (WHERE outcome IN ('new', 'changed')) AS new_files,
@@ -685,9 +689,12 @@ FROM cls"""
 
 ORACLE["consistency_check"] = f"""
 WITH {CHUNKS_CTE},
-c AS (SELECT count(*) AS vectors, count(*) AS lexical, count(DISTINCT doc_id) AS files FROM chunks_id),
+cd AS (SELECT c.doc_id, d.lang, d.source, l.doc_id AS labelled FROM chunks_id c JOIN documents d ON d.doc_id = c.doc_id
+       LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = c.doc_id),
+c AS (SELECT 'lang ' || lang AS part, count(*) AS vectors, count(*) AS lexical, count(DISTINCT doc_id) AS files FROM cd GROUP BY lang
+      UNION ALL SELECT 'source ' || source, count(labelled), count(*), count(DISTINCT doc_id) FROM cd GROUP BY source),
 r AS (SELECT *, abs(lexical - vectors) / greatest(lexical, vectors) AS ratio FROM c)
-SELECT vectors, lexical, files,
+SELECT part, vectors, lexical, files,
        CASE WHEN vectors = 0 AND lexical = 0 AND files = 0 THEN true
             WHEN lexical > 0 AND vectors > 0 AND ratio > 0.1 THEN false
             WHEN files > 0 AND vectors = 0 THEN false ELSE true END AS consistent,
