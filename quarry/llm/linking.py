@@ -56,7 +56,7 @@ def confirm(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
 
 
 def _prefix_rows(sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """(x, id, least, n, most): the rarest n - ceil(t n) + SHARED shingles of each set.
+    """(id, xs, least, n, most): xs are the rarest n - ceil(t n) + SHARED shingles of a set.
 
     Two sets that reach the threshold share at least ``least`` of these: SHARED,
     or all they need if that is less. This holds for any one order of the
@@ -94,13 +94,15 @@ def _prefix_rows(sets: DataFrame, percent: int, name: str) -> DataFrame:
                     continue
                 take = np.lexsort((own, r))[:len(own) - need + min(SHARED, need)]
                 out.append(own[take])
-                owner.append(np.full(len(take), ids[k]))
-                least.append(np.full(len(take), min(SHARED, need)))
-                size.append(np.full(len(take), len(own)))
-                most.append(np.full(len(take), limit))
-            cat = lambda v: pa.array(np.concatenate(v).astype(np.int64) if v else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([cat(out), cat(owner), cat(least), cat(size), cat(most)], names=["x", "id", "least", "n", "most"])
-    return sets.select("id", "s").mapInArrow(run, "x long, id long, least long, n long, most long")
+                owner.append(ids[k])
+                least.append(min(SHARED, need))
+                size.append(len(own))
+                most.append(limit)
+            offsets = np.concatenate([[0], np.cumsum([len(v) for v in out])]).astype(np.int32)
+            xs = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out) if out else np.zeros(0, dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), xs, *(pa.array(v, pa.int64()) for v in (least, size, most))],
+                                             names=["id", "xs", "least", "n", "most"])
+    return sets.select("id", "s").mapInArrow(run, "id long, xs array<long>, least long, n long, most long")
 
 
 def _exact_links(ids: DataFrame, comp: DataFrame, sets_of, percent: int, name: str) -> DataFrame:
@@ -113,6 +115,7 @@ def _exact_links(ids: DataFrame, comp: DataFrame, sets_of, percent: int, name: s
     rows = stored(_prefix_rows(sets, percent, name), name + "-prefix")
     # shingles of a set behind its rare ones: two sets share at most their k common rare ones and the longer such rest
     rows = rows.withColumn("tail", F.floor((F.col("n") * percent + 99) / 100) - F.col("least"))
+    by_shingle = lambda df: df.withColumn("x", F.explode("xs")).drop("xs")
     enough = lambda k, tail, n: F.lit(100 + percent) * (k + tail) >= F.lit(percent) * n
     have = lambda want: sets.join(want, "id", "left_semi")
 
@@ -123,7 +126,7 @@ def _exact_links(ids: DataFrame, comp: DataFrame, sets_of, percent: int, name: s
 
     def near(place: DataFrame) -> DataFrame:
         """(id, other, head) for ids and larger components that share enough rare shingles."""
-        own = rows.join(place, "id")
+        own = by_shingle(rows.join(place, "id"))
         heads = own.groupBy("x", F.col("c").alias("other")).agg(F.min("id").alias("head"), F.min("n").alias("small"), F.max("most").alias("reach"),
                                                                     F.max("tail").alias("their"))
         met = own.join(heads, "x").where("other > c and small <= most and reach >= n")
@@ -152,16 +155,16 @@ def _exact_links(ids: DataFrame, comp: DataFrame, sets_of, percent: int, name: s
     if rest.isEmpty():
         return first
     # it meets some members for each rare shingle, and only if none of them links, all members
-    own = rows.join(place, "id").select("x", F.col("c").alias("other"), F.col("id").alias("mate"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("tail").alias("tail2"))
+    own = by_shingle(rows.join(place, "id")).select("x", F.col("c").alias("other"), F.col("id").alias("mate"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("tail").alias("tail2"))
     draws = [F.xxhash64("mate", F.lit(k)) for k in range(SOME)]
     some = own.groupBy("x", "other").agg(F.array_distinct(F.array(*[F.min_by("mate", d) for d in draws])).alias("some"))
-    met = rows.join(rest, "id").join(some, ["x", "other"]).select("id", F.explode("some").alias("mate"))
+    met = by_shingle(rows.join(rest, "id")).join(some, ["x", "other"]).select("id", F.explode("some").alias("mate"))
     second = confirm(met.select(*pair("id", "mate")).distinct(), have, percent, name + "-second")
     label = stored(components(second, name + "-comp2", label), name + "-label")
     mark = lambda c: label.select(F.col("id").alias(c), F.col("comp").alias("_" + c))
     still = (rest.withColumn("group", F.col("other.comp")).join(mark("id"), "id", "left").join(mark("group"), "group", "left")
                  .where(F.coalesce("_id", "id") != F.coalesce("_group", "group")).select("id", "other"))
-    met = rows.join(still, "id").join(own, ["x", "other"]).where("n2 <= most and n <= most2")
+    met = by_shingle(rows.join(still, "id")).join(own, ["x", "other"]).where("n2 <= most and n <= most2")
     met = met.groupBy("id", "mate").agg(F.count("*").alias("k"), *[F.first(c).alias(c) for c in ("least", "n", "n2", "tail", "tail2")])
     met = met.where((F.col("k") >= F.col("least")) & enough(F.col("k"), F.greatest("tail", "tail2"), F.col("n") + F.col("n2")))
     third = confirm(met.select(*pair("id", "mate")).distinct(), have, percent, name + "-third")
