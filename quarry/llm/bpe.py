@@ -183,27 +183,32 @@ class Tokenizer:
         return out
 
     def _split(self, text: str) -> list[str]:
-        """Keys of the parts of a text that the pattern splits alike alone and
-        in the text: it joins a space only to what follows, unless white space
-        meets white space. A key without a space stands for the part that a
-        space begins; a key with one is a part after its first character."""
+        """Keys of parts of a text that the pattern splits alike alone and in
+        the text. It joins a space only to what follows, unless white space
+        meets white space; and a comma or full stop behind a letter or digit and
+        before white space is a piece. A key stands for itself behind a space,
+        or for what follows its ALONE mark."""
         if not text:
             return []
-        if TWO_SPACES.search(text):
-            return [p[1:] if p[0] == " " and " " not in p[1:] and len(p) > 1 else " " + p for p in self.pattern.findall(text)]
+        if TWO_SPACES.search(text) or ALONE in text:
+            return [_key(p) for p in self.pattern.findall(text)]
+        if not LOOSE_MARK.search(text):
+            text = text.replace(", ", f" {ALONE}, ").replace(". ", f" {ALONE}. ").replace(".\n", f" {ALONE}.\n {ALONE}")
         parts = text.split(" ")
-        if parts[0]:
-            parts[0] = " " + parts[0]
-            return parts
-        return parts[1:]
+        if parts[-1] == ALONE:
+            parts.pop()
+        if parts[0] == "":
+            return parts[1:]
+        if parts[0][0] != ALONE:
+            parts[0] = ALONE + parts[0]
+        return parts
 
     def _cut(self, key: str) -> list[str]:
         """Pieces of a part."""
         if key.isalpha():                                   # letters after a space are one piece
             return [" " + key]
-        if key[-1:] in MARKS and key[:-1].isalpha():        # and so is a mark that ends the part
-            return [" " + key[:-1], key[-1]]
-        return self.pattern.findall(key[1:] if key[:1] == " " else " " + key)
+        text = key[1:] if key[:1] == ALONE else " " + key
+        return [text] if text.isalpha() else self.pattern.findall(text)
 
     def _learn(self, missing: list[str]) -> None:
         """Put parts into memory."""
@@ -211,7 +216,7 @@ class Tokenizer:
         cut = list(map(self._cut, missing))
         done, new = {}, []
         for p in set(chain.from_iterable(cut)):
-            key = p[1:] if p[0] == " " and p.rfind(" ") == 0 else " " + p      # a piece is a part, too
+            key = _key(p)      # a piece is a part, too
             known = young.get(key) or old.get(key)
             if known:
                 done[p] = known
@@ -229,10 +234,14 @@ class Tokenizer:
         """Number of ids, ids as text and decoded bytes of each text."""
         keys = [self._split(t) for t in texts]
         need = set(chain.from_iterable(keys))
+        new = []
         for k in need - self.young.keys():
-            if k in self.old:
-                self.young[k] = self.old[k]
-        self._learn([k for k in need if k not in self.young])
+            known = self.old.get(k)
+            if known is None:
+                new.append(k)
+            else:
+                self.young[k] = known
+        self._learn(new)
         ids_of, bytes_of = {}, {}
         for k in need:
             ids_of[k], bytes_of[k] = self.young[k]
@@ -245,8 +254,16 @@ class Tokenizer:
         return out
 
 
-# ASCII marks that are neither letters, digits nor the start of a contraction
-MARKS = tuple(",.;:!?")
+ALONE = "\x01"
+
+
+def _key(piece: str) -> str:
+    """Key of a piece."""
+    return piece[1:] if piece[0] == " " and len(piece) > 1 and piece.rfind(" ") == 0 and ALONE not in piece else ALONE + piece
+
+
+# a comma or full stop that may belong to a run of marks
+LOOSE_MARK = re.compile(r"(?:\W|_)(?:[,.] |\.\n)")
 TWO_SPACES = re.compile(r"\s\s")
 _TOKENIZERS: dict[tuple, Tokenizer] = {}
 
