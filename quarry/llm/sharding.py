@@ -43,36 +43,47 @@ def even_map(n_shards: int, n_slots: int = N_SLOTS) -> dict[int, int]:
 
 
 def rebalance(slot_map: dict[int, int], weight: dict[int, int], n_shards: int) -> dict[int, int]:
-    """Edit a map: shards above the mean give up slots (largest that fit in
-    their surplus first), which go, largest first, to the lightest shard."""
+    """Edit a map. Shards above the mean give up slots, the largest that fit in
+    their surplus first; those go, largest first, to the lightest shard. Then
+    the heaviest shard hands the lightest one the slot nearest to half their
+    difference, as long as that evens them out. Other slots stay where they are."""
     mean = sum(weight.get(s, 0) for s in slot_map) / n_shards
     load = [0] * n_shards
-    own: list[list[int]] = [[] for _ in range(n_shards)]
-    out, pool = dict(slot_map), []
+    own: list[set[int]] = [set() for _ in range(n_shards)]
+    pool = []
     for s, shard in slot_map.items():
         if shard < n_shards:
             load[shard] += weight.get(s, 0)
-            own[shard].append(s)
+            own[shard].add(s)
         else:
             pool.append(s)
+    large_first = lambda slots: sorted(slots, key=lambda x: (-weight.get(x, 0), x))
     for shard in range(n_shards):
-        for s in sorted(own[shard], key=lambda x: (-weight.get(x, 0), x)):
+        for s in large_first(own[shard]):
             w = weight.get(s, 0)
-            if w and load[shard] - w >= mean * 0.98:
+            if w and load[shard] - w >= mean:
                 load[shard] -= w
-                pool.append(s)
-        # give up small slots too, so that the pool can even out what is left
-        for s in sorted(own[shard], key=lambda x: (weight.get(x, 0), x))[: max(1, len(own[shard]) // 50)]:
-            if s not in pool and load[shard] > mean:
-                load[shard] -= weight.get(s, 0)
+                own[shard].discard(s)
                 pool.append(s)
     heap = [(x, i) for i, x in enumerate(load)]
     heapq.heapify(heap)
-    for s in sorted(pool, key=lambda x: (-weight.get(x, 0), x)):
+    for s in large_first(pool):
         total, shard = heapq.heappop(heap)
-        out[s] = shard
-        heapq.heappush(heap, (total + weight.get(s, 0), shard))
-    return out
+        own[shard].add(s)
+        load[shard] = total + weight.get(s, 0)
+        heapq.heappush(heap, (load[shard], shard))
+    for _ in slot_map:
+        high, low = load.index(max(load)), load.index(min(load))
+        gap = load[high] - load[low]
+        fits = [s for s in own[high] if 0 < weight.get(s, 0) < gap]
+        if not fits:
+            break
+        s = min(fits, key=lambda x: (abs(2 * weight[x] - gap), x))
+        own[high].discard(s)
+        own[low].add(s)
+        load[high] -= weight[s]
+        load[low] += weight[s]
+    return {s: shard for shard, slots in enumerate(own) for s in slots}
 
 
 def write_map(spark: SparkSession, path: str, version: int, slot_map: dict[int, int]) -> None:
