@@ -1,22 +1,26 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
-
-1. Each test item is cut into words (lower-cased runs of letters and digits)
-   and their 3-grams. A pass over the corpus counts in how many documents each
-   of these occurs; of every ``WINDOW`` consecutive 3-grams of an item the
-   rarest becomes a seed. Any stretch of WINDOW + 2 unchanged words holds a
-   seed, however often the corpus repeats it.
-2. A second pass looks the documents' 3-grams up among the seeds. Each hit
-   places the item on a passage; overlapping passages of an item are merged.
-3. A passage that shares enough words to reach the threshold at all is aligned
-   with the item (match 2, mismatch -1, gap -1 per word, local). The score is
-   the alignment's share of the item's full score.
+"""Benchmark decontamination: close word pairs, then Smith-Waterman.
+
+1. Each test item is cut into words (lower-cased runs of letters and digits).
+   Its seeds are all pairs of words that stand next to each other or with one
+   word between.
+2. One pass looks the same pairs of the documents up. An alignment (match 2,
+   mismatch -1, gap -1 per word, local) of score s holds at least s / 2 - 1
+   pairs of successive matches that at most one edit parts, because every other
+   step between matches costs two; such a pair is a seed on both sides. So does
+   its span follow: at most 3 n - s words of the document for n words. A passage
+   without so many seeds in so many words cannot reach the threshold, and every
+   other one is aligned: nothing that reaches the threshold is missed.
+3. Overlapping passages of an item are merged; one that shares enough words is
+   aligned with the item. The score is the alignment's share of the item's full
+   score.
 
 Seeds travel to the tasks in blocks of at most ``BLOCK_SEEDS``; a larger test
 set takes more passes, not more memory. All work on a document is done in the
-task that reads it, so there is nothing to skew.
+task that reads it, so there is nothing to skew; hits are handled ``HITS`` at a
+time.
 
 Defined cases: null and empty texts match nothing; items of fewer than three
-words have no seed and match nothing; repeated rows and repeated items are
+words match nothing; repeated rows and repeated items are
 judged each by itself; an empty table on either side gives an empty result;
 other columns are ignored.
 """
@@ -30,13 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, prepare, shingles, signed, stored, units
+from .common import U64, Words, mix, prepare, stored, units
 
-WIDTH = 3
-WINDOW = 4
-SLACK = 0.25            # of an item's words, on both sides of a passage
+LEAST_WORDS = 3         # of an item
 THRESHOLD = 0.4
 BLOCK_SEEDS = 1_000_000
+HITS = 4_000_000        # (word, item) rows that are sorted at once
 MATCH, MISS, GAP = 2, -1, -1
 _LETTERS = np.ones(256, dtype=bool)      # bytes that separate words
 _LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -46,15 +49,14 @@ def _words(texts: list[str | None]) -> Words:
     return Words([(t or "").lower().encode() for t in texts], separators=_LETTERS)
 
 
-def _grams(w: Words):
-    """3-grams of texts, their text and their place; texts too short have none."""
-    first, length = units([w.doc])
-    ok = length >= WIDTH
-    s, count = shingles(w.h, first, length, WIDTH)
-    owner = np.repeat(np.arange(len(first)), count)
-    place = np.arange(len(s)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]) if len(count) else count, count)
-    keep = ok[owner] if len(owner) else np.zeros(0, dtype=bool)
-    return s[keep], w.doc[first][owner][keep] if len(owner) else owner, place[keep]
+def _pairs(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each word with the next one and the one after it, and the
+    places of the first words, in the order of the words."""
+    value, real = np.zeros((len(h), 2), dtype=U64), np.zeros((len(h), 2), dtype=bool)
+    for k in (1, 2):
+        value[:-k, k - 1] = mix(h[:-k] * U64(0x9E3779B97F4A7C15) + h[k:])
+        real[:-k, k - 1] = doc[:-k] == doc[k:]
+    return value[real], np.nonzero(real)[0]
 
 
 class Lookup:
@@ -77,23 +79,17 @@ class Lookup:
 
 
 class Items:
-    """Words, seeds and seed places of a block of test items."""
+    """Words and seeds of a block of test items."""
 
-    def __init__(self, ids: list, words: list[np.ndarray]):
+    def __init__(self, ids: list, words: list[np.ndarray], pairs: list[np.ndarray], threshold: float):
         self.ids, self.words = ids, words
-        self.seeds = self.item = self.place = None
-
-    def set_seeds(self, grams: list[np.ndarray], count: dict[int, int]):
-        value, item, place = [], [], []
-        for i, g in enumerate(grams):
-            often = np.array([count.get(int(x), 0) for x in signed(g)])
-            chosen = {a + int(np.argmin(often[a:a + WINDOW])) for a in range(max(1, len(g) - WINDOW + 1))} if len(g) else ()
-            for p in sorted(chosen):
-                value.append(g[p])
-                item.append(i)
-                place.append(p)
-        order = np.argsort(np.array(value, dtype=U64), kind="stable")
-        self.seeds, self.item, self.place = np.array(value, dtype=U64)[order], np.array(item, dtype=np.int64)[order], np.array(place, dtype=np.int64)[order]
+        value, item = np.concatenate(pairs), np.repeat(np.arange(len(pairs)), [len(x) for x in pairs])
+        order = np.argsort(value, kind="stable")
+        self.seeds, self.item = value[order], item[order]
+        size = np.array([len(x) for x in words])
+        score = np.ceil(threshold * MATCH * size - 1e-9).astype(np.int64)
+        self.need = np.maximum(1, (score + 1) // 2 - 1)      # seeds of an alignment that reaches the threshold
+        self.span = 3 * size - score                         # its words at most
 
 
 def align(item: np.ndarray, passages: list[np.ndarray]):
@@ -134,41 +130,60 @@ def align(item: np.ndarray, passages: list[np.ndarray]):
     return best, best_start >> 20, best_end[:, 0], best_start & ((1 << 20) - 1), best_end[:, 1]
 
 
-def _matches(w: Words, items: Items, seeds: Lookup, threshold: float):
-    """(text, item, score, first word, last word, matched share) of good passages."""
-    grams, text, place = _grams(w)
-    at, where = seeds.find(grams)
+def _passages(w: Words, items: Items, seeds: Lookup):
+    """(item, first word, end) of stretches with enough seeds of an item, by
+    item and place; words are counted over all texts in a row."""
+    value, place = _pairs(w.h, w.doc)
+    at, where = seeds.find(value)
     if not len(at):
-        return []
+        return
+    place = place[at]
     # a seed may belong to several items
     low, high = np.searchsorted(items.seeds, seeds.values[where], "left"), np.searchsorted(items.seeds, seeds.values[where], "right")
     reps = high - low
-    hit = np.repeat(np.arange(len(at)), reps)
-    seed = np.repeat(low - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(reps.sum())
-    item, doc = items.item[seed], text[at][hit]
-    size = np.array([len(x) for x in items.words])[item]
-    slack = np.ceil(size * SLACK).astype(np.int64) + 2
-    begin = place[at][hit] - items.place[seed] - slack
-    end = begin + size + 2 * slack
-    order = np.lexsort((begin, item, doc))
-    doc, item, begin, end = doc[order], item[order], begin[order], end[order]
-    merged: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+    total = np.concatenate([[0], np.cumsum(reps)])
     first, length = units([w.doc])
-    where_doc = dict(zip(w.doc[first].tolist(), zip(first.tolist(), length.tolist(), strict=True), strict=True))
-    k = 0
-    while k < len(doc):
-        d, i, b, e = int(doc[k]), int(item[k]), int(begin[k]), int(end[k])
-        k += 1
-        limit = 3 * len(items.words[i]) + 8
-        while k < len(doc) and doc[k] == d and item[k] == i and begin[k] <= e - len(items.words[i]) and end[k] - b <= limit:
-            e = max(e, int(end[k]))
+    begin_of, end_of = np.repeat(first, length), np.repeat(first + length, length)
+    reach, a = int(items.span.max()), 0
+    while a < len(place):
+        b = int(np.searchsorted(total, total[a] + HITS, "right")) - 1
+        stop = int(place[b]) if b < len(place) else len(w.h)     # windows that begin before this word
+        stop = max(stop, int(place[a]) + 1)
+        b, far = int(np.searchsorted(place, stop)), int(np.searchsorted(place, stop + reach))
+        n = reps[a:far]
+        seed = np.repeat(low[a:far] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        key = np.sort((items.item[seed] << 40) | np.repeat(place[a:far], n))
+        key = key[np.concatenate([[True], np.diff(key) != 0])]
+        item, word = key >> 40, key & ((1 << 40) - 1)
+        last = np.arange(len(key)) + items.need[item] - 1
+        fits = np.flatnonzero((last < len(key)) & (word < stop))
+        last = last[fits]
+        ok = (item[last] == item[fits]) & (word[last] - word[fits] < items.span[item[fits]]) & (begin_of[word[last]] == begin_of[word[fits]])
+        fits, last = fits[ok], last[ok]
+        item, begin, end = item[fits], word[last] - items.span[item[fits]] + 1, word[fits] + items.span[item[fits]]
+        begin, end = np.maximum(begin, begin_of[word[fits]]), np.minimum(end, end_of[word[fits]])
+        rows = list(zip(item.tolist(), begin.tolist(), end.tolist(), strict=True))
+        k = 0
+        while k < len(rows):
+            i, f, e = rows[k]
             k += 1
-        f, n = where_doc[d]
-        b, e = max(0, b), min(n, e)
-        own = w.h[f + b:f + e]
+            limit = f + 3 * int(items.span[i])
+            while k < len(rows) and rows[k][0] == i and rows[k][1] < e and rows[k][2] <= limit:
+                e = rows[k][2]
+                k += 1
+            yield i, f, e
+        a = b
+
+
+def _matches(w: Words, items: Items, seeds: Lookup, threshold: float):
+    """(text, item, score, first word, last word, matched share) of good passages."""
+    merged: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+    first, _ = units([w.doc])
+    for i, b, e in _passages(w, items, seeds):
+        own = w.h[b:e]
         # no more words can match than the item and the passage share
         if np.isin(items.words[i], own).sum() >= threshold * len(items.words[i]):
-            merged.setdefault(i, []).append((d, b, own))
+            merged.setdefault(i, []).append((int(w.doc[b]), b - int(first[np.searchsorted(first, b, "right") - 1]), own))
     out = []
     for i, passages in merged.items():
         full = MATCH * len(items.words[i])
@@ -182,21 +197,21 @@ def _matches(w: Words, items: Items, seeds: Lookup, threshold: float):
 
 
 def _blocks(benchmark: DataFrame):
-    """Blocks of (ids, words, 3-grams) of test items."""
-    ids, words, grams, size = [], [], [], 0
+    """Blocks of (ids, words, pairs) of test items."""
+    ids, words, pairs, size = [], [], [], 0
     for r in benchmark.select("item_id", F.col("text").cast("string").alias("text")).orderBy("item_id", "text").toLocalIterator():
         w = _words([r.text])
-        if len(w.h) < WIDTH:
+        if len(w.h) < LEAST_WORDS:
             continue
         ids.append(r.item_id)
         words.append(w.h)
-        grams.append(_grams(w)[0])
-        size += len(grams[-1])
+        pairs.append(np.unique(_pairs(w.h, w.doc)[0]))
+        size += len(pairs[-1])
         if size >= BLOCK_SEEDS:
-            yield ids, words, grams
-            ids, words, grams, size = [], [], [], 0
+            yield ids, words, pairs
+            ids, words, pairs, size = [], [], [], 0
     if ids:
-        yield ids, words, grams
+        yield ids, words, pairs
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -209,24 +224,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, score double, first_word long, last_word long, item_share double"
     found = spark.createDataFrame([], schema)
-    for ids, words, grams in _blocks(benchmark):
-        every = spark.sparkContext.broadcast(np.unique(np.concatenate(grams)))      # at most BLOCK_SEEDS, and one item more
-
-        def count(batches, every=every):
-            lookup = Lookup(every.value)
-            total = np.zeros(len(lookup.values), dtype=np.int64)
-            for batch in batches:
-                g, d, _ = _grams(_words(batch.column(0).to_pylist()))
-                at, where = lookup.find(g)
-                pairs = np.unique(d[at] * len(total) + where)       # a document counts once
-                total += np.bincount(pairs % len(total), minlength=len(total))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(lookup.values[some])), pa.array(total[some])], names=["g", "n"])
-
-        often = text.select("text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-        items = Items(ids, words)
-        items.set_seeds(grams, {r.g: r.n for r in often.collect()})      # the block's 3-grams
-        shared = spark.sparkContext.broadcast(items)
+    for ids, words, pairs in _blocks(benchmark):
+        shared = spark.sparkContext.broadcast(Items(ids, words, pairs, threshold))      # at most BLOCK_SEEDS, and one item more
 
         def match(batches, shared=shared):
             own = shared.value

@@ -73,3 +73,44 @@ def test_blocks_empty_tables_and_clashing_names(spark):
     finally:
         dc.BLOCK_SEEDS = old
     assert dc.contaminated(df, bench.limit(0)).collect() == [] and dc.contaminated(df.limit(0), bench).collect() == []
+
+
+def test_evenly_edited_copies_are_found(spark):
+    rng = random.Random(5)
+    items = [(i, [f"i{i}_{k}" for k in range(16 + 4 * i)]) for i in range(12)]
+    docs, planted = [], set()
+
+    def plant(i, words):
+        docs.append((len(docs), " ".join([f"a{len(docs)}_{k}" for k in range(50)] + words + [f"b{len(docs)}_{k}" for k in range(50)])))
+        planted.add((len(docs) - 1, i))
+    for i, w in items:
+        if i % 2:       # a whole copy elsewhere makes the edited places no rarer than the kept ones
+            plant(i, w)
+        for every in (3, 4, 5, 6, 7):
+            plant(i, [f"x{rng.random()}" if k % every == every - 1 else x for k, x in enumerate(w)])
+        plant(i, [y for x in w for y in (x, f"y{rng.random()}")])      # a strange word behind each
+    found = dc.contaminated(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(i, " ".join(w)) for i, w in items], ITEMS))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == planted
+
+
+def test_passages_equal_all_alignments():
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randrange(3, 30))] for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        w = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 60))]
+        for item in rng.sample(items, 2):
+            part = [x for x in item if rng.random() > 0.15]
+            w += [rng.choice(vocabulary) if rng.random() < 0.3 else x for x in part] + [rng.choice(vocabulary) for _ in range(rng.randrange(0, 20))]
+        texts.append(" ".join(w))
+    parts = [dc._words([" ".join(w)]) for w in items]
+    own = dc.Items(list(range(len(items))), [w.h for w in parts], [np.unique(dc._pairs(w.h, w.doc)[0]) for w in parts], dc.THRESHOLD)
+    want = {(d, i): s for d, t in enumerate(texts) for i, item in enumerate(items) if (s := smith_waterman(item, t.split())) >= dc.THRESHOLD * 2 * len(item)}
+    old = dc.HITS
+    for dc.HITS in (old, 50):
+        got = {}
+        for d, i, score, *_ in dc._matches(dc._words(texts), own, dc.Lookup(np.unique(own.seeds)), dc.THRESHOLD):
+            got[d, i] = max(got.get((d, i), 0), round(score * 2 * len(items[i])))
+        assert got == want and len(want) > 60
+    dc.HITS = old
