@@ -11,9 +11,20 @@ path together). Hosts without a fitting rule are judged by propagation:
 
 Edges come from absolute links in the pages, counted per pair of hosts, and
 from the naming of hosts (a host and its parent domain speak for each other;
-the parent must have at least two labels). A url without a rule is blocked if
-its host's share of distrust exceeds ``threshold``; a host that neither
-reaches is allowed. Mass that reaches a host without edges ends there.
+the parent must have at least two labels). Mass that reaches a host without
+edges ends there.
+
+Trust and distrust are shares of a whole and have no scale of their own. Two
+more walks against the links give distrust one: from every host with a blocked
+page, and from every host, each with mass 1. A url without a rule is blocked if
+all of this holds for its host, and allowed else:
+
+* its share of distrust in trust and distrust exceeds ``threshold``;
+* the hosts its distrust comes from, itself among them, are blocked by
+  ``PART_BLOCKED`` or more of their pages on (weighted) average, so a few
+  blocked pages do not condemn the rest of a host;
+* these hosts are at least ``PART_NEAR`` of all hosts that reach it, so a parent
+  that many hosts share does not carry one's distrust to all the others.
 
 Each page is reduced to its host before anything is shuffled, links are
 counted per task first, so a host with a third of all pages is a few rows.
@@ -39,6 +50,7 @@ ROUNDS = 12
 KEEP_EVERY = 4          # rounds between stored stages
 THRESHOLD = 0.5
 NAMING_WEIGHT = 0.5     # of a naming edge, in links
+PART_BLOCKED, PART_NEAR = 0.5, 0.1
 
 
 def host_of(url):
@@ -81,7 +93,7 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, host, mass): both walks at once; kind tells them apart."""
+    """(kind, host, mass): all walks at once; kind tells them apart."""
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     edges = stored(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")), "url-edges")
     start = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("mass"))
@@ -104,16 +116,20 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     seen = stored(cut.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("by_rule") == "allow").alias("allowed"),
                                                            F.count_if(F.col("by_rule") == "block").alias("blocked")), "url-hosts")
     links = host_edges(pages, seen)
+    against = F.explode(F.array(*map(F.lit, ("distrust", "source", "any")))).alias("kind")
     edges = (links.select(F.lit("trust").alias("kind"), "src", "dst", "weight")
-                  .unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
-    parts = seen.select("host", F.explode(F.create_map(F.lit("trust"), F.col("allowed") / F.col("n"), F.lit("distrust"), F.col("blocked") / F.col("n")))
-                        .alias("kind", "part")).where("part > 0")
-    total = parts.groupBy("kind").agg(F.sum("part").alias("total"))      # two rows
-    seeds = parts.join(total, "kind").select("kind", "host", (F.col("part") / F.col("total")).alias("mass"))
-    mass = propagate(stored(edges, "url-links"), stored(seeds, "url-seeds"))
-    value = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("mass"))), F.lit(0.0)).alias(kind)
-    hosts = mass.groupBy("host").agg(value("trust"), value("distrust"))
+                  .unionByName(links.select(against, F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
+    start = F.create_map(F.lit("trust"), F.col("allowed") / F.col("n"), F.lit("distrust"), F.col("blocked") / F.col("n"),
+                         F.lit("source"), (F.col("blocked") > 0).cast("double"), F.lit("any"), F.lit(1.0))
+    seeds = stored(seen.select("host", F.explode(start).alias("kind", "mass")).where("mass > 0"), "url-seeds")
+    mass = propagate(stored(edges, "url-links"), seeds)
+    total = {r.kind: r.total for r in seeds.groupBy("kind").agg(F.sum("mass").alias("total")).collect()}      # four rows
+    value = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("mass"))), F.lit(0.0)) / total.get(kind, 1.0)
+    raw = lambda kind: value(kind) * total.get(kind, 1.0)
+    # the slack is for sums in another order
+    scaled = ((raw("distrust") >= (PART_BLOCKED - 1e-9) * raw("source")) & (raw("source") >= (PART_NEAR - 1e-9) * raw("any"))).alias("weighty")
+    hosts = mass.groupBy("host").agg(value("trust").alias("trust"), value("distrust").alias("distrust"), scaled).where("trust + distrust > 0")
     judged = cut.join(hosts, "host", "left")
     share = F.col("distrust") / (F.col("trust") + F.col("distrust"))
-    method = F.when(share > threshold, F.lit("block")).otherwise(F.lit("allow"))
+    method = F.when((share > threshold) & F.col("weighty"), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), "trust", "distrust")

@@ -76,3 +76,12 @@ def test_repeats_empty_and_clashing_names(spark):
     got = uf.judge(df).collect()
     assert sorted((str(r.page_id), r.host, r.verdict) for r in got) == [("1", "x.org", "allow"), ("1", "x.org", "allow"), ("None", "", "allow")]
     assert uf.judge(df.limit(0)).collect() == []
+
+
+def test_few_blocked_pages_or_one_blocked_sibling_do_not_condemn(spark):
+    rows = [(i, f"http://big.net/{'es' if i < 2 else 'de'}/{i}", None) for i in range(10)]                       # 2 of 10 pages blocked
+    rows += [(20 + i, f"http://bad.net/{'es' if i < 8 else 'de'}/{i}", None) for i in range(10)]                # 8 of 10
+    rows += [(40 + i, f"http://h{i}.shared.net/{'fr' if i == 0 else 'de'}/x", None) for i in range(20)]        # one host of 20 under a parent
+    rows += [(90, "http://h0.shared.net/de/", None)]
+    got = judged(spark, rows)
+    assert {i for i in got if got[i].verdict == "block"} == {0, 1, *range(20, 30), 40, 90}
