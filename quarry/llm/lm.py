@@ -40,11 +40,11 @@ from pyspark.sql import functions as F
 from .common import prepare, stored, text_bytes
 
 END = b"\n"             # cannot be a word
-SHORT, GROUPS = 63, 192
+SHORT, GROUPS = 255, 192
 HOT = 100_000
 CONTEXT = 5
-DIM = 8
-NOISE, BATCH, RATE, PAST = 32, 2048, 0.3, 1e-4
+DIM = 16
+NOISE, BATCH, RATE, PAST = 48, 2048, 0.3, 1e-4
 COUNTED = 300_000       # words a task counts before it hands them on
 SCORED = 1024           # tokens in one matrix product
 

@@ -83,3 +83,11 @@ def test_noise_contrast_learns_a_rule():
     for a in range(0, len(cls) - lm.BATCH, lm.BATCH):
         step(ctx[a:a + lm.BATCH], cls[a:a + lm.BATCH])
     assert net.log_probabilities(ctx[100:200], cls[100:200]).mean() > math.log(0.5)
+
+
+def test_frequent_words_with_the_same_letters_are_told_apart():
+    words = [f"same{i}".encode() for i in range(255)]
+    number, cls = lm.Lexicon(words, [1000 - i for i in range(255)]).classes(words)
+    assert number.tolist() == list(range(255)) and len(set(cls.tolist())) == 255
+    model = lm.LogBilinear(np.log(np.full(lm.CLASSES, 1 / lm.CLASSES)))
+    assert np.linalg.matrix_rank(model.q @ model.r.T) >= 16      # dimensions in which contexts and words differ
