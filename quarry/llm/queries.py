@@ -67,6 +67,11 @@ def op1(spark, sf_dir):
     return found.select("doc_id", "par", "n_words", "first_doc", "first_par", "kept")
 
 
+@register("op1_substring_spans")
+def op1_spans(spark, sf_dir):
+    return substring_dedup.repeated_spans(documents(spark, sf_dir))
+
+
 @register("op7_benchmark_decontamination")
 def op7(spark, sf_dir):
     return decontaminate.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark", "item_id", "text"))

@@ -12,6 +12,11 @@ removals.
 Paragraphs of equal words are one class before any key is made, so a paragraph
 that a third of the corpus repeats is one row in the joins.
 
+``repeated_spans`` looks at words alone, whatever the lines: every run of
+``RUN`` words that occurs twice anywhere is found. Of each window of RUN words
+the smallest hash of ANCHOR successive words is its anchor, so equal windows
+have equal anchors; only windows with an anchor that occurs twice are compared.
+
 Defined cases: null and empty texts have no paragraphs; rows that share doc_id
 and text are one document (their paragraphs have equal places and share their
 fate); a repeat inside one document counts; an empty table gives an empty
@@ -22,14 +27,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, few, minhashes, prepare, sequence_hash, shingles, signed, stored, text_bytes, units
+from .common import Words, few, minhashes, mix, powers, prepare, sequence_hash, shingles, signed, stored, text_bytes, units
 from .linking import link_components
 
 MIN_WORDS = 15
 BANDS, ROWS = 10, 2
+RUN, ANCHOR = 50, 25
 _BASES = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)
 PLACE = "par int, begin int, n_bytes int, n_words int, h1 long, h2 long"
 
@@ -149,3 +155,76 @@ def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     if "n_chars" in rest:
         changed = changed.withColumn("n_chars", F.length("text").cast(kinds["n_chars"]))
     return same.unionByName(changed.select(*docs.columns))
+
+
+def _rolling(h: np.ndarray, width: int, base: int) -> np.ndarray:
+    """Hash of every run of ``width`` words."""
+    if len(h) < width:
+        return np.zeros(0, dtype=np.uint64)
+    b, back = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(h ^ b) * powers(b, len(h)), dtype=np.uint64)])
+    return mix((total[width:] - total[:-width]) * powers(back, len(h))[:len(h) - width + 1])
+
+
+def _windows(w: Words):
+    """First words of the runs of RUN words inside a text, places and hashes of their anchors."""
+    grams = _rolling(w.h, ANCHOR, _BASES[0])
+    if len(w.h) < RUN:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), grams[:0]
+    first = np.flatnonzero(w.doc[:len(w.h) - RUN + 1] == w.doc[RUN - 1:])
+    views = np.lib.stride_tricks.sliding_window_view(grams, RUN - ANCHOR + 1)
+    at = np.concatenate([views[first[a:a + 65536]].argmin(axis=1) + first[a:a + 65536] for a in range(0, len(first), 65536)] or [first])
+    return first, at, grams[at]
+
+
+def _anchors(batches):
+    for batch in batches:
+        w = Words(text_bytes(batch.column(2)))
+        _, at, gram = _windows(w)
+        at, one = np.unique(at, return_index=True)
+        own = pa.array(w.doc[at])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(signed(gram[one]))], names=["doc_id", "row", "g"])
+
+
+def _runs(batches):
+    """The runs whose anchors are among those listed for the text."""
+    for batch in batches:
+        w = Words(text_bytes(batch.column(2)))
+        first, _, gram = _windows(w)
+        gram, keep = signed(gram), np.zeros(len(first), dtype=bool)
+        listed = batch.column(3)
+        begin, length = units([w.doc[first]])
+        for b, n in zip(begin.tolist(), length.tolist(), strict=True):
+            keep[b:b + n] = np.isin(gram[b:b + n], listed[int(w.doc[first[b]])].values.to_numpy())
+        first = first[keep]
+        start, size = units([w.doc])
+        word = first - np.repeat(start, size)[first]
+        own = pa.array(w.doc[first])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(own), batch.column(1).take(own), pa.array(word), pa.array(w.start[first]), pa.array(w.end[first + RUN - 1] if len(first) else first),
+             *(pa.array(signed(_rolling(w.h, RUN, x)[first])) for x in _BASES)], names=["doc_id", "row", "word", "begin", "end", "h1", "h2"])
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """Stretches of words that lie in runs of RUN words which occur more than
+    once: doc_id, first_word, n_words, begin, n_bytes, kept. ``kept`` marks the
+    first places (smallest doc_id, then word); the others are repeats. A word
+    may lie in stretches of both kinds."""
+    prepare(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    text = docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("row"), "text")
+    anchors = stored(text.mapInArrow(_anchors, f"doc_id {kind}, row long, g long"), "span-anchors")
+    often = anchors.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    listed = few(stored(anchors.join(often, "g").groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"))
+                               .agg(F.collect_set("g").alias("gs")), "span-listed"))
+    some = text.join(listed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row"))).select("doc_id", "row", "text", "gs")
+    runs = stored(some.mapInArrow(_runs, f"doc_id {kind}, row long, word long, begin long, end long, h1 long, h2 long"), "span-runs")
+    place = F.struct("doc_id", "row", "word")
+    firsts = runs.groupBy("h1", "h2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("not (lo <=> hi)").select("h1", "h2", "lo")
+    met = runs.join(firsts, ["h1", "h2"]).select("doc_id", "row", "word", "begin", "end", place.eqNullSafe(F.col("lo")).alias("kept"))
+    order = Window.partitionBy("doc_id", "row", "kept").orderBy("word")
+    new = F.coalesce(F.col("word") > F.lag("word").over(order) + RUN, F.lit(True)).cast("int")
+    spans = met.withColumn("new", new).withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    out = spans.groupBy("doc_id", "row", "kept", "span").agg(F.min("word").alias("first_word"), (F.max("word") - F.min("word") + RUN).alias("n_words"),
+                                                             F.min("begin").alias("begin"), (F.max("end") - F.min("begin")).alias("n_bytes"))
+    return out.select("doc_id", "first_word", "n_words", "begin", "n_bytes", "kept")

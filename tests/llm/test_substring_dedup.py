@@ -77,3 +77,31 @@ def test_spans_repeats_and_empty(spark):
     assert "é first\n  ".encode() + line.encode() == ("é first\n  " + line).encode()[:r.begin + r.n_bytes] and r.begin == len("é first\n  ".encode())
     assert set(found) == {1, None}
     assert sd.repeated_paragraphs(df.limit(0)).collect() == []
+
+
+def test_spans_are_found_whatever_the_lines(spark):
+    rng = random.Random(4)
+    fresh = iter(range(10 ** 6))
+    some = lambda n: [f"f{next(fresh)}" for _ in range(n)]
+    shared, short = some(60), some(49)
+    rows = [(1, " ".join(some(200) + shared + some(200))), (2, " ".join(some(30) + shared[:55] + some(300))),           # inside longer lines
+            (3, "\n".join(" ".join(shared[i:i + 7]) for i in range(0, 60, 7))), (4, " ".join(short)), (5, " ".join(short + some(9))),
+            (6, " ".join(some(20) + 2 * (shared[3:] + some(5)))), (None, " ".join(shared)), (7, None), (8, "")]
+    for i in range(20):
+        w = [rng.choice("abc") for _ in range(rng.randrange(0, 150))]
+        rows.append((10 + i, " ".join(w + (rows[9 + rng.randrange(i)][1].split()[:70] if i else []))))
+    places, want = {}, {}
+    for d, t in rows:
+        w = (t or "").split()
+        for i in range(len(w) - sd.RUN + 1):
+            places.setdefault(tuple(w[i:i + sd.RUN]), []).append((-1 if d is None else d, i))
+    for p in places.values():
+        for at in p if len(p) > 1 else []:
+            want.setdefault((at[0], at == min(p)), set()).update(range(at[1], at[1] + sd.RUN))
+    got, texts = {}, dict(rows)
+    for r in sd.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        words_of = texts[r.doc_id].split()[r.first_word:r.first_word + r.n_words]
+        assert texts[r.doc_id].encode()[r.begin:r.begin + r.n_bytes].decode().split() == words_of
+        got.setdefault((-1 if r.doc_id is None else r.doc_id, r.kept), set()).update(range(r.first_word, r.first_word + r.n_words))
+    assert got == want and {1, 2, 3, 6, -1} <= {d for d, _ in want} and not {4, 5} & {d for d, _ in want}
+    assert sd.repeated_spans(spark.createDataFrame(rows[:0], "doc_id long, text string")).collect() == []
