@@ -108,6 +108,26 @@ def test_dense_topk_exact(spark, method):
         assert [r.vec_id for r in rows] == order
 
 
+@pytest.mark.parametrize("partitions", [1, 16, 200])
+def test_dense_blocks_meet_whatever_the_partitioning(spark, partitions):
+    """Block pairs find each other without AQE's coalescing, too."""
+    rnd = np.random.default_rng(8)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rnd.normal(size=(120, 8)))], "vec_id long, embedding array<double>")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = dense_topk(v.withColumnRenamed("vec_id", "query_id"), v, k=5, query_block=50, vector_block=30).collect()
+    finally:
+        for k, x in old.items():
+            spark.conf.set(k, x)
+    m = np.random.default_rng(8).normal(size=(120, 8))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    s = m @ m.T
+    want = {(q, int(j), r + 1) for q in range(120) for r, j in enumerate(sorted(range(120), key=lambda j: (-round(s[q, j], 9), j))[:5])}
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in got} == want
+
+
 def test_lexical_topk_matches_bruteforce(spark):
     docs = [(f"d{i}", " ".join(random.Random(i).choice(["alpha", "beta", "gamma", "delta", "eps", "zz"])
                                for _ in range(random.Random(i + 99).randint(0, 12)))) for i in range(40)]
