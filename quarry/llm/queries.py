@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embed_dedup, language_id, lm, quality, sharding, substring_dedup, url_filter
+from . import bpe, decontaminate, embed_dedup, language_id, lm, quality, repair, sharding, substring_dedup, url_filter
 from .common import table
 from .near_dedup import near_duplicates
 
@@ -90,3 +90,8 @@ def op9(spark, sf_dir):
 @register("op2_lm_scoring")
 def op2(spark, sf_dir):
     return lm.scores(documents(spark, sf_dir))
+
+
+@register("op13_conversation_repair")
+def op13(spark, sf_dir):
+    return repair.damage_and_repair(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
