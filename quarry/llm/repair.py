@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, stored
 
 SEGMENT = 32
 BLANK, DUPLICATE, TRUNCATED = 1, 2, 3
@@ -212,12 +212,13 @@ def _faults(rows: DataFrame) -> DataFrame:
 
 
 _LEGAL = {"su", "ua", "au"}
-PIECES = "piece long, entry int, exit int, cost long, audit string, blank long, duplicate long, truncated long, illegal long, head string, last string"
+PIECES = "whole boolean, piece long, entry int, exit int, cost long, audit string, blank long, duplicate long, truncated long, illegal long, head string, last string"
 
 
 def _pieces(rows: DataFrame, segment: int) -> DataFrame:
-    """What each task finds of each conversation that it holds rows of: one
-    row per way of entering and leaving them."""
+    """What each task finds of each conversation that it holds rows of: the
+    answer, if it holds all of them, else one row per way of entering and
+    leaving them. Only a task's first and last conversation can go on elsewhere."""
     kind = rows.schema["conv"].dataType.simpleString()
     ordered = rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
 
@@ -227,11 +228,13 @@ def _pieces(rows: DataFrame, segment: int) -> DataFrame:
         conv, piece, first_piece, before, seen, emitted = nothing, None, True, None, None, []
 
         def close(whole_end: bool):
-            # only the first and the last conversation of a task can go on elsewhere
             found = piece.finish(FINAL if whole_end else STATES)
+            whole = whole_end and not first_piece
+            if whole:
+                found = {(START, ASSISTANT): cheapest(found)}
             for (entry, leave), x in found.items():
                 if x is not None:
-                    emitted.append((conv, number, entry, leave, *x, *seen))
+                    emitted.append((conv, whole, number, entry, leave, *x, *seen))
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in range(6)]
@@ -276,8 +279,8 @@ COUNTS = ("blank", "duplicate", "truncated", "illegal")
 
 
 def _linked_pieces(pieces: DataFrame) -> DataFrame:
-    """One row per conversation: counts, cost, audit. Nearly all have one
-    piece, and a conversation has at most one per task of the sort."""
+    """One row per conversation: counts, cost, audit. A conversation has at
+    most one piece per task of the sort, and a task at most two to link."""
     kind = pieces.schema["conv"].dataType.simpleString()
     schema = f"conv {kind}, blank long, duplicate long, truncated long, illegal long, cost long, audit string"
 
@@ -294,7 +297,8 @@ def _linked_pieces(pieces: DataFrame) -> DataFrame:
         return pa.table([pa.array([x], t.type) for x, t in zip((one[0]["conv"], *counts, cost, audit), kinds)], schema=kinds)
 
     kinds = _arrow(schema, pieces)
-    return pieces.groupBy("conv").applyInArrow(run, schema)
+    return (pieces.where("whole").select("conv", *COUNTS, "cost", "audit")
+            .unionByName(pieces.where("not whole").groupBy("conv").applyInArrow(run, schema)))
 
 
 def _digests(rows: DataFrame, heads: DataFrame) -> DataFrame:
@@ -373,7 +377,7 @@ def repaired(rows: DataFrame, every: DataFrame | None = None, segment: int = SEG
     no nulls in the last two) and of ``every`` (conv); those without rows have
     zeros, an empty audit and the digest of an empty text."""
     prepare(rows.sparkSession)
-    found = _linked_pieces(_pieces(_faults(rows), segment))
+    found = _linked_pieces(stored(_pieces(_faults(rows), segment), "repair"))      # read twice, searched once
     # turns are counted per conversation after equal ones are merged, both steps with partial sums
     gaps = rows.where("turn is not null").select("conv", "turn").distinct().groupBy("conv").agg(
         (F.max("turn") - F.min("turn") + 1 - F.count("*")).alias("gaps"))
