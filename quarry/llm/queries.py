@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embed_dedup, language_id, lm, quality, repair, sharding, substring_dedup, url_filter
+from . import align, bpe, decontaminate, embed_dedup, language_id, lm, quality, repair, sharding, substring_dedup, toxicity, url_filter
 from .common import table
 from .near_dedup import near_duplicates
 
@@ -95,3 +95,14 @@ def op2(spark, sf_dir):
 @register("op13_conversation_repair")
 def op13(spark, sf_dir):
     return repair.damage_and_repair(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+@register("op11_toxicity")
+def op11(spark, sf_dir):
+    return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+@register("op12_tokenizer_alignment")
+def op12(spark, sf_dir):
+    import public_tokenizers
+    return align.alignment(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
