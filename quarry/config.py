@@ -115,6 +115,6 @@ class WebConfig:
     banned_engines: tuple = field(default=())
 
 
-# Broadcast guard: sides at or below this many rows may be broadcast after
-# an explicit count; larger sides take the shuffle path.
-BROADCAST_MAX_ROWS = 2_000_000
+# Broadcast guard: sides whose measured bytes are at most this may be broadcast;
+# larger sides take the shuffle path.
+BROADCAST_MAX_BYTES = 64 << 20

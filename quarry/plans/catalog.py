@@ -30,11 +30,12 @@ from ..operators.dense import dense_topk, dense_topk_ivf
 from ..operators.fusion import rrf_fuse
 from ..operators.neardup import semantic_dedup
 from ..operators.streak import error_streak
-from ..operators.tfidf import fit_tfidf, lexical_topk
+from ..operators.impacts import pruned_topk
+from ..operators.tfidf import fit_tfidf
 from ..session import ensure_checkpoint_dir
-from ..sources.tables import read_table
+from ..sources.tables import read_table, table_path
 from ..streaming import rate as rate_ops
-from .hybrid import envelope, hybrid_search, retrieve
+from .hybrid import envelope, hybrid_search, retrieve, stored_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -61,6 +62,11 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def search_index(spark: SparkSession, sf_dir: str) -> dict:
+    """The stored index of the corpus that all search queries share."""
+    return stored_index(spark.read.parquet(table_path(sf_dir, "documents")), lambda: corpus_chunks(spark, sf_dir))
+
+
 def lexical_index(spark: SparkSession, sf_dir: str):
     chunks = corpus_chunks(spark, sf_dir)
     postings, stats = fit_tfidf(chunks, "chunk_id", "chunk_text")
@@ -88,9 +94,9 @@ def q_tfidf_weights(spark, sf_dir):
 
 @register("tfidf_topk")
 def q_tfidf_topk(spark, sf_dir):
-    _, postings, stats = lexical_index(spark, sf_dir)
-    q = benchmark_queries(spark, sf_dir)
-    hits = lexical_topk(q, postings, stats, k=SearchConfig().top_k_lexical)
+    """Block-maximum pruned search over the stored index."""
+    ix = search_index(spark, sf_dir)
+    hits = pruned_topk(benchmark_queries(spark, sf_dir), ix["postings"], ix["placed"], ix["term_stats"], k=SearchConfig().top_k_lexical)
     return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"),
                        F.round("score", 6).alias("score"))
 
@@ -118,25 +124,24 @@ def q_dense_topk_ivf(spark, sf_dir):
 
 
 def hybrid_inputs(spark, sf_dir):
-    chunks, postings, stats = lexical_index(spark, sf_dir)
-    vecs = hashed_embedding(chunks.select("chunk_id", "chunk_text"), "chunk_text")
-    return benchmark_queries(spark, sf_dir), chunks, postings, stats, vecs
+    ix = search_index(spark, sf_dir)
+    return benchmark_queries(spark, sf_dir), ix["chunks"], ix["postings"], ix["term_stats"], ix["vectors"], ix["placed"]
 
 
 @register("dense_chunks_topk")
 def q_dense_chunks_topk(spark, sf_dir):
     """Dense retriever of the hybrid path: hashed-embedding cosine top-50 over chunks."""
-    q, chunks, postings, stats, vecs = hybrid_inputs(spark, sf_dir)
-    hits = retrieve(q, chunks, postings, stats, vecs).where(F.col("retriever") == "semantic")
+    q, chunks, postings, stats, vecs, placed = hybrid_inputs(spark, sf_dir)
+    hits = retrieve(q, chunks, postings, stats, vecs, placed=placed).where(F.col("retriever") == "semantic")
     return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"),
                        F.round("score", 6).alias("score"))
 
 
 @register("rrf_fuse")
 def q_rrf_fuse(spark, sf_dir):
-    q, chunks, postings, stats, vecs = hybrid_inputs(spark, sf_dir)
+    q, chunks, postings, stats, vecs, placed = hybrid_inputs(spark, sf_dir)
     cfg = SearchConfig()
-    fused = rrf_fuse(retrieve(q, chunks, postings, stats, vecs, cfg), "chunk_id", cfg.rrf_k, cfg.fused_limit)
+    fused = rrf_fuse(retrieve(q, chunks, postings, stats, vecs, cfg, placed=placed), "chunk_id", cfg.rrf_k, cfg.fused_limit)
     return fused.select("query_id", "chunk_id", F.col("fused_rank").cast("long").alias("fused_rank"),
                         F.round("rrf_score", 6).alias("rrf_score"), "search_type",
                         F.array_join("sources", ",").alias("sources"),
@@ -145,8 +150,8 @@ def q_rrf_fuse(spark, sf_dir):
 
 
 def _hybrid_final(spark, sf_dir):
-    q, chunks, postings, stats, vecs = hybrid_inputs(spark, sf_dir)
-    return hybrid_search(q, chunks, postings, stats, vecs)
+    q, chunks, postings, stats, vecs, placed = hybrid_inputs(spark, sf_dir)
+    return hybrid_search(q, chunks, postings, stats, vecs, placed=placed)
 
 
 @register("hybrid_search")
@@ -169,9 +174,9 @@ def fresh_documents(spark, sf_dir):
 @register("hybrid_envelope")
 def q_hybrid_envelope(spark, sf_dir):
     """Whole answers, fresh documents included; both lists are retrieved once."""
-    q, chunks, postings, stats, vecs = hybrid_inputs(spark, sf_dir)
+    q, chunks, postings, stats, vecs, placed = hybrid_inputs(spark, sf_dir)
     path = f"{ensure_checkpoint_dir(spark)}/hits-{uuid.uuid4().hex}"
-    found = retrieve(q, chunks, postings, stats, vecs)
+    found = retrieve(q, chunks, postings, stats, vecs, placed=placed)
     found.write.parquet(path)
     hits = spark.read.schema(found.schema).parquet(path)
     fresh = fresh_documents(spark, sf_dir)
@@ -184,8 +189,8 @@ def q_hybrid_envelope(spark, sf_dir):
 @register("rerank_fallback")
 def q_rerank_fallback(spark, sf_dir):
     """Without a pair scorer the lexical score decides."""
-    q, chunks, postings, stats, vecs = hybrid_inputs(spark, sf_dir)
-    r = hybrid_search(q, chunks, postings, stats, vecs, scorer=None)
+    q, chunks, postings, stats, vecs, placed = hybrid_inputs(spark, sf_dir)
+    r = hybrid_search(q, chunks, postings, stats, vecs, scorer=None, placed=placed)
     return r.select("query_id", F.col("final_rank").cast("long").alias("final_rank"), "chunk_id", "search_type", F.round("bm25_score", 6).alias("bm25_score"))
 
 
