@@ -11,8 +11,13 @@ recall          - per conversation, the earlier messages most similar to the
                   return 3
 export / erase  - one conversation's messages to JSON; delete by id list
 
-Every window is partitioned by conversation, so a task sees whole
-conversations, never a whole table.
+The first three number all messages newest first (``ordering.numbered``), so a
+message's recency and its place from the oldest are differences of numbers, and
+an endless conversation is many tasks. The running token total has two levels:
+sums per segment of ``SEGMENT`` messages, running sums of those joined back, and
+running sums inside the segments that the budget reaches. ``recall`` is windowed by
+conversation. Messages of the same turn are ordered by role and text; null turns
+count as the oldest.
 """
 
 from __future__ import annotations
@@ -24,15 +29,25 @@ from ..config import WORDS_PER_TOKEN
 from ..functions.embed import hashed_embedding
 from ..functions.text import words
 from ..functions.vectors import dot
+from .ordering import by_key, numbered
 
 
 def _newest_first(conv: str, turn: str):
     return Window.partitionBy(conv).orderBy(F.col(turn).desc())
 
 
+SEGMENT = 1024
+
+
+def _placed(msgs: DataFrame, conv: str, turn: str) -> DataFrame:
+    """Messages with ``_pos`` (0: the conversation's newest) and ``_size``."""
+    ties = [F.col(c).desc() for c in ("role", "text") if c in msgs.columns]
+    return by_key(numbered(msgs, F.col(conv), F.col(turn).desc(), *ties), conv)
+
+
 def working_memory(msgs: DataFrame, last_n: int = 20, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    w = _newest_first(conv, turn)
-    return msgs.withColumn("recency", F.row_number().over(w)).where(F.col("recency") <= last_n)
+    rows = _placed(msgs, conv, turn).where(F.col("_pos") < last_n)
+    return rows.withColumn("recency", (F.col("_pos") + 1).cast("int")).drop("_n", "_pos", "_size")
 
 
 def message_tokens(text) -> F.Column:
@@ -40,26 +55,35 @@ def message_tokens(text) -> F.Column:
 
 
 def token_budget(msgs: DataFrame, budget: float = 52000, conv: str = "conv_id", turn: str = "turn",
-                 text: str = "text") -> DataFrame:
-    w = _newest_first(conv, turn).rowsBetween(Window.unboundedPreceding, 0)
-    return (msgs.withColumn("tokens", message_tokens(text))
-                .withColumn("running_tokens", F.sum("tokens").over(w))
-                .where(F.col("running_tokens") <= budget))
+                 text: str = "text", segment: int = SEGMENT) -> DataFrame:
+    """Words are summed as whole numbers and turned into tokens at the end."""
+    rows = _placed(msgs, conv, turn).withColumn("_words", F.coalesce(F.size(words(text)), F.lit(0)).cast("long")) \
+        .withColumn("_seg", F.floor(F.col("_pos") / segment))
+    sums = rows.groupBy(F.col(conv).alias("_conv"), F.col("_seg").alias("_s")).agg(F.sum("_words").alias("_sum"))
+    before = Window.partitionBy("_conv").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select("_conv", "_s", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before")) \
+        .where(F.col("_before") * WORDS_PER_TOKEN <= budget)
+    inside = Window.partitionBy(conv, "_seg").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    out = (rows.join(carry, F.col(conv).eqNullSafe(F.col("_conv")) & (F.col("_seg") == F.col("_s")))
+               .withColumn("tokens", F.col("_words") * F.lit(WORDS_PER_TOKEN))
+               .withColumn("running_tokens", (F.col("_before") + F.sum("_words").over(inside)) * F.lit(WORDS_PER_TOKEN))
+               .where(F.col("running_tokens") <= budget))
+    return out.drop("_n", "_pos", "_size", "_words", "_seg", "_conv", "_s", "_before")
 
 
 def episodes(msgs: DataFrame, last_n: int = 20, block: int = 5, keep: int = 50, conv: str = "conv_id",
              turn: str = "turn", text: str = "text") -> DataFrame:
     """One row per kept episode: conv, episode, n_messages, first_turn, last_turn, text."""
-    w = _newest_first(conv, turn)
-    evicted = msgs.withColumn("_rec", F.row_number().over(w)).where(F.col("_rec") > last_n)
-    old = evicted.withColumn("_pos", F.row_number().over(Window.partitionBy(conv).orderBy(turn)))
-    ep = old.withColumn("episode", F.floor((F.col("_pos") - 1) / block).cast("long"))
-    g = ep.groupBy(conv, "episode").agg(
+    old = _placed(msgs, conv, turn).where(F.col("_pos") >= last_n)
+    ep = (old.withColumn("_old", F.col("_size") - 1 - F.col("_pos"))                       # 0: the oldest message
+             .withColumn("episode", F.floor(F.col("_old") / block))
+             .withColumn("_last", F.floor((F.col("_size") - last_n - 1) / block))          # the newest episode
+             .where(F.col("episode") > F.col("_last") - keep))
+    # a group is one episode: ``block`` messages
+    return ep.groupBy(conv, "episode").agg(
         F.count(F.lit(1)).alias("n_messages"), F.min(turn).alias("first_turn"), F.max(turn).alias("last_turn"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(turn, text))), lambda s: s[text]), "\n")
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_old", text))), lambda s: s[text]), "\n")
          .alias("text"))
-    return (g.withColumn("_er", F.row_number().over(Window.partitionBy(conv).orderBy(F.col("episode").desc())))
-             .where(F.col("_er") <= keep).drop("_er"))
 
 
 def recall(msgs: DataFrame, top: int = 5, min_score: float = 0.7, keep: int = 3, conv: str = "conv_id",

@@ -586,13 +586,6 @@ def q_cache_repair(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 
-# Window sizes scaled to conversations of 2-8 turns (the defaults are 20
-# messages, 52,000 tokens, blocks of 5).
-MEMORY_LAST_N = 4
-MEMORY_TOKEN_BUDGET = 300.0
-MEMORY_BLOCK = 2
-
-
 def conversations(spark, sf_dir):
     return read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
 
@@ -617,23 +610,33 @@ def q_response_parse(spark, sf_dir):
                     F.size(ids).cast("long").alias("n_ids"))
 
 
+# Neighbouring conversations joined to one session, long enough for the windows to evict.
+SESSION_CONVERSATIONS = 100
+
+
+def sessions(spark, sf_dir):
+    """Conversations of a hundred neighbouring ids in one session, turn after turn."""
+    c = conversations(spark, sf_dir)
+    return c.select(F.floor(F.col("conv_id") / SESSION_CONVERSATIONS).alias("session_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("message"), "role", "text")
+
+
 @register("working_memory")
 def q_working_memory(spark, sf_dir):
-    w = mem.working_memory(conversations(spark, sf_dir), MEMORY_LAST_N)
-    return w.select("conv_id", "turn", "role", F.col("recency").cast("long").alias("recency"))
+    w = mem.working_memory(sessions(spark, sf_dir), conv="session_id", turn="message")
+    return w.select("session_id", "message", "role", F.col("recency").cast("long").alias("recency"))
 
 
 @register("token_budget")
 def q_token_budget(spark, sf_dir):
-    w = mem.token_budget(conversations(spark, sf_dir), MEMORY_TOKEN_BUDGET)
-    return w.select("conv_id", "turn", F.round("tokens", 6).alias("tokens"),
+    w = mem.token_budget(sessions(spark, sf_dir), conv="session_id", turn="message")
+    return w.select("session_id", "message", F.round("tokens", 6).alias("tokens"),
                     F.round("running_tokens", 6).alias("running_tokens"))
 
 
 @register("episodes")
 def q_episodes(spark, sf_dir):
-    e = mem.episodes(conversations(spark, sf_dir), MEMORY_LAST_N, MEMORY_BLOCK)
-    return e.select("conv_id", "episode", "n_messages", "first_turn", "last_turn", "text")
+    e = mem.episodes(sessions(spark, sf_dir), conv="session_id", turn="message")
+    return e.select("session_id", "episode", "n_messages", "first_turn", "last_turn", "text")
 
 
 # ---------------------------------------------------------------------------

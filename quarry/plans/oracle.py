@@ -628,28 +628,31 @@ i AS (SELECT *, CASE WHEN len(good) > 0 THEN from_json('[' || good[-1] || ']', '
                      ELSE []::BIGINT[] END AS ids FROM g)
 SELECT conv_id, turn, final_text, array_to_string(ids, ',') AS ids, CAST(len(ids) AS BIGINT) AS n_ids FROM i"""
 
-ORACLE["working_memory"] = """
-SELECT conv_id, turn, role, recency FROM (
-  SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS BIGINT) AS recency
-  FROM conversations) WHERE recency <= 4"""
+SESSIONS = "s AS (SELECT CAST(floor(conv_id / 100) AS BIGINT) AS session_id, conv_id * 1000 + turn AS message, role, text FROM conversations)"
+
+ORACLE["working_memory"] = f"""
+WITH {SESSIONS}
+SELECT session_id, message, role, recency FROM (
+  SELECT session_id, message, role, CAST(row_number() OVER (PARTITION BY session_id ORDER BY message DESC) AS BIGINT) AS recency
+  FROM s) WHERE recency <= 20"""
 
 _NWORDS = f"len(list_filter(regexp_split_to_array(text, '{WS_CLASS}'), lambda w: w <> ''))"
 
 ORACLE["token_budget"] = f"""
-WITH t AS (SELECT conv_id, turn, {_NWORDS} * CAST(1.3 AS DOUBLE) AS tokens FROM conversations),
-r AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC
-                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_tokens FROM t)
-SELECT conv_id, turn, round(tokens, 6) AS tokens, round(running_tokens, 6) AS running_tokens
-FROM r WHERE running_tokens <= 300.0"""
-
-ORACLE["episodes"] = """
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rec FROM conversations),
-ev AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM r WHERE rec > 4),
-ep AS (SELECT *, CAST(floor((pos - 1) / 2) AS BIGINT) AS episode FROM ev),
-g AS (SELECT conv_id, episode, count(*) AS n_messages, min(turn) AS first_turn, max(turn) AS last_turn,
-             string_agg(text, chr(10) ORDER BY turn) AS text FROM ep GROUP BY conv_id, episode)
-SELECT conv_id, episode, n_messages, first_turn, last_turn, text FROM (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY episode DESC) AS er FROM g) WHERE er <= 50"""
+WITH {SESSIONS}, t AS (SELECT session_id, message, {_NWORDS} AS n FROM s),
+r AS (SELECT *, sum(n) OVER (PARTITION BY session_id ORDER BY message DESC
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * CAST(1.3 AS DOUBLE) AS running_tokens FROM t)
+SELECT session_id, message, round(n * CAST(1.3 AS DOUBLE), 6) AS tokens, round(running_tokens, 6) AS running_tokens
+FROM r WHERE running_tokens <= 52000.0"""
+
+ORACLE["episodes"] = f"""
+WITH {SESSIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY message DESC) AS rec FROM s),
+ev AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY message) AS pos FROM r WHERE rec > 20),
+ep AS (SELECT *, CAST(floor((pos - 1) / 5) AS BIGINT) AS episode FROM ev),
+g AS (SELECT session_id, episode, count(*) AS n_messages, min(message) AS first_turn, max(message) AS last_turn,
+             string_agg(text, chr(10) ORDER BY message) AS text FROM ep GROUP BY session_id, episode)
+SELECT session_id, episode, n_messages, first_turn, last_turn, text FROM (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY episode DESC) AS er FROM g) WHERE er <= 50"""
 
 
 FILES_CTE = f"""

@@ -46,7 +46,7 @@ def test_streak_keeps_every_event_without_exchange_reuse(spark):
     old = spark.conf.get("spark.sql.exchange.reuse")
     spark.conf.set("spark.sql.exchange.reuse", "false")
     try:
-        got = {r.event_id: r for r in error_streak(df, segment_seconds=60).collect()}
+        got = {r.event_id: r for r in error_streak(df, segment=8).collect()}
     finally:
         spark.conf.set("spark.sql.exchange.reuse", old)
     assert len(got) == len(rows)

@@ -1,0 +1,86 @@
+"""Windows over numbered rows equal plain ones, with one key that holds most rows."""
+import random
+
+import pytest
+
+from quarry.operators import memory
+from quarry.operators.ordering import by_key, numbered
+from quarry.operators.streak import error_streak
+
+
+@pytest.fixture()
+def spread_out(spark):
+    """Partitions stay as the shuffle makes them."""
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield spark
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def messages(spark, n=2000):
+    rnd = random.Random(2)
+    rows = [(rnd.choice([7, 7, 7, 7, 1, 2, None]), i if i % 50 else None, rnd.choice(["user", "assistant"]),
+             rnd.choice(["", None, "one", "two words", "a b c " * 40])) for i in range(n)]
+    rnd.shuffle(rows)
+    return rows, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+
+
+def newest_first(rows, conv):
+    # descending, nulls (the oldest) last, ties by role and text
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2], r[3] is not None, r[3] or "")
+    return sorted((r for r in rows if r[0] == conv), key=key, reverse=True)
+
+
+def test_numbers_are_dense_and_in_order(spread_out):
+    rows, df = messages(spread_out)
+    out = by_key(numbered(df, "conv_id", "turn", "role", "text"), "conv_id").collect()
+    assert sorted(r._n for r in out) == list(range(len(rows)))
+    order = lambda r: tuple((x is not None, x or ("" if isinstance(x, str) else 0)) for x in (r.conv_id, r.turn)) + (r.role, r.text is not None, r.text or "")
+    assert [order(r) for r in sorted(out, key=lambda r: r._n)] == sorted(map(order, out))
+    assert all(r._size == sum(x[0] == r.conv_id for x in rows) and 0 <= r._pos < r._size for r in out)
+
+
+def test_memory_windows(spread_out):
+    rows, df = messages(spread_out)
+    every = {r[0] for r in rows}
+    got = memory.working_memory(df, 20).collect()
+    assert sorted((str(r.conv_id), r.recency, str(r.turn), r.role, str(r.text)) for r in got) == sorted(
+        (str(c), i + 1, str(r[1]), r[2], str(r[3])) for c in every for i, r in enumerate(newest_first(rows, c)[:20]))
+    for budget, segment in ((500.0, 16), (52000.0, 64), (13.0, 1024)):
+        want = []
+        for c in every:
+            total = 0
+            for r in newest_first(rows, c):
+                total += len((r[3] or "").split())
+                if total * 1.3 > budget:
+                    break
+                want.append((str(c), str(r[1]), round(total * 1.3, 6)))
+        out = memory.token_budget(df, budget, segment=segment)
+        assert out.columns == ["conv_id", "turn", "role", "text", "tokens", "running_tokens"]
+        assert sorted((str(r.conv_id), str(r.turn), round(r.running_tokens, 6)) for r in out.collect()) == sorted(want)
+    got = {(r.conv_id, r.episode): (r.n_messages, r.first_turn, r.last_turn, r.text) for r in memory.episodes(df, 20, 5, 50).collect()}
+    want = {}
+    for c in every:
+        old = newest_first(rows, c)[20:][::-1]
+        blocks = [old[i:i + 5] for i in range(0, len(old), 5)]
+        for e, b in list(enumerate(blocks))[-50:]:
+            turns = [r[1] for r in b if r[1] is not None]
+            want[c, e] = (len(b), min(turns, default=None), max(turns, default=None), "\n".join(r[3] for r in b if r[3] is not None))
+    assert got == want
+
+
+def test_one_key_with_most_events_has_no_long_array(spread_out):
+    rows = [(i, 1 if i % 3 else i % 11, bool(i * 7919 % 13 < 8)) for i in range(3000)]
+    df = spread_out.createDataFrame(rows, "event_id long, user_id long, is_error boolean").selectExpr("event_id", "user_id", "is_error", "timestamp_seconds(event_id % 100) AS ts")
+    got = {r.event_id: (r.streak, r.consecutive_errors) for r in error_streak(df, segment=8, fan=4).collect()}
+    for user in {r[1] for r in rows}:
+        c = run = 0
+        for event, _, error in sorted((r for r in rows if r[1] == user), key=lambda r: (r[0] % 100, r[0])):
+            c, run = (min(c + 1, 5), run + 1) if error else (max(c - 1, 0), 0)
+            assert got[event] == (c, run)
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert memory.working_memory(none).count() == memory.token_budget(none).count() == memory.episodes(none).count() == 0
+    assert error_streak(spark.createDataFrame([], "event_id long, ts timestamp, user_id long, is_error boolean")).count() == 0

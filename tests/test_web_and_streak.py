@@ -65,9 +65,9 @@ def py_streak(errs, cap=5):
     return out
 
 
-@pytest.mark.parametrize("seconds", [100_000, 600, 7])
-def test_error_streak_segmented_scan(spark, seconds):
-    rnd = random.Random(seconds)
+@pytest.mark.parametrize("segment,fan", [(32, 32), (3, 2), (5, 4)])
+def test_error_streak_tree_of_segments(spark, segment, fan):
+    rnd = random.Random(segment)
     base = dt.datetime(2024, 1, 1)
     rows, eid = [], 0
     for user, n in [(1, 900), (2, 40), (3, 1), (4, 60)]:     # user 1 is the hot key
@@ -78,7 +78,7 @@ def test_error_streak_segmented_scan(spark, seconds):
     rows.append((eid, rows[0][1], 1, True))                  # equal timestamps, order by event_id
     df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, is_error boolean")
     got = {r.event_id: (r.streak, r.delay, r.consecutive_errors)
-           for r in error_streak(df, segment_seconds=seconds).collect()}
+           for r in error_streak(df, segment=segment, fan=fan).collect()}
     for user in (1, 2, 3, 4):
         ev = sorted((r for r in rows if r[2] == user), key=lambda r: (r[1], r[0]))
         for r, exp in zip(ev, py_streak([e[3] for e in ev])):
