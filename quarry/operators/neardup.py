@@ -6,10 +6,15 @@ earlier row that was *kept*. Plan:
 1. exact copies collapse first - a later identical vector is always dropped
    (it sees the same kept neighbour as its first copy), so the first copy
    stands for all of them and cliques of copies never become pairs;
-2. similar pairs (earlier, later) of the remaining vectors come from blocked
-   scoring: vectors are hashed into blocks of at most ``block_rows``; each
-   (block, block) cogroup is one NumPy product that emits only the pairs
-   above the threshold;
+2. similar pairs (earlier, later) of the remaining vectors come from a metric
+   partition: every vector lives in the cell of its nearest pivot, and visits
+   another cell only if that cell can hold a vector within the distance that
+   the threshold allows. A vector of cell i is no farther from pivot i than from
+   any other pivot, so it lies beyond the plane between both pivots, and the
+   visitor's distance from that plane is a bound; the cell's radius gives a
+   second one by the triangle inequality. A visitor goes to cells of smaller
+   numbers only, so each pair meets once. A crowded cell is split into parts
+   of at most ``block_rows``, visited one by one;
 3. the greedy decision runs in rounds: a row whose earlier neighbours are
    all decided is kept when none of them is kept, dropped otherwise. Every
    round is a join and a grouped aggregate over the pair table; its result
@@ -31,35 +36,110 @@ from ..session import cut_lineage
 from .dense import _unit
 
 
+MAX_PIVOTS, MAX_SAMPLE = 2048, 16384
+_SLACK = 1e-6
+
+
+def pivots(v: DataFrame, n: int, reach: float) -> np.ndarray:
+    """Pivots of ``n`` vectors: out of a sample (by a hash of the id, MAX_SAMPLE at
+    most) the one farthest from those chosen, again and again, until none is
+    farther than a quarter of ``reach`` or a quarter of the sample is chosen. Which
+    ones they are decides how much is scored, never what is found."""
+    size = min(n, MAX_SAMPLE, max(256, 16 * math.isqrt(n)))
+    sample = np.array([r.v for r in v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).collect()])
+    chosen, far = [0], np.full(len(sample), np.inf)
+    for _ in range(min(MAX_PIVOTS, max(1, len(sample) // 4)) - 1):
+        far = np.minimum(far, 2 - 2 * sample @ sample[chosen[-1]])
+        if far.max() <= (reach / 4) ** 2:
+            break
+        chosen.append(int(far.argmax()))
+    return sample[chosen]
+
+
+def visits(x: np.ndarray, at: np.ndarray, home: np.ndarray, between: np.ndarray, radius: np.ndarray, reach: float) -> np.ndarray:
+    """Marks of the cells (columns) that each vector has to visit, given its
+    distances ``at`` to all pivots: those of smaller numbers within both bounds."""
+    rows = np.arange(len(x))
+    own = at[rows, home][:, None]
+    gap = between[home]                                       # distances from the home pivot to all others
+    plane = (at ** 2 - own ** 2) / np.maximum(2 * gap, 1e-12)
+    near = (plane <= reach + _SLACK) | (gap <= _SLACK)
+    return near & (at <= radius[None, :] + reach + _SLACK) & (np.arange(at.shape[1])[None, :] < home[:, None])
+
+
 def similar_pairs(vectors: DataFrame, threshold: float = 0.85, key: str = "vec_id", vec: str = "embedding",
-                  block_rows: int = 20_000) -> DataFrame:
-    """(earlier, later, score) for every pair with cosine > threshold."""
-    v = _unit(vectors, key, vec, "vec_id")
+                  block_rows: int = 4_000, work: dict | None = None) -> DataFrame:
+    """(earlier, later, score) for every pair with cosine > threshold. ``work``
+    receives the number of pairs scored and of all pairs."""
+    spark = vectors.sparkSession
+    v = cut_lineage(_unit(vectors, key, vec, "vec_id"))
     n = v.count()
-    nb = max(1, math.ceil(n / block_rows))
-    # the two sides get their own (aliased) columns: a self-cogroup needs distinct attributes
-    left = (v.select(F.col("vec_id").alias("lid"), F.col("v").alias("lv"))
-             .withColumn("lb", F.pmod(F.xxhash64("lid"), F.lit(nb)).cast("int"))
-             .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))))
-    right = (v.select(F.col("vec_id").alias("rid"), F.col("v").alias("rv"))
-              .withColumn("rb", F.pmod(F.xxhash64("rid"), F.lit(nb)).cast("int"))
-              .withColumn("lb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))))
     kt = v.schema["vec_id"].dataType
-    schema = T.StructType([T.StructField("earlier", kt), T.StructField("later", kt),
-                           T.StructField("score", T.DoubleType())])
-
-    def pairs(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if lp.empty or rp.empty:
-            return pd.DataFrame({"earlier": lp["lid"].iloc[:0], "later": rp["rid"].iloc[:0],
-                                 "score": pd.Series([], dtype="float64")})
-        li, ri = lp["lid"].to_numpy(), rp["rid"].to_numpy()
-        s = np.vstack(lp["lv"].to_numpy()) @ np.vstack(rp["rv"].to_numpy()).T
-        a, b = np.nonzero((s > threshold) & (li[:, None] < ri[None, :]))
-        return pd.DataFrame({"earlier": li[a], "later": ri[b], "score": s[a, b]})
-
-    return (left.groupBy("lb", "rb")
-                .cogroup(right.groupBy("lb", "rb"))
-                .applyInPandas(pairs, schema))
+    schema = T.StructType([T.StructField("earlier", kt), T.StructField("later", kt), T.StructField("score", T.DoubleType())])
+    if n == 0:
+        return spark.createDataFrame([], schema)
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold))
+    p = pivots(v, n, reach)
+    between = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
+    bc = spark.sparkContext.broadcast((p, between))           # MAX_PIVOTS vectors and their distances
+
+    def distances(pdf):
+        x = np.vstack(pdf["v"].to_numpy())
+        return x, np.sqrt(np.maximum(0, 2 - 2 * x @ bc.value[0].T))
+
+    def settle(batches):
+        for pdf in batches:
+            _, at = distances(pdf)
+            home = at.argmin(axis=1)
+            yield pdf.assign(home=home.astype(np.int32), far=at[np.arange(len(pdf)), home])
+
+    vt = T.StructType([*v.schema.fields, T.StructField("home", T.IntegerType()), T.StructField("far", T.DoubleType())])
+    lives = cut_lineage(v.mapInPandas(settle, vt))
+    radius, parts = np.full(len(p), -1e9), np.zeros(len(p), dtype=np.int64)
+    for r in lives.groupBy("home").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect():     # one row a pivot
+        radius[r.home], parts[r.home] = r.far, math.ceil(r.n / block_rows)
+    cells = spark.sparkContext.broadcast((radius, parts))
+
+    def dealt(batches):
+        """A vector's row in its own part of its cell, and one in every part that it visits:
+        parts of its cell up to its own, and all parts of the cells it has to see."""
+        r, n_parts = cells.value
+        for pdf in batches:
+            x, at = distances(pdf)
+            home = pdf["home"].to_numpy()
+            own = pdf["part"].to_numpy()
+            see = visits(x, at, home, bc.value[1], r, reach)
+            row, cell = np.nonzero(see & (n_parts > 0)[None, :])
+            times = np.concatenate([n_parts[cell], own + 1])
+            row, cell = np.concatenate([row, np.arange(len(pdf))]), np.concatenate([cell, home])
+            part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            row, cell = np.repeat(row, times), np.repeat(cell, times)
+            yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy()[row], "v": pdf["v"].to_numpy()[row], "cell": cell.astype(np.int32),
+                                "part": part.astype(np.int32), "lives": (cell == home[row]) & (part == own[row])})
+
+    shares = F.broadcast(spark.createDataFrame([(c, int(max(1, x))) for c, x in enumerate(parts)], "home int, parts int"))
+    placed = lives.join(shares, "home").select("vec_id", "v", "home", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"))
+    dt = T.StructType([*v.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("lives", T.BooleanType())])
+    guests = placed.mapInPandas(dealt, dt)
+    residents = placed.select(F.col("vec_id").alias("rid"), F.col("v").alias("rv"), F.col("home").alias("cell"), "part")
+
+    def meet(gp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(gp) and len(rp):
+            rid, rm = rp["rid"].to_numpy(), np.vstack(rp["rv"].to_numpy())
+            for lo in range(0, len(gp), block_rows):          # a cell may have many guests: no product outgrows block_rows squared
+                part = gp.iloc[lo:lo + block_rows]
+                gid, lives_here = part["vec_id"].to_numpy(), part["lives"].to_numpy()
+                s = np.vstack(part["v"].to_numpy()) @ rm.T
+                hit = (s > threshold) & (~lives_here[:, None] | (gid[:, None] < rid[None, :]))
+                a, b = np.nonzero(hit)
+                out.append(pd.DataFrame({"earlier": np.minimum(gid[a], rid[b]), "later": np.maximum(gid[a], rid[b]), "score": s[a, b]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"earlier": rp["rid"].iloc[:0], "later": rp["rid"].iloc[:0], "score": pd.Series([], dtype="float64")})
+
+    if work is not None:
+        sizes = guests.groupBy("cell", "part").agg(F.count_if(~F.col("lives")).alias("g"), F.count_if("lives").alias("r"))
+        work.update(scored=sizes.agg(F.sum(F.col("g") * F.col("r") + F.col("r") * (F.col("r") - 1) / 2)).first()[0], every=n * (n - 1) // 2)
+    return guests.groupBy("cell", "part").cogroup(residents.groupBy("cell", "part")).applyInPandas(meet, schema)
 
 
 def semantic_dedup(vectors: DataFrame, threshold: float = 0.85, key: str = "vec_id", vec: str = "embedding",

@@ -35,6 +35,8 @@ from ..operators.tfidf import fit_tfidf
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import read_table, table_path
 from ..streaming import rate as rate_ops
+from ..streaming.sources import landed, landed_stream, run_to_files
+from ..streaming.state import breaker_stream, error_streak_stream, first_seen_capped_stream
 from .hybrid import envelope, hybrid_search, retrieve, stored_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -766,6 +768,67 @@ def q_rate_windows(spark, sf_dir):
     return s.select("user_id", "max_per_minute", "minutes_over_limit", "max_per_hour", "hours_over_limit")
 
 
+def burst_events(spark, sf_dir):
+    """events squeezed in time, so that limits are exceeded: a month in ten hours,
+    ten users (user_id modulo 10), the events of an hour in its first ten minutes.
+    Every fiftieth event arrives half of the time late."""
+    e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
+    first, last = e.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    t = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - first) / SQUEEZE)
+    hour = F.floor(t / 3_600_000_000) * 3_600_000_000
+    quarter = F.least(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - first) * 4 / (last - first)), F.lit(3))
+    arrival = F.when(F.col("event_id") % 50 == 0, F.least(quarter + 2, F.lit(3))).otherwise(quarter)
+    return e.select("event_id", (F.col("user_id") % 10).alias("user_id"), F.timestamp_micros(hour + F.floor((t - hour) / 6) + EPOCH * 1_000_000).alias("ts"),
+                    F.col("event_type").isin("error", "click").alias("is_error"), arrival.cast("int").alias("arrival"))
+
+
+SQUEEZE = 72
+# a start that is not the epoch: a stream without rows has its watermark there
+EPOCH = 1_704_067_200
+
+
+@register("rate_stream")
+def q_rate_stream(spark, sf_dir):
+    """Hour windows of a stream that the watermark closed, and how many of their
+    rows came too late for them (by user)."""
+    root = landed(burst_events(spark, sf_dir).select("user_id", "ts", "arrival"), "arrival", "rate")
+    hours, late = rate_ops.run_rates(landed_stream(spark, root), "rate")
+    w = hours.groupBy("user_id").agg(F.count(F.lit(1)).alias("windows"), F.sum("n").alias("counted"), F.max("n").alias("max_per_hour"),
+                                     F.count_if("over_limit").alias("hours_over_limit"))
+    missed = late.groupBy("user_id").agg(F.count(F.lit(1)).alias("late_rows"), F.sum("hours_missed").alias("hours_missed"))
+    return w.join(missed, "user_id", "left").select("user_id", "windows", "counted", "max_per_hour", "hours_over_limit",
+                                                    *[F.coalesce(c, F.lit(0)).alias(c) for c in ("late_rows", "hours_missed")])
+
+
+@register("breaker_stream")
+def q_breaker_stream(spark, sf_dir):
+    """Changes of each user's circuit breaker, errors and clicks being failures."""
+    e = burst_events(spark, sf_dir).withColumn("arrival", F.lit(0))
+    root = landed(e, "arrival", "breaker")
+    return run_to_files(breaker_stream(landed_stream(spark, root)), "breaker").select("user_id", (F.unix_micros("at") - EPOCH * 1_000_000).alias("at_us"), "state")
+
+
+@register("streak_stream")
+def q_streak_stream(spark, sf_dir):
+    """The error streak as a stream over events that land in four parts."""
+    e = burst_events(spark, sf_dir).withColumn("arrival", F.floor(F.hour("ts") / 3).cast("int"))
+    root = landed(e, "arrival", "streak")
+    out = run_to_files(error_streak_stream(landed_stream(spark, root)), "streak")
+    return out.select("user_id", "event_id", "streak", F.round("delay", 6).alias("delay"), "consecutive_errors")
+
+
+@register("first_seen_stream")
+def q_first_seen_stream(spark, sf_dir):
+    """Accepted URLs of each request as a stream that forgets: a page every ten
+    seconds, 20 pages a request, a horizon of ten minutes."""
+    p = web.with_url_keys(page_results(spark, sf_dir)).where("norm_url <> '' AND norm_url IS NOT NULL")
+    rows = p.select("request_id", F.col("page_id").alias("arrival"), "norm_url", "domain", F.timestamp_seconds(F.col("page_id") * 10 + EPOCH).alias("ts"),
+                    F.floor(F.col("page_id") * 4 / (F.lit(p.agg(F.max("page_id")).first()[0]) + 1)).cast("int").alias("file"))
+    root = landed(rows, "file", "pages")
+    out = run_to_files(first_seen_capped_stream(landed_stream(spark, root), horizon="10 minutes"), "first-seen")
+    return out.select("request_id", F.col("arrival").alias("page_id"), "norm_url", "domain")
+
+
 @register("memory_recall")
 def q_memory_recall(spark, sf_dir):
     """Earlier messages recalled for each conversation's newest user message
@@ -781,3 +844,18 @@ def q_semantic_dedup(spark, sf_dir):
     (cosine > 0.85, vector id order)."""
     e = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return semantic_dedup(e, 0.85).select("vec_id", "kept", "reason")
+
+
+@register("semantic_dedup_copies")
+def q_semantic_dedup_copies(spark, sf_dir):
+    """The same where it has something to do: every tenth vector comes again
+    under a later id, every tenth with its first eight components halved, and
+    every tenth as the middle of itself and the vector before."""
+    e = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    kind = F.col("vec_id") % 10
+    before = e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("other"))
+    copies = e.where(kind == 0).withColumn("vec_id", F.col("vec_id") + 1_000_000_000)
+    dented = e.where(kind == 1).select((F.col("vec_id") + 2_000_000_000).alias("vec_id"), F.transform("embedding", lambda x, i: F.when(i < 8, x * 0.5).otherwise(x)).alias("embedding"))
+    middle = e.where(kind == 2).join(before, "vec_id").select((F.col("vec_id") + 3_000_000_000).alias("vec_id"),
+                                                               F.zip_with("embedding", "other", lambda a, b: a + b * 0.5).alias("embedding"))
+    return semantic_dedup(e.unionByName(copies).unionByName(dented).unionByName(middle), 0.85).select("vec_id", "kept", "reason")

@@ -811,3 +811,68 @@ g(rn, vec_id, kept, kept_list) AS (
 SELECT vec_id, kept,
        CASE WHEN vec_id IN (SELECT vec_id FROM cp) THEN 'copy' WHEN kept THEN 'first' ELSE 'similar' END AS reason
 FROM g"""
+
+
+BURST = """
+e0 AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS u FROM events),
+mm AS (SELECT min(u) AS first, max(u) AS last FROM e0),
+e1 AS (SELECT event_id, user_id % 10 AS user_id, event_type IN ('error', 'click') AS err, (u - first) // 72 AS t,
+              least((u - first) * 4 // (last - first), 3) AS q FROM e0, mm),
+b AS (SELECT event_id, user_id, err, t // 3600000000 * 3600000000 + (t % 3600000000) // 6 AS ts,
+             CASE WHEN event_id % 50 = 0 THEN least(q + 2, 3) ELSE q END AS arrival FROM e1)"""
+
+# a row's windows start at its minute and the 59 minutes before; those the watermark of its batch has closed miss it
+ORACLE["rate_stream"] = f"""
+WITH {BURST},
+newest AS (SELECT arrival, max(ts) AS m FROM b GROUP BY arrival),
+mark AS (SELECT a.arrival, (SELECT max(m) FROM newest p WHERE p.arrival < a.arrival - 1) - 600000000 AS wm FROM newest a),
+x AS (SELECT b.user_id, b.ts, b.ts // 60000000 * 60000000 AS minute, wm FROM b JOIN mark USING (arrival)),
+w AS (SELECT user_id, minute - unnest(range(60)) * 60000000 AS ws, wm FROM x),
+c AS (SELECT user_id, ws, count(*) AS n FROM w WHERE wm IS NULL OR ws + 3600000000 > wm GROUP BY ALL),
+done AS (SELECT * FROM c WHERE ws + 3600000000 <= (SELECT max(ts) FROM b) - 600000000),
+l AS (SELECT user_id, least(greatest((wm - minute) // 60000000, 0), 60) AS missed FROM x WHERE wm >= minute + 60000000),
+r AS (SELECT user_id, count(*) AS windows, sum(n) AS counted, max(n) AS max_per_hour, count(*) FILTER (WHERE n > 100) AS hours_over_limit FROM done GROUP BY user_id),
+s AS (SELECT user_id, count(*) AS late_rows, sum(missed) AS hours_missed FROM l GROUP BY user_id)
+SELECT user_id, windows, CAST(counted AS BIGINT) AS counted, max_per_hour, hours_over_limit, coalesce(late_rows, 0) AS late_rows,
+       CAST(coalesce(hours_missed, 0) AS BIGINT) AS hours_missed
+FROM r LEFT JOIN s USING (user_id)"""
+
+ORACLE["breaker_stream"] = f"""
+WITH RECURSIVE {BURST},
+o AS (SELECT user_id, ts, err, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM b),
+r AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS ts, 0 AS run, CAST(NULL AS BIGINT) AS until, CAST(NULL AS VARCHAR) AS emit, CAST(NULL AS BIGINT) AS half_at FROM o
+  UNION ALL
+  SELECT o.user_id, o.rn, o.ts,
+         CASE WHEN r.until > o.ts THEN r.run WHEN r.until IS NOT NULL OR NOT o.err OR r.run >= 4 THEN 0 ELSE r.run + 1 END,
+         CASE WHEN r.until > o.ts THEN r.until WHEN o.err AND (r.until IS NOT NULL OR r.run >= 4) THEN o.ts + 60000000 END,
+         CASE WHEN r.until > o.ts THEN NULL WHEN o.err AND (r.until IS NOT NULL OR r.run >= 4) THEN 'open' WHEN r.until IS NOT NULL THEN 'closed' END,
+         CASE WHEN r.until <= o.ts THEN r.until END
+  FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1),
+ends AS (SELECT user_id, until FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) = 1)
+SELECT user_id, ts AS at_us, emit AS state FROM r WHERE emit IS NOT NULL
+UNION ALL SELECT user_id, half_at, 'half_open' FROM r WHERE half_at IS NOT NULL
+UNION ALL SELECT user_id, until, 'half_open' FROM ends WHERE until <= (SELECT max(ts) FROM b) - 600000000"""
+
+ORACLE["streak_stream"] = f"""
+WITH RECURSIVE {BURST},
+ev AS (SELECT user_id, event_id, err, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM b),
+r AS (
+  SELECT user_id, rn, event_id, CASE WHEN err THEN 1 ELSE 0 END AS c, CASE WHEN err THEN 1 ELSE 0 END AS run FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.rn, e.event_id, CASE WHEN e.err THEN least(r.c + 1, 5) ELSE greatest(r.c - 1, 0) END, CASE WHEN e.err THEN r.run + 1 ELSE 0 END
+  FROM r JOIN ev e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
+SELECT user_id, event_id, CAST(c AS BIGINT) AS streak, round(least(0.5 * pow(1.5, c), 2.0), 6) AS delay, CAST(run AS BIGINT) AS consecutive_errors FROM r"""
+
+ORACLE["first_seen_stream"] = f"""
+WITH {PAGES_NU}, {REQUESTS_CTE}
+SELECT request_id, page_id, norm_url, domain FROM _rq_cap"""
+
+COPIES = """(
+SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings
+UNION ALL SELECT vec_id + 1000000000, CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id % 10 = 0
+UNION ALL SELECT vec_id + 2000000000, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: CASE WHEN i <= 8 THEN x * 0.5 ELSE x END) FROM embeddings WHERE vec_id % 10 = 1
+UNION ALL SELECT a.vec_id + 3000000000, list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda p: p[1] + p[2] * 0.5)
+  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - 1 WHERE a.vec_id % 10 = 2)"""
+
+ORACLE["semantic_dedup_copies"] = ORACLE["semantic_dedup"].replace("FROM embeddings)", f"FROM {COPIES})")

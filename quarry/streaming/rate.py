@@ -3,7 +3,7 @@
 Limits: at most 10 searches per minute (tumbling windows) and 100 queries per
 hour (sliding 1-hour windows every minute). In a stream the watermark (an
 argument, 10 minutes unless given) bounds state; rows later than it are
-dropped. The batch form counts minutes first and spreads those counts over the
+not counted in windows; ``late_rows`` tells which. The batch form counts minutes first and spreads those counts over the
 60 windows that hold them, not every event.
 """
 
@@ -42,3 +42,34 @@ def rate_summary(minute: DataFrame, hour: DataFrame, user: str = "user_id") -> D
     h = hour.groupBy(user).agg(F.max("n").alias("max_per_hour"),
                                F.count_if("over_limit").alias("hours_over_limit"))
     return m.join(h, user, "full")
+
+
+def run_rates(events: DataFrame, name: str, user: str = "user_id", ts: str = "ts", watermark: str = WATERMARK) -> tuple[DataFrame, DataFrame]:
+    """Run a stream of events to its end: (hour windows, late rows), both from
+    files. Hour windows are those the watermark closed. Late rows are a side output:
+    (user, ts, hours_missed) of each row that came when ``hours_missed`` of its sixty
+    hour windows were closed already. What is late for a micro-batch follows from
+    the newest time up to the batch before its last (the last one's moves windows out
+    at its end), which each batch leaves in a file of its own, so a batch that is run
+    again writes the same."""
+    from .sources import checkpoint_location, run_to_files
+    spark = events.sparkSession
+    late_root, seen_root = (checkpoint_location(spark, f"{name}-{x}") for x in ("late", "seen"))
+    seen_schema, late_schema = "newest timestamp, batch long", f"`{user}` {events.schema[user].dataType.simpleString()}, ts timestamp, hours_missed long, batch long"
+
+    def side(batch: DataFrame, number: int) -> None:
+        before = spark.read.schema(seen_schema).parquet(*[f"{seen_root}/part={i}" for i in range(number - 1)]).agg(F.max("newest")).first()[0] if number > 1 else None
+        batch.agg(F.max(ts).alias("newest"), F.lit(number).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{seen_root}/part={number}")
+        mark = F.lit(before).cast("timestamp") - F.expr(f"INTERVAL {watermark}")
+        # a row's last hour window ends an hour after its minute begins, the first one 59 minutes earlier
+        minute = F.unix_micros(F.date_trunc("minute", ts))
+        closed = F.floor((F.unix_micros(mark) - minute) / F.lit(60_000_000))
+        missed = F.least(F.greatest(closed, F.lit(0)), F.lit(60))
+        late = batch.select(user, F.col(ts).alias("ts"), F.coalesce(missed, F.lit(0)).cast("long").alias("hours_missed"), F.lit(number).cast("long").alias("batch"))
+        late.where("hours_missed > 0").write.mode("overwrite").parquet(f"{late_root}/part={number}")
+
+    q = (events.select(user, ts).writeStream.foreachBatch(side).option("checkpointLocation", checkpoint_location(spark, f"{name}-side"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    hours = run_to_files(hour_counts(events, user, ts, streaming=True, watermark=watermark), name)
+    return hours, spark.read.schema(late_schema).parquet(f"{late_root}/part=*").drop("batch")

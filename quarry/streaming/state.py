@@ -8,10 +8,15 @@ ErrorStreakProcessor - per key, the clamped error streak and back-off delay
   integers per key. (A state TTL needs a processing-time query; pass
   ``ttl_ms`` and run with timeMode 'ProcessingTime' for that.)
 
+BreakerProcessor - per key, the changes of a circuit breaker: it opens at the
+  fifth consecutive failure, an event-time timer half-opens it 60 s later
+  whether or not a row arrives, and the next outcome closes it or opens it
+  again. Outcomes while it is open change nothing.
+
 FirstSeenCapProcessor - per (request, domain): the first ``cap`` distinct
-  URLs in arrival order; later URLs of a full domain are rejected. Paired
-  with ``dropDuplicates`` on (request, norm_url) upstream it is the stream
-  form of the URL de-dup with domain cap.
+  URLs in arrival order; later URLs of a full domain are rejected. With
+  event times a timer clears what a domain remembers once the watermark is
+  ``horizon`` past its last URL.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -77,16 +83,86 @@ def error_streak_stream(events: DataFrame, key: str = "user_id") -> DataFrame:
                                               outputStructType=STREAK_OUT, outputMode="Append", timeMode="None"))
 
 
+BREAKER_OUT = T.StructType([
+    T.StructField("user_id", T.LongType()), T.StructField("at", T.TimestampType()), T.StructField("state", T.StringType())])
+
+
+class BreakerProcessor(StatefulProcessor):
+    """State per key: failures in a row, when the open breaker half-opens
+    (microseconds, -1: not open), whether it is half open."""
+
+    def __init__(self, key: str = "user_id", threshold: int = BREAKER_THRESHOLD, open_us: int = BREAKER_OPEN_US):
+        self.key, self.threshold, self.open_us = key, threshold, open_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("breaker", T.StructType([
+            T.StructField("run", T.LongType()), T.StructField("until_us", T.LongType()), T.StructField("half", T.BooleanType())]))
+
+    def _rows(self, key, changes: list[tuple[int, str]]) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": pd.array([key[0]] * len(changes), dtype="Int64"), "at": np.array([t for t, _ in changes], dtype="datetime64[us]"),
+                             "state": np.array([s for _, s in changes], dtype=object)}).astype({"state": object})
+
+    @staticmethod
+    def _timer(until_us: int) -> int:
+        return -(-until_us // 1000)         # timers count milliseconds
+
+    def handleInputRows(self, key, rows, timerValues):
+        # a micro-batch's rows of a key have to be put in order
+        pdf = pd.concat([r[["ts", "event_id", "is_error"]] for r in rows], ignore_index=True).sort_values(["ts", "event_id"], kind="mergesort")
+        run, until, half = self.state.get() if self.state.exists() else (0, -1, False)
+        before, changes = until, []
+        for err, t in zip(pdf["is_error"].to_numpy(), pdf["ts"].astype("datetime64[us]").astype("int64").tolist()):
+            if 0 <= until <= t:
+                changes.append((until, "half_open"))
+                until, half = -1, True
+            if until >= 0:
+                continue
+            run = 0 if half or not err else run + 1
+            if err and (half or run >= self.threshold):
+                changes.append((t, "open"))
+                run, until = 0, t + self.open_us
+            elif half:
+                changes.append((t, "closed"))
+            half = False
+        if before != until:
+            if before >= 0:
+                self.handle.deleteTimer(self._timer(before))
+            if until >= 0:
+                self.handle.registerTimer(self._timer(until))
+        self.state.update((int(run), int(until), bool(half)))
+        if changes:
+            yield self._rows(key, changes)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        run, until, half = self.state.get() if self.state.exists() else (0, -1, False)
+        if until >= 0 and expiredTimerInfo.getExpiryTimeInMs() == self._timer(until):
+            self.state.update((int(run), -1, True))
+            yield self._rows(key, [(until, "half_open")])
+
+    def close(self) -> None:
+        pass
+
+
+def breaker_stream(events: DataFrame, key: str = "user_id", delay: str = "10 minutes") -> DataFrame:
+    """events(key, ts, event_id, is_error) stream -> (user_id, at, state) changes."""
+    return (events.select(F.col(key).cast("long").alias("user_id"), "ts", "event_id", "is_error").withWatermark("ts", delay)
+                  .groupBy("user_id")
+                  .transformWithStateInPandas(statefulProcessor=BreakerProcessor(), outputStructType=BREAKER_OUT,
+                                              outputMode="Append", timeMode="EventTime"))
+
+
 class FirstSeenCapProcessor(StatefulProcessor):
     """Keyed by (request_id, domain). A URL maps to one domain, so URL
     de-duplication inside the domain group equals global de-duplication;
     once the domain holds ``cap`` URLs every later row is rejected, so the
     state never needs more than ``cap`` URLs."""
 
-    def __init__(self, cap: int = 2, arrival: str = "arrival"):
-        self.cap, self.arrival = cap, arrival
+    def __init__(self, cap: int = 2, arrival: str = "arrival", horizon_ms: int | None = None):
+        self.cap, self.arrival, self.horizon_ms = cap, arrival, horizon_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.seen = handle.getValueState(
             "urls", T.StructType([T.StructField("urls", T.ArrayType(T.StringType()))]))
 
@@ -100,19 +176,36 @@ class FirstSeenCapProcessor(StatefulProcessor):
             urls.append(u)
             keep.append(i)
         self.seen.update((urls,))
+        if self.horizon_ms is not None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(int(pdf["ts"].astype("datetime64[ms]").astype("int64").max()) + self.horizon_ms)
         yield pdf.iloc[keep][["request_id", "domain", "norm_url", self.arrival]]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.seen.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def first_seen_capped_stream(results: DataFrame, cap: int = 2, arrival: str = "arrival") -> DataFrame:
+def first_seen_capped_stream(results: DataFrame, cap: int = 2, arrival: str = "arrival", horizon: str | None = None) -> DataFrame:
     """results(request_id, norm_url, domain, arrival) stream -> accepted rows
-    (first arrival per URL, at most ``cap`` per domain)."""
+    (first arrival per URL, at most ``cap`` per domain).
+
+    With ``horizon`` (such as "10 minutes") the results have an event time ``ts``, and
+    what is remembered of a domain goes once the watermark, which is as far behind
+    the newest row, has passed its last URL by that much. Requests that are over
+    within the horizon get the same rows as without it."""
     out = T.StructType([T.StructField("request_id", results.schema["request_id"].dataType),
                         T.StructField("domain", T.StringType()), T.StructField("norm_url", T.StringType()),
                         T.StructField(arrival, results.schema[arrival].dataType)])
-    return (results.select("request_id", "domain", "norm_url", arrival)
-                   .groupBy("request_id", "domain")
-                   .transformWithStateInPandas(statefulProcessor=FirstSeenCapProcessor(cap, arrival),
-                                               outputStructType=out, outputMode="Append", timeMode="None"))
+    if horizon is None:
+        rows, mode, ms = results.select("request_id", "domain", "norm_url", arrival), "None", None
+    else:
+        rows = results.select("request_id", "domain", "norm_url", arrival, "ts").withWatermark("ts", horizon)
+        mode, ms = "EventTime", int(pd.Timedelta(horizon).total_seconds() * 1000)
+    return (rows.groupBy("request_id", "domain")
+                .transformWithStateInPandas(statefulProcessor=FirstSeenCapProcessor(cap, arrival, ms),
+                                            outputStructType=out, outputMode="Append", timeMode=mode))
