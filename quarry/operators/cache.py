@@ -37,6 +37,12 @@ def cache_put(cache: DataFrame, rows: DataFrame) -> DataFrame:
     return current_entries(cache.unionByName(rows.select("cache_key", "payload", "written_at")))
 
 
+def cache_clear(cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the empty cache, one-row report cleared): a new version with the same
+    columns, so what is written next starts from nothing."""
+    return cache.where(F.lit(False)), cache.agg(F.count(F.lit(1)).alias("cleared"))
+
+
 def _clean_payload(p: Column) -> Column:
     return F.regexp_replace(p, "^﻿", "")
 

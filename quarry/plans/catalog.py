@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import FINAL_CHANNEL_MARKER, IndexConfig, SearchConfig, WebConfig
-from ..functions.embed import hashed_embedding
+from ..functions.text import tokens
 from ..operators import cache as cache_ops
 from ..operators import context as ctx
 from ..operators import evaluate as ev
@@ -31,8 +31,9 @@ from ..operators.fusion import rrf_fuse
 from ..operators.neardup import semantic_dedup
 from ..operators.streak import error_streak
 from ..operators.impacts import pruned_topk
-from ..operators.tfidf import fit_tfidf
+from ..operators.tfidf import fit_tfidf, pad_zero
 from ..session import ensure_checkpoint_dir
+from ..sources.corpus import decode_files, scan_corpus
 from ..sources.tables import read_table, table_path
 from ..streaming import rate as rate_ops
 from ..streaming.sources import landed, landed_stream, run_to_files
@@ -859,3 +860,117 @@ def q_semantic_dedup_copies(spark, sf_dir):
     middle = e.where(kind == 2).join(before, "vec_id").select((F.col("vec_id") + 3_000_000_000).alias("vec_id"),
                                                                F.zip_with("embedding", "other", lambda a, b: a + b * 0.5).alias("embedding"))
     return semantic_dedup(e.unionByName(copies).unionByName(dented).unionByName(middle), 0.85).select("vec_id", "kept", "reason")
+
+
+# ---------------------------------------------------------------------------
+# cache writes, repair and clearing; corpus files; statistics of an index
+# ---------------------------------------------------------------------------
+
+
+def damaged_cache(spark, sf_dir):
+    """Cache entries written by all searches; what k leaves decides who lost its
+    end (k % 7 = 0), has nothing but a space (k % 11 = 0) or begins with a mark."""
+    s = _search_requests(spark, sf_dir)
+    k = F.get_json_object("props", "$.k").cast("int")
+    payload = (F.when(k % 7 == 0, F.expr("substring(props, 1, length(props) - 1)")).when(k % 11 == 0, F.lit(" "))
+               .when(k % 13 == 0, F.concat(F.lit("\ufeff"), F.col("props"))).otherwise(F.col("props")))
+    return s.select("cache_key", payload.alias("payload"), F.col("ts").alias("written_at"))
+
+
+@register("cache_write")
+def q_cache_write(spark, sf_dir):
+    """The cache after a second batch of writes over a first one: searches before
+    and from the middle of the time on."""
+    c = damaged_cache(spark, sf_dir)
+    t = F.unix_micros(F.col("written_at").cast("timestamp"))
+    first, last = c.agg(F.min(t), F.max(t)).first()
+    middle = (first + last) // 2
+    old = cache_ops.current_entries(c.where(t < middle))
+    return cache_ops.cache_put(old, c.where(t >= middle)).select("cache_key", "payload", cache_ops.payload_parses("payload").alias("parses"))
+
+
+@register("cache_repair_damaged")
+def q_cache_repair_damaged(spark, sf_dir):
+    _, report = cache_ops.cache_repair(cache_ops.current_entries(damaged_cache(spark, sf_dir)))
+    return report
+
+
+@register("cache_clear")
+def q_cache_clear(spark, sf_dir):
+    """Entries cleared, and those of the cache that follows after the errors' writes alone."""
+    cache = cache_ops.current_entries(damaged_cache(spark, sf_dir))
+    empty, report = cache_ops.cache_clear(cache)
+    errors = _search_requests(spark, sf_dir).where(F.col("event_type") == "error").select("cache_key", F.col("props").alias("payload"), F.col("ts").alias("written_at"))
+    after = cache_ops.cache_put(empty, errors).agg(F.count(F.lit(1)).alias("entries_after"))
+    return report.withColumn("entries_after", after.scalar())
+
+
+FILE_BLOCK = 200
+
+
+@register("corpus_files")
+def q_corpus_files(spark, sf_dir):
+    """Documents written as text files (one for the documents of a source in a
+    block of 200 ids) and read back by the folder scan."""
+    d = read_table(spark, sf_dir, "documents", "doc_id", "source", "text").withColumn("block", F.floor(F.col("doc_id") / FILE_BLOCK))
+    root = f"{ensure_checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    (d.repartition("source", "block").sortWithinPartitions("source", "block", "doc_id").select("source", "block", F.coalesce("text", F.lit("")).alias("text"))
+      .write.partitionBy("source", "block").option("maxRecordsPerFile", 0).text(root))
+    files = decode_files(scan_corpus(spark, root), root)
+    name = r"source=([^/]*)/block=(\d+)/"
+    return files.select(F.regexp_extract("path", name, 1).alias("source"), F.regexp_extract("path", name, 2).cast("long").alias("block"), "suffix",
+                        F.col("length").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
+
+
+@register("collection_stats")
+def q_collection_stats(spark, sf_dir):
+    """Statistics and reindex gate by source: labelled documents have vectors, and
+    a document was indexed as many hours after 2024 began as its id says."""
+    chunks = corpus_chunks(spark, sf_dir).select("doc_id").join(read_table(spark, sf_dir, "documents", "doc_id", "source"), "doc_id")
+    labelled = read_table(spark, sf_dir, "labels", "doc_id").distinct()
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "source")
+    manifest = docs.withColumn("indexed_at", F.timestamp_seconds(F.lit(EPOCH) + (F.col("doc_id") * 7919) % 1000 * 3600))
+    now = manifest.agg(F.max("indexed_at")).first()[0]
+    # a source with an even number was indexed long ago only
+    old = manifest.where((F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 2 == 1) | (F.col("indexed_at") < F.lit(now) - F.expr("INTERVAL 10 DAYS")))
+    st = idx.part_stats(old, chunks, chunks.join(labelled, "doc_id", "left_semi"), "source", now)
+    return st.select("name", "count", "cached_files", "bm25_docs", F.unix_seconds("last_indexed").alias("last_indexed"), "due")
+
+
+@register("tfidf_topk_padded")
+def q_tfidf_topk_padded(spark, sf_dir):
+    """The longest word of each passage as a query: few texts have it, so answers
+    are filled up with the smallest ids at score 0."""
+    longest = F.array_sort(F.transform(tokens("query"), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
+    q = benchmark_queries(spark, sf_dir).select("query_id", F.try_element_at(longest, F.lit(1))["t"].alias("query"))
+    ix, k = search_index(spark, sf_dir), SearchConfig().top_k_lexical
+    hits = pruned_topk(q, ix["postings"], ix["placed"], ix["term_stats"], k=k)
+    out = pad_zero(hits, q, ix["chunks"], k)
+    return out.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------------------
+# data that reaches the rarer outcomes of earlier queries
+# ---------------------------------------------------------------------------
+
+
+@register("latency_by_band")
+def q_latency_by_band(spark, sf_dir):
+    """Variability within bands of latency: stable but for the lowest."""
+    log = events_as_latency_log(spark, sf_dir).withColumn("band", F.floor(F.col("latency_ms") / 10).cast("long"))
+    v = ev.latency_variability(log, "band")
+    return v.select("band", "n", F.round("mean", 6).alias("mean"), F.round("cv", 6).alias("cv"), "stable")
+
+
+@register("response_ids")
+def q_response_ids(spark, sf_dir):
+    """Assistant turns that end in lists of ids, with and without the final channel."""
+    c = conversations(spark, sf_dir).where(F.col("role") == "assistant")
+    n = F.col("conv_id").cast("string")
+    tail = (F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit(FINAL_CHANNEL_MARKER + " pick [3, "), n, F.lit("]")))
+            .when(F.col("conv_id") % 4 == 1, F.concat(F.lit(" [9] " + FINAL_CHANNEL_MARKER + " ["), n, F.lit(", 2] and [5,,6]")))
+            .when(F.col("conv_id") % 4 == 2, F.lit(" [ ] [1,2] [007]")).otherwise(F.lit("")))
+    fin = ctx.final_channel(F.concat("text", tail))
+    ids = ctx.parse_id_list(fin)
+    return c.select("conv_id", "turn", fin.alias("final_text"), F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("ids"),
+                    F.size(ids).cast("long").alias("n_ids"))

@@ -876,3 +876,59 @@ UNION ALL SELECT a.vec_id + 3000000000, list_transform(list_zip(CAST(a.embedding
   FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - 1 WHERE a.vec_id % 10 = 2)"""
 
 ORACLE["semantic_dedup_copies"] = ORACLE["semantic_dedup"].replace("FROM embeddings)", f"FROM {COPIES})")
+
+
+DAMAGED = f"""
+{SEARCH_REQ},
+dm AS (SELECT cache_key, ts AS written_at, CAST(json_extract_string(props, '$.k') AS INT) AS k, props FROM sk),
+dc AS (SELECT cache_key, written_at, CASE WHEN k % 7 = 0 THEN substr(props, 1, length(props) - 1) WHEN k % 11 = 0 THEN ' '
+                                          WHEN k % 13 = 0 THEN chr(65279) || props ELSE props END AS payload FROM dm),
+cur AS (SELECT cache_key, payload FROM dc QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY written_at DESC, payload DESC) = 1)"""
+
+ORACLE["cache_write"] = f"WITH {DAMAGED} SELECT cache_key, payload, {_parses_sql('payload')} AS parses FROM cur"
+
+ORACLE["cache_repair_damaged"] = f"WITH {DAMAGED} SELECT count(*) FILTER (WHERE NOT {_parses_sql('payload')}) AS repaired, count(*) AS total FROM cur"
+
+ORACLE["cache_clear"] = f"""
+WITH {DAMAGED}
+SELECT (SELECT count(*) FROM cur) AS cleared, (SELECT count(DISTINCT cache_key) FROM sk WHERE event_type = 'error') AS entries_after"""
+
+ORACLE["corpus_files"] = """
+WITH t AS (SELECT source, doc_id // 200 AS block, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS text FROM documents GROUP BY ALL)
+SELECT source, block, 'txt' AS suffix, strlen(text) AS n_bytes, md5(text) AS text_md5 FROM t"""
+
+ORACLE["collection_stats"] = f"""
+WITH {CHUNKS_CTE},
+m AS (SELECT source, 1704067200 + (doc_id * 7919) % 1000 * 3600 AS ts FROM documents),
+nw AS (SELECT max(ts) AS now FROM m),
+o AS (SELECT m.* FROM m, nw WHERE CAST(regexp_extract(source, '(\\d+)$', 1) AS INT) % 2 = 1 OR ts < now - 864000),
+a AS (SELECT source, count(*) AS cached_files, max(ts) AS last_indexed FROM o GROUP BY source),
+c AS (SELECT d.source, count(*) AS bm25_docs, count(l.doc_id) AS n FROM chunks_id k JOIN documents d USING (doc_id)
+      LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY d.source)
+SELECT coalesce(a.source, c.source) AS name, coalesce(n, 0) AS "count", coalesce(cached_files, 0) AS cached_files, coalesce(bm25_docs, 0) AS bm25_docs,
+       last_indexed, last_indexed IS NULL OR last_indexed <= now - 7 * 86400 AS due
+FROM a FULL JOIN c ON a.source = c.source, nw"""
+
+LONGEST_WORDS = f"""SELECT query_id, w[1] AS query FROM (
+  SELECT item_id AS query_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '{TOKEN_RE}'), lambda t: length(t) = list_max(
+    list_transform(regexp_extract_all(lower(text), '{TOKEN_RE}'), lambda x: length(x)))))) AS w FROM benchmark)"""
+
+ORACLE["tfidf_topk_padded"] = f"""
+WITH {CHUNKS_CTE}, {TFIDF_CTE}, {query_vectors_cte('qv', LONGEST_WORDS)},
+sc AS (SELECT query_id, chunk_id, sum(wq * weight) AS score FROM qv JOIN postings USING (term) GROUP BY query_id, chunk_id),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 50),
+n AS (SELECT b.item_id AS query_id, count(h.chunk_id) AS n FROM benchmark b LEFT JOIN h ON h.query_id = b.item_id GROUP BY b.item_id),
+lack AS (SELECT n.query_id, n, i.chunk_id, row_number() OVER (PARTITION BY n.query_id ORDER BY i.chunk_id) AS r
+         FROM n, (SELECT chunk_id FROM chunks_id ORDER BY chunk_id LIMIT 50) i
+         WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = n.query_id AND h.chunk_id = i.chunk_id))
+SELECT query_id, chunk_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM h
+UNION ALL SELECT query_id, chunk_id, CAST(n + r AS BIGINT), 0.0 FROM lack WHERE n + r <= 50"""
+
+ORACLE["latency_by_band"] = f"""
+WITH {LATENCY_LOG}, b AS (SELECT CAST(floor(latency_ms / 10) AS BIGINT) AS band, latency_ms FROM lg)
+SELECT band, count(*) AS n, round(avg(latency_ms), 6) AS mean, round(stddev_pop(latency_ms) / avg(latency_ms), 6) AS cv,
+       coalesce(stddev_pop(latency_ms) / avg(latency_ms) < 0.5, false) AS stable FROM b GROUP BY band"""
+
+ORACLE["response_ids"] = ORACLE["response_parse"].replace("SELECT conv_id, turn, text FROM conversations", f"""SELECT conv_id, turn, text ||
+  CASE conv_id % 4 WHEN 0 THEN '{_MARK} pick [3, ' || conv_id || ']' WHEN 1 THEN ' [9] {_MARK} [' || conv_id || ', 2] and [5,,6]' WHEN 2 THEN ' [ ] [1,2] [007]' ELSE '' END AS text
+  FROM conversations""", 1)
