@@ -974,3 +974,17 @@ def q_response_ids(spark, sf_dir):
     ids = ctx.parse_id_list(fin)
     return c.select("conv_id", "turn", fin.alias("final_text"), F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("ids"),
                     F.size(ids).cast("long").alias("n_ids"))
+
+
+# Letters of the documents written in Cyrillic.
+CYRILLIC_FROM, CYRILLIC_TO = "abcdefghijklmnopqrstuvwxyzéäöüß", "абцдефгхийклмнопярстувшщызёжчюъ"
+
+
+@register("lemma_cyrillic")
+def q_lemma_cyrillic(spark, sf_dir):
+    """Documents written in Cyrillic; the dictionary cuts forms of six letters and more to five."""
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text").withColumn("text", F.translate(F.lower("text"), CYRILLIC_FROM, CYRILLIC_TO))
+    forms = lem.word_positions(d, "doc_id", "text").select("word").distinct().where("length(word) >= 6")
+    dic = forms.select(F.col("word").alias("form"), F.substring("word", 1, 5).alias("lemma"))
+    out = lem.lemmatize(d, dic, "doc_id", "text", "strict")
+    return out.select("doc_id", F.md5("lemma_text").alias("lemma_md5"), F.size("lemmas").cast("long").alias("n_lemmas"))

@@ -932,3 +932,12 @@ SELECT band, count(*) AS n, round(avg(latency_ms), 6) AS mean, round(stddev_pop(
 ORACLE["response_ids"] = ORACLE["response_parse"].replace("SELECT conv_id, turn, text FROM conversations", f"""SELECT conv_id, turn, text ||
   CASE conv_id % 4 WHEN 0 THEN '{_MARK} pick [3, ' || conv_id || ']' WHEN 1 THEN ' [9] {_MARK} [' || conv_id || ', 2] and [5,,6]' WHEN 2 THEN ' [ ] [1,2] [007]' ELSE '' END AS text
   FROM conversations""", 1)
+
+ORACLE["lemma_cyrillic"] = r"""
+WITH t AS (SELECT doc_id, translate(lower(text), 'abcdefghijklmnopqrstuvwxyzéäöüß', 'абцдефгхийклмнопярстувшщызёжчюъ') AS text FROM documents),
+wp AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word
+       FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM t)),
+k AS (SELECT doc_id, pos, CASE WHEN length(word) >= 6 THEN substr(word, 1, 5) ELSE word END AS lemma FROM wp
+      WHERE NOT regexp_full_match(word, '\p{Nd}+') AND regexp_matches(word, '(?i)[а-яёa-z]')),
+g AS (SELECT doc_id, string_agg(lemma, ' ' ORDER BY pos) AS lemma_text, count(*) AS n FROM k WHERE regexp_full_match(lemma, '(?i)[а-яёa-z]+') GROUP BY doc_id)
+SELECT doc_id, md5(coalesce(lemma_text, '')) AS lemma_md5, CAST(coalesce(n, 0) AS BIGINT) AS n_lemmas FROM documents LEFT JOIN g USING (doc_id)"""
