@@ -36,6 +36,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources.corpus import decode_files, scan_corpus
 from ..sources.tables import read_table, table_path
 from ..streaming import rate as rate_ops
+from ..streaming.index import start_index_stream
 from ..streaming.sources import landed, landed_stream, run_to_files
 from ..streaming.state import breaker_stream, error_streak_stream, first_seen_capped_stream
 from .hybrid import envelope, hybrid_search, retrieve, stored_index
@@ -697,7 +698,7 @@ def q_consistency_check(spark, sf_dir):
 def q_index_build(spark, sf_dir):
     """The corpus indexed twice: the labelled part in an earlier state, then all
     of it. Files, chunk counts and vectors of the store that results."""
-    store = idx.IndexStore(spark, f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}")
+    store = idx.IndexFiles(spark, f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}")
     d = read_table(spark, sf_dir, "documents", "doc_id", "source", "text")
     lab = read_table(spark, sf_dir, "labels", "doc_id", "quality")
     old = d.join(lab, "doc_id").withColumn("text", F.when(F.col("quality") == 1, F.col("text")).otherwise(F.expr("substring(text, 1, length(text) - 1)")))
@@ -908,14 +909,31 @@ def q_cache_clear(spark, sf_dir):
 FILE_BLOCK = 200
 
 
-@register("corpus_files")
-def q_corpus_files(spark, sf_dir):
-    """Documents written as text files (one for the documents of a source in a
-    block of 200 ids) and read back by the folder scan."""
+def corpus_folder(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents", "doc_id", "source", "text").withColumn("block", F.floor(F.col("doc_id") / FILE_BLOCK))
     root = f"{ensure_checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
     (d.repartition("source", "block").sortWithinPartitions("source", "block", "doc_id").select("source", "block", F.coalesce("text", F.lit("")).alias("text"))
       .write.partitionBy("source", "block").option("maxRecordsPerFile", 0).text(root))
+    return root
+
+
+@register("index_stream")
+def q_index_stream(spark, sf_dir):
+    """Those files indexed by the stream: chunks and vectors of each."""
+    store = idx.IndexFiles(spark, f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}")
+    start_index_stream(spark, corpus_folder(spark, sf_dir), store).awaitTermination()
+    vectors = store.read("chunks").select("chunk_id", "path").join(store.read("vectors"), "chunk_id").groupBy("path").agg(F.count(F.lit(1)).alias("n_vectors"))
+    name = r"source=([^/]*)/block=(\d+)/"
+    return store.read("manifest").join(vectors, "path").select(
+        F.regexp_extract("path", name, 1).alias("source"), F.regexp_extract("path", name, 2).cast("long").alias("block"),
+        F.col("chunk_count").cast("long").alias("chunk_count"), "n_vectors")
+
+
+@register("corpus_files")
+def q_corpus_files(spark, sf_dir):
+    """Documents written as text files (one for the documents of a source in a
+    block of 200 ids) and read back by the folder scan."""
+    root = corpus_folder(spark, sf_dir)
     files = decode_files(scan_corpus(spark, root), root)
     name = r"source=([^/]*)/block=(\d+)/"
     return files.select(F.regexp_extract("path", name, 1).alias("source"), F.regexp_extract("path", name, 2).cast("long").alias("block"), "suffix",

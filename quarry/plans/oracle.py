@@ -941,3 +941,10 @@ k AS (SELECT doc_id, pos, CASE WHEN length(word) >= 6 THEN substr(word, 1, 5) EL
       WHERE NOT regexp_full_match(word, '\p{Nd}+') AND regexp_matches(word, '(?i)[а-яёa-z]')),
 g AS (SELECT doc_id, string_agg(lemma, ' ' ORDER BY pos) AS lemma_text, count(*) AS n FROM k WHERE regexp_full_match(lemma, '(?i)[а-яёa-z]+') GROUP BY doc_id)
 SELECT doc_id, md5(coalesce(lemma_text, '')) AS lemma_md5, CAST(coalesce(n, 0) AS BIGINT) AS n_lemmas FROM documents LEFT JOIN g USING (doc_id)"""
+
+ORACLE["index_stream"] = f"""
+WITH t AS (SELECT source, doc_id // 200 AS block, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS text FROM documents GROUP BY ALL),
+w AS (SELECT source, block, list_filter(regexp_split_to_array(text, '{WS_CLASS}'), lambda x: x <> '') AS words FROM t WHERE length(text) >= 100),
+n AS (SELECT source, block, len(list_filter(list_transform(range(0, len(words), 240), lambda s: array_to_string(list_slice(words, s + 1, s + 393), ' ')),
+                                            lambda p: length(p) >= 100)) AS n FROM w)
+SELECT source, block, CAST(n AS BIGINT) AS chunk_count, CAST(n AS BIGINT) AS n_vectors FROM n WHERE n > 0"""
