@@ -24,6 +24,7 @@ results; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import ctypes
 import gc
 import hashlib
 import re
@@ -102,7 +103,8 @@ DECODE = "SELECT w, unhex(string_agg(hexed, '' ORDER BY pos)) AS decoded FROM id
 class Tokenizer:
     """Rank file and pattern; queries run in a DuckDB of the process."""
 
-    def __init__(self, rank_file: bytes, pattern: str):
+    def __init__(self, rank_file: bytes, pattern: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
         # the library's \s is Unicode white space only, without the separators \x1c-\x1f
         self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"(?!\S)", r"(?!\P{White_Space})").replace(r"\s", r"\p{White_Space}"))
@@ -249,7 +251,7 @@ class Tokenizer:
         for own in keys:
             ids = " ".join(map(ids_of.__getitem__, own))
             out.append((ids.count(" ") + 1 if own else 0, ids, b"".join(map(bytes_of.__getitem__, own))))
-        if len(self.young) > REMEMBERED:
+        if len(self.young) > self.remembered:
             self.old, self.young = self.young, {}
         return out
 
@@ -276,6 +278,19 @@ def tokenizer(rank_file: bytes, pattern: str) -> Tokenizer:
     return _TOKENIZERS[key]
 
 
+# Parts that a tokenizer of one task remembers: some tens of megabytes.
+REMEMBERED_IN_TASK = 60_000
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker process lives on for other stages."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):       # not this C library
+        pass
+
+
 def read_vocabulary(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -310,19 +325,25 @@ def _strings(column) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def _mapped(docs: DataFrame, source, path: str, pattern: str, keep: tuple[str, ...], schema: str, build) -> DataFrame:
-    """``keep`` columns and what build(tokenizer, column) gives for ``source``."""
+def _mapped(docs: DataFrame, source, path: str, pattern: str, keep: tuple[str, ...], schema: str, build, own_task: bool = False) -> DataFrame:
+    """``keep`` columns and what build(tokenizer, column) gives for ``source``.
+    With ``own_task`` a tokenizer lives as long as its task and remembers less:
+    for jobs whose other stages use the same worker processes."""
     prepare(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))      # one rank file
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches):
-        t = tokenizer(vocabulary.value, pattern)
+        t = Tokenizer(vocabulary.value, pattern, REMEMBERED_IN_TASK) if own_task else tokenizer(vocabulary.value, pattern)
         for batch in _joined(batches):
             gc.disable()      # nothing here is cyclic, and a scan of all remembered parts is slow
             made = build(t, batch.column(batch.num_columns - 1))
             gc.enable()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made.values()], names=[*keep, *made])
+        if own_task:
+            t.con.close()
+            del t
+            give_back()
 
     own = "".join(f"`{c}` {kinds[c]}, " for c in keep)
     return docs.select(*keep, source.alias("__source")).mapInArrow(run, own + schema)
@@ -342,7 +363,8 @@ def decode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
     return _mapped(docs, F.col("ids").cast("array<int>"), path, pattern, keep, "decoded binary", build)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False,
+               own_task: bool = False) -> DataFrame:
     """``keep`` columns, n_tokens, and the digests of the ids and of their
     decoded bytes; ``with_ids`` adds the ids themselves."""
     sha = lambda x: hashlib.sha256(x).hexdigest()
@@ -355,7 +377,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
             out["ids"] = _lists([x[3] for x in made])
         return out | {"ids_sha256": pa.array([x[1] for x in made], pa.string()), "decoded_sha256": pa.array([x[2] for x in made], pa.string())}
     schema = "n_tokens long, " + ("ids array<int>, " if with_ids else "") + "ids_sha256 string, decoded_sha256 string"
-    return _mapped(docs, F.col("text").cast("string"), path, pattern, keep, schema, build)
+    return _mapped(docs, F.col("text").cast("string"), path, pattern, keep, schema, build, own_task)
 
 
 def _numbers(ids: str) -> np.ndarray:

@@ -45,7 +45,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(docs, *vocabulary(), keep=("doc_id", "lang", "source"), with_ids=True)
+    return bpe.round_trip(docs, *vocabulary(), keep=("doc_id", "lang", "source"), with_ids=True, own_task=True)
 
 
 STAGES = [("quality", quality_stage), ("near_dedup", near_dedup_stage), ("paragraphs", paragraphs_stage),
