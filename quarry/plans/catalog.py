@@ -22,6 +22,7 @@ from ..operators import context as ctx
 from ..operators import evaluate as ev
 from ..operators import hygiene as hyg
 from ..operators import indexing as idx
+from ..operators import latent
 from ..operators import lemma as lem
 from ..operators import memory as mem
 from ..operators import websearch as web
@@ -32,7 +33,7 @@ from ..operators.neardup import semantic_dedup
 from ..operators.streak import error_streak
 from ..operators.impacts import pruned_topk
 from ..operators.tfidf import fit_tfidf, pad_zero
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources.corpus import decode_files, scan_corpus
 from ..sources.tables import read_table, table_path
 from ..streaming import rate as rate_ops
@@ -1006,3 +1007,25 @@ def q_lemma_cyrillic(spark, sf_dir):
     dic = forms.select(F.col("word").alias("form"), F.substring("word", 1, 5).alias("lemma"))
     out = lem.lemmatize(d, dic, "doc_id", "text", "strict")
     return out.select("doc_id", F.md5("lemma_text").alias("lemma_md5"), F.size("lemmas").cast("long").alias("n_lemmas"))
+
+
+# ---------------------------------------------------------------------------
+# vectors trained on the corpus
+# ---------------------------------------------------------------------------
+
+
+def message_vectors(spark, sf_dir):
+    """Term statistics and trained term vectors of the messages."""
+    c = conversations(spark, sf_dir).select(F.concat_ws("#", "conv_id", "turn").alias("chunk_id"), "text")
+    postings, stats = fit_tfidf(c, "chunk_id", "text")
+    postings, stats = cut_lineage(postings), cut_lineage(stats)
+    vectors, _ = latent.fit(postings, rank=16, rounds=3)
+    return stats, cut_lineage(vectors)
+
+
+@register("memory_recall_trained")
+def q_memory_recall_trained(spark, sf_dir):
+    """Recall with vectors trained on the messages themselves. No SQL: tests compare it with numpy."""
+    stats, vectors = message_vectors(spark, sf_dir)
+    r = mem.recall(conversations(spark, sf_dir), embed=latent.embedder(stats, vectors))
+    return r.select("conv_id", "q_turn", "turn", F.round("score", 6).alias("score"), F.col("recall_rank").cast("long").alias("recall_rank"))

@@ -22,7 +22,7 @@ def duck():
 
 def test_every_query_has_an_oracle():
     from quarry.plans.catalog import QUERIES as own
-    assert set(own) <= set(ORACLE)
+    assert set(own) - set(ORACLE) == {"memory_recall_trained"}        # compared with numpy in test_latent.py
 
 
 def test_entry_runs(spark):
