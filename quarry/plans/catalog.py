@@ -40,7 +40,7 @@ from ..streaming import rate as rate_ops
 from ..streaming.index import start_index_stream
 from ..streaming.sources import landed, landed_stream, run_to_files
 from ..streaming.state import breaker_stream, error_streak_stream, first_seen_capped_stream
-from .hybrid import envelope, hybrid_search, retrieve, stored_index
+from .hybrid import envelope, hybrid_search, retrieve, semantic_hits, stored_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -136,8 +136,7 @@ def hybrid_inputs(spark, sf_dir):
 @register("dense_chunks_topk")
 def q_dense_chunks_topk(spark, sf_dir):
     """Dense retriever of the hybrid path: hashed-embedding cosine top-50 over chunks."""
-    q, chunks, postings, stats, vecs, placed = hybrid_inputs(spark, sf_dir)
-    hits = retrieve(q, chunks, postings, stats, vecs, placed=placed).where(F.col("retriever") == "semantic")
+    hits = semantic_hits(benchmark_queries(spark, sf_dir), search_index(spark, sf_dir)["vectors"])
     return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"),
                        F.round("score", 6).alias("score"))
 
@@ -1019,7 +1018,7 @@ def message_vectors(spark, sf_dir):
     c = conversations(spark, sf_dir).select(F.concat_ws("#", "conv_id", "turn").alias("chunk_id"), "text")
     postings, stats = fit_tfidf(c, "chunk_id", "text")
     postings, stats = cut_lineage(postings), cut_lineage(stats)
-    vectors, _ = latent.fit(postings, rank=16, rounds=3)
+    vectors, _ = latent.fit(postings, rank=8, rounds=2)
     return stats, cut_lineage(vectors)
 
 

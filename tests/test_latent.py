@@ -73,7 +73,7 @@ def test_registered_recall_equals_numpy(spark):
     idf, v = ({r.term: r[1] for r in stats.select("term", "idf").collect()}, {r.term: np.array(r.v) for r in vectors.collect()})
 
     def vector(text):
-        x = sum((idf[t] * v[t] for t in re.findall(r"[^\W]{2,}", (text or "").lower()) if t in v), np.zeros(16))
+        x = sum((idf[t] * v[t] for t in re.findall(r"[^\W]{2,}", (text or "").lower()) if t in v), np.zeros(8))
         n = np.linalg.norm(x)
         return x / n if n else x
 
