@@ -10,9 +10,11 @@ emits all pairs of its ids:
 3. what is left of a key with at most ``bucket`` ids is compared pair by pair,
    but only across components;
 4. ids of larger unfinished keys get an exact prefix-filter join: two sets of
-   similarity >= t share k of the rarest n - ceil(t n) + k shingles of each
+   similarity >= t share one of the rarest n - ceil(t n) + 1 shingles of each
    (rarity counted over those ids), so what many ids share (a common passage)
-   never becomes a join key unless the sets can really reach t. There, too,
+   never becomes a join key unless the sets can really reach t. The place of a
+   shingle in this order bounds the size of a partner that first meets the set
+   there; a pair is a candidate only where both bounds hold. There, too,
    a member first meets one member of a larger component, not all of them.
 """
 
@@ -28,7 +30,6 @@ from pyspark.sql import functions as F
 from .common import components, stored
 
 BUCKET = 48             # ids of a key that are compared pair by pair
-SHARED = 3              # rare shingles that a candidate pair of the exact way shares
 SOME = 6                # members of a component that a candidate meets for each rare shingle, before it meets all
 FREQUENT = 200_000      # shingles whose frequency orders the sets
 
@@ -56,17 +57,19 @@ def confirm(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
 
 
 def _prefix_rows(sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """(id, xs, least, n, most): xs are the rarest n - ceil(t n) + SHARED shingles of a set.
-
-    Two sets that reach the threshold share at least ``least`` of these: SHARED,
-    or all they need if that is less. This holds for any one order of the
-    shingles; putting the frequent ones last only makes it selective, so a
-    bounded list of the most frequent ones (FREQUENT) serves for it.
-
-    ``most`` is the size of the largest set that can be similar enough: what a
-    set shares with any other is at most the number of its shingles that others
-    have, m, and m >= t / (1 + t) (n + n') bounds the other's size n'. Sets
-    that no size fits are left out. Shingles beyond a full list count as shared."""
+    """(id, n, xs, most): the rarest shingles of a set, rarest first, n its size.
+
+    ``most`` is, for each of them, the size of the largest set that can be
+    similar enough if this is the first shingle, in the order, that both have:
+    then they share at most the n - p shingles from place p on, and sharing
+    m >= t / (1 + t) (n + n') bounds n'. So two sets that reach the threshold
+    have a first common shingle among their ``xs`` and each is small enough for
+    the other's bound there. Shingles whose bound no partner of the least size,
+    ceil(t n), meets are left out, and those that no other set has.
+
+    This holds for any one order; putting the frequent ones last only makes it
+    selective, so a bounded list of the most frequent ones (FREQUENT) serves
+    for it. Shingles beyond a full list count as shared."""
     spark = sets.sparkSession
     often = (sets.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
                  .orderBy(F.desc("df"), "x").limit(FREQUENT).collect())
@@ -84,25 +87,24 @@ def _prefix_rows(sets: DataFrame, percent: int, name: str) -> DataFrame:
             if len(known) and len(values):
                 at = np.minimum(np.searchsorted(known, values), len(known) - 1)
                 rank = np.where(known[at] == values, df[at], 1)
-            out, owner, least, size, most = [], [], [], [], []
+            out, bounds, owner, size = [], [], [], []
             for k in range(len(ids)):
                 own, r = values[ends[k]:ends[k + 1]], rank[ends[k]:ends[k + 1]]
-                need = (len(own) * percent + 99) // 100
-                others = len(own) if full else int((r > 1).sum())
-                limit = others * (100 + percent) // percent - len(own)
-                if limit < need:
+                n = len(own)
+                need = (n * percent + 99) // 100
+                first = np.lexsort((own, r))[:n - need + 1]
+                bound = np.arange(n, n - len(first), -1) * (100 + percent) // percent - n
+                keep = (bound >= need) & (full | (r[first] > 1))
+                if not keep.any():
                     continue
-                take = np.lexsort((own, r))[:len(own) - need + min(SHARED, need)]
-                out.append(own[take])
+                out.append(own[first[keep]])
+                bounds.append(bound[keep])
                 owner.append(ids[k])
-                least.append(min(SHARED, need))
-                size.append(len(own))
-                most.append(limit)
+                size.append(n)
             offsets = np.concatenate([[0], np.cumsum([len(v) for v in out])]).astype(np.int32)
-            xs = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out) if out else np.zeros(0, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), xs, *(pa.array(v, pa.int64()) for v in (least, size, most))],
-                                             names=["id", "xs", "least", "n", "most"])
-    return sets.select("id", "s").mapInArrow(run, "id long, xs array<long>, least long, n long, most long")
+            cols = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(v) if v else np.zeros(0, dtype=np.int64))) for v in (out, bounds)]
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(size, pa.int64()), *cols], names=["id", "n", "xs", "most"])
+    return sets.select("id", "s").mapInArrow(run, "id long, n long, xs array<long>, most array<long>")
 
 
 def _exact_links(ids: DataFrame, comp: DataFrame, sets_of, percent: int, name: str) -> DataFrame:
@@ -113,10 +115,8 @@ def _exact_links(ids: DataFrame, comp: DataFrame, sets_of, percent: int, name: s
     only where a member shares enough of its set with the whole component."""
     sets = stored(sets_of(ids), name + "-prefix-sets")
     rows = stored(_prefix_rows(sets, percent, name), name + "-prefix")
-    # shingles of a set behind its rare ones: two sets share at most their k common rare ones and the longer such rest
-    rows = rows.withColumn("tail", F.floor((F.col("n") * percent + 99) / 100) - F.col("least"))
-    by_shingle = lambda df: df.withColumn("x", F.explode("xs")).drop("xs")
-    enough = lambda k, tail, n: F.lit(100 + percent) * (k + tail) >= F.lit(percent) * n
+    listed = lambda df: (df.withColumn("_p", F.explode(F.arrays_zip("xs", "most"))).withColumn("x", F.col("_p.xs"))
+                           .withColumn("most", F.col("_p.most")).drop("_p", "xs"))
     have = lambda want: sets.join(want, "id", "left_semi")
 
     def placed(labels: DataFrame) -> DataFrame:
@@ -125,17 +125,13 @@ def _exact_links(ids: DataFrame, comp: DataFrame, sets_of, percent: int, name: s
         return stored(own.join(size, "comp").select("id", F.struct("size", "comp").alias("c")), name + "-placed")
 
     def near(place: DataFrame) -> DataFrame:
-        """(id, other, head) for ids and larger components that share enough rare shingles."""
-        own = by_shingle(rows.join(place, "id"))
-        heads = own.groupBy("x", F.col("c").alias("other")).agg(F.min("id").alias("head"), F.min("n").alias("small"), F.max("most").alias("reach"),
-                                                                    F.max("tail").alias("their"))
+        """(id, other, head) for ids and larger components with a rare shingle in common that both sides' bounds allow."""
+        own = listed(rows.join(place, "id"))
+        heads = own.groupBy("x", F.col("c").alias("other")).agg(F.min("id").alias("head"), F.min("n").alias("small"), F.max("most").alias("reach"))
         met = own.join(heads, "x").where("other > c and small <= most and reach >= n")
-        same = [F.first(c).alias(c) for c in ("least", "n", "tail")]
-        met = met.groupBy("id", "other", "head").agg(F.count("*").alias("k"), F.min("small").alias("small"), F.max("their").alias("their"), *same)
-        best = met.groupBy("id", "other").agg(F.sum("k").alias("k"), F.min("small").alias("small"), F.max("their").alias("their"), *same,
-                                              F.max_by("head", F.struct("k", "head")).alias("head"))
-        fits = (F.col("k") >= F.col("least")) & enough(F.col("k"), F.greatest("tail", "their"), F.col("n") + F.col("small"))
-        return stored(best.where(fits).select("id", "other", "head"), name + "-near")
+        met = met.groupBy("id", "other", "head").agg(F.count("*").alias("k"))
+        best = met.groupBy("id", "other").agg(F.max_by("head", F.struct("k", "head")).alias("head"))
+        return stored(best, name + "-near")
 
     def pair(x: str, y: str):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
@@ -155,18 +151,16 @@ def _exact_links(ids: DataFrame, comp: DataFrame, sets_of, percent: int, name: s
     if rest.isEmpty():
         return first
     # it meets some members for each rare shingle, and only if none of them links, all members
-    own = by_shingle(rows.join(place, "id")).select("x", F.col("c").alias("other"), F.col("id").alias("mate"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("tail").alias("tail2"))
+    own = listed(rows.join(place, "id")).select("x", F.col("c").alias("other"), F.col("id").alias("mate"), F.col("n").alias("n2"), F.col("most").alias("most2"))
     draws = [F.xxhash64("mate", F.lit(k)) for k in range(SOME)]
     some = own.groupBy("x", "other").agg(F.array_distinct(F.array(*[F.min_by("mate", d) for d in draws])).alias("some"))
-    met = by_shingle(rows.join(rest, "id")).join(some, ["x", "other"]).select("id", F.explode("some").alias("mate"))
+    met = listed(rows.join(rest, "id")).join(some, ["x", "other"]).select("id", F.explode("some").alias("mate"))
     second = confirm(met.select(*pair("id", "mate")).distinct(), have, percent, name + "-second")
     label = stored(components(second, name + "-comp2", label), name + "-label")
     mark = lambda c: label.select(F.col("id").alias(c), F.col("comp").alias("_" + c))
     still = (rest.withColumn("group", F.col("other.comp")).join(mark("id"), "id", "left").join(mark("group"), "group", "left")
                  .where(F.coalesce("_id", "id") != F.coalesce("_group", "group")).select("id", "other"))
-    met = by_shingle(rows.join(still, "id")).join(own, ["x", "other"]).where("n2 <= most and n <= most2")
-    met = met.groupBy("id", "mate").agg(F.count("*").alias("k"), *[F.first(c).alias(c) for c in ("least", "n", "n2", "tail", "tail2")])
-    met = met.where((F.col("k") >= F.col("least")) & enough(F.col("k"), F.greatest("tail", "tail2"), F.col("n") + F.col("n2")))
+    met = listed(rows.join(still, "id")).join(own, ["x", "other"]).where("n2 <= most and n <= most2").select("id", "mate")
     third = confirm(met.select(*pair("id", "mate")).distinct(), have, percent, name + "-third")
     return first.unionByName(second).unionByName(third)
 
