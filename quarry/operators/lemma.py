@@ -8,26 +8,21 @@ index  - drop all-digit words; a word starting with [a-z0-9] is kept as is;
 strict - drop all-digit words and words without a Latin/Cyrillic letter;
          lemma = dictionary lemma or the word; kept only if [а-яёa-z]+.
 
-Plan: the words of a text stay in its row. A dictionary whose measured bytes
-allow it is sent to the executors once as two Arrow arrays, and the distinct
-words of a batch of rows are looked up in it; the rules run on the arrays as
-Spark expressions. So texts are scanned once and no word is shuffled. A larger
-dictionary is joined: words are exploded, joined by form and regrouped by text
-(a regrouped list is one text's words, never more). A form that a dictionary
+Plan: the words of a text stay in its row, whatever the size of the dictionary:
+``lookup.look_up`` adds their dictionary lemmas as a second array, and the rules
+run on the arrays as Spark expressions. So no word is shuffled, and texts only
+where the dictionary is too large to be broadcast. A form that a dictionary
 holds twice has its smallest lemma.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BROADCAST_MAX_BYTES
-from ..plans.strategy import measured_bytes
 from ..session import cut_lineage
+from .lookup import PART_BYTES, look_up
 
 WORD_RUN = r"[\p{L}\p{N}_]+"
 
@@ -64,39 +59,17 @@ def _rules(mode: str):
     return index if mode == "index" else strict
 
 
-def _finder(spark, table: pa.Table):
-    """words ARRAY<STRING> -> their dictionary lemmas, null where there is none."""
-    shared = spark.sparkContext.broadcast(table)          # its bytes were measured
-
-    @F.arrow_udf("array<string>")
-    def find(words: pa.Array) -> pa.Array:
-        forms, lemmas = (shared.value.column(c).combine_chunks() for c in ("form", "lemma"))
-        coded = pc.dictionary_encode(words.flatten())
-        place = pc.index_in(coded.dictionary, value_set=forms)
-        found = pc.take(pc.take(lemmas, place), coded.indices)
-        lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), found.cast(pa.string()))
-    return find
-
-
 def lemmatize(df: DataFrame, lemma_dict: DataFrame, key: str = "doc_id", text: str = "text",
-              mode: str = "index", max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+              mode: str = "index", max_bytes: int = BROADCAST_MAX_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """(key, lemmas ARRAY<STRING> in word order, lemma_text STRING)."""
     rules = _rules(mode)
     d = cut_lineage(lemma_dict.where("form IS NOT NULL").groupBy("form").agg(F.min("lemma").alias("lemma")))
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD_RUN), 0)
-    if measured_bytes(d) <= max_bytes:
-        rows = df.select(key, F.coalesce(words, F.array().cast("array<string>")).alias("_w")).withColumn("_f", _finder(df.sparkSession, d.toArrow())("_w"))
-        pairs = F.filter(F.arrays_zip("_w", "_f"), lambda x: rules(x["_w"], x["_f"])[1])
-        out = rows.select(key, F.transform(pairs, lambda x: rules(x["_w"], x["_f"])[0]).alias("lemmas"))
-    else:
-        wp = word_positions(df, key, text)
-        j = wp.join(d.select("form", F.col("lemma").alias("_lemma")), wp.word == F.col("form"), "left")
-        lemma, keep = rules(F.col("word"), F.col("_lemma"))
-        per_text = j.where(keep).select(key, "pos", lemma.alias("lemma")).groupBy(key).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("pos", "lemma"))), lambda s: s["lemma"]).alias("lemmas"))
-        out = df.select(key).join(per_text, key, "left") \
-                .withColumn("lemmas", F.coalesce("lemmas", F.array().cast("array<string>")))
+    rows = df.select(key, F.coalesce(words, F.array().cast("array<string>")).alias("_w"))
+    n_bytes = df.agg(F.sum(F.octet_length(text))).first()[0]
+    found = look_up(rows, "_w", d.select("form", F.col("lemma").alias("_f")), "form", ("_f",), n_bytes, max_bytes, part_bytes)
+    pairs = F.filter(F.arrays_zip("_w", "_f"), lambda x: rules(x["_w"], x["_f"])[1])
+    out = found.select(key, F.transform(pairs, lambda x: rules(x["_w"], x["_f"])[0]).alias("lemmas"))
     return out.withColumn("lemma_text", F.array_join("lemmas", " "))
 
 
