@@ -13,8 +13,11 @@ earlier row that was *kept*. Plan:
    any other pivot, so it lies beyond the plane between both pivots, and the
    visitor's distance from that plane is a bound; the cell's radius gives a
    second one by the triangle inequality. A visitor goes to cells of smaller
-   numbers only, so each pair meets once. A crowded cell is split into parts
-   of at most ``block_rows``, visited one by one;
+   numbers only, so each pair meets once. Cells lie in blocks of at most
+   ``block_rows`` vectors (8 MB, if not given), a crowded cell in several; a
+   visitor is sent once to a block, whatever the number of its cells that it
+   sees, and the visitors from one block meet another block in one group. So
+   no group outgrows two blocks, and bounds decide again cell by cell there;
 3. the greedy decision runs in rounds: a row whose earlier neighbours are
    all decided is kept when none of them is kept, dropped otherwise. Every
    round is a join and a grouped aggregate over the pair table; its result
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .dense import _unit
+from .dense import CELL_BYTES, PIECE_ROWS, _sized, _unit, cell_blocks
 
 
 MAX_PIVOTS, MAX_SAMPLE = 2048, 16384
@@ -68,12 +71,13 @@ def visits(x: np.ndarray, at: np.ndarray, home: np.ndarray, between: np.ndarray,
 
 
 def similar_pairs(vectors: DataFrame, threshold: float = 0.85, key: str = "vec_id", vec: str = "embedding",
-                  block_rows: int = 4_000, work: dict | None = None) -> DataFrame:
+                  block_rows: int | None = None, work: dict | None = None) -> DataFrame:
     """(earlier, later, score) for every pair with cosine > threshold. ``work``
     receives the number of pairs scored and of all pairs."""
     spark = vectors.sparkSession
     v = cut_lineage(_unit(vectors, key, vec, "vec_id"))
-    n = v.count()
+    n, width = _sized(v)
+    block_rows = block_rows or max(1, CELL_BYTES // width)
     kt = v.schema["vec_id"].dataType
     schema = T.StructType([T.StructField("earlier", kt), T.StructField("later", kt), T.StructField("score", T.DoubleType())])
     if n == 0:
@@ -87,63 +91,87 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.85, key: str = "vec_i
         x = np.vstack(pdf["v"].to_numpy())
         return x, np.sqrt(np.maximum(0, 2 - 2 * x @ bc.value[0].T))
 
+    def pieces(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), PIECE_ROWS):       # a piece times all pivots is what a task holds
+                yield batch.iloc[lo:lo + PIECE_ROWS]
+
     def settle(batches):
-        for pdf in batches:
+        for pdf in pieces(batches):
             _, at = distances(pdf)
             home = at.argmin(axis=1)
             yield pdf.assign(home=home.astype(np.int32), far=at[np.arange(len(pdf)), home])
 
     vt = T.StructType([*v.schema.fields, T.StructField("home", T.IntegerType()), T.StructField("far", T.DoubleType())])
     lives = cut_lineage(v.mapInPandas(settle, vt))
-    radius, parts = np.full(len(p), -1e9), np.zeros(len(p), dtype=np.int64)
+    radius, count = np.full(len(p), -1e9), np.zeros(len(p), dtype=np.int64)
     for r in lives.groupBy("home").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect():     # one row a pivot
-        radius[r.home], parts[r.home] = r.far, math.ceil(r.n / block_rows)
-    cells = spark.sparkContext.broadcast((radius, parts))
+        radius[r.home], count[r.home] = r.far, r.n
+    first, parts, n_blocks = cell_blocks(count, block_rows)
+    lies = np.zeros((len(p), n_blocks), dtype=np.float32)     # cells by blocks: where their vectors are
+    for c in np.nonzero(count)[0]:
+        lies[c, first[c]:first[c] + parts[c]] = 1
+    cells = spark.sparkContext.broadcast((radius, first, lies))
+
+    def seen(pdf):
+        x, at = distances(pdf)
+        return x, visits(x, at, pdf["home"].to_numpy(), bc.value[1], cells.value[0], reach)
 
     def dealt(batches):
-        """A vector's row in its own part of its cell, and one in every part that it visits:
-        parts of its cell up to its own, and all parts of the cells it has to see."""
-        r, n_parts = cells.value
-        for pdf in batches:
-            x, at = distances(pdf)
-            home = pdf["home"].to_numpy()
-            own = pdf["part"].to_numpy()
-            see = visits(x, at, home, bc.value[1], r, reach)
-            row, cell = np.nonzero(see & (n_parts > 0)[None, :])
-            times = np.concatenate([n_parts[cell], own + 1])
-            row, cell = np.concatenate([row, np.arange(len(pdf))]), np.concatenate([cell, home])
-            part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            row, cell = np.repeat(row, times), np.repeat(cell, times)
-            yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy()[row], "v": pdf["v"].to_numpy()[row], "cell": cell.astype(np.int32),
-                                "part": part.astype(np.int32), "lives": (cell == home[row]) & (part == own[row])})
-
-    shares = F.broadcast(spark.createDataFrame([(c, int(max(1, x))) for c, x in enumerate(parts)], "home int, parts int"))
-    placed = lives.join(shares, "home").select("vec_id", "v", "home", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"))
-    dt = T.StructType([*v.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("lives", T.BooleanType())])
+        """A vector's row in every block that it visits: those of its cell up to its own, and
+        those where the cells lie that it has to see. Blocks follow the numbers of their cells."""
+        _, first, lies = cells.value
+        for pdf in pieces(batches):
+            home, own = pdf["home"].to_numpy(), pdf["own"].to_numpy()
+            block = np.arange(lies.shape[1])[None, :]
+            go = (seen(pdf)[1] @ lies > 0) | ((block >= first[home][:, None]) & (block <= own[:, None]))
+            row, blk = np.nonzero(go)
+            for lo in range(0, len(row), 8 * PIECE_ROWS):
+                yield pdf.iloc[row[lo:lo + 8 * PIECE_ROWS]].assign(blk=blk[lo:lo + 8 * PIECE_ROWS].astype(np.int32))
+
+    shares = F.broadcast(spark.createDataFrame([(c, int(f), int(x)) for c, (f, x) in enumerate(zip(first, parts))], "home int, at int, parts int"))      # one row a pivot
+    placed = lives.join(shares, "home").select("vec_id", "v", "home", (F.col("at") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("own"))
+    dt = T.StructType([*placed.schema.fields, T.StructField("blk", T.IntegerType())])
     guests = placed.mapInPandas(dealt, dt)
-    residents = placed.select(F.col("vec_id").alias("rid"), F.col("v").alias("rv"), F.col("home").alias("cell"), "part")
+    # pairs of blocks that meet: a row each
+    meeting = F.broadcast(guests.select(F.col("blk").alias("at"), F.col("own").alias("guest")).distinct())
+    residents = (placed.select(F.col("vec_id").alias("rid"), F.col("v").alias("rv"), F.col("home").alias("cell"), F.col("own").alias("at"))
+                       .join(meeting, "at"))
 
     def meet(gp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(gp) and len(rp):
-            rid, rm = rp["rid"].to_numpy(), np.vstack(rp["rv"].to_numpy())
-            for lo in range(0, len(gp), block_rows):          # a cell may have many guests: no product outgrows block_rows squared
-                part = gp.iloc[lo:lo + block_rows]
-                gid, lives_here = part["vec_id"].to_numpy(), part["lives"].to_numpy()
-                s = np.vstack(part["v"].to_numpy()) @ rm.T
-                hit = (s > threshold) & (~lives_here[:, None] | (gid[:, None] < rid[None, :]))
-                a, b = np.nonzero(hit)
-                out.append(pd.DataFrame({"earlier": np.minimum(gid[a], rid[b]), "later": np.maximum(gid[a], rid[b]), "score": s[a, b]}))
+            rp = rp.sort_values("cell", kind="stable")
+            rid, rm, cell = rp["rid"].to_numpy(), np.vstack(rp["rv"].to_numpy()), rp["cell"].to_numpy()
+            here, start = np.unique(cell, return_index=True)
+            end = np.append(start[1:], len(cell))
+            lives_here = gp["own"].iloc[0] == gp["blk"].iloc[0]
+            for part in pieces([gp]):
+                gid, home = part["vec_id"].to_numpy(), part["home"].to_numpy()
+                x, see = seen(part)
+                for c, lo, hi in zip(here, start, end):
+                    g = np.nonzero(see[:, c] | (home == c))[0]
+                    hit = x[g] @ rm[lo:hi].T
+                    score, hit = hit, hit > threshold
+                    if lives_here:          # a cell's own pairs meet once
+                        hit &= (home[g] != c)[:, None] | (gid[g][:, None] < rid[lo:hi][None, :])
+                    a, b = np.nonzero(hit)
+                    if len(a):
+                        ga, rb = gid[g[a]], rid[lo:hi][b]
+                        out.append(pd.DataFrame({"earlier": np.minimum(ga, rb), "later": np.maximum(ga, rb), "score": score[a, b]}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"earlier": rp["rid"].iloc[:0], "later": rp["rid"].iloc[:0], "score": pd.Series([], dtype="float64")})
 
     if work is not None:
-        sizes = guests.groupBy("cell", "part").agg(F.count_if(~F.col("lives")).alias("g"), F.count_if("lives").alias("r"))
-        work.update(scored=sizes.agg(F.sum(F.col("g") * F.col("r") + F.col("r") * (F.col("r") - 1) / 2)).first()[0], every=n * (n - 1) // 2)
-    return guests.groupBy("cell", "part").cogroup(residents.groupBy("cell", "part")).applyInPandas(meet, schema)
+        def counted(batches):
+            for pdf in pieces(batches):
+                yield pd.DataFrame({"n": [int((seen(pdf)[1] @ count.astype(float)).sum())]})
+        among = placed.mapInPandas(counted, "n long").agg(F.sum("n")).first()[0]
+        work.update(scored=among + int((count * (count - 1) // 2).sum()), every=n * (n - 1) // 2)
+    return guests.groupBy("blk", "own").cogroup(residents.groupBy("at", "guest")).applyInPandas(meet, schema)
 
 
 def semantic_dedup(vectors: DataFrame, threshold: float = 0.85, key: str = "vec_id", vec: str = "embedding",
-                   block_rows: int = 4_000) -> DataFrame:
+                   block_rows: int | None = None) -> DataFrame:
     """(key, kept, reason) for every row: reason 'first', 'copy' or 'similar'.
     Rows without a vector resemble nothing and are kept as 'first'."""
     every = vectors.select(F.col(key).alias("vec_id"), F.col(vec).cast("array<double>").alias("v"))

@@ -44,3 +44,27 @@ def test_edges(spark):
     assert similar_pairs(none).count() == 0
     odd = spark.createDataFrame([(1, None), (2, [0.0, 0.0]), (3, [1.0, 0.0]), (4, [2.0, 0.0]), (5, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert {(r.earlier, r.later) for r in similar_pairs(odd).collect()} == {(3, 4), (3, 5), (4, 5)}
+
+
+@pytest.mark.parametrize("block", [60, 1000])
+def test_a_visitor_is_sent_once_to_a_block(spark, block, monkeypatch):
+    """Random vectors see nearly all cells: a row per cell, and all rows for one task, were sent."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+    m = np.random.default_rng(6).normal(size=(600, 24))
+    sent = []
+
+    def spy(self, f, schema):
+        sent.extend(g._df.groupBy(*keys).count().agg({"count": "max"}).first()[0] for g, keys in ((self._gd1, ["blk", "own"]), (self._gd2, ["at", "guest"])))
+        sent.append(self._gd1._df.count())
+        return run(self, f, schema)
+    run = PandasCogroupedOps.applyInPandas
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", spy)
+    got = similar_pairs(frame(spark, m), 0.5, block_rows=block).collect()
+    assert {(r.earlier, r.later) for r in got} == brute(m, 0.5) and len(got) > 20
+    assert max(sent[:2]) <= 2 * block and sent[2] <= 600 * (1 if block == 1000 else 2 * 600 / block)
+
+
+def test_cells_share_blocks():
+    from quarry.operators.dense import cell_blocks
+    first, parts, n = cell_blocks(np.array([3, 4, 0, 2, 25, 1, 10]), 10)
+    assert first.tolist() == [0, 0, 0, 0, 1, 4, 5] and parts.tolist() == [1, 1, 1, 1, 3, 1, 1] and n == 6
