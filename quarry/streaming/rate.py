@@ -3,8 +3,8 @@
 Limits: at most 10 searches per minute (tumbling windows) and 100 queries per
 hour (sliding 1-hour windows every minute). In a stream the watermark (an
 argument, 10 minutes unless given) bounds state; rows later than it are
-not counted in windows; ``late_rows`` tells which. The batch form counts minutes first and spreads those counts over the
-60 windows that hold them, not every event.
+not counted in windows; ``late_rows`` tells which. The batch form counts minutes first and makes the
+windows that start in one hour from the minutes of two.
 """
 
 from __future__ import annotations
@@ -25,16 +25,32 @@ def minute_counts(events: DataFrame, user: str = "user_id", ts: str = "ts", stre
 
 
 def hour_counts(events: DataFrame, user: str = "user_id", ts: str = "ts", streaming: bool = False, watermark: str = WATERMARK) -> DataFrame:
-    if streaming:
-        e, ts, n = events.withWatermark(ts, watermark), ts, F.count(F.lit(1))
-    else:
-        minutes = minute_counts(events, user, ts)
-        e, ts, n = minutes.withColumnRenamed("n", "_n"), "window_start", F.sum("_n")
-    return (e.groupBy(user, F.window(ts, "1 hour", "1 minute").alias("w")).agg(n.alias("n"))
+    if not streaming:
+        return _hours_of_minutes(minute_counts(events, user, ts), user)
+    e = events.withWatermark(ts, watermark)
+    return (e.groupBy(user, F.window(ts, "1 hour", "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("n"))
              .select(user, F.col("w.start").alias("window_start"), "n",
                      (F.col("n") > PER_HOUR).alias("over_limit")))
 
 
+def _hours_of_minutes(minutes: DataFrame, user: str) -> DataFrame:
+    """Hour windows of minute counts. The windows that start in an hour hold minutes of
+    it and of the next one, so a minute is sent to two hours, not to sixty windows; the
+    at most 120 minutes of a (user, hour) are an array that gives its 60 windows."""
+    hours = minutes.select(user, "n", F.col("window_start").alias("_m"), F.window("window_start", "2 hours", "1 hour")["start"].alias("_h"))
+    at = F.timestamp_diff("MINUTE", F.col("_h"), F.col("_m")).cast("int")
+    rows = hours.groupBy(user, "_h").agg(F.collect_list(F.struct(at.alias("at"), "n")).alias("_minutes"))
+
+    def window(start):
+        inside = F.filter("_minutes", lambda x: (x["at"] >= start) & (x["at"] < start + 60))
+        return F.struct(start.alias("start"), F.aggregate(inside, F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n"))
+
+    windows = F.filter(F.transform(F.sequence(F.lit(0), F.lit(59)), window), lambda w: w["n"] > 0)
+    return (rows.select(user, "_h", F.explode(windows).alias("w"))
+                .select(user, (F.col("_h") + F.make_dt_interval(mins=F.col("w.start"))).alias("window_start"), F.col("w.n").alias("n"),
+                        (F.col("w.n") > PER_HOUR).alias("over_limit")))
+
+
 def rate_summary(minute: DataFrame, hour: DataFrame, user: str = "user_id") -> DataFrame:
     """Per user: busiest minute and hour, number of windows over each limit."""
     m = minute.groupBy(user).agg(F.max("n").alias("max_per_minute"),
