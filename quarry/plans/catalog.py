@@ -1009,8 +1009,7 @@ def message_vectors(spark, sf_dir):
     """Term statistics and trained term vectors of the messages."""
     c = conversations(spark, sf_dir).select(F.concat_ws("#", "conv_id", "turn").alias("chunk_id"), "text")
     postings, stats = fit_tfidf(c, "chunk_id", "text")
-    postings, stats = cut_lineage(postings), cut_lineage(stats)
-    vectors, _ = latent.fit(postings, rank=8, rounds=2)
+    vectors, _ = latent.fit(postings, rank=8, rounds=2)          # which stores the postings
     return stats, cut_lineage(vectors)
 
 
