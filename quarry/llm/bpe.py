@@ -103,8 +103,8 @@ DECODE = "SELECT w, unhex(string_agg(hexed, '' ORDER BY pos)) AS decoded FROM id
 class Tokenizer:
     """Rank file and pattern; queries run in a DuckDB of the process."""
 
-    def __init__(self, rank_file: bytes, pattern: str, remembered: int = REMEMBERED):
-        self.remembered = remembered
+    def __init__(self, rank_file: bytes, pattern: str, remembered: int = REMEMBERED, group: int = GROUP_CHARS):
+        self.remembered, self.group = remembered, group
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
         # the library's \s is Unicode white space only, without the separators \x1c-\x1f
         self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"(?!\S)", r"(?!\P{White_Space})").replace(r"\s", r"\p{White_Space}"))
@@ -280,6 +280,8 @@ def tokenizer(rank_file: bytes, pattern: str) -> Tokenizer:
 
 # Parts that a tokenizer of one task remembers: some tens of megabytes.
 REMEMBERED_IN_TASK = 60_000
+# Characters of text in its queries: their steps are held at once.
+GROUP_CHARS_IN_TASK = 2 << 20
 
 
 def give_back() -> None:
@@ -334,8 +336,8 @@ def _mapped(docs: DataFrame, source, path: str, pattern: str, keep: tuple[str, .
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches):
-        t = Tokenizer(vocabulary.value, pattern, REMEMBERED_IN_TASK) if own_task else tokenizer(vocabulary.value, pattern)
-        for batch in _joined(batches):
+        t = Tokenizer(vocabulary.value, pattern, REMEMBERED_IN_TASK, GROUP_CHARS_IN_TASK) if own_task else tokenizer(vocabulary.value, pattern)
+        for batch in _joined(batches, 2 * t.group):
             gc.disable()      # nothing here is cyclic, and a scan of all remembered parts is slow
             made = build(t, batch.column(batch.num_columns - 1))
             gc.enable()
@@ -352,7 +354,7 @@ def _mapped(docs: DataFrame, source, path: str, pattern: str, keep: tuple[str, .
 def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and the ids (array<int>) of each text."""
     def build(t, column):
-        return {"ids": _lists([_numbers(ids) for g in _groups(_strings(column)) for _, ids, _ in t.encode(g)])}
+        return {"ids": _lists([_numbers(ids) for g in _groups(_strings(column), t.group) for _, ids, _ in t.encode(g)])}
     return _mapped(docs, F.col("text").cast("string"), path, pattern, keep, "ids array<int>", build)
 
 
@@ -371,7 +373,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
 
     def build(t, column):
         made = [(n, sha(ids.encode()), sha(decoded), _numbers(ids) if with_ids else None)
-                for g in _groups(_strings(column)) for n, ids, decoded in t.encode(g)]
+                for g in _groups(_strings(column), t.group) for n, ids, decoded in t.encode(g)]
         out = {"n_tokens": pa.array([x[0] for x in made], pa.int64())}
         if with_ids:
             out["ids"] = _lists([x[3] for x in made])
