@@ -105,3 +105,39 @@ def test_spans_are_found_whatever_the_lines(spark):
         got.setdefault((-1 if r.doc_id is None else r.doc_id, r.kept), set()).update(range(r.first_word, r.first_word + r.n_words))
     assert got == want and {1, 2, 3, 6, -1} <= {d for d, _ in want} and not {4, 5} & {d for d, _ in want}
     assert sd.repeated_spans(spark.createDataFrame(rows[:0], "doc_id long, text string")).collect() == []
+
+
+def test_passages_are_cut_whatever_the_lines(spark):
+    rng = random.Random(6)
+    fresh = iter(range(10 ** 6))
+    some = lambda n: [f"wé{next(fresh)}" for _ in range(n)]
+    planted = [some(rng.randrange(51, 120)) for _ in range(12)]
+    wrapped = lambda p: "\n".join(" ".join(p[i:i + 7]) for i in range(0, len(p), 7))
+    rows = [(100 + i, " ".join(some(200))) for i in range(10)]                                    # clean
+    for i, p in enumerate(planted):
+        rows += [(i, " ".join(some(90) + p + some(90))), (20 + i, " ".join(some(80)) + "\n" + wrapped(p) + "\n" + " ".join(some(30))),
+                 (40 + i, " ".join(some(150)) + "  " + " ".join(p).replace("w", "W") + " \t" + " ".join(some(150)))]
+    rows += [(60, wrapped(planted[0])), (61, wrapped(planted[1])), (61, "short"), (62, None), (63, ""), (64, " ".join(some(3) + planted[2][:49])),
+             (65, " ".join(2 * planted[3][:50] + some(2)))]
+    docs = spark.createDataFrame([r + (len(r[1] or ""), "src", 1) for r in rows], "doc_id long, text string, n_chars long, source string, row int")
+    seen, want = set(), []
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        w = words(t or "")
+        gone = set()
+        for i in range(len(w) - sd.RUN + 1):
+            run = tuple(w[i:i + sd.RUN])
+            if run in seen:
+                gone.update(range(i, i + sd.RUN))
+            seen.add(run)
+        if not gone or len(gone) < len(w):
+            want.append((d, tuple(x for i, x in enumerate(w) if i not in gone)))
+    for got in (sd.without_passages(docs).collect(), sd.without_copies(docs).collect()):
+        assert sorted((r.doc_id, tuple(words(r.text or ""))) for r in got) == sorted(want)
+        assert all((r.source, r.row, r.n_chars) == ("src", 1, len(r.text or "")) for r in got)
+        assert {(r.doc_id, r.text) for r in got if r.doc_id >= 100} == {r for r in rows if r[0] >= 100}
+        assert {r.text for r in got if r.doc_id == 61} == {"short"} and not [r for r in got if r.doc_id == 60]
+        left = [set(words(r.text or "")) for r in got if 20 <= r.doc_id < 60]
+        assert len(left) == 24 and not any(set(words(" ".join(p))) & x for p in planted for x in left)
+    cut = sd.without_repeats(docs, sd.repeated_paragraphs(docs))                                   # lines alone leave them all
+    assert sum(any(set(words(" ".join(p))) <= set(words(r.text or "")) for p in planted) for r in cut.collect() if 20 <= r.doc_id < 60) == 24
+    assert sd.without_copies(docs.limit(0)).collect() == []
